@@ -19,7 +19,37 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encoding_digests
+
+    return encoding_digests(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import neighbour_likeness
+
+    return neighbour_likeness(documents(spark, sf_dir))
+
+
+def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .bradley_terry import quality_scores
+
+    return quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import license_scan
+
+    return license_scan(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_spotsigs": op4_spotsigs,
+    "op9_quality_classifier": op9_quality_classifier,
+    "op10_license_scan": op10_license_scan,
 }
 ORACLE_SQL: dict[str, str] = {}
