@@ -33,6 +33,14 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_likeness(documents(spark, sf_dir))
 
 
+def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack
+
+    return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bradley_terry import quality_scores
 
@@ -49,6 +57,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_spotsigs": op4_spotsigs,
+    "op6_best_fit_packing": op6_best_fit_packing,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }
