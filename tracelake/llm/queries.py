@@ -33,6 +33,12 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_likeness(documents(spark, sf_dir))
 
 
+def op5_pfp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pfp_dedup import repeat_digests
+
+    return repeat_digests(documents(spark, sf_dir))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -41,6 +47,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op8_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .superkmer import window_digests
+
+    return window_digests(documents(spark, sf_dir))
+
+
 def op9_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .bradley_terry import quality_scores
 
@@ -57,7 +69,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_spotsigs": op4_spotsigs,
+    "op5_pfp_dedup": op5_pfp_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op8_superkmer_dedup": op8_superkmer_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
 }
