@@ -17,8 +17,9 @@ every pair.  Only small, dense blocks of that product are computed:
 
 Defined results: a text without words has an empty set and is its own component; with fewer words
 than ``n`` the whole sequence is the one n-gram; rows with equal ``doc_id`` are one node, each with
-its own row and set; a null ``doc_id`` is a node whose id is never a component's unless alone, and
-then null; an empty table gives an empty result; other columns are ignored.
+its own row and set; rows without ``doc_id`` are nodes by their text, which count as greater than any
+id, and a component of such rows alone has a null id; an empty table gives an empty result; other
+columns are ignored by the join and kept by ``drop_near_duplicates``.
 """
 
 from __future__ import annotations
@@ -35,7 +36,9 @@ from .repeats import gram_hashes
 from .session import cut
 from .text import LOWER, U64, mix, run_hashes, slices, word_bounds, word_hashes
 
-NO_ID = (1 << 63) - 1
+#: Nodes from here on stand for rows without an id.
+NO_ID = 1 << 62
+TOP = (1 << 63) - 1
 
 
 def shingle_sets(column: pa.Array, n: int = 5) -> list[np.ndarray]:
@@ -54,8 +57,17 @@ def shingle_sets(column: pa.Array, n: int = 5) -> list[np.ndarray]:
     return out
 
 
+def _text(documents: DataFrame) -> Column:
+    return F.coalesce(documents["text"], F.lit(""))
+
+
+def _node(documents: DataFrame) -> Column:
+    nameless = F.shiftrightunsigned(F.xxhash64(_text(documents)), 3) + F.lit(NO_ID)
+    return F.coalesce(documents["doc_id"].cast("long"), nameless)
+
+
 def _base(documents: DataFrame) -> DataFrame:
-    return documents.select(F.coalesce(documents["doc_id"].cast("long"), F.lit(NO_ID)).alias("node"), F.coalesce(documents["text"], F.lit("")).alias("text"))
+    return documents.select(_node(documents).alias("node"), _text(documents).alias("text"))
 
 
 def common_grams(docs: DataFrame, n: int, share: float) -> np.ndarray:
@@ -163,7 +175,7 @@ def _block_stars(members: DataFrame, n: int, threshold: tuple[int, int]) -> Data
             nodes, texts = zip(*[(r[3], r[4]) for r in block])
             group = linked_groups(shingle_sets(pa.array(texts, pa.large_string()), n), threshold)
             ids = np.array(nodes, np.int64)
-            least = np.full(len(ids), NO_ID)
+            least = np.full(len(ids), TOP)
             np.minimum.at(least, group, ids)
             center = least[group]
             far = center != ids
@@ -193,10 +205,8 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def near_duplicate_components(
-    documents: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), common_share: float = 0.001, chunk: int = 1024
-) -> DataFrame:
-    """doc_id, n_shingles and component_id of every document."""
+def _node_components(documents: DataFrame, n: int, threshold: tuple[int, int], common_share: float, chunk: int) -> DataFrame:
+    """node, n (set size), k1, k2 (hashes of the set) and c (component) of every row."""
     docs = _base(documents)
     spark = docs.sparkSession
     sets = cut(_prefix_rows(docs, n, threshold, common_grams(docs, n, common_share)))
@@ -231,7 +241,36 @@ def near_duplicate_components(
     stars = _block_stars(blocks.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j"), n, threshold)
     found = components(stars)
     owned = owners.join(found.withColumnRenamed("node", "r"), F.col("rep") == F.col("r"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("c"))
-    result = sets.filter("n > 0").join(owned, same).select("node", "n", "c").unionByName(sets.filter("n = 0").select("node", "n", F.col("node").alias("c")))
+    alone = sets.filter("n = 0").select("node", "n", "k1", "k2", F.col("node").alias("c"))
+    return sets.filter("n > 0").join(owned, same).select("node", "n", "k1", "k2", "c").unionByName(alone)
+
+
+def near_duplicate_components(
+    documents: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), common_share: float = 0.001, chunk: int = 1024
+) -> DataFrame:
+    """doc_id, n_shingles and component_id of every document."""
+    result = _node_components(documents, n, threshold, common_share, chunk)
     return result.select(
-        F.when(F.col("node") != NO_ID, F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("c") != NO_ID, F.col("c")).alias("component_id")
+        F.when(F.col("node") < NO_ID, F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("c") < NO_ID, F.col("c")).alias("component_id")
     )
+
+
+def drop_near_duplicates(
+    documents: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), common_share: float = 0.001, chunk: int = 1024
+) -> DataFrame:
+    """The documents, all columns, with one row of each component: that of its least id.
+
+    Rows without words are in no group and all stay.  Of rows repeated with id and set of n-grams,
+    one stays.
+    """
+    names = documents.columns
+    result = cut(_node_components(documents, n, threshold, common_share, chunk).select("node", "n", "k1", "k2", "c"))
+    losers = result.filter("node <> c").select(F.col("node").alias("_loser")).distinct()
+    repeated = result.filter("n > 0 and node = c").groupBy("node").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("node").alias("_again"))
+    rest = documents.withColumn("_node", _node(documents)).join(losers, F.col("_node") == F.col("_loser"), "left_anti")
+    marked = rest.join(repeated, F.col("_node") == F.col("_again"), "left")
+    single = marked.filter(F.col("_again").isNull()).select(*names)
+    words = F.trim(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")))
+    several = marked.filter(F.col("_again").isNotNull()).withColumn("_words", words)
+    once = several.dropDuplicates(["_node", "_words"]).select(*names)
+    return single.unionByName(once)

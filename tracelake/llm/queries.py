@@ -53,6 +53,12 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op7_pii_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii_crf import find_personal_data
+
+    return find_personal_data(documents(spark, sf_dir))
+
+
 def op8_superkmer_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .superkmer import window_digests
 
@@ -78,6 +84,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_spotsigs": op4_spotsigs,
     "op5_pfp_dedup": op5_pfp_dedup,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_pii_crf": op7_pii_crf,
     "op8_superkmer_dedup": op8_superkmer_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
