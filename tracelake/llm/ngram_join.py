@@ -8,8 +8,11 @@ every pair.  Only small, dense blocks of that product are computed:
    in any order common to all.  The order is by hash, with n-grams found in more than a fixed share
    of the documents last, so that passages common to unrelated documents join nothing.  That list is
    bounded by the share, not by the corpus.
-3. Each prefix n-gram has a leader, its least document; documents that follow a leader, and the
-   leader, are one block, cut into chunk pairs when large.
+3. N-grams in one prefix alone go.  The rest are dealt by size band (linked sets lie in the same or
+   in neighbouring bands) and count only where some set has the n-gram in its shorter prefix, which
+   is enough for the smaller set of a pair.  The least document of an n-gram and band is its leader;
+   documents that follow a leader, and the leader, are one block, cut into chunk pairs when large.
+   Texts travel to their blocks compressed.
 4. In a block, columns of the incidence matrix are multiplied in turn, overlaps accumulate, and rows
    whose pairs can no longer reach the bound that their sizes set are dropped.  A block returns a
    spanning star of each linked group, not its pairs.
@@ -24,11 +27,13 @@ columns are ignored by the join and kept by ``drop_near_duplicates``.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,6 +119,25 @@ def _prefix_rows(docs: DataFrame, n: int, threshold: tuple[int, int], common: np
     return docs.mapInArrow(run, "node long, n long, k1 long, k2 long, prefix array<long>")
 
 
+def _followers(reps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    """(leader, node) rows: sets that may be linked share a leader."""
+    num, den = threshold
+    postings = reps.select("node", "n", F.posexplode("prefix").alias("place", "gram"))
+    often = postings.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select(F.col("gram").alias("g"))
+    # A set has to be the smaller one of a pair, or of equal size, to need no more than this prefix.
+    enough = F.col("n") - F.ceil(2 * num * F.col("n") / (num + den) - 1e-9) + 1
+    band = F.floor(F.log("n") / math.log(den / num * 1.0001)).cast("int")
+    placed = postings.join(often, F.col("gram") == F.col("g"), "left_semi").select(
+        "node", "gram", (F.col("place") < enough).alias("early"), F.explode(F.array(band, band + 1)).alias("cell")
+    )
+    placed = cut(placed)
+    leaders = (
+        placed.groupBy("gram", "cell").agg(F.min("node").alias("leader"), F.max("node").alias("top"), F.max("early").alias("any"))
+        .filter("leader < top and any").select("gram", "cell", "leader")
+    )
+    return placed.join(leaders, ["gram", "cell"]).filter("node <> leader").select("leader", "node").distinct()
+
+
 def linked_groups(sets: list[np.ndarray], threshold: tuple[int, int], columns: int = 2048) -> np.ndarray:
     """Group number of each set, groups being joined by Jaccard likeness of ``threshold`` or more."""
     m = len(sets)
@@ -169,10 +193,12 @@ def _block_stars(members: DataFrame, n: int, threshold: tuple[int, int]) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def stream() -> Iterator[tuple]:
             for b in batches:
-                yield from zip(*(b.column(c).to_pylist() for c in ("leader", "i", "j", "node", "text")))
+                yield from zip(*(b.column(c).to_pylist() for c in ("leader", "i", "j", "node", "packed")))
 
+        unpack = zstandard.ZstdDecompressor().decompress
         for _, block in groupby(stream(), key=lambda r: r[:3]):
-            nodes, texts = zip(*[(r[3], r[4]) for r in block])
+            nodes, packed = zip(*[(r[3], r[4]) for r in block])
+            texts = [unpack(p).decode() for p in packed]
             group = linked_groups(shingle_sets(pa.array(texts, pa.large_string()), n), threshold)
             ids = np.array(nodes, np.int64)
             least = np.full(len(ids), TOP)
@@ -213,10 +239,8 @@ def _node_components(documents: DataFrame, n: int, threshold: tuple[int, int], c
     classes = sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("node").alias("rep"))
     owners = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep")
     same: Column = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
-    reps = sets.join(owners, same & (F.col("node") == F.col("rep")), "left_semi").select("node", "prefix")
-    postings = reps.select("node", F.explode("prefix").alias("gram"))
-    leaders = postings.groupBy("gram").agg(F.min("node").alias("leader"), F.max("node").alias("top")).filter("leader < top").select(F.col("gram").alias("g"), "leader")
-    followers = cut(postings.join(leaders, F.col("gram") == F.col("g")).filter("node <> leader").select("leader", "node").distinct())
+    reps = sets.join(owners, same & (F.col("node") == F.col("rep")), "left_semi").select("node", "n", "prefix")
+    followers = cut(_followers(reps, threshold))
     members = followers.unionByName(followers.select("leader", F.col("leader").alias("node")).distinct())
     sizes = followers.groupBy("leader").agg(F.ceil((F.count("*") + 1) / chunk).cast("int").alias("chunks")).withColumnRenamed("leader", "l")
     # A bitmap of fixed size (1 MB) keeps texts that no block needs out of the shuffle.
@@ -230,14 +254,19 @@ def _node_components(documents: DataFrame, n: int, threshold: tuple[int, int], c
     def only_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             p = np.array(b.column("p").to_numpy(zero_copy_only=False), np.int64)
-            yield b.filter(pa.array((wanted.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1)).drop_columns(["p"])
+            kept = b.filter(pa.array((wanted.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
+            pack = zstandard.ZstdCompressor(level=3).compress
+            for low in range(0, kept.num_rows, 1000):
+                part = kept.slice(low, 1000)
+                packed = [pack(t.encode()) for t in part.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(packed, pa.binary())], ["node", "packed"])
 
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 23)).alias("p")
-    texts = docs.select("node", "text", place).mapInArrow(only_wanted, "node long, text string")
+    texts = docs.select("node", "text", place).mapInArrow(only_wanted, "node long, packed binary")
     spread = members.join(sizes, F.col("leader") == F.col("l")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
     other = spread.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = other.select("leader", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.col("node").alias("m"))
-    blocks = placed.join(texts, F.col("m") == F.col("node")).select("leader", "i", "j", "node", "text")
+    blocks = placed.join(texts, F.col("m") == F.col("node")).select("leader", "i", "j", "node", "packed")
     stars = _block_stars(blocks.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j"), n, threshold)
     found = components(stars)
     owned = owners.join(found.withColumnRenamed("node", "r"), F.col("rep") == F.col("r"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("c"))
