@@ -9,10 +9,11 @@ every pair.  Only small, dense blocks of that product are computed:
    of the documents last, so that passages common to unrelated documents join nothing.  That list is
    bounded by the share, not by the corpus.
 3. N-grams in one prefix alone go.  The rest are dealt by size band (linked sets lie in the same or
-   in neighbouring bands) and count only where some set has the n-gram in its shorter prefix, which
-   is enough for the smaller set of a pair.  The least document of an n-gram and band is its leader;
+   in neighbouring bands) and count only where what follows in the set can still reach the bound.
+   The least document of an n-gram and band is its leader;
    documents that follow a leader, and the leader, are one block, cut into chunk pairs when large.
-   Texts travel to their blocks compressed.
+   Bitmaps of the sets travel to their blocks first, and bound the overlaps; the texts of sets that
+   may still be linked follow, compressed.
 4. In a block, columns of the incidence matrix are multiplied in turn, overlaps accumulate, and rows
    whose pairs can no longer reach the bound that their sizes set are dropped.  A block returns a
    spanning star of each linked group, not its pairs.
@@ -28,7 +29,7 @@ columns are ignored by the join and kept by ``drop_near_duplicates``.
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import groupby
 
 import numpy as np
@@ -120,22 +121,28 @@ def _prefix_rows(docs: DataFrame, n: int, threshold: tuple[int, int], common: np
 
 
 def _followers(reps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(leader, node) rows: sets that may be linked share a leader."""
+    """(leader, node) rows: sets that may be linked share a leader.
+
+    At the first n-gram that two linked sets have in common, either set must have enough n-grams
+    left to reach the overlap that the two sizes need; the least size in a group of postings bounds
+    what a posting needs at all.
+    """
     num, den = threshold
-    postings = reps.select("node", "n", F.posexplode("prefix").alias("place", "gram"))
-    often = postings.groupBy("gram").agg(F.min("node").alias("least"), F.max("node").alias("most")).filter("least < most").select(F.col("gram").alias("g"))
-    # A set has to be the smaller one of a pair, or of equal size, to need no more than this prefix.
-    enough = F.col("n") - F.ceil(2 * num * F.col("n") / (num + den) - 1e-9) + 1
-    band = F.floor(F.log("n") / math.log(den / num * 1.0001)).cast("int")
-    placed = postings.join(often, F.col("gram") == F.col("g"), "left_semi").select(
-        "node", "gram", (F.col("place") < enough).alias("early"), F.explode(F.array(band, band + 1)).alias("cell")
+    # One number for size and place keeps the shuffled rows narrow.
+    postings = reps.select("node", "n", F.posexplode("prefix").alias("place", "gram")).select(
+        "gram", "node", (F.shiftleft("n", 31) + F.col("place")).alias("at")
     )
-    placed = cut(placed)
-    leaders = (
-        placed.groupBy("gram", "cell").agg(F.min("node").alias("leader"), F.max("node").alias("top"), F.max("early").alias("any"))
-        .filter("leader < top and any").select("gram", "cell", "leader")
-    )
-    return placed.join(leaders, ["gram", "cell"]).filter("node <> leader").select("leader", "node").distinct()
+    often = postings.groupBy("gram").agg(F.count("*").cast("int").alias("m")).filter("m > 1").select(F.col("gram").alias("g"))
+    shared = postings.join(often, F.col("gram") == F.col("g"), "left_semi").select(
+        "gram", "node", F.shiftright("at", 31).alias("n"), F.col("at").bitwiseAND((1 << 31) - 1).alias("place")
+    )
+    band = F.floor(F.log("n") / math.log(den / num * 1.0001)).cast("int")
+    placed = cut(shared.select("*", F.explode(F.array(band, band + 1)).alias("cell")))
+    least = placed.groupBy("gram", "cell").agg(F.min("n").alias("least"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    need = F.ceil(num * (F.col("n") + F.col("least")) / (num + den) - 1e-9)
+    able = placed.join(least, ["gram", "cell"]).filter(F.col("place") <= F.col("n") - need).select("gram", "cell", "node")
+    leaders = able.groupBy("gram", "cell").agg(F.min("node").alias("leader"), F.max("node").alias("top")).filter("leader < top").drop("top")
+    return able.join(leaders, ["gram", "cell"]).filter("node <> leader").select("leader", "node").distinct()
 
 
 def linked_groups(sets: list[np.ndarray], threshold: tuple[int, int], columns: int = 2048) -> np.ndarray:
@@ -189,15 +196,10 @@ def linked_groups(sets: list[np.ndarray], threshold: tuple[int, int], columns: i
     return group
 
 
-def _block_stars(members: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+def _block_stars(blocks: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def stream() -> Iterator[tuple]:
-            for b in batches:
-                yield from zip(*(b.column(c).to_pylist() for c in ("leader", "i", "j", "node", "packed")))
-
         unpack = zstandard.ZstdDecompressor().decompress
-        for _, block in groupby(stream(), key=lambda r: r[:3]):
-            nodes, packed = zip(*[(r[3], r[4]) for r in block])
+        for _, nodes, packed in _blocks(batches):
             texts = [unpack(p).decode() for p in packed]
             group = linked_groups(shingle_sets(pa.array(texts, pa.large_string()), n), threshold)
             ids = np.array(nodes, np.int64)
@@ -208,7 +210,101 @@ def _block_stars(members: DataFrame, n: int, threshold: tuple[int, int]) -> Data
             if far.any():
                 yield pa.RecordBatch.from_arrays([pa.array(center[far]), pa.array(ids[far])], ["u", "v"])
 
-    return members.mapInArrow(run, "u long, v long")
+    return blocks.mapInArrow(run, "u long, v long")
+
+
+def sketch(grams: np.ndarray) -> bytes:
+    """Number of n-grams and a bitmap of their low bits, with four to eight bits for each."""
+    bits = np.zeros(1 << max(3, (4 * len(grams) - 1).bit_length()), np.uint8)
+    bits[(grams & U64(len(bits) - 1)).astype(np.int64)] = 1
+    return len(grams).to_bytes(4, "little") + np.packbits(bits, bitorder="little").tobytes()
+
+
+def able_sets(sketches: list[bytes], threshold: tuple[int, int], columns: int = 512) -> np.ndarray:
+    """Whether each set may be linked with another, by an upper bound of their overlap.
+
+    Common n-grams fall on common bits, and share a bit at most as often as bits are shared within
+    either set.  Linked sets have bitmaps of the same size or of twice the size, which is folded.
+    """
+    num, den = threshold
+    count = np.array([int.from_bytes(s[:4], "little") for s in sketches], np.int64)
+    size = np.array([len(s) - 4 for s in sketches])
+    able = np.zeros(len(sketches), bool)
+    for width in np.unique(size):
+        one, two = np.flatnonzero(size == width), np.flatnonzero(size == 2 * width)
+        raw = np.frombuffer(b"".join(sketches[k][4:] for k in one), np.uint8).reshape(len(one), width)
+        if len(two):
+            halves = np.frombuffer(b"".join(sketches[k][4:] for k in two), np.uint8).reshape(len(two), 2, width)
+            raw = np.vstack([raw, halves[:, 0] | halves[:, 1]])
+        both = np.concatenate([one, two])
+        common, filled = np.zeros((len(one), len(both)), np.float32), np.zeros(len(both), np.int64)
+        for low in range(0, width, columns):
+            block = np.unpackbits(raw[:, low : low + columns], axis=1).astype(np.float32)
+            common += block[: len(one)] @ block.T
+            filled += block.sum(axis=1).astype(np.int64)
+        spare = count[both] - filled
+        need = (num * (count[one][:, None] + count[both][None, :]) + num + den - 1) // (num + den)
+        possible = common + np.minimum(spare[: len(one), None], spare[None, :]) >= need
+        possible[np.arange(len(one)), np.arange(len(one))] = False
+        able[one] |= possible.any(axis=1)
+        able[both] |= possible.any(axis=0)
+    return able
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[int], list[bytes]]]:
+    """(leader, i, j), nodes and values of each block; rows come sorted by block."""
+
+    def stream() -> Iterator[tuple]:
+        for b in batches:
+            yield from zip(*(b.column(c).to_pylist() for c in ("leader", "i", "j", "node", "value")))
+
+    for key, block in groupby(stream(), key=lambda r: r[:3]):
+        nodes, values = zip(*[r[3:] for r in block])
+        yield key, list(nodes), list(values)
+
+
+def _able_members(blocks: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (leader, i, j), nodes, sketches in _blocks(batches):
+            kept = np.array(nodes, np.int64)[able_sets(sketches, threshold)]
+            if len(kept):
+                same = [np.full(len(kept), v) for v in (leader, i, j)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(same[0], pa.int64()), pa.array(same[1], pa.int32()), pa.array(same[2], pa.int32()), pa.array(kept)], ["leader", "i", "j", "m"]
+                )
+
+    return blocks.mapInArrow(run, "leader long, i int, j int, m long")
+
+
+def _compressed(texts: pa.Array) -> list[bytes]:
+    pack = zstandard.ZstdCompressor(level=3).compress
+    return [pack(t.encode()) for t in texts.to_pylist()]
+
+
+def _in_blocks(placed: DataFrame, docs: DataFrame, value: Callable[[pa.Array], list[bytes]]) -> DataFrame:
+    """Rows (leader, i, j, node, value) of ``placed`` (leader, i, j, m), block by block.
+
+    A bitmap of fixed size (1 MB) keeps texts that no block needs out of the shuffle.
+    """
+    bits = placed.select(F.pmod(F.xxhash64("m"), F.lit(1 << 23)).alias("p"))
+    rows = bits.groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("v")).collect()
+    bitmap = np.zeros(1 << 20, np.uint8)
+    for bucket, filled in rows:
+        bitmap[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(filled, np.uint8)
+    wanted = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            p = np.array(b.column("p").to_numpy(zero_copy_only=False), np.int64)
+            kept = b.filter(pa.array((wanted.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
+            for low in range(0, kept.num_rows, 1000):
+                part = kept.slice(low, 1000)
+                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(value(part.column("text")), pa.binary())], ["node", "value"])
+
+    place = F.pmod(F.xxhash64("node"), F.lit(1 << 23)).alias("p")
+    values = docs.select("node", "text", place).mapInArrow(run, "node long, value binary")
+    blocks = placed.join(values, F.col("m") == F.col("node")).select("leader", "i", "j", "node", "value")
+    return blocks.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -234,7 +330,6 @@ def components(edges: DataFrame) -> DataFrame:
 def _node_components(documents: DataFrame, n: int, threshold: tuple[int, int], common_share: float, chunk: int) -> DataFrame:
     """node, n (set size), k1, k2 (hashes of the set) and c (component) of every row."""
     docs = _base(documents)
-    spark = docs.sparkSession
     sets = cut(_prefix_rows(docs, n, threshold, common_grams(docs, n, common_share)))
     classes = sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("node").alias("rep"))
     owners = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep")
@@ -243,31 +338,11 @@ def _node_components(documents: DataFrame, n: int, threshold: tuple[int, int], c
     followers = cut(_followers(reps, threshold))
     members = followers.unionByName(followers.select("leader", F.col("leader").alias("node")).distinct())
     sizes = followers.groupBy("leader").agg(F.ceil((F.count("*") + 1) / chunk).cast("int").alias("chunks")).withColumnRenamed("leader", "l")
-    # A bitmap of fixed size (1 MB) keeps texts that no block needs out of the shuffle.
-    bits = members.select(F.pmod(F.xxhash64("node"), F.lit(1 << 23)).alias("p"))
-    rows = bits.groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("m")).collect()
-    bitmap = np.zeros(1 << 20, np.uint8)
-    for bucket, filled in rows:
-        bitmap[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(filled, np.uint8)
-    wanted = spark.sparkContext.broadcast(bitmap)
-
-    def only_wanted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            p = np.array(b.column("p").to_numpy(zero_copy_only=False), np.int64)
-            kept = b.filter(pa.array((wanted.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
-            pack = zstandard.ZstdCompressor(level=3).compress
-            for low in range(0, kept.num_rows, 1000):
-                part = kept.slice(low, 1000)
-                packed = [pack(t.encode()) for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(packed, pa.binary())], ["node", "packed"])
-
-    place = F.pmod(F.xxhash64("node"), F.lit(1 << 23)).alias("p")
-    texts = docs.select("node", "text", place).mapInArrow(only_wanted, "node long, packed binary")
     spread = members.join(sizes, F.col("leader") == F.col("l")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
     other = spread.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     placed = other.select("leader", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.col("node").alias("m"))
-    blocks = placed.join(texts, F.col("m") == F.col("node")).select("leader", "i", "j", "node", "packed")
-    stars = _block_stars(blocks.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j"), n, threshold)
+    able = cut(_able_members(_in_blocks(placed, docs, lambda texts: [sketch(s) for s in shingle_sets(texts, n)]), threshold))
+    stars = _block_stars(_in_blocks(able, docs, _compressed), n, threshold)
     found = components(stars)
     owned = owners.join(found.withColumnRenamed("node", "r"), F.col("rep") == F.col("r"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("c"))
     alone = sets.filter("n = 0").select("node", "n", "k1", "k2", F.col("node").alias("c"))
