@@ -83,7 +83,15 @@ def suffix_classes(values: np.ndarray, length: int) -> np.ndarray:
     ``values`` must be dense ranks.  Prefix doubling stops at ``length``; places closer than that to
     the end get no rank.
     """
-    rank, span = values.astype(np.uint64), 1
+    if len(values) < length:
+        return np.zeros(0, np.int64)
+    # As many symbols as a 64-bit number holds are ranked at once, exactly.
+    bits = max(1, int(values.max()).bit_length())
+    span = min(length, 64 // bits)
+    packed = np.zeros(len(values) - span + 1, np.uint64)
+    for i in range(span):
+        packed = (packed << U64(bits)) | values[i : i + len(packed)].astype(np.uint64)
+    rank = np.unique(packed, return_inverse=True)[1].astype(np.uint64)
     while span < length:
         step = min(span, length - span)
         if len(rank) <= step:
@@ -146,42 +154,41 @@ def _runs(flagged: np.ndarray, first: np.ndarray) -> list[int]:
 def _compare_units(rows: DataFrame, unpack: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]], length: int) -> DataFrame:
     """Windows of differing units that occur twice; rows must come sorted by anchor."""
 
-    def flush(anchors: list[int], keys: list[tuple], strings: list[bytes]) -> pa.RecordBatch:
-        values, offsets = unpack(strings)
-        dense = np.unique(values, return_inverse=True)[1]
-        classes = suffix_classes(dense, length)
+    def flush(owners: dict[tuple[int, bytes], list[tuple]]) -> pa.RecordBatch:
+        # Equal units are repeats of each other as a whole; each string is compared once.
+        values, offsets = unpack([packed for _, packed in owners])
+        classes = suffix_classes(np.unique(values, return_inverse=True)[1], length)
         count = np.diff(offsets) - length + 1
         starts = np.arange(count.sum()) + np.repeat(offsets[:-1] - np.cumsum(count) + count, count)
         own = classes[starts]
         often = np.bincount(own, minlength=len(classes) and int(classes.max()) + 1)[own] > 1
-        ends = np.cumsum(count)
-        runs = [_runs(often[e - c : e], (k[2] >> 8) + np.arange(c)) for e, c, k in zip(ends, count, keys)]
-        keep = [i for i, r in enumerate(runs) if r]
+        found: list[tuple[int, int, list[int]]] = []
+        for units, c, end in zip(owners.values(), count, np.cumsum(count)):
+            for doc, h, at in units:
+                runs = [at] if len(units) > 1 else _runs(often[end - c : end], (at >> 8) + np.arange(c))
+                if runs:
+                    found.append((doc, h, runs))
+        columns = list(zip(*found)) or [()] * 3
         return pa.RecordBatch.from_arrays(
-            [
-                pa.array([keys[i][0] for i in keep], pa.int64()), pa.array([keys[i][1] for i in keep], pa.int64()),
-                pa.array([runs[i] for i in keep], pa.list_(pa.int64())),
-            ],
-            ["doc", "h", "runs"],
-        )
+            [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.list_(pa.int64()))], ["doc", "h", "runs"]
+        )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        anchors: list[int] = []
-        keys: list[tuple] = []
-        strings: list[bytes] = []
-        size = 0
+        owners: dict[tuple[int, bytes], list[tuple]] = {}
+        size, last = 0, None
         for b in batches:
             columns = (b.column(c).to_pylist() for c in ("doc", "h", "at", "anchor", "packed"))
             for doc, h, at, anchor, packed in zip(*columns):
-                if size > (1 << 19) and anchor != anchors[-1]:
-                    yield flush(anchors, keys, strings)
-                    anchors, keys, strings, size = [], [], [], 0
-                anchors.append(anchor)
-                keys.append((doc, h, at))
-                strings.append(packed)
-                size += len(packed)
-        if strings:
-            yield flush(anchors, keys, strings)
+                if size > (1 << 19) and anchor != last:
+                    yield flush(owners)
+                    owners, size = {}, 0
+                units = owners.setdefault((anchor, packed), [])
+                if not units:
+                    size += len(packed)
+                units.append((doc, h, at))
+                last = anchor
+        if owners:
+            yield flush(owners)
 
     return rows.mapInArrow(run, "doc long, h long, runs array<long>")
 
