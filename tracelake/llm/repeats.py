@@ -236,11 +236,13 @@ def repeated_windows(
     by_doc = hits.groupBy("doc", "h").agg(
         F.collect_list(F.when(~F.col("differ"), F.col("at"))).alias("sure"), F.collect_list(F.when(F.col("differ"), unit)).alias("mixed")
     )
-    candidates = docs.join(by_doc.filter(F.size("mixed") > 0).select("doc", "h", "mixed"), ["doc", "h"])
-    strings = _packed(candidates, pack, length)
-    sorted_units = strings.filter("not hot").repartition("anchor").sortWithinPartitions("anchor")
-    settled = _compare_units(sorted_units, unpack, length)
-    windows = _window_rows(strings.filter("hot"), unpack, length)
+
+    def strings(hot: bool) -> DataFrame:
+        units = by_doc.select("doc", "h", F.filter("mixed", lambda m: m["hot"] == hot).alias("mixed")).filter(F.size("mixed") > 0)
+        return _packed(docs.join(units, ["doc", "h"]), pack, length)
+
+    settled = _compare_units(strings(hot=False).repartition("anchor").sortWithinPartitions("anchor"), unpack, length)
+    windows = _window_rows(strings(hot=True), unpack, length)
     twice = windows.groupBy("w1", "w2").agg(F.count("*").alias("n")).filter("n > 1").select("w1", "w2")
     hot = windows.join(twice, ["w1", "w2"]).select("doc", "h", F.array(F.col("start") * 256 + 1).alias("runs"))
     compared = settled.unionByName(hot).groupBy("doc", "h").agg(F.flatten(F.collect_list("runs")).alias("more"))
