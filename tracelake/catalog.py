@@ -6,5 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from .plans import audit, identity, metrics, redaction, streams
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+for _plan in (metrics, redaction, identity, audit, streams):
+    QUERIES.update(_plan.QUERIES)
+    ORACLE_SQL.update(_plan.ORACLE_SQL)

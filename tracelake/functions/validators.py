@@ -19,7 +19,7 @@ IP_TAIL = ".,;)]}"
 
 def luhn_ok(digits: Column) -> Column:
     """Luhn check; empty or other than digits is false."""
-    return F.coalesce(F.luhn_check(digits), F.lit(False))
+    return F.coalesce(F.call_function("luhn_check", digits), F.lit(False))
 
 
 def id_card_ok(value: Column) -> Column:
