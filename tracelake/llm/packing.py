@@ -24,13 +24,18 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import cut
+from .text import slices
 
+#: Space, tab and line ends are the same blank.
+BLANK = np.arange(256, dtype=np.uint8)
+BLANK[[0x09, 0x0A, 0x0D]] = 0x20
 
 # Fixed value: the splitting pattern of the tokenizer file.
 PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
@@ -42,8 +47,8 @@ class WordTokenizer:
     """Ids by the ``tokenizers`` library, memoised by blank-separated chunk and by piece.
 
     The tokenizer file lower-cases, drops white space and never joins across the pieces of its
-    pattern, so a text's ids are those of its pieces one after the other.  Texts with uncommon
-    characters are left whole between blanks, and the library does everything else.
+    pattern, so a text's ids are those of its pieces one after the other.  Chunks with uncommon
+    characters are left whole, and the library does everything else.
     """
 
     def __init__(self, path: str, memo: int = 300_000):
@@ -65,22 +70,34 @@ class WordTokenizer:
                 memo[p] = np.array(e.ids, "<u4").tobytes()
         return b"".join(map(memo.__getitem__, parts))
 
-    def ids(self, text: str) -> bytes:
-        text = text.replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        if UNCOMMON(text):
-            return self._encode(self.pieces, text.split(" "))
-        memo, out = self.chunks, []
-        for chunk in text.lower().split(" "):
-            ids = memo.get(chunk)
-            if ids is None:
-                ids = self._encode(self.pieces, PIECE(chunk))
-                if len(chunk) <= 64:
-                    if len(memo) >= self.limit:
-                        memo.clear()
-                        memo[""] = b""
-                    memo[chunk] = ids
-            out.append(ids)
-        return b"".join(out)
+    def ids(self, chunk: str) -> bytes:
+        """Ids of a text without space, tab and line ends."""
+        ids = self.chunks.get(chunk)
+        if ids is None:
+            ids = self._encode(self.pieces, [chunk] if UNCOMMON(chunk) else PIECE(chunk.lower()))
+            if len(chunk) <= 64:
+                if len(self.chunks) >= self.limit:
+                    self.chunks.clear()
+                self.chunks[chunk] = ids
+        return ids
+
+    def texts_ids(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of each text: the distinct chunks of a slice are encoded once, and gathered."""
+        for _, _, data, offsets in slices(column):
+            buffers = [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(BLANK[data].tobytes())]
+            parts = pc.split_pattern(pa.LargeStringArray.from_buffers(len(offsets) - 1, buffers[1], buffers[2]), " ")
+            chunks = parts.flatten().dictionary_encode()
+            encoded = [self.ids(c) for c in chunks.dictionary.to_pylist()]
+            size = np.array([len(e) // 4 for e in encoded], np.int64)
+            table = np.frombuffer(b"".join(encoded), "<u4")
+            index = chunks.indices.to_numpy()
+            n = size[index]
+            before = np.append(0, np.cumsum(n))
+            at = np.repeat((np.cumsum(size) - size)[index] - before[:-1], n) + np.arange(before[-1])
+            flat = table[at]
+            edge = before[np.asarray(parts.offsets)]
+            for low, high in zip(edge[:-1], edge[1:]):
+                yield flat[low:high]
 
 
 @lru_cache(maxsize=2)
@@ -100,8 +117,8 @@ def cut_pieces(documents: DataFrame, path: str, capacity: int, end_id: int) -> D
         seen: dict[int, int] = defaultdict(int)
         for batch in batches:
             rows: list[tuple] = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = words.ids(text or "") + end
+            for doc_id, found in zip(batch.column("doc_id").to_pylist(), words.texts_ids(batch.column("text"))):
+                ids = found.tobytes() + end
                 for k, low in enumerate(range(0, len(ids), 4 * capacity)):
                     part = ids[low : low + 4 * capacity]
                     n = len(part) // 4
