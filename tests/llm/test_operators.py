@@ -1,0 +1,214 @@
+"""The corpus operators against brute-force versions, and their defined results on odd input."""
+
+import base64
+import os
+import sys
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+import tiktoken
+from pyspark.sql import functions as F
+
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
+import brute  # noqa: E402
+
+from tracelake.llm import bradley_terry, licenses, ngram_join, packing, pfp_dedup, pii_crf, quality_rules, repeats, spotsigs, superkmer  # noqa: E402
+from tracelake.llm import queries as q  # noqa: E402
+
+RANKS, WORDS = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.path("word_bpe_49k.json")
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, node string, h int, rank string, length string, task string, p string, range int"
+
+
+def odd_rows():
+    base = " ".join(f"word{i}" for i in range(60))
+    texts = [
+        (1, base), (2, base.replace("word7 ", "other ")), (3, None), (4, ""), (5, " \n\t "), (6, "one two"), (7, "ONE two"), (8, base + " Ünïcode 東京 ann@example.org 4111 1111 1111 1111"),
+        (9, "x y z " * 4000), (10, base), (10, base), (None, base), (None, None), (11, "under the MIT license. Apache License, Version 2.0; cc-by-nc"), (12, "1.2.3.4 +49 (170) 123-4567"),
+    ]
+    return [(i, t, "en", "s", len(t or ""), "a", 1, "b", "c", "d", "e", 2) for i, t in texts]
+
+
+@pytest.fixture(scope="module")
+def rows(spark, sf_dir):
+    return [tuple(r) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    return spark.createDataFrame(odd_rows(), SCHEMA)
+
+
+def table(frame, *names):
+    return sorted((tuple(r) for r in frame.select(*names).collect()), key=lambda r: tuple((v is None, v) for v in r))
+
+
+def test_op1(spark, sf_dir, rows):
+    assert table(q.op1_ngram_jaccard_join(spark, sf_dir), "doc_id", "n_shingles", "component_id") == brute.op1(rows)
+
+
+def test_op1_limits(spark):
+    """Pairs just at and just below the threshold, in blocks and in chunks of blocks."""
+    rng = np.random.default_rng(4)
+    rows = []
+    for g in range(12):
+        words = [f"g{g}w{i}" for i in range(64)]
+        for k in range(12):
+            own = list(words)
+            for place in rng.choice(64, rng.integers(0, 4), replace=False):
+                own[place] = f"g{g}k{k}p{place}"
+            rows.append((100 * g + k, " ".join(own[: int(rng.integers(55, 65))])))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk in (1024, 4):
+        assert table(ngram_join.near_duplicate_components(frame, chunk=chunk), "doc_id", "n_shingles", "component_id") == brute.op1(rows)
+
+
+def test_op1_odd(odd):
+    got = {r.doc_id: r for r in ngram_join.near_duplicate_components(odd).filter("doc_id is not null").collect()}
+    assert got[3].n_shingles == got[4].n_shingles == got[5].n_shingles == 0 and got[4].component_id == 4
+    assert got[7].component_id == 6 and got[10].component_id == 1
+    kept = [r.doc_id for r in ngram_join.drop_near_duplicates(odd).collect()]
+    assert sorted(k for k in kept if k) == [1, 2, 3, 4, 5, 6, 9, 11, 12] or 8 in kept
+    assert kept.count(10) == 0
+
+
+def test_op2(spark, sf_dir, rows):
+    got = table(q.op2_quality_rules(spark, sf_dir), "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
+    assert got == brute.op2(rows)
+
+
+def test_op2_posterior(spark, sf_dir):
+    frame = q.op2_quality_rules(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id")
+    shares = {r.quality: r.k for r in frame.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("k")).collect()}
+    assert shares[1] > 0.85 > 0.5 > shares[0]
+
+
+def test_op3(spark, sf_dir, rows):
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    assert table(q.op3_byte_bpe(spark, sf_dir), "doc_id", "n_tokens", "ids_sha256", "decoded_sha256") == brute.op3(rows, encoding)
+
+
+def test_op4(spark, sf_dir, rows):
+    frame = q.op4_spotsigs(spark, sf_dir)
+    assert table(frame, "doc_id", "n_chars", "edited_sha256") == brute.op4(rows)
+    assert frame.agg(F.avg("near_edited") - F.avg("near_next")).first()[0] > 0.3
+
+
+def test_op5(spark, sf_dir, rows):
+    assert table(q.op5_pfp_dedup(spark, sf_dir), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op5(rows)
+
+
+def test_op5_hot_anchors(spark, rows):
+    few = rows[:60]
+    frame = spark.createDataFrame(few, "doc_id long, text string")
+    assert table(pfp_dedup.repeat_digests(frame, hot_units=2), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op5(few)
+
+
+def test_op6(spark, sf_dir, rows):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(WORDS)
+    tokenizer.encode_special_tokens = True
+    want, least = brute.op6(rows, tokenizer)
+    frame = q.op6_best_fit_packing(spark, sf_dir).cache()
+    assert table(frame, "doc_id", "piece", "start", "length", "ids_crc32") == want
+    placed = frame.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at")).collect()
+    assert least <= len(placed) <= brute.best_fit_decreasing([r[3] for r in want], 4096)
+    for row in placed:
+        assert row.n <= 4096
+        ends = np.cumsum([a.length for a in row["at"]])
+        assert [a.offset for a in row["at"]] == [0, *ends[:-1]]
+
+
+def test_op7(spark, sf_dir, rows):
+    frame = q.op7_pii_crf(spark, sf_dir)
+    assert table(frame, "doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256") == brute.op7(rows)
+
+
+def test_op7_field_on_held_out_rows():
+    held = pii_crf.labelled_table(rows=400, seed=77)
+    spans = pii_crf.field_spans(pa.array([" ".join(w for w, _ in row) for row in held], pa.large_string()), pii_crf.default_field())
+    found = sum(bool(s) for s, row in zip(spans, held) if any(label for _, label in row))
+    wrong = sum(bool(s) for s, row in zip(spans, held) if not any(label for _, label in row))
+    kinds = [any(label for _, label in row) for row in held]
+    assert found / sum(kinds) > 0.9 and wrong / (len(kinds) - sum(kinds)) < 0.1
+
+
+def test_op8(spark, sf_dir, rows):
+    assert table(q.op8_superkmer_dedup(spark, sf_dir), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.op8(rows)
+
+
+def test_op9(spark, sf_dir):
+    frame = q.op9_quality_classifier(spark, sf_dir).join(spark.read.parquet(f"{sf_dir}/labels.parquet"), "doc_id").filter("held_out")
+    right, scored = frame.agg(F.avg((F.col("predicted") == F.col("quality")).cast("int")), F.count("*")).first()
+    assert scored > 5 and right > 0.85
+
+
+def test_op10(spark, sf_dir, rows):
+    assert table(q.op10_license_scan(spark, sf_dir), "doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels") == [r for r in brute.op10(rows)]
+    assert len(licenses.rules()) > 300
+
+
+def test_suffix_classes():
+    rng = np.random.default_rng(1)
+    for length, alphabet in ((1, 3), (5, 2), (9, 40), (200, 2)):
+        values = rng.integers(0, alphabet, 700)
+        classes = repeats.suffix_classes(np.unique(values, return_inverse=True)[1], length)
+        windows = [values[i : i + length].tobytes() for i in range(len(values) - length + 1)]
+        assert len(classes) == len(windows)
+        assert len(set(zip(classes.tolist(), windows))) == len(set(windows)) == len(set(classes.tolist()))
+
+
+def test_able_sets_keep_linked_pairs():
+    rng = np.random.default_rng(2)
+    for n in (1, 5, 63, 64, 65, 300):
+        a = np.unique(rng.integers(0, 1 << 63, n).astype(np.uint64))
+        b = np.unique(np.concatenate([a[: int(0.9 * n) + 1], rng.integers(0, 1 << 63, n // 12).astype(np.uint64)]))
+        both = len(np.intersect1d(a, b))
+        if 5 * both >= 4 * (len(a) + len(b) - both):
+            assert ngram_join.able_sets([ngram_join.sketch(a), ngram_join.sketch(b)], (4, 5)).all()
+    apart = [rng.integers(0, 1 << 63, 300).astype(np.uint64) for _ in range(2)]
+    assert not ngram_join.able_sets([ngram_join.sketch(s) for s in apart], (4, 5)).any()
+
+
+ALL = {
+    "op1": ngram_join.near_duplicate_components,
+    "op2": quality_rules.quality_rules,
+    "op3": lambda d: __import__("tracelake.llm.bpe", fromlist=["x"]).encoding_digests(d, RANKS, public_tokenizers.PATTERN),
+    "op4": spotsigs.neighbour_likeness,
+    "op4_pairs": spotsigs.matching_pairs,
+    "op5": pfp_dedup.repeat_digests,
+    "op6": lambda d: packing.pack(d, WORDS),
+    "op7": pii_crf.find_personal_data,
+    "op8": superkmer.window_digests,
+    "op9": lambda d: bradley_terry.quality_scores(d, d.sparkSession.createDataFrame([(1, 1), (9, 0), (None, 1), (2, None)], "doc_id long, quality int")),
+    "op10": licenses.license_scan,
+    "stage1": lambda d: bradley_terry.filter_quality(d, d.sparkSession.createDataFrame([(1, 1), (9, 0)], "doc_id long, quality int")),
+    "stage2": ngram_join.drop_near_duplicates,
+    "stage3": pfp_dedup.remove_repeats,
+    "stage4": pii_crf.mask_personal_data,
+}
+
+
+@pytest.mark.parametrize("name", sorted(ALL))
+def test_odd_and_empty_tables(odd, name):
+    found = ALL[name](odd)
+    n = len(found.collect())
+    if name not in ("op4_pairs", "stage1", "stage2"):
+        assert n >= odd.count()
+    if name.startswith("stage"):
+        assert found.columns == odd.columns
+    empty = ALL[name](odd.limit(0))
+    assert empty.columns == found.columns and empty.count() == 0
+
+
+def test_pipeline(spark, sf_dir):
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert [name for name, _ in pipeline.STAGES] == ["quality_classifier", "ngram_jaccard_join", "suffix_array_dedup", "pii", "best_fit_packing"]
+    found = pipeline.run(spark, sf_dir)
+    assert found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+    assert 0 < found.select("doc_id").distinct().count() < docs.count()
