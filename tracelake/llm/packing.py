@@ -15,8 +15,8 @@ are ignored.
 
 from __future__ import annotations
 
-import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
@@ -25,7 +25,6 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -33,53 +32,37 @@ from pyspark.sql import functions as F
 from .session import cut
 from .text import slices
 
-#: Space, tab and line ends are the same blank.
+#: Space, tab and line ends are the same blank; the tokenizer lower-cases anyway.
 BLANK = np.arange(256, dtype=np.uint8)
 BLANK[[0x09, 0x0A, 0x0D]] = 0x20
-
-# Fixed value: the splitting pattern of the tokenizer file.
-PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+").findall
-#: Characters for which composing and lower-casing may need the tokenizer's own rules.
-UNCOMMON = re.compile("[^\x00-\u024f]|\u0130").search
-
+BLANK[0x41:0x5B] += 0x20
 
 class WordTokenizer:
-    """Ids by the ``tokenizers`` library, memoised by blank-separated chunk and by piece.
+    """Ids by the ``tokenizers`` library, memoised by blank-separated chunk.
 
-    The tokenizer file lower-cases, drops white space and never joins across the pieces of its
-    pattern, so a text's ids are those of its pieces one after the other.  Chunks with uncommon
-    characters are left whole, and the library does everything else.
+    The tokenizer file drops white space and never joins across it, so a text's ids are those of
+    its chunks one after the other.  The memo is emptied when it reaches a fixed size.
     """
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 800_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.limit = memo
-        self.chunks: dict[str, bytes] = {"": b""}
-        self.pieces: dict[str, bytes] = {}
-
-    def _encode(self, memo: dict[str, bytes], parts: list[str]) -> bytes:
-        unseen = [p for p in dict.fromkeys(parts) if p not in memo]
-        if unseen:
-            if len(memo) + len(unseen) > self.limit:
-                memo.clear()
-                unseen = list(dict.fromkeys(parts))
-            for p, e in zip(unseen, self.tokenizer.encode_batch(unseen, add_special_tokens=False)):
-                memo[p] = np.array(e.ids, "<u4").tobytes()
-        return b"".join(map(memo.__getitem__, parts))
-
-    def ids(self, chunk: str) -> bytes:
-        """Ids of a text without space, tab and line ends."""
-        ids = self.chunks.get(chunk)
-        if ids is None:
-            ids = self._encode(self.pieces, [chunk] if UNCOMMON(chunk) else PIECE(chunk.lower()))
-            if len(chunk) <= 64:
-                if len(self.chunks) >= self.limit:
-                    self.chunks.clear()
-                self.chunks[chunk] = ids
-        return ids
+        self.memo: dict[str, bytes] = {}
+
+    def chunk_ids(self, chunks: list[str]) -> list[bytes]:
+        """Ids of distinct chunks; those not known yet go to the library in one call."""
+        unknown = [c for c in chunks if c not in self.memo]
+        if len(self.memo) + len(unknown) > self.limit:
+            self.memo.clear()
+            unknown = chunks
+        for low in range(0, len(unknown), 20_000):
+            part = unknown[low : low + 20_000]
+            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
+                self.memo[c] = array("I", e.ids).tobytes()
+        return [self.memo[c] for c in chunks]
 
     def texts_ids(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text: the distinct chunks of a slice are encoded once, and gathered."""
@@ -87,7 +70,7 @@ class WordTokenizer:
             buffers = [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(BLANK[data].tobytes())]
             parts = pc.split_pattern(pa.LargeStringArray.from_buffers(len(offsets) - 1, buffers[1], buffers[2]), " ")
             chunks = parts.flatten().dictionary_encode()
-            encoded = [self.ids(c) for c in chunks.dictionary.to_pylist()]
+            encoded = self.chunk_ids(chunks.dictionary.to_pylist())
             size = np.array([len(e) // 4 for e in encoded], np.int64)
             table = np.frombuffer(b"".join(encoded), "<u4")
             index = chunks.indices.to_numpy()
