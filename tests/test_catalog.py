@@ -4,6 +4,7 @@ import math
 import os
 
 import duckdb
+import pandas as pd
 import pytest
 
 from tracelake import catalog
@@ -22,7 +23,7 @@ def sql(sf_dir):
 
 def rows(frame):
     def plain(v):
-        if v is None or (isinstance(v, float) and math.isnan(v)):
+        if v is None or v is pd.NA or (isinstance(v, float) and math.isnan(v)):
             return "~"
         return round(float(v), 6) if isinstance(v, float) else v.item() if hasattr(v, "item") else v
 
