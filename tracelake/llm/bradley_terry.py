@@ -199,7 +199,7 @@ def score_quality(documents: DataFrame, model: RankingModel, keep: tuple[str, ..
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in fields] + ["score double", "accepted boolean"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(low, 500) for b in batches for low in range(0, b.num_rows, 500)):
             x = features(b.column("_scored_text")).astype("<f4").astype(float)
             yield pa.RecordBatch.from_arrays(
                 [b.column(c) for c in keep] + [pa.array(model.score(x)), pa.array(model.raw(x) >= model.threshold)],

@@ -44,7 +44,7 @@ class WordTokenizer:
     its chunks one after the other.  The memo is emptied when it reaches a fixed size.
     """
 
-    def __init__(self, path: str, memo: int = 800_000):
+    def __init__(self, path: str, memo: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
@@ -58,8 +58,8 @@ class WordTokenizer:
         if len(self.memo) + len(unknown) > self.limit:
             self.memo.clear()
             unknown = chunks
-        for low in range(0, len(unknown), 20_000):
-            part = unknown[low : low + 20_000]
+        for low in range(0, len(unknown), 2_000):
+            part = unknown[low : low + 2_000]
             for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
                 self.memo[c] = array("I", e.ids).tobytes()
         return [self.memo[c] for c in chunks]
@@ -98,7 +98,7 @@ def cut_pieces(documents: DataFrame, path: str, capacity: int, end_id: int) -> D
         words, task = tokenizer(path), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         seen: dict[int, int] = defaultdict(int)
-        for batch in batches:
+        for batch in (b.slice(low, 500) for b in batches for low in range(0, b.num_rows, 500)):
             rows: list[tuple] = []
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), words.texts_ids(batch.column("text"))):
                 ids = found.tobytes() + end

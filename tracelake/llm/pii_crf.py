@@ -358,7 +358,7 @@ def find_personal_data(documents: DataFrame, field: Field | None = None) -> Data
     model = field or default_field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(low, 500) for b in batches for low in range(0, b.num_rows, 500)):
             rows = []
             for _, base, spans in all_spans(b.column("text"), model):
                 kinds = [k for _, _, k in base]
@@ -388,7 +388,7 @@ def mask_personal_data(documents: DataFrame, field: Field | None = None) -> Data
     model = field or default_field()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(low, 500) for b in batches for low in range(0, b.num_rows, 500)):
             column = b.column("text")
             texts = [mask(t, s) for t, _, s in all_spans(column, model)]
             texts = [t if known else None for t, known in zip(texts, column.is_valid().to_pylist())]
