@@ -145,10 +145,19 @@ def _followers(reps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     return able.join(leaders, ["gram", "cell"]).filter("node <> leader").select("leader", "node").distinct()
 
 
+#: Rows of a block that are held against all others at a time; keeps a task's temporaries small.
+ROWS = 256
+
+
+def least_overlap(a: np.ndarray, b: np.ndarray, threshold: tuple[int, int]) -> np.ndarray:
+    """The overlap that sets of sizes ``a`` (down) and ``b`` (across) need: o / (a + b - o) >= num / den."""
+    num, den = threshold
+    return (num * (a[:, None] + b[None, :]) + num + den - 1) // (num + den)
+
+
 def linked_groups(sets: list[np.ndarray], threshold: tuple[int, int], columns: int = 2048) -> np.ndarray:
     """Group number of each set, groups being joined by Jaccard likeness of ``threshold`` or more."""
     m = len(sets)
-    num, den = threshold
     size = np.array([len(s) for s in sets], np.int64)
     rows = np.repeat(np.arange(m), size)
     gram, inverse, df = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
@@ -162,8 +171,6 @@ def linked_groups(sets: list[np.ndarray], threshold: tuple[int, int], columns: i
     by = np.argsort(col, kind="stable")
     rows, col = rows[by], col[by]
     rest = np.bincount(rows, minlength=m)
-    # overlap / (a + b - overlap) >= num / den
-    need = (num * (size[:, None] + size[None, :]) + num + den - 1) // (num + den)
     overlap = np.zeros((m, m), np.float32)
     alive = np.arange(m)
     for low in range(0, useful, columns):
@@ -175,15 +182,24 @@ def linked_groups(sets: list[np.ndarray], threshold: tuple[int, int], columns: i
         inside = place[r] >= 0
         block = np.zeros((len(alive), min(columns, useful - low)), np.float32)
         block[place[r[inside]], c[inside]] = 1
-        overlap[np.ix_(alive, alive)] += block @ block.T
+        if len(alive) == m:
+            overlap += block @ block.T
+        else:
+            overlap[np.ix_(alive, alive)] += block @ block.T
         if low + columns < useful:
-            reach = overlap[np.ix_(alive, alive)] + np.minimum(rest[alive][:, None], rest[alive][None, :])
-            possible = reach >= need[np.ix_(alive, alive)]
-            np.fill_diagonal(possible, False)
-            alive = alive[possible.any(axis=1)]
+            hopeful = np.zeros(len(alive), bool)
+            for at in range(0, len(alive), ROWS):
+                some = alive[at : at + ROWS]
+                reach = overlap[np.ix_(some, alive)] + np.minimum(rest[some][:, None], rest[alive][None, :])
+                possible = reach >= least_overlap(size[some], size[alive], threshold)
+                possible[np.arange(len(some)), at + np.arange(len(some))] = False
+                hopeful[at : at + ROWS] = possible.any(axis=1)
+            alive = alive[hopeful]
             if not len(alive):
                 break
-    linked = overlap >= need
+    linked = np.zeros((m, m), bool)
+    for at in range(0, m, ROWS):
+        linked[at : at + ROWS] = overlap[at : at + ROWS] >= least_overlap(size[at : at + ROWS], size, threshold)
     group = np.full(m, -1)
     for i in range(m):
         if group[i] < 0:
@@ -226,7 +242,6 @@ def able_sets(sketches: list[bytes], threshold: tuple[int, int], columns: int =
     Common n-grams fall on common bits, and share a bit at most as often as bits are shared within
     either set.  Linked sets have bitmaps of the same size or of twice the size, which is folded.
     """
-    num, den = threshold
     count = np.array([int.from_bytes(s[:4], "little") for s in sketches], np.int64)
     size = np.array([len(s) - 4 for s in sketches])
     able = np.zeros(len(sketches), bool)
@@ -243,11 +258,13 @@ def able_sets(sketches: list[bytes], threshold: tuple[int, int], columns: int =
             common += block[: len(one)] @ block.T
             filled += block.sum(axis=1).astype(np.int64)
         spare = count[both] - filled
-        need = (num * (count[one][:, None] + count[both][None, :]) + num + den - 1) // (num + den)
-        possible = common + np.minimum(spare[: len(one), None], spare[None, :]) >= need
-        possible[np.arange(len(one)), np.arange(len(one))] = False
-        able[one] |= possible.any(axis=1)
-        able[both] |= possible.any(axis=0)
+        for at in range(0, len(one), ROWS):
+            some = np.arange(at, min(at + ROWS, len(one)))
+            bound = common[some] + np.minimum(spare[some, None], spare[None, :])
+            possible = bound >= least_overlap(count[one[some]], count[both], threshold)
+            possible[np.arange(len(some)), some] = False
+            able[one[some]] |= possible.any(axis=1)
+            able[both] |= possible.any(axis=0)
     return able
 
 
