@@ -68,9 +68,9 @@ def test_op1_odd(odd):
     got = {r.doc_id: r for r in ngram_join.near_duplicate_components(odd).filter("doc_id is not null").collect()}
     assert got[3].n_shingles == got[4].n_shingles == got[5].n_shingles == 0 and got[4].component_id == 4
     assert got[7].component_id == 6 and got[10].component_id == 1
+    # 2 (51 of 61 shingles in common), 8 (56 of 64), both rows of 10 and the row without id follow 1.
     kept = [r.doc_id for r in ngram_join.drop_near_duplicates(odd).collect()]
-    assert sorted(k for k in kept if k) == [1, 2, 3, 4, 5, 6, 9, 11, 12] or 8 in kept
-    assert kept.count(10) == 0
+    assert sorted(k for k in kept if k) == [1, 3, 4, 5, 6, 9, 11, 12] and kept.count(None) == 1
 
 
 def test_op2(spark, sf_dir, rows):
