@@ -66,7 +66,7 @@ class WordTokenizer:
 
     def texts_ids(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text: the distinct chunks of a slice are encoded once, and gathered."""
-        for _, _, data, offsets in slices(column):
+        for _, _, data, offsets in slices(column, 1 << 20):
             buffers = [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(BLANK[data].tobytes())]
             parts = pc.split_pattern(pa.LargeStringArray.from_buffers(len(offsets) - 1, buffers[1], buffers[2]), " ")
             chunks = parts.flatten().dictionary_encode()
