@@ -212,3 +212,22 @@ def test_pipeline(spark, sf_dir):
     found = pipeline.run(spark, sf_dir)
     assert found.columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
     assert 0 < found.select("doc_id").distinct().count() < docs.count()
+
+
+def test_word_tokenizer_agrees_with_the_library_on_odd_texts_and_a_full_memo():
+    import random
+
+    import pyarrow as pa
+    import public_tokenizers
+
+    from tracelake.llm.packing import WordTokenizer
+
+    rng = random.Random(3)
+    alphabet = "ab'sStTrReEvVmMlLdD.,=<>!?̸́İΣ \t\n19½中\U0001f600"
+    texts = ["it's 3.5, é.x≠y A'LL don't''s x.'s", "'tis 'S a'S<|endoftext|>.", "", None]
+    texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
+    words = WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), memo=500)
+    for low in range(0, len(texts), 100):
+        part = texts[low : low + 100]
+        for text, ids in zip(part, words.texts_ids(pa.array(part, pa.string()))):
+            assert ids.tolist() == words.tokenizer.encode(text or "", add_special_tokens=False).ids

@@ -36,12 +36,27 @@ from .text import slices
 BLANK = np.arange(256, dtype=np.uint8)
 BLANK[[0x09, 0x0A, 0x0D]] = 0x20
 BLANK[0x41:0x5B] += 0x20
+#: ASCII letters and digits, and the other visible ASCII characters.
+WORDLIKE = np.isin(np.arange(256), np.frombuffer(b"0123456789abcdefghijklmnopqrstuvwxyz", np.uint8))
+SIGN = ~WORDLIKE & (np.arange(256) > 0x20) & (np.arange(256) < 0x7F)
+
+
+def blanked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lower-cased bytes with one kind of blank, and a blank between a letter or digit and a sign.
+
+    The tokenizer always ends a token there, and looks at nothing before a token's start.
+    """
+    data = BLANK[data]
+    before = np.flatnonzero(WORDLIKE[data[:-1]] & SIGN[data[1:]]) + 1
+    return np.insert(data, before, 0x20), offsets + np.searchsorted(before, offsets)
+
 
 class WordTokenizer:
     """Ids by the ``tokenizers`` library, memoised by blank-separated chunk.
 
     The tokenizer file drops white space and never joins across it, so a text's ids are those of
-    its chunks one after the other.  The memo is emptied when it reaches a fixed size.
+    its chunks one after the other.  The memo has two halves of a fixed size: when the newer is
+    full it replaces the older, so that frequent chunks, which move to the newer, stay known.
     """
 
     def __init__(self, path: str, memo: int = 200_000):
@@ -51,23 +66,32 @@ class WordTokenizer:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.limit = memo
         self.memo: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def chunk_ids(self, chunks: list[str]) -> list[bytes]:
-        """Ids of distinct chunks; those not known yet go to the library in one call."""
-        unknown = [c for c in chunks if c not in self.memo]
-        if len(self.memo) + len(unknown) > self.limit:
-            self.memo.clear()
-            unknown = chunks
+        """Ids of distinct chunks; those not known yet go to the library."""
+        found = [self.memo.get(c) for c in chunks]
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if len(self.memo) + len(missing) > self.limit // 2:
+            self.memo, self.older = {}, self.memo
+        unknown = []
+        for i in missing:
+            ids = self.older.get(chunks[i])
+            if ids is None:
+                unknown.append(i)
+            else:
+                found[i] = self.memo[chunks[i]] = ids
         for low in range(0, len(unknown), 2_000):
             part = unknown[low : low + 2_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False)):
-                self.memo[c] = array("I", e.ids).tobytes()
-        return [self.memo[c] for c in chunks]
+            for i, e in zip(part, self.tokenizer.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)):
+                found[i] = self.memo[chunks[i]] = array("I", e.ids).tobytes()
+        return found
 
     def texts_ids(self, column: pa.Array) -> Iterator[np.ndarray]:
         """Ids of each text: the distinct chunks of a slice are encoded once, and gathered."""
         for _, _, data, offsets in slices(column, 1 << 20):
-            buffers = [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(BLANK[data].tobytes())]
+            data, offsets = blanked(data, offsets)
+            buffers = [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]
             parts = pc.split_pattern(pa.LargeStringArray.from_buffers(len(offsets) - 1, buffers[1], buffers[2]), " ")
             chunks = parts.flatten().dictionary_encode()
             encoded = self.chunk_ids(chunks.dictionary.to_pylist())
