@@ -6,7 +6,7 @@ import random
 from pyspark.sql import functions as F
 
 from tracelake.functions.lookup import dictionary_hits, execution_key, names_pattern
-from tracelake.operators import folds
+from tracelake.operators import folds, metrics
 
 
 def test_sliding_admit_at_the_boundary_and_without_a_key(spark):
@@ -56,3 +56,16 @@ def test_dictionary_takes_the_longest_name_and_escapes_signs(spark):
 def test_execution_key(spark):
     row = spark.range(1).select(execution_key(F.lit("a"), F.lit(None), F.lit("é")).alias("k")).first()
     assert row.k == hashlib.sha256(b"a\0\0" + "é".encode() + b"\0").hexdigest()
+
+
+def test_min_gap_holds_no_list_of_a_busy_key(spark):
+    rng = random.Random(8)
+    times = [(1, t) for t in range(0, 6_000, 2)] + [(k, rng.randrange(900)) for k in (2, None) for _ in range(300)] + [(3, None), (3, 4), (3, 4), (4, None)]
+    want = {}
+    for k, t in sorted(times, key=lambda r: (str(r[0]), r[1] is not None, r[1] or 0)):
+        last, hits, admitted = want.get(k, (None, 0, 0))
+        ok = t is not None and (last is None or t - last >= 7)
+        want[k] = (t if ok else last, hits + 1, admitted + ok)
+    found = metrics.min_gap_admit(spark.createDataFrame(times, "k long, t long"), "k", "t", 7)
+    assert "collect_list" not in found._jdf.queryExecution().toString()
+    assert {r.k: (r.hits, r.admitted) for r in found.collect()} == {k: v[1:] for k, v in want.items()}

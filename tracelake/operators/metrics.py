@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.histogram import BOUNDS_VERSION, bucket_counts, merged_counts, p95, p95_saturated
 from ..functions.timewin import KEEP, RANGES, SPANS, floor_div, parse_range, window_ord
+from .folds import fold_sorted
 
 COUNTERS = ("prompt_tokens", "completion_tokens", "total_tokens", "cached_read", "cached_write")
 #: Modes of truncated streams and their counters.
@@ -248,21 +249,21 @@ def status_classes(requests: DataFrame) -> DataFrame:
 
 
 # --- rate limits ------------------------------------------------------------------------------
-def min_gap_admit(hits: DataFrame, key: str, ts: str, gap: int, bucket: int = 86_400) -> DataFrame:
+def min_gap_admit(hits: DataFrame, key: str, ts: str, gap: int) -> DataFrame:
     """Admit a hit if none was admitted within ``gap`` seconds before; rejected ones do not count.
 
-    History matters only through the last admitted hit, so a key's hits fall into stretches wherever
-    a pause of ``gap`` or more starts one anew; a stretch is folded on its own.
+    History matters only through the last admitted hit, so a key's hits are folded in order of time
+    with that and two counters.  A hit without a time counts as a hit and is never admitted; hits
+    without a key are one key.
     """
-    order = Window.partitionBy(key).orderBy(ts)
-    fresh = (F.col(ts) - F.lag(ts).over(order) >= gap) | F.lag(ts).over(order).isNull()
-    stretches = hits.select(key, ts).withColumn("_s", F.sum(fresh.cast("long")).over(order))
-    times = stretches.groupBy(key, "_s").agg(F.array_sort(F.collect_list(ts)).alias("_t"))
-    start = F.struct(F.lit(None).cast("long").alias("last"), F.lit(0).cast("long").alias("n"))
-
-    def step(a: Column, t: Column) -> Column:
-        ok = a["last"].isNull() | (t - a["last"] >= gap)
-        return F.struct(F.when(ok, t).otherwise(a["last"]).alias("last"), (a["n"] + ok.cast("long")).alias("n"))
-
-    folded = times.select(key, F.size("_t").cast("long").alias("hits"), F.aggregate("_t", start, step)["n"].alias("admitted"))
-    return folded.groupBy(key).agg(F.sum("hits").alias("hits"), F.sum("admitted").alias("admitted"))
+
+    def step(state: list, row: dict) -> None:
+        state[1] += 1
+        now = row[ts]
+        if now is not None and (state[0] is None or now - state[0] >= gap):
+            state[0] = now
+            state[2] += 1
+
+    columns = hits.select(key, F.col(ts).cast("long").alias(ts))
+    schema = f"`{key}` {columns.schema[key].dataType.simpleString()}, hits long, admitted long"
+    return fold_sorted(columns, key, (ts,), schema, lambda: [None, 0, 0], step, lambda k, state: (k, state[1], state[2]))
