@@ -97,6 +97,49 @@ def test_op4(spark, sf_dir, rows):
     assert frame.agg(F.avg("near_edited") - F.avg("near_next")).first()[0] > 0.3
 
 
+def spot_classes(rows):
+    """Rows by signature set, and the likeness of all matching pairs of sets."""
+    classes = {}
+    for i, text in rows:
+        classes.setdefault(frozenset(spotsigs.signatures(pa.array([text or ""], pa.large_string()))[0].tolist()), []).append(i)
+    sets = [s for s in classes if s]
+    alike = {frozenset((a, b)): len(a & b) / len(a | b) for k, a in enumerate(sets) for b in sets[:k]}
+    return classes, {pair: x for pair, x in alike.items() if x >= 0.8}
+
+
+@pytest.mark.parametrize("chunk", [512, 3])
+def test_op4_pairs_against_brute_force(spark, chunk):
+    """Copies, rows without id, ids repeated with other texts, and spots that most rows share."""
+    rng = np.random.default_rng(7)
+    rows = []
+    for g in range(8):
+        words = ["the quick brown fox"] * (g % 2) + [f"g{g}w{i}" for i in range(90)]
+        for k in range(12):
+            own = list(words)
+            for place in rng.choice(len(words), rng.integers(0, 5), replace=False):
+                own[place] = f"g{g}k{k}p{place}"
+            rows.append(([100 * g + k, None, g][k % 3], " ".join(own[: int(rng.integers(80, len(own) + 1))])))
+    rows += [rows[5], rows[5], (9, rows[5][1]), (None, None), (3, " ")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    classes, want = spot_classes(rows)
+    by_class = {}
+    for text_row, r in zip(rows, spotsigs.class_members(frame.coalesce(1)).collect()):
+        assert r.doc_id == text_row[0]
+        key = frozenset(spotsigs.signatures(pa.array([text_row[1] or ""], pa.large_string()))[0].tolist())
+        assert by_class.setdefault(r["class"], key) == key and r.n_signatures == len(key)
+    assert len(by_class) == len(classes) and len(want) > 50
+    found = spotsigs.matching_pairs(frame, chunk=chunk).collect()
+    assert len(found) == len(want) and {frozenset((by_class[r.a], by_class[r.b])): r.likeness for r in found} == want
+
+
+def test_op4_pairs_query(spark, sf_dir, rows):
+    found = q.op4_spotsigs_pairs(spark, sf_dir).collect()
+    classes, want = spot_classes(rows)
+    assert sorted(r.doc_id for r in found if r.other is None) == sorted(i for i, _ in rows)
+    assert len({r["class"] for r in found if r.other is None}) == len(classes)
+    assert sorted(r.likeness for r in found if r.other) == sorted(want.values())
+
+
 def test_op5(spark, sf_dir, rows):
     assert table(q.op5_pfp_dedup(spark, sf_dir), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op5(rows)
 

@@ -39,6 +39,12 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_likeness(documents(spark, sf_dir))
 
 
+def op4_spotsigs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .spotsigs import classes_and_pairs
+
+    return classes_and_pairs(documents(spark, sf_dir))
+
+
 def op5_pfp_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pfp_dedup import repeat_digests
 
@@ -88,5 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_superkmer_dedup": op8_superkmer_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
+    "op4_spotsigs_pairs": op4_spotsigs_pairs,
 }
 ORACLE_SQL: dict[str, str] = {}

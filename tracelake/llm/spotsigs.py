@@ -11,8 +11,11 @@ document by descending ``doc_id``.  The order is global without a global task: i
 ranges at quantiles that are themselves ids, so the one row a range needs from its neighbour is
 known beforehand and travels with the range.
 
-``matching_pairs`` is the join: signature sets are partitioned by length, and only sets whose
-lengths allow the likeness, and which share a signature in their prefixes, are compared.
+``matching_pairs`` is the join.  Rows with equal sets are one class, keyed by a hash of the set;
+``class_members`` names the class of every row.  Sets are partitioned by length, and only those whose
+lengths allow the likeness, and which share a signature in their prefixes, come into one block.
+Prefixes take rare signatures first.  A block is compared exactly, by a matrix product of its chunks,
+and gives the pairs that match.
 
 Defined results: a null text counts as empty; an empty text has the empty fingerprint, and two
 empty fingerprints have likeness 1; equal ids are ordered by text, and a null ``doc_id`` comes
@@ -26,14 +29,16 @@ import base64
 import hashlib
 import math
 from collections.abc import Iterator
+from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .bradley_terry import FUNCTION_WORDS
 from .licenses import NOT_WORD
+from .session import cut
 from .text import BYTE_VALUE, LOWER, U64, mix, run_hashes, slices, word_bounds
 
 LEAST = -(1 << 63)
@@ -176,38 +181,183 @@ def neighbour_likeness(documents: DataFrame, ranges_per_partition: int = 4) -> D
     return ordered.mapInArrow(_walk, schema)
 
 
-def matching_pairs(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
-    """Pairs of different fingerprints with likeness of ``threshold`` or more.
-
-    Documents with equal fingerprints are one class, represented by its smallest ``doc_id``; the
-    result has (a, b, likeness) for representatives and never expands a class.
-    """
+def _sign(documents: DataFrame) -> DataFrame:
+    """doc_id, k1 and k2 (128-bit hash of the signature set), n (its size) and sigs of every row."""
     docs = documents.select(documents["doc_id"].cast("long").alias("doc_id"), F.coalesce(documents["text"], F.lit("")).alias("text"))
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(low, 1000) for b in batches for low in range(0, b.num_rows, 1000)):
+            packed = [s.tobytes() for s in signatures(b.column("text"))]
+            keys = np.frombuffer(b"".join(hashlib.blake2b(p, digest_size=16).digest() for p in packed), "<i8").reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array(keys[:, 0]), pa.array(keys[:, 1]), pa.array([len(p) // 4 for p in packed], pa.int64()), pa.array(packed, pa.binary())],
+                ["doc_id", "k1", "k2", "n", "sigs"],
+            )
+
+    return docs.mapInArrow(sign, "doc_id long, k1 long, k2 long, n long, sigs binary")
+
+
+def _class(k1: str, k2: str) -> Column:
+    return F.lower(F.concat(F.lpad(F.hex(k1), 16, "0"), F.lpad(F.hex(k2), 16, "0")))
+
+
+def class_members(documents: DataFrame) -> DataFrame:
+    """(doc_id, class, n_signatures) of every row; rows with equal fingerprints have one class."""
+    return _sign(documents).select("doc_id", _class("k1", "k2").alias("class"), F.col("n").alias("n_signatures"))
+
+
+def _common_spots(sets: DataFrame, share: float) -> np.ndarray:
+    """Signatures in more than about ``share`` of the sets, rarest first.
+
+    A signature with that share overall has it in some batch, so batches report only theirs; the
+    list is bounded by signatures per set / share.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            sets = [s.astype(np.int64) for s in signatures(b.column("text"))]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sets, pa.list_(pa.int64()))], ["doc_id", "sigs"])
-
-    classes = (
-        docs.mapInArrow(sign, "doc_id long, sigs array<long>").filter(F.size("sigs") > 0)
-        .groupBy("sigs").agg(F.min("doc_id").alias("doc_id")).withColumn("n", F.size("sigs"))
-    )
-    step = math.log(1 / threshold)
-    band = F.floor(F.log("n") / F.lit(step)).cast("int")
-    prefix = F.slice("sigs", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
-    keys = classes.withColumn("band", F.explode(F.array(band, band + 1))).withColumn("sig", F.explode(prefix))
-    a, b = keys.alias("a"), keys.alias("b")
-    near = (
-        (F.col("a.band") == F.col("b.band")) & (F.col("a.sig") == F.col("b.sig")) & (F.col("a.doc_id") < F.col("b.doc_id"))
-        & (F.least("a.n", "b.n") >= F.greatest("a.n", "b.n") * threshold - 1e-9)
-    )
-    pairs = a.join(b, near).select(F.col("a.doc_id").alias("a"), F.col("b.doc_id").alias("b")).distinct()
-    left = classes.select(F.col("doc_id").alias("a"), F.col("sigs").alias("sa"))
-    right = classes.select(F.col("doc_id").alias("b"), F.col("sigs").alias("sb"))
-    both = F.size(F.array_intersect("sa", "sb"))
-    return (
-        pairs.join(left, "a").join(right, "b")
-        .select("a", "b", (both / (F.size("sa") + F.size("sb") - both)).alias("likeness"))
-        .filter(F.col("likeness") >= threshold - 1e-12)
-    )
+            sig, count = np.unique(np.frombuffer(b"".join(b.column("sigs").to_pylist()), "<u4"), return_counts=True)
+            often = count >= max(2, share * b.num_rows)
+            yield pa.RecordBatch.from_arrays([pa.array(sig[often].astype(np.int64)), pa.array(count[often].astype(np.int64))], ["sig", "n"])
+
+    total = sets.count()
+    found = sets.select("sigs").mapInArrow(run, "sig long, n long").groupBy("sig").agg(F.sum("n").alias("n"))
+    rows = found.filter(F.col("n") >= max(20, share * total / 2)).toArrow()
+    return rows["sig"].to_numpy()[np.lexsort((rows["sig"].to_numpy(), rows["n"].to_numpy()))].astype(np.uint32)
+
+
+def _blocks_of(sets: DataFrame, threshold: float, common_share: float, chunk: int) -> DataFrame:
+    """(leader, i, j, own, k1, k2): sets that may match meet in a block (leader, i, j).
+
+    The sets that share a prefix signature and a band of sizes follow the least of them; the followers
+    of a leader are cut into chunks, and blocks hold the pairs of chunks.
+    """
+    common = _common_spots(sets, common_share)
+    by_sig = np.argsort(common)
+    shared = sets.sparkSession.sparkContext.broadcast((common[by_sig], by_sig))
+
+    def prefixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, rank = shared.value
+        for b in batches:
+            out = []
+            for p in b.column("sigs").to_pylist():
+                s = np.frombuffer(p, "<u4")
+                keep = len(s) - math.ceil(len(s) * threshold - 1e-9) + 1
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, s), len(known) - 1)
+                    last = known[at] == s
+                    s = np.concatenate([s[~last], s[last][np.argsort(rank[at[last]])]])
+                out.append(s[:keep].astype(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column("k1"), b.column("k2"), b.column("n"), pa.array(out, pa.list_(pa.int64()))], ["k1", "k2", "n", "prefix"])
+
+    rows = sets.select("k1", "k2", "n", "sigs").mapInArrow(prefixes, "k1 long, k2 long, n long, prefix array<long>")
+    # One number for size and place keeps the shuffled rows narrow.
+    postings = rows.select("k1", "k2", "n", F.posexplode("prefix").alias("place", "sig")).select("sig", "k1", "k2", (F.shiftleft("n", 31) + F.col("place")).alias("at"))
+    often = postings.groupBy("sig").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("sig").alias("s"))
+    found = postings.join(often, F.col("sig") == F.col("s"), "left_semi").select(
+        "sig", "k1", "k2", F.shiftright("at", 31).alias("n"), F.col("at").bitwiseAND((1 << 31) - 1).alias("place")
+    )
+    band = F.floor(F.log("n") / math.log(1.0001 / threshold)).cast("int")
+    placed = cut(found.select("*", F.explode(F.array(band, band + 1)).alias("cell")))
+    least = placed.groupBy("sig", "cell").agg(F.min("n").alias("least"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    # At the first signature in common, either set must have enough left for the overlap it needs.
+    need = F.ceil((F.col("n") + F.col("least")) * (threshold / (1 + threshold)) - 1e-6)
+    able = placed.join(least, ["sig", "cell"]).filter(F.col("place") <= F.col("n") - need).select("sig", "cell", "k1", "k2", "n")
+    leaders = able.groupBy("sig", "cell").agg(F.min("k1").alias("leader"), F.count("*").alias("m")).filter("m > 1").drop("m")
+    members = cut(able.join(leaders, ["sig", "cell"]).select("leader", "k1", "k2", "n").distinct())
+    chunks = F.ceil(F.greatest(F.count("*") / chunk, F.sum("n") / (1 << 21))).cast("int")
+    sizes = members.groupBy("leader").agg(chunks.alias("chunks")).withColumnRenamed("leader", "l")
+    spread = members.join(sizes, F.col("leader") == F.col("l")).withColumn("own", F.pmod(F.xxhash64("k1", "k2", F.lit(1)), F.col("chunks")).cast("int"))
+    other = spread.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
+    return other.select("leader", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), "own", "k1", "k2")
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray] | None = None, columns: int = 2048) -> np.ndarray:
+    """Signatures that each set of ``left`` has in common with each of ``right`` (or with the others of ``left``)."""
+    a = np.concatenate(left)
+    b = a if right is None else np.concatenate(right)
+    if right is None:
+        sig, count = np.unique(a, return_counts=True)
+        useful = sig[count > 1]
+    else:
+        useful = np.intersect1d(a, b)
+
+    def entries(sets: list[np.ndarray], values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        rows = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+        inside = np.isin(values, useful)
+        rows, col = rows[inside], np.searchsorted(useful, values[inside])
+        by = np.argsort(col, kind="stable")
+        return rows[by], col[by]
+
+    sides = [(len(left), *entries(left, a))]
+    sides.append(sides[0] if right is None else (len(right), *entries(right, b)))
+    out = np.zeros((sides[0][0], sides[1][0]), np.int32)
+    for low in range(0, len(useful), columns):
+        dense = []
+        for m, rows, col in sides[: 1 if right is None else 2]:
+            p, q = np.searchsorted(col, [low, low + columns])
+            block = np.zeros((m, min(columns, len(useful) - low)), np.float32)
+            block[rows[p:q], col[p:q] - low] = 1
+            dense.append(block)
+        out += (dense[0] @ dense[-1].T).astype(np.int32)
+    return out
+
+
+def _block_pairs(blocks: DataFrame, threshold: float) -> DataFrame:
+    """(a1, a2, b1, b2, likeness) of each matching pair of a block's chunks; rows come sorted by block."""
+    names = ["a1", "a2", "b1", "b2", "likeness"]
+
+    def compare(key: tuple, rows: list[tuple]) -> Iterator[list[np.ndarray]]:
+        i, j = key[1:]
+        sides = [[r for r in rows if r[3] == own] for own in ((i,) if i == j else (i, j))]
+        if not all(sides):
+            return
+        sets = [[np.frombuffer(r[6], "<u4") for r in side] for side in sides]
+        keys = [np.array([r[4:6] for r in side], np.int64) for side in sides]
+        both = overlaps(*sets)
+        size = [np.array([len(s) for s in side], np.int64) for side in sets]
+        for at in range(0, len(both), 256):
+            part = both[at : at + 256]
+            near = part / (size[0][at : at + 256, None] + size[-1][None, :] - part)
+            x, y = np.nonzero(near >= threshold - 1e-12)
+            if i == j:
+                x, y = x[x + at < y], y[x + at < y]
+            a, b = keys[0][x + at], keys[-1][y]
+            swap = (a[:, 0] > b[:, 0]) | ((a[:, 0] == b[:, 0]) & (a[:, 1] > b[:, 1]))
+            a, b = np.where(swap[:, None], b, a), np.where(swap[:, None], a, b)
+            yield [a[:, 0], a[:, 1], b[:, 0], b[:, 1], near[x, y]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made: list[list[np.ndarray]] = []
+        stream = (r for b in batches for r in zip(*(b.column(c).to_pylist() for c in ("leader", "i", "j", "own", "k1", "k2", "sigs"))))
+        for key, rows in groupby(stream, key=lambda r: r[:3]):
+            for found in compare(key, list(rows)):
+                if len(found[0]):
+                    made.append(found)
+                if sum(len(m[0]) for m in made[-64:]) > 50_000 or len(made) > 1000:
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names)
+                    made = []
+        if made:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*made)], names)
+
+    return blocks.mapInArrow(run, "a1 long, a2 long, b1 long, b2 long, likeness double")
+
+
+def matching_pairs(documents: DataFrame, threshold: float = 0.8, common_share: float = 0.001, chunk: int = 512) -> DataFrame:
+    """Pairs (a, b) of classes whose fingerprints have a likeness of ``threshold`` or more, a < b.
+
+    A class is the rows with equal fingerprints, whatever their ids; ``class_members`` names its rows,
+    and the pairs never expand it.  The empty fingerprint matches no other.
+    """
+    sets = cut(_sign(documents).filter("n > 0").select("k1", "k2", "n", "sigs").dropDuplicates(["k1", "k2"]))
+    placed = _blocks_of(sets, threshold, common_share, chunk)
+    blocks = placed.join(sets.select("k1", "k2", "sigs"), ["k1", "k2"]).select("leader", "i", "j", "own", "k1", "k2", "sigs")
+    pairs = _block_pairs(blocks.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j"), threshold).distinct()
+    a, b = _class("a1", "a2"), _class("b1", "b2")
+    return pairs.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "likeness")
+
+
+def classes_and_pairs(documents: DataFrame, threshold: float = 0.8) -> DataFrame:
+    """The members (doc_id, class) of ``class_members`` and the pairs (class, other, likeness) of ``matching_pairs``."""
+    members = class_members(documents).select("doc_id", "class", F.lit(None).cast("string").alias("other"), F.lit(None).cast("double").alias("likeness"))
+    pairs = matching_pairs(documents, threshold)
+    return members.unionByName(pairs.select(F.lit(None).cast("long").alias("doc_id"), F.col("a").alias("class"), F.col("b").alias("other"), "likeness"))
