@@ -180,6 +180,18 @@ def test_op7_field_on_held_out_rows():
     assert found / sum(kinds) > 0.9 and wrong / (len(kinds) - sum(kinds)) < 0.1
 
 
+def test_op7_trained_forms_are_found_in_plain_prose():
+    for row in pii_crf.labelled_table():
+        for word, label in row:
+            raw = np.frombuffer(word.encode(), np.uint8)
+            assert not label or pii_crf.shapes(raw, np.array([0]), np.array([len(raw)]))[0][0] & ~pii_crf.PLAIN_BITS
+    forms = ["john.smith[at]mail.com", "john.smith(at)mail.com", "ann_lee7[at]example.org", "john.smith@mail.com", "10.20.30.40", "4111111111111111", "4111-1111-1111-1111"]
+    texts = [f"Please write to {form} about the plan, it may help." for form in forms]
+    found = pii_crf.all_spans(pa.array(texts, pa.large_string()), pii_crf.default_field())
+    assert [[t[a:b] for a, b, _ in s] for t, _, s in found] == [[form] for form in forms]
+    assert pii_crf.field_spans(pa.array(["The plan [sic] is (mostly) kept, as shown [below]."], pa.large_string()), pii_crf.default_field()) == [[]]
+
+
 def test_op8(spark, sf_dir, rows):
     assert table(q.op8_superkmer_dedup(spark, sf_dir), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.op8(rows)
 

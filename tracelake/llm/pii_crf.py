@@ -79,7 +79,7 @@ _BIT = np.zeros(256, np.uint16)
 _BIT[0x61:0x7B] = 1
 _BIT[0x41:0x5B] = 2
 _BIT[0x30:0x3A] = 4
-for _i, _chars in ((3, b"@"), (4, b"."), (5, b"+"), (6, b"()"), (7, b"-_"), (8, b"\"'=:"), (9, b",;!?#*$%&|<>/\\~^`[]{}")):
+for _i, _chars in ((3, b"@"), (4, b"."), (5, b"+"), (6, b"()[]"), (7, b"-_"), (8, b"\"'=:"), (9, b",;!?#*$%&|<>/\\~^`{}")):
     _BIT[list(_chars)] = 1 << _i
 _BIT[0x80:] = 1 << 10
 N_BITS = 11
