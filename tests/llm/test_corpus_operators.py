@@ -150,6 +150,27 @@ def test_op5_hot_anchors(spark, rows):
     assert table(pfp_dedup.repeat_digests(frame, hot_units=2), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op5(few)
 
 
+def test_repeated_rows_are_searched_twice_at_most(spark, rows, monkeypatch):
+    gathered, packed = [], repeats._packed
+
+    def watched(frame, *rest):
+        gathered.append(frame.select(F.coalesce(F.max(F.size("mixed")), F.lit(0)), F.count("*")).first())
+        return packed(frame, *rest)
+
+    monkeypatch.setattr(repeats, "_packed", watched)
+    text = rows[0][1] + rows[1][1]
+    other = [(10**6, "an opening of its own, " + text[20:-20]), *rows[2:6]]
+    most = []
+    for k in (2, 40):
+        some = [(7, text)] * k + other
+        frame = spark.createDataFrame(some, "doc_id long, text string")
+        gathered.clear()
+        assert table(pfp_dedup.repeat_digests(frame), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op5(some)
+        most.append([tuple(g) for g in gathered])
+        assert table(superkmer.window_digests(frame), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.op8(some)
+    assert most[0] == most[1] and max(m for m, _ in most[0]) > 0
+
+
 def test_op6(spark, sf_dir, rows):
     from tokenizers import Tokenizer
 

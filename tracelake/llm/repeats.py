@@ -15,7 +15,7 @@ Anchors with more than ``hot_units`` units that differ are not gathered: their w
 one by one by hash with map-side aggregation, which holds for any number.
 
 Rows are identified by ``doc_id`` and a hash of the text, so rows that repeat (id and text alike)
-count as separate occurrences and get equal results.
+count as separate occurrences and get equal results.  Two of them are searched, however many there are.
 """
 
 from __future__ import annotations
@@ -216,6 +216,35 @@ def _window_rows(rows: DataFrame, unpack: Callable[[list[bytes]], tuple[np.ndarr
     return rows.mapInArrow(run, "doc long, h long, start long, w1 long, w2 long")
 
 
+def _twice_at_most(docs: DataFrame) -> DataFrame:
+    """The rows (doc, h, text), of those repeated with id and text two each.
+
+    Two occurrences make a window repeated, and more change nothing, so results stay exact.  A bitmap
+    of fixed size (1 MB) tells which rows may be repeated; the texts of the others are not shuffled.
+    """
+    place = F.pmod(F.xxhash64("doc", "h"), F.lit(1 << 23)).alias("p")
+    again = docs.groupBy("doc", "h").agg(F.count("*").alias("n")).filter("n > 1").select(place)
+    rows = again.groupBy(F.expr("bitmap_bucket_number(p + 1)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p + 1))").alias("v")).collect()
+    if not rows:
+        return docs
+    bitmap = np.zeros(1 << 20, np.uint8)
+    for bucket, filled in rows:
+        bitmap[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(filled, np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+
+    def rows_with(bit: int) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                p = np.array(b.column("p").to_numpy(zero_copy_only=False), np.int64)
+                found = (shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1
+                yield b.select(["doc", "h", "text"]).filter(pa.array(found == bit))
+
+        return docs.select("doc", "h", "text", place).mapInArrow(run, "doc long, h long, text string")
+
+    several = rows_with(1).groupBy("doc", "h").agg(F.min("text").alias("text"), F.least(F.count("*"), F.lit(2)).cast("int").alias("n"))
+    return rows_with(0).unionByName(several.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("n")))).select("doc", "h", "text"))
+
+
 def repeated_windows(
     documents: DataFrame, symbols: Symbols, pack: Pack, unpack: Callable[[list[bytes]], tuple[np.ndarray, np.ndarray]],
     length: int, gram: int, hot_units: int = 20_000,
@@ -226,7 +255,8 @@ def repeated_windows(
     """
     text = F.coalesce(documents["text"], F.lit(""))
     docs = documents.select(F.coalesce(documents["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
-    rows = _unit_rows(docs, symbols, length, gram)
+    held = _twice_at_most(docs)
+    rows = _unit_rows(held, symbols, length, gram)
     anchors = (
         rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
         .filter("n > 1").select(F.col("anchor").alias("a"), (F.col("lo") != F.col("hi")).alias("differ"), "n")
@@ -239,7 +269,7 @@ def repeated_windows(
 
     def strings(hot: bool) -> DataFrame:
         units = by_doc.select("doc", "h", F.filter("mixed", lambda m: m["hot"] == hot).alias("mixed")).filter(F.size("mixed") > 0)
-        return _packed(docs.join(units, ["doc", "h"]), pack, length)
+        return _packed(held.join(units, ["doc", "h"]), pack, length)
 
     settled = _compare_units(strings(hot=False).repartition("anchor").sortWithinPartitions("anchor"), unpack, length)
     windows = _window_rows(strings(hot=True), unpack, length)
