@@ -290,6 +290,31 @@ def test_pipeline(spark, sf_dir):
     assert 0 < found.select("doc_id").distinct().count() < docs.count()
 
 
+def test_filter_quality_keeps_columns_of_any_name(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    want = [r.doc_id for r in bradley_terry.quality_scores(docs, labels).filter("accepted").collect()]
+    named = docs.withColumns({"score": F.lit("own"), "accepted": F.lit(3), "_scored_text": F.lit(None).cast("string")})
+    found = bradley_terry.filter_quality(named, labels)
+    assert found.columns == named.columns
+    assert table(found, "doc_id", "text", "score", "accepted") == table(named.filter(F.col("doc_id").isin(want)), "doc_id", "text", "score", "accepted")
+    assert 0 < len(want) < docs.count()
+
+
+def test_pipeline_stages_against_brute_force(spark, sf_dir, rows):
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    stages = dict(pytest.importorskip("corpus_pipeline").STAGES)
+    texts = dict(rows)
+    accepted = {r.doc_id for r in bradley_terry.quality_scores(docs, labels).filter("accepted").collect()}
+    assert table(stages["quality_classifier"](spark, docs, sf_dir), "doc_id", "text") == sorted((i, texts[i]) for i in accepted)
+    firsts = {i for i, _, c in brute.op1(rows) if i == c}
+    assert table(stages["ngram_jaccard_join"](spark, docs, sf_dir), "doc_id", "text") == sorted((i, texts[i]) for i in firsts)
+    digests = {r[0]: r[-1] for r in brute.op5(rows)}
+    kept = stages["suffix_array_dedup"](spark, docs, sf_dir).collect()
+    assert {r.doc_id: brute.sha(r.text) for r in kept} == digests and len(kept) == len(rows)
+
+
 def test_word_tokenizer_agrees_with_the_library_on_odd_texts_and_a_full_memo():
     import random
 

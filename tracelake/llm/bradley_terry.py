@@ -219,6 +219,15 @@ def quality_scores(documents: DataFrame, labels: DataFrame, cut: float = 0.7) ->
 
 
 def filter_quality(documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents, all columns, without those whose score lies below the quantile threshold."""
-    names = tuple(documents.columns)
-    return score_quality(documents, fit_quality(documents, labels), names).filter("accepted").select(*names)
+    """The documents, all columns, without those whose score lies below the quantile threshold.
+
+    Nothing is added to the rows on the way, so columns may have any name.
+    """
+    model = fit_quality(documents, labels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in (b.slice(low, 500) for b in batches for low in range(0, b.num_rows, 500)):
+            x = features(b.column("text")).astype("<f4").astype(float)
+            yield b.filter(pa.array(model.raw(x) >= model.threshold))
+
+    return documents.mapInArrow(run, documents.schema)
