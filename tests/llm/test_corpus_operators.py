@@ -144,17 +144,35 @@ def test_op5(spark, sf_dir, rows):
     assert table(q.op5_pfp_dedup(spark, sf_dir), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op5(rows)
 
 
-def test_op5_hot_anchors(spark, rows):
+@pytest.mark.parametrize("most", [1, 3])
+def test_op5_and_op8_large_buckets_are_dealt_anew(spark, rows, most):
     few = rows[:60]
     frame = spark.createDataFrame(few, "doc_id long, text string")
-    assert table(pfp_dedup.repeat_digests(frame, hot_units=2), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op5(few)
+    assert table(pfp_dedup.repeat_digests(frame, most=most), "doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256") == brute.op5(few)
+    assert table(superkmer.window_digests(frame, most=most), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.op8(few)
+
+
+def test_lengthened_anchors_cover_each_window_once():
+    rng = np.random.default_rng(5)
+    method = pfp_dedup.method(20, 6, 4)
+    for _ in range(300):
+        gram = int(rng.integers(6, 20))
+        windows = int(rng.integers(1, 20 - gram + 2))
+        offset = int(rng.integers(windows - 1, 20 - gram + 1))
+        packed = bytes(rng.integers(97, 100, windows + 19).astype(np.uint8))
+        seen = []
+        for first, at, n, longer, anchor, part in repeats.lengthened(packed, 5, offset, windows, gram, method):
+            assert len(part) == n + 19 and part == packed[first - 5 : first - 5 + n + 19] and part[at : at + longer] == anchor[1:]
+            assert 0 <= at and at + longer <= 20 + n - 1 and all(j <= at and at + longer <= j + 20 for j in range(n)) and longer > gram
+            seen += range(first, first + n)
+        assert seen == list(range(5, 5 + windows))
 
 
 def test_repeated_rows_are_searched_twice_at_most(spark, rows, monkeypatch):
     gathered, packed = [], repeats._packed
 
     def watched(frame, *rest):
-        gathered.append(frame.select(F.coalesce(F.max(F.size("mixed")), F.lit(0)), F.count("*")).first())
+        gathered.append(frame.select(F.coalesce(F.max(F.size("wanted")), F.lit(0)), F.count("*")).first())
         return packed(frame, *rest)
 
     monkeypatch.setattr(repeats, "_packed", watched)
@@ -171,6 +189,13 @@ def test_repeated_rows_are_searched_twice_at_most(spark, rows, monkeypatch):
     assert most[0] == most[1] and max(m for m, _ in most[0]) > 0
 
 
+def test_many_repeated_rows_take_linear_work(spark, rows):
+    some = [(None, rows[0][1] * 2)] * 10_000 + rows[1:4]
+    frame = spark.createDataFrame(some, "doc_id long, text string")
+    got = pfp_dedup.repeat_digests(frame).groupBy("doc_id", "n_bytes", "n_removed").count().filter("doc_id is null").collect()
+    assert [(r.n_removed == r.n_bytes, r["count"]) for r in got] == [(True, 10_000)]
+
+
 def test_op6(spark, sf_dir, rows):
     from tokenizers import Tokenizer
 
@@ -228,14 +253,45 @@ def test_op10(spark, sf_dir, rows):
     assert len(licenses.rules()) > 300
 
 
-def test_suffix_classes():
+def test_dense_suffix_ranks_are_the_order_of_suffixes():
     rng = np.random.default_rng(1)
     for length, alphabet in ((1, 3), (5, 2), (9, 40), (200, 2)):
-        values = rng.integers(0, alphabet, 700)
-        classes = repeats.suffix_classes(np.unique(values, return_inverse=True)[1], length)
-        windows = [values[i : i + length].tobytes() for i in range(len(values) - length + 1)]
-        assert len(classes) == len(windows)
-        assert len(set(zip(classes.tolist(), windows))) == len(set(windows)) == len(set(classes.tolist()))
+        cuts = np.sort(rng.integers(0, 500, 6))
+        values = rng.integers(0, alphabet, 500)
+        ends = np.append(cuts, 500)[np.searchsorted(cuts, np.arange(500), side="right")]
+        ranks = repeats.dense_suffix_ranks(values, ends, length)
+        strings = [tuple(values[i : min(e, i + length)].tolist()) for i, e in enumerate(ends)]
+        order = {s: k for k, s in enumerate(sorted(set(strings)))}
+        assert ranks.tolist() == [order[s] for s in strings]
+
+
+def test_parsing_finds_equal_windows_of_texts_with_few_letters():
+    rng = np.random.default_rng(0)
+    for length, trigger, one_in in ((20, 6, 4), (12, 4, 8), (200, 64, 64)):
+        method = pfp_dedup.method(length, trigger, one_in)
+        for _ in range(20):
+            letters = 97 + int(rng.integers(1, 5))
+            base = bytes(rng.integers(97, letters, rng.integers(5, 600)).astype(np.uint8)).decode()
+            texts = [base] + [base[int(rng.integers(0, len(base))) :] + base[: int(rng.integers(0, 80))] for _ in range(3)]
+            kinds, times = {}, {}
+            for row, values, offsets in method.symbols(pa.array(texts, pa.large_string())):
+                for text, at, anchor, _ in zip(*repeats.units(values, offsets, method)):
+                    first, place, n = int(at) >> 16, (int(at) >> 8) & 255, int(at) & 255
+                    key = (int(anchor), place, texts[row + text].encode()[first : first + n - 1 + length])
+                    kinds[key] = n
+                    times[key] = times.get(key, 0) + 1
+            assert sum(times[k] * n for k, n in kinds.items()) == sum(max(0, len(t) - length + 1) for t in texts)
+            if not kinds:
+                continue
+            keys = list(kinds)
+            flags = method.repeated([k[2] for k in keys], np.array([k[1] for k in keys]), np.full(len(keys), trigger), np.array(list(kinds.values()))).tolist()
+            count = {}
+            for t in texts:
+                for i in range(len(t) - length + 1):
+                    count[t[i : i + length]] = count.get(t[i : i + length], 0) + 1
+            for k in keys:
+                for j in range(kinds[k]):
+                    assert (flags.pop(0) or times[k] > 1) == (count[k[2][j : j + length].decode()] > 1)
 
 
 def test_able_sets_keep_linked_pairs():

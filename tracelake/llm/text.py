@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 #: Bytes handled at a time; keeps the numpy temporaries of a task to some tens of megabytes.
@@ -82,6 +83,19 @@ def slices(column: pa.Array, limit: int = SLICE_BYTES) -> Iterator[tuple[int, in
         row = end
 
 
+def batches_of(batches: Iterator[pa.RecordBatch], limit: int, column: str, rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """Arrow batches cut to about ``limit`` bytes of a string or binary column and ``rows`` rows; a longer value is a batch of its own."""
+    for b in batches:
+        low = 0
+        size = pc.fill_null(pc.binary_length(b.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        total = np.append(0, np.cumsum(size))
+        while low < b.num_rows:
+            end = max(low + 1, int(np.searchsorted(total, total[low] + limit, side="right")) - 1)
+            end = min(end, low + rows, b.num_rows)
+            yield b.slice(low, end - low)
+            low = end
+
+
 def word_bounds(data: np.ndarray, offsets: np.ndarray, separator: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Byte starts and ends of the words of a slice, and for each text the index of its first word.
 
