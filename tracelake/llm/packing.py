@@ -15,6 +15,7 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from array import array
 from bisect import bisect_left, insort
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .session import cut
-from .text import slices
+from .text import batches_of, slices
 
 #: Space, tab and line ends are the same blank; the tokenizer lower-cases anyway.
 BLANK = np.arange(256, dtype=np.uint8)
@@ -51,51 +52,84 @@ def blanked(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.insert(data, before, 0x20), offsets + np.searchsorted(before, offsets)
 
 
+#: Letters that stay one token run through the normaliser: small ones of ASCII and Latin-1.
+LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def byte_letters() -> list[str]:
+    """The visible characters that stand for the 256 bytes in the vocabulary, in the usual byte-level order."""
+    plain = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = iter(range(0x100, 0x200))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 class WordTokenizer:
     """Ids by the ``tokenizers`` library, memoised by blank-separated chunk.
 
     The tokenizer file drops white space and never joins across it, so a text's ids are those of
-    its chunks one after the other.  The memo has two halves of a fixed size: when the newer is
-    full it replaces the older, so that frequent chunks, which move to the newer, stay known.
+    its chunks one after the other.  A chunk of letters alone is one word and goes to the library's
+    model at once; others pass its whole chain.  Texts that hold the string of a special token go to
+    the library whole, since it cuts them there first.  The memo has two halves of a fixed size: when
+    the newer is full it replaces the older, so that frequent chunks, which move to the newer, stay known.
     """
 
     def __init__(self, path: str, memo: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.model = self.tokenizer.model
+        self.special = "|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.letters = byte_letters()
         self.limit = memo
         self.memo: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
 
+    def word_ids(self, word: str) -> bytes:
+        """Ids of a word of letters."""
+        spelt = word if word.isascii() else "".join([self.letters[b] for b in word.encode()])
+        return array("I", [t.id for t in self.model.tokenize(spelt)]).tobytes()
+
     def chunk_ids(self, chunks: list[str]) -> list[bytes]:
         """Ids of distinct chunks; those not known yet go to the library."""
-        found = [self.memo.get(c) for c in chunks]
+        found = list(map(self.memo.get, chunks))
         missing = [i for i, ids in enumerate(found) if ids is None]
         if len(self.memo) + len(missing) > self.limit // 2:
             self.memo, self.older = {}, self.memo
-        unknown = []
+        memo, older, letters, unknown = self.memo, self.older, LETTERS.fullmatch, []
         for i in missing:
-            ids = self.older.get(chunks[i])
+            chunk = chunks[i]
+            ids = older.get(chunk)
             if ids is None:
-                unknown.append(i)
-            else:
-                found[i] = self.memo[chunks[i]] = ids
+                if not letters(chunk):
+                    unknown.append(i)
+                    continue
+                ids = self.word_ids(chunk)
+            found[i] = memo[chunk] = ids
         for low in range(0, len(unknown), 2_000):
             part = unknown[low : low + 2_000]
             for i, e in zip(part, self.tokenizer.encode_batch_fast([chunks[i] for i in part], add_special_tokens=False)):
-                found[i] = self.memo[chunks[i]] = array("I", e.ids).tobytes()
+                found[i] = memo[chunks[i]] = array("I", e.ids).tobytes()
         return found
 
     def texts_ids(self, column: pa.Array) -> Iterator[np.ndarray]:
-        """Ids of each text: the distinct chunks of a slice are encoded once, and gathered."""
+        """Ids of each text."""
+        special = pc.fill_null(pc.match_substring_regex(column, self.special), False)
+        if not pc.any(special).as_py():
+            yield from self.plain_ids(column)
+            return
+        plain = self.plain_ids(column.filter(pc.invert(special)))
+        for text, whole in zip(column.to_pylist(), special.to_pylist()):
+            yield np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4") if whole else next(plain)
+
+    def plain_ids(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """Ids of texts without special strings: the distinct chunks of a slice are encoded once, and gathered."""
         for _, _, data, offsets in slices(column, 1 << 20):
             data, offsets = blanked(data, offsets)
             buffers = [None, pa.py_buffer(offsets.astype(np.int64).tobytes()), pa.py_buffer(data.tobytes())]
             parts = pc.split_pattern(pa.LargeStringArray.from_buffers(len(offsets) - 1, buffers[1], buffers[2]), " ")
             chunks = parts.flatten().dictionary_encode()
             encoded = self.chunk_ids(chunks.dictionary.to_pylist())
-            size = np.array([len(e) // 4 for e in encoded], np.int64)
+            size = np.fromiter(map(len, encoded), np.int64, len(encoded)) >> 2
             table = np.frombuffer(b"".join(encoded), "<u4")
             index = chunks.indices.to_numpy()
             n = size[index]
@@ -103,7 +137,7 @@ class WordTokenizer:
             at = np.repeat((np.cumsum(size) - size)[index] - before[:-1], n) + np.arange(before[-1])
             flat = table[at]
             edge = before[np.asarray(parts.offsets)]
-            for low, high in zip(edge[:-1], edge[1:]):
+            for low, high in zip(edge[:-1].tolist(), edge[1:].tolist()):
                 yield flat[low:high]
 
 
@@ -122,7 +156,7 @@ def cut_pieces(documents: DataFrame, path: str, capacity: int, end_id: int) -> D
         words, task = tokenizer(path), TaskContext.get().partitionId()
         end = np.array([end_id], "<u4").tobytes()
         seen: dict[int, int] = defaultdict(int)
-        for batch in (b.slice(low, 500) for b in batches for low in range(0, b.num_rows, 500)):
+        for batch in batches_of(batches, 1 << 20, "text"):
             rows: list[tuple] = []
             for doc_id, found in zip(batch.column("doc_id").to_pylist(), words.texts_ids(batch.column("text"))):
                 ids = found.tobytes() + end
