@@ -11,8 +11,10 @@ every pair.  Only small, dense blocks of that product are computed:
 3. N-grams in one prefix alone go.  The rest are dealt by size band (linked sets lie in the same or
    in neighbouring bands) and count only where what follows in the set can still reach the bound.
    The least document of an n-gram and band is its leader;
-   documents that follow a leader, and the leader, are one block, cut into chunk pairs when large.
-   Bitmaps of the sets travel to their blocks first, and bound the overlaps; the texts of sets that
+   documents that follow a leader, and the leader, are one block.  A large one (by members or by
+   n-grams) is cut into chunks, each with a few members common to all chunks; near copies of one text
+   link through these, and each travels once.  Members that are then not yet in the largest component
+   of their leader are held against all its chunks.  Bitmaps of the sets travel to their blocks first, and bound the overlaps; the texts of sets that
    may still be linked follow, compressed.
 4. In a block, columns of the incidence matrix are multiplied in turn, overlaps accumulate, and rows
    whose pairs can no longer reach the bound that their sizes set are dropped.  A block returns a
@@ -21,8 +23,8 @@ every pair.  Only small, dense blocks of that product are computed:
 
 Defined results: a text without words has an empty set and is its own component; with fewer words
 than ``n`` the whole sequence is the one n-gram; rows with equal ``doc_id`` are one node, each with
-its own row and set; rows without ``doc_id`` are nodes by their text, which count as greater than any
-id, and a component of such rows alone has a null id; an empty table gives an empty result; other
+its own row and set; rows without ``doc_id`` are nodes by a 64-bit hash of their text, never give a
+component its id where an id is there, and a component of such rows alone has a null id; an empty table gives an empty result; other
 columns are ignored by the join and kept by ``drop_near_duplicates``.
 """
 
@@ -40,11 +42,11 @@ from pyspark.sql import functions as F
 
 from .repeats import gram_hashes
 from .session import cut
-from .text import LOWER, U64, mix, run_hashes, slices, word_bounds, word_hashes
+from .text import LOWER, U64, batches_of, mix, run_hashes, slices, word_bounds, word_hashes
 
-#: Nodes from here on stand for rows without an id.
-NO_ID = 1 << 62
 TOP = (1 << 63) - 1
+#: Members that all chunks of a large block have in common, about.
+PIVOTS = 32
 
 
 def shingle_sets(column: pa.Array, n: int = 5) -> list[np.ndarray]:
@@ -68,12 +70,12 @@ def _text(documents: DataFrame) -> Column:
 
 
 def _node(documents: DataFrame) -> Column:
-    nameless = F.shiftrightunsigned(F.xxhash64(_text(documents)), 3) + F.lit(NO_ID)
-    return F.coalesce(documents["doc_id"].cast("long"), nameless)
+    return F.coalesce(documents["doc_id"].cast("long"), F.xxhash64(_text(documents)))
 
 
 def _base(documents: DataFrame) -> DataFrame:
-    return documents.select(_node(documents).alias("node"), _text(documents).alias("text"))
+    named = documents["doc_id"].cast("long").isNotNull()
+    return documents.select(_node(documents).alias("node"), named.alias("named"), _text(documents).alias("text"))
 
 
 def common_grams(docs: DataFrame, n: int, share: float) -> np.ndarray:
@@ -84,7 +86,7 @@ def common_grams(docs: DataFrame, n: int, share: float) -> np.ndarray:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches_of(batches, 1 << 21, "text"):
             sets = shingle_sets(b.column("text"), n)
             grams, count = np.unique(np.concatenate(sets), return_counts=True) if sets else (np.zeros(0, np.uint64), np.zeros(0, int))
             often = count >= max(2, share * b.num_rows)
@@ -101,7 +103,7 @@ def _prefix_rows(docs: DataFrame, n: int, threshold: tuple[int, int], common: np
     num, den = threshold
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in batches_of(batches, 1 << 20, "text"):
             size, k1, k2, prefixes = [], [], [], []
             for s in shingle_sets(b.column("text"), n):
                 size.append(len(s))
@@ -113,15 +115,15 @@ def _prefix_rows(docs: DataFrame, n: int, threshold: tuple[int, int], common: np
                     s = np.concatenate([s[~last], s[last]])
                 prefixes.append(s[:keep].view(np.int64))
             yield pa.RecordBatch.from_arrays(
-                [b.column("node"), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
-                ["node", "n", "k1", "k2", "prefix"],
+                [b.column("node"), b.column("named"), pa.array(size, pa.int64()), pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(prefixes, pa.list_(pa.int64()))],
+                ["node", "named", "n", "k1", "k2", "prefix"],
             )
 
-    return docs.mapInArrow(run, "node long, n long, k1 long, k2 long, prefix array<long>")
+    return docs.mapInArrow(run, "node long, named boolean, n long, k1 long, k2 long, prefix array<long>")
 
 
 def _followers(reps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
-    """(leader, node) rows: sets that may be linked share a leader.
+    """(leader, node, n) rows: sets that may be linked share a leader.
 
     At the first n-gram that two linked sets have in common, either set must have enough n-grams
     left to reach the overlap that the two sizes need; the least size in a group of postings bounds
@@ -140,9 +142,9 @@ def _followers(reps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
     placed = cut(shared.select("*", F.explode(F.array(band, band + 1)).alias("cell")))
     least = placed.groupBy("gram", "cell").agg(F.min("n").alias("least"), F.count("*").alias("m")).filter("m > 1").drop("m")
     need = F.ceil(num * (F.col("n") + F.col("least")) / (num + den) - 1e-9)
-    able = placed.join(least, ["gram", "cell"]).filter(F.col("place") <= F.col("n") - need).select("gram", "cell", "node")
+    able = placed.join(least, ["gram", "cell"]).filter(F.col("place") <= F.col("n") - need).select("gram", "cell", "node", "n")
     leaders = able.groupBy("gram", "cell").agg(F.min("node").alias("leader"), F.max("node").alias("top")).filter("leader < top").drop("top")
-    return able.join(leaders, ["gram", "cell"]).filter("node <> leader").select("leader", "node").distinct()
+    return able.join(leaders, ["gram", "cell"]).filter("node <> leader").select("leader", "node", "n").distinct()
 
 
 #: Rows of a block that are held against all others at a time; keeps a task's temporaries small.
@@ -314,8 +316,7 @@ def _in_blocks(placed: DataFrame, docs: DataFrame, value: Callable[[pa.Array], l
         for b in batches:
             p = np.array(b.column("p").to_numpy(zero_copy_only=False), np.int64)
             kept = b.filter(pa.array((wanted.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1))
-            for low in range(0, kept.num_rows, 1000):
-                part = kept.slice(low, 1000)
+            for part in batches_of([kept], 1 << 20, "text"):
                 yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(value(part.column("text")), pa.binary())], ["node", "value"])
 
     place = F.pmod(F.xxhash64("node"), F.lit(1 << 23)).alias("p")
@@ -344,8 +345,40 @@ def components(edges: DataFrame) -> DataFrame:
         before = after
 
 
-def _node_components(documents: DataFrame, n: int, threshold: tuple[int, int], common_share: float, chunk: int) -> DataFrame:
-    """node, n (set size), k1, k2 (hashes of the set) and c (component) of every row."""
+def _chunks(members: Column, grams: Column, chunk: int, chunk_grams: int) -> Column:
+    return F.greatest(F.ceil(members / chunk), F.ceil(grams / chunk_grams)).cast("int")
+
+
+def _part(seed: int, parts: str) -> Column:
+    return F.pmod(F.xxhash64("node", F.lit(seed)), F.col(parts)).cast("int")
+
+
+def _stars(placed: DataFrame, docs: DataFrame, n: int, threshold: tuple[int, int]) -> DataFrame:
+    """Links (u, v) found in the blocks ``placed`` (leader, i, j, m)."""
+    able = cut(_able_members(_in_blocks(placed, docs, lambda texts: [sketch(s) for s in shingle_sets(texts, n)]), threshold))
+    return cut(_block_stars(_in_blocks(able, docs, _compressed), n, threshold))
+
+
+def _apart(large: DataFrame, stars: DataFrame, chunk: int, chunk_grams: int) -> DataFrame:
+    """Blocks (leader, i, j, m) of large leaders for members not yet linked to the most of the others."""
+    found = components(stars).select(F.col("node").alias("f"), "component")
+    linked = large.join(found, F.col("node") == F.col("f"), "left").select("leader", "node", "n", F.coalesce("component", "node").alias("c"))
+    linked = cut(linked)
+    main = linked.groupBy("leader", "c").agg(F.count("*").alias("k")).groupBy("leader").agg(F.max(F.struct("k", "c"))["c"].alias("main"))
+    rest = linked.join(main, "leader").filter("c <> main")
+    of_rest = rest.groupBy("leader").agg(_chunks(F.count("*"), F.sum("n"), chunk // 2 or 1, chunk_grams // 2).alias("rests"))
+    of_all = linked.groupBy("leader").agg(_chunks(F.count("*"), F.sum("n"), chunk // 2 or 1, chunk_grams // 2).alias("alls"))
+    both = of_rest.join(of_all, "leader")
+    upto = lambda name: F.explode(F.sequence(F.lit(0), F.col(name) - 1))
+    ones = rest.join(both, "leader").select("leader", _part(2, "rests").alias("i"), upto("alls").alias("j"), F.col("node").alias("m"))
+    others = linked.join(both, "leader").select("leader", upto("rests").alias("i"), _part(3, "alls").alias("j"), F.col("node").alias("m"))
+    return ones.unionByName(others).distinct()
+
+
+def _node_components(
+    documents: DataFrame, n: int, threshold: tuple[int, int], common_share: float, chunk: int, chunk_grams: int = 1 << 19
+) -> DataFrame:
+    """node, named (has an id), n (set size), k1, k2 (hashes of the set), c (component) and any_named of every row."""
     docs = _base(documents)
     sets = cut(_prefix_rows(docs, n, threshold, common_grams(docs, n, common_share)))
     classes = sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("node").alias("rep"))
@@ -353,17 +386,30 @@ def _node_components(documents: DataFrame, n: int, threshold: tuple[int, int], c
     same: Column = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
     reps = sets.join(owners, same & (F.col("node") == F.col("rep")), "left_semi").select("node", "n", "prefix")
     followers = cut(_followers(reps, threshold))
-    members = followers.unionByName(followers.select("leader", F.col("leader").alias("node")).distinct())
-    sizes = followers.groupBy("leader").agg(F.ceil((F.count("*") + 1) / chunk).cast("int").alias("chunks")).withColumnRenamed("leader", "l")
-    spread = members.join(sizes, F.col("leader") == F.col("l")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(1)), F.col("chunks")).cast("int"))
-    other = spread.withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
-    placed = other.select("leader", F.least("own", "x").alias("i"), F.greatest("own", "x").alias("j"), F.col("node").alias("m"))
-    able = cut(_able_members(_in_blocks(placed, docs, lambda texts: [sketch(s) for s in shingle_sets(texts, n)]), threshold))
-    stars = _block_stars(_in_blocks(able, docs, _compressed), n, threshold)
+    leaders = followers.select(F.col("leader").alias("l")).distinct()
+    leading = reps.join(leaders, F.col("node") == F.col("l"), "left_semi").select(F.col("node").alias("leader"), "node", "n").distinct()
+    members = followers.unionByName(leading)
+    sizes = members.groupBy("leader").agg(_chunks(F.count("*"), F.sum("n"), chunk, chunk_grams).alias("chunks"), F.count("*").alias("k"))
+    every = F.greatest(F.ceil(F.col("k") / PIVOTS), F.col("chunks")).cast("int")
+    spread = cut(members.join(sizes.select("leader", "chunks", every.alias("every")), "leader").withColumn("own", _part(1, "chunks")))
+    pivots = spread.filter("chunks > 1").filter(_part(4, "every") == 0).withColumn("x", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).filter("x <> own")
+    own = spread.select("leader", F.col("own").alias("i"), F.col("own").alias("j"), F.col("node").alias("m"))
+    stars = _stars(own.unionByName(pivots.select("leader", F.col("x").alias("i"), F.col("x").alias("j"), F.col("node").alias("m"))), docs, n, threshold)
+    large = spread.filter("chunks > 1").select("leader", "node", "n")
+    if not large.isEmpty():
+        apart = cut(_apart(large, stars, chunk, chunk_grams))
+        if not apart.isEmpty():
+            stars = stars.unionByName(_stars(apart, docs, n, threshold))
     found = components(stars)
     owned = owners.join(found.withColumnRenamed("node", "r"), F.col("rep") == F.col("r"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("c"))
-    alone = sets.filter("n = 0").select("node", "n", "k1", "k2", F.col("node").alias("c"))
-    return sets.filter("n > 0").join(owned, same).select("node", "n", "k1", "k2", "c").unionByName(alone)
+    alone = sets.filter("n = 0").select("node", "named", "n", "k1", "k2", F.col("node").alias("c"))
+    result = sets.filter("n > 0").join(owned, same).select("node", "named", "n", "k1", "k2", "c").unionByName(alone)
+    if documents.filter(documents["doc_id"].cast("long").isNull()).isEmpty():
+        return result.withColumn("any_named", F.lit(True))
+    result = cut(result)
+    named = F.min(F.when(F.col("named"), F.col("node")))
+    least = result.groupBy(F.col("c").alias("old")).agg(F.coalesce(named, F.min("node")).alias("least"), F.max("named").alias("any_named"))
+    return result.join(least, F.col("c") == F.col("old")).select("node", "named", "n", "k1", "k2", F.col("least").alias("c"), "any_named")
 
 
 def near_duplicate_components(
@@ -372,7 +418,7 @@ def near_duplicate_components(
     """doc_id, n_shingles and component_id of every document."""
     result = _node_components(documents, n, threshold, common_share, chunk)
     return result.select(
-        F.when(F.col("node") < NO_ID, F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("c") < NO_ID, F.col("c")).alias("component_id")
+        F.when(F.col("named"), F.col("node")).alias("doc_id"), F.col("n").alias("n_shingles"), F.when(F.col("any_named"), F.col("c")).alias("component_id")
     )
 
 
@@ -385,7 +431,7 @@ def drop_near_duplicates(
     one stays.
     """
     names = documents.columns
-    result = cut(_node_components(documents, n, threshold, common_share, chunk).select("node", "n", "k1", "k2", "c"))
+    result = cut(_node_components(documents, n, threshold, common_share, chunk).select("node", "n", "c"))
     losers = result.filter("node <> c").select(F.col("node").alias("_loser")).distinct()
     repeated = result.filter("n > 0 and node = c").groupBy("node").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("node").alias("_again"))
     rest = documents.withColumn("_node", _node(documents)).join(losers, F.col("_node") == F.col("_loser"), "left_anti")
