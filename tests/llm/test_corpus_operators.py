@@ -64,6 +64,22 @@ def test_op1_limits(spark):
         assert table(ngram_join.near_duplicate_components(frame, chunk=chunk), "doc_id", "n_shingles", "component_id") == brute.op1(rows)
 
 
+def test_op1_any_id_and_a_large_group_of_near_copies(spark):
+    """Near copies in one large group link through common members; those left over are held against all."""
+    rng = np.random.default_rng(9)
+    words = [f"w{i}" for i in range(200)]
+    rows = []
+    for k in range(300):
+        own = list(words)
+        for place in rng.choice(200, rng.integers(0, 5), replace=False):
+            own[place] = f"k{k}p{place}"
+        rows.append(((-1) ** k * ((1 << 63) - 1 - k), " ".join(own)))
+    rows += [(5, " ".join(words[:90])), (6, " ".join(words[:88])), (7, " ".join(["own", *words[100:]]))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    for chunk in (1024, 16):
+        assert table(ngram_join.near_duplicate_components(frame, chunk=chunk), "doc_id", "n_shingles", "component_id") == brute.op1(rows)
+
+
 def test_op1_odd(odd):
     got = {r.doc_id: r for r in ngram_join.near_duplicate_components(odd).filter("doc_id is not null").collect()}
     assert got[3].n_shingles == got[4].n_shingles == got[5].n_shingles == 0 and got[4].component_id == 4
@@ -199,9 +215,7 @@ def test_many_repeated_rows_take_linear_work(spark, rows):
 def test_op6(spark, sf_dir, rows):
     from tokenizers import Tokenizer
 
-    tokenizer = Tokenizer.from_file(WORDS)
-    tokenizer.encode_special_tokens = True
-    want, least = brute.op6(rows, tokenizer)
+    want, least = brute.op6(rows, Tokenizer.from_file(WORDS))
     frame = q.op6_best_fit_packing(spark, sf_dir).cache()
     assert table(frame, "doc_id", "piece", "start", "length", "ids_crc32") == want
     placed = frame.groupBy("sequence_id").agg(F.sum("length").alias("n"), F.sort_array(F.collect_list(F.struct("offset", "length"))).alias("at")).collect()
@@ -375,16 +389,18 @@ def test_word_tokenizer_agrees_with_the_library_on_odd_texts_and_a_full_memo():
     import random
 
     import pyarrow as pa
-    import public_tokenizers
+    from tokenizers import Tokenizer
 
     from tracelake.llm.packing import WordTokenizer
 
     rng = random.Random(3)
     alphabet = "ab'sStTrReEvVmMlLdD.,=<>!?̸́İΣ \t\n19½中\U0001f600"
     texts = ["it's 3.5, é.x≠y A'LL don't''s x.'s", "'tis 'S a'S<|endoftext|>.", "", None]
+    texts += ["x <|endoftext|> y", "x<|endoftext|>y <|ENDOFTEXT|> <|startoftext|><|endoftext", "a\u0958b K\u212a \u0149 \u017f d\u01c4 \u1e9e ÀÉß"]
     texts += ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 30))) for _ in range(3000)]
-    words = WordTokenizer(public_tokenizers.path("word_bpe_49k.json"), memo=500)
+    texts += [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyzäéßñÿ×÷") for _ in range(rng.randint(1, 14))) for _ in range(200)) for _ in range(20)]
+    words, plain = WordTokenizer(WORDS, memo=500), Tokenizer.from_file(WORDS)
     for low in range(0, len(texts), 100):
         part = texts[low : low + 100]
         for text, ids in zip(part, words.texts_ids(pa.array(part, pa.string()))):
-            assert ids.tolist() == words.tokenizer.encode(text or "", add_special_tokens=False).ids
+            assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .session import cut
+from .session import cut, stored
 from .text import U64, batches_of, mix, powers, run_hashes
 
 NO_ID = -(1 << 63)
@@ -326,11 +326,15 @@ def repeated_windows(documents: DataFrame, method: Method, most: int = 2_000) ->
         rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
         .filter("n > 1").select(F.col("anchor").alias("a"), (F.col("lo") != F.col("hi")).alias("differ")).repartition("a")
     )
-    hits = rows.join(seen, F.col("anchor") == F.col("a"))
+    # Of units that agree with all others under their anchor, the place is enough.
+    differ = lambda name: F.when(F.col("differ"), F.col(name)).alias(name)
+    hits = stored(rows.join(seen, F.col("anchor") == F.col("a")).select("doc", "h", "at", differ("anchor"), differ("content")))
     run = (F.shiftright("at", 16) * 256 + F.col("at").bitwiseAND(255)).alias("run")
-    agreed = hits.filter(~F.col("differ")).select("doc", "h", run)
-    differing = cut(hits.filter("differ").select("doc", "h", "at", "anchor", "content"))
-    kinds = cut(differing.groupBy("anchor", "content").agg(F.min(F.struct("doc", "h", "at")).alias("one"), (F.count("*") > 1).alias("known")))
+    agreed = hits.filter("anchor is null").select("doc", "h", run)
+    differing = hits.filter("anchor is not null")
+    kinds = stored(
+        differing.groupBy("anchor", "content").agg(F.min(F.struct("doc", "h", "at")).alias("one"), (F.count("*") > 1).alias("known"))
+    )
     twice = kinds.filter("known").select("anchor", "content")
     copies = differing.join(twice, ["anchor", "content"], "left_semi").select("doc", "h", run)
 
@@ -341,7 +345,7 @@ def repeated_windows(documents: DataFrame, method: Method, most: int = 2_000) ->
     ready = _packed(_rows_with(distinct, wanted, 1).join(chosen, ["doc", "h"]), method)
     compared, told = [], []
     while True:
-        ready = cut(ready)
+        ready = stored(ready)
         large = ready.groupBy("anchor").agg(F.count("*").alias("n")).filter(F.col("n") > most).select("anchor")
         large = cut(large)
         if large.isEmpty():

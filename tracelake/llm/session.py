@@ -3,17 +3,22 @@
 from __future__ import annotations
 
 import getpass
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the checkpoint folder: the cluster's, or a local one where none is set (tests)."""
+    """Return the checkpoint folder of the cluster; one of its own where none is set and Spark runs locally."""
     context = spark.sparkContext
     current = context.getCheckpointDir()
     if current:
         return current
-    folder = spark.conf.get("spark.checkpoint.dir", None) or f"/tmp/checkpoints/{getpass.getuser()}"
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = f"/tmp/checkpoints/{getpass.getuser()}"
     context.setCheckpointDir(folder)
     return folder
 
@@ -24,6 +29,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder beside the checkpoints, removed when the application ends."""
+    folder = f"{ensure_checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    files.mkdirs(path)
+    files.deleteOnExit(path)
+    return folder
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """Write ``df`` as a table in the shared folder and read it: like ``cut``, and packed by column."""
+    folder = shared_folder(df.sparkSession, "table") + "/rows"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def with_columns_only(df: DataFrame, *names: str) -> DataFrame:
     """Select exactly ``names`` (extra columns of the input, whatever their names, are left out)."""
     return df.select(*[df[name] for name in names])
