@@ -8,7 +8,6 @@ empty result.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -19,7 +18,7 @@ from tracelake.llm.ngram_join import drop_near_duplicates
 from tracelake.llm.packing import pack
 from tracelake.llm.pfp_dedup import remove_repeats
 from tracelake.llm.pii_crf import mask_personal_data
-from tracelake.llm.session import ensure_checkpoint_dir
+from tracelake.llm.session import shared_folder
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -60,7 +59,7 @@ ORACLE_SQL: str | None = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply the stages to ``documents``; what lies between them goes to the shared folder."""
-    folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = shared_folder(spark, "pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
