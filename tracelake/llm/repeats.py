@@ -321,10 +321,10 @@ def repeated_windows(documents: DataFrame, method: Method, most: int = 2_000) ->
     docs = documents.select(F.coalesce(documents["doc_id"].cast("long"), F.lit(NO_ID)).alias("doc"), F.xxhash64(text).alias("h"), text.alias("text"))
     held, distinct = _twice_at_most(docs)
     rows = _unit_rows(held, method)
-    # Dealt out once more, so that a common anchor is a skewed join, which adaptive execution splits.
-    seen = (
+    # Stored, so that a common anchor makes a skewed join of two exchanges, which adaptive execution splits.
+    seen = stored(
         rows.groupBy("anchor").agg(F.count("*").alias("n"), F.min("content").alias("lo"), F.max("content").alias("hi"))
-        .filter("n > 1").select(F.col("anchor").alias("a"), (F.col("lo") != F.col("hi")).alias("differ")).repartition("a")
+        .filter("n > 1").select(F.col("anchor").alias("a"), (F.col("lo") != F.col("hi")).alias("differ"))
     )
     # Of units that agree with all others under their anchor, the place is enough.
     differ = lambda name: F.when(F.col("differ"), F.col(name)).alias(name)
@@ -335,8 +335,8 @@ def repeated_windows(documents: DataFrame, method: Method, most: int = 2_000) ->
     kinds = stored(
         differing.groupBy("anchor", "content").agg(F.min(F.struct("doc", "h", "at")).alias("one"), (F.count("*") > 1).alias("known"))
     )
-    twice = kinds.filter("known").select("anchor", "content")
-    copies = differing.join(twice, ["anchor", "content"], "left_semi").select("doc", "h", run)
+    # Null for units whose kind occurs once: those are compared.
+    copies = differing.join(kinds.select("anchor", "content", "known"), ["anchor", "content"]).select("doc", "h", F.when(F.col("known"), run).alias("run"))
 
     chosen = kinds.groupBy("one.doc", "one.h").agg(F.collect_list(F.struct("one.at", "anchor", "known")).alias("wanted"))
     wanted = member_bits(chosen.select(_place()))
