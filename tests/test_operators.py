@@ -85,7 +85,7 @@ def test_redact_restores(spark):
 
 def test_arbitration(spark):
     hits = [[("a", "x", 5, 9), ("b", "y", 0, 6), ("c", "z", 0, 3), ("d", "w", 6, 7)], []]
-    got = spark.createDataFrame([(h,) for h in hits], f"h {pii.HIT}").select(pii.arbitrate(F.col("h")).alias("k")).collect()
+    got = spark.createDataFrame([(h,) for h in hits], f"h {f"array<{pii.ONE_HIT}>"}").select(pii.arbitrate(F.col("h")).alias("k")).collect()
     assert [[x.kind for x in r.k] for r in got] == [["b", "d"], []]
 
 
@@ -141,3 +141,94 @@ def test_sse_blocks_equal_batch(spark):
         blocks, held = take_blocks(held, c)
         seen += blocks
     assert seen + take_blocks(held, "\n")[0] == want
+
+
+def test_paths_and_command_lines_in_one_form(spark):
+    from tracelake.functions import shell
+
+    paths = {"/../a": "/a", "a/../..": "..", "a/b/./../c//d/": "a/c/d", "/": "/", "": ".", "../../x": "../../x", "a/..": ".", "../a/../../b": "../../b"}
+    got = spark.createDataFrame([(p,) for p in paths], "p string").select("p", shell.plain_path(F.col("p")).alias("q")).collect()
+    assert {r.p: r.q for r in got} == paths
+    lines = {
+        r"\x72m -rf b": "rm -rf b", r"café \ud83d \q \\n": r"café \ud83d \q \n", "X=rm; $X ${X} $Y ${Y": "X=rm; rm rm $Y ${Y", "A=1; A=2; $A": "A=1; A=2; 2", "l /tmp": "ls /tmp", "ll": "ls -l", "lla": "lla",
+        "/bin/ls x;/bin/rm y": "ls x;rm y", "find . -name x --delete; ls": "rm -rf . -name x; ls", "find . ; find /t -delete": "find . ; rm -rf /t", "cat /a/../b": "cat /b",
+    }
+    got = spark.createDataFrame([(p,) for p in lines], "p string").select("p", shell.canonical(F.col("p")).alias("q")).collect()
+    assert {r.p: r.q for r in got} == lines
+    got = spark.createDataFrame([("a; b && c || d | e & f 'x;y' \"p|\\\"q\"; ",)], "p string").select(shell.chain(F.col("p")).alias("q")).first().q
+    assert got == ["a", "b", "c", "d", "e & f 'x;y' \"p|\\\"q\""]
+
+
+def test_danger_rules_see_through_disguise(spark):
+    calls = [("bash", "X=rm; $X -rf build"), ("bash", r"\x72m -rf build"), ("bash", "echo hi > /tmp/../etc/motd"), ("write", '{"path": "/tmp/../etc/passwd"}'), ("bash", "echo fine"), ("bash", "ls /etc")]
+    got = spark.createDataFrame(calls, "t string, a string").select(audit.danger_reason(F.col("t"), F.col("a")).isNotNull().alias("bad")).collect()
+    assert [r.bad for r in got] == [True] * 4 + [False] * 2
+
+
+@pytest.mark.parametrize("kind", ["plain", "quoted", "tail", "separators", "flags", "hosts", "ups", "colons"])
+def test_danger_rules_on_a_mebibyte(spark, kind):
+    text = {
+        "plain": "echo " + "word " * 210_000, "quoted": "echo '" + "ab c;" * 210_000 + "'", "tail": "echo '" + "ab c;" * 210_000 + "'; rm -rf /tmp/x", "separators": ";" * (1 << 20), "flags": "rm" + " -a" * 350_000,
+        "hosts": "echo " + "a." * 500_000, "ups": "/.." * 350_000, "colons": "echo " + ":" * (1 << 20),
+    }[kind]
+    began = __import__("time").time()
+    reason = spark.createDataFrame([("bash", text)], "t string, a string").select(audit.danger_reason(F.col("t"), F.col("a")).alias("r")).first().r
+    assert (reason is not None) == (kind == "tail") and __import__("time").time() - began < 60
+
+
+@pytest.mark.parametrize("text", [":" * (1 << 20), "1" * (1 << 20), "1." * (1 << 19), "a@" * (1 << 19), "ann@example.org 8.8.8.8 " * 20_000, "%41" * 300_000])
+def test_recogniser_on_long_texts(spark, text):
+    began = __import__("time").time()
+    row = pii.redact(spark.createDataFrame([(1, text)], "doc_id long, text string"), b"k").select("redacted", "placeholders", "n_new", "n_seen").first()
+    assert __import__("time").time() - began < 60
+    if text.startswith("ann"):
+        assert (row.n_new, row.n_seen) == (2, 39_998)
+        back = spark.createDataFrame([(row.redacted, row.placeholders)], "t string, m map<string,string>").select(pii.restore(F.col("t"), F.col("m")).alias("b")).first().b
+        assert back == text
+    elif not text.startswith("1."):
+        assert row.redacted == text
+
+
+def test_custom_rules_and_names(spark):
+    rows = spark.createDataFrame([(1, "order A-12 for Ann Lee and Annabel; code A-12x 张三说 X张三"), (2, None), (3, "")], "id long, text string")
+    rules = [("order", r"A-\d+"), ("again", r"A-\d+"), ("empty", "x*")]
+    names = [("Ann", "name"), ("Ann Lee", "name"), ("张三", "name"), ("code", "term"), ("A", "term")]
+    found = pii.with_hits(rows, rules=rules, names=names).select("id", F.explode("pii_hits").alias("h")).select("id", "h.*").collect()
+    # A name may be followed by letters but not by other writing; other types stand alone.
+    want = {("order", "A-12", 6), ("order", "A-12", 41), ("name", "Ann Lee", 15), ("name", "Ann", 27), ("term", "code", 36), ("term", "A", 6), ("term", "A", 41), ("empty", "x", 45)}
+    assert {(r.kind, r.value, r.start) for r in found} == want
+    assert all(rows.first().text[r.start : r.end] == r.value for r in found)
+    redacted = pii.redact(rows, b"k", "id", rules=rules, names=names).filter("id = 1").first().redacted
+    assert "Ann" not in redacted and "A-12" not in redacted and "张三说" in redacted
+    assert pii.with_hits(rows, names=names, strict=False).count() == 3
+
+
+def test_names_pattern_has_no_limit(spark):
+    from tracelake.functions.lookup import names_pattern
+
+    names = [f"name{i}" for i in range(30_000)]
+    assert re.findall(names_pattern(names), "name7 name29999x name30000") == ["name7", "name29999", "name3000"]
+
+
+def test_tool_calls_of_all_shapes(spark):
+    import json
+
+    from tracelake.operators.toolcalls import tool_calls
+
+    cases = [
+        ({"choices": [{"message": {"content": "x"}}, {"index": 1, "message": {"tool_calls": [{"id": "c", "function": {"name": "bash", "arguments": {"a": 1}}}, {"function": {"name": "b"}}]}}]}, [(65536, "c", "bash", '{"a":1}', False), (65537, "call_stable_65537", "b", "", True)]),
+        ({"choices": [{"delta": {"function_call": {"name": "old", "arguments": "{}"}, "custom_tool_call": [{"call_id": "q", "tool_name": "t", "input": "i"}, {}]}}]}, [(0, "call_stable_0", "old", "{}", True), (0, "q", "t", "i", False)]),
+        ({"type": "content_block_start", "index": 2, "content_block": {"type": "tool_use", "id": "t1", "name": "bash", "input": {}}}, [(2, "t1", "bash", "", False)]),
+        ({"type": "content_block_delta", "index": 2, "delta": {"type": "input_json_delta", "partial_json": '{"a"'}}, [(2, "call_stable_2", None, '{"a"', True)]),
+        ({"type": "content_block_delta", "index": 0, "delta": {"type": "text_delta", "text": "hello"}}, []),
+        ({"content": [{"type": "text", "text": "x"}, {"type": "tool_use", "id": "t1", "name": "bash", "input": {"cmd": "rm -rf /"}}]}, [(1, "t1", "bash", '{"cmd":"rm -rf /"}', False)]),
+        ({"type": "response.function_call_arguments.done", "item_id": "i1", "output_index": 3, "arguments": "{}", "name": "f"}, [(3, "i1", "f", "{}", False)]),
+        ({"type": "response.shell_call_command.done", "output_index": 1, "command": "ls"}, [(1, "call_stable_1", "shell", "ls", True)]),
+        ({"type": "response.web_search_call.completed", "item_id": "w", "action": {"query": "q"}}, [(0, "w", "web_search", "q", False)]),
+        ({"type": "response.output_item.added", "output_index": 4, "item": {"type": "file_search_call", "id": "k"}}, [(4, "k", "file_search", "", False)]),
+        ({"output": [{"type": "message", "content": []}, {"type": "function_call", "call_id": "k", "name": "web", "arguments": "{}"}]}, [(1, "k", "web", "{}", False)]),
+        ({}, []),
+    ]
+    frame = spark.createDataFrame([(i, json.dumps(b)) for i, (b, _) in enumerate(cases)] + [(98, "no json"), (99, None)], "i int, b string")
+    got = {r.i: r.c and [tuple(c) for c in r.c] for r in frame.select("i", tool_calls(F.col("b")).alias("c")).collect()}
+    assert got == {**{i: want for i, (_, want) in enumerate(cases)}, 98: [], 99: None}

@@ -4,22 +4,30 @@ from __future__ import annotations
 
 import re
 from functools import reduce
-from itertools import groupby
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Names that one pattern may hold.
-MOST_NAMES = 5_000
-
 
 def names_pattern(names: list[str]) -> str:
-    """One pattern for all names, longer ones first, grouped by their first character."""
-    distinct = sorted({n for n in names if n}, key=lambda n: (n[0], -len(n), n))
-    if len(distinct) > MOST_NAMES:
-        raise ValueError(f"more than {MOST_NAMES} names")
-    by_first = (f"{re.escape(c)}(?:{'|'.join(re.escape(n[1:]) for n in same)})" for c, same in groupby(distinct, key=lambda n: n[0]))
-    return "|".join(by_first) or r"(?!)"
+    """One pattern for all names, however many: a tree by their characters, longer names first."""
+    tree: dict = {}
+    for name in names:
+        node = tree
+        for c in name:
+            node = node.setdefault(c, {})
+        if name:
+            node[""] = {}
+
+    def written(node: dict) -> str:
+        prefix = ""
+        while len(node) == 1 and "" not in node:  # no fork: spare a group
+            c, node = next(iter(node.items()))
+            prefix += re.escape(c)
+        forks = [re.escape(c) + written(below) for c, below in sorted(node.items()) if c]
+        return prefix + (("(?:" + "|".join(forks) + ")" + ("?" if "" in node else "")) if forks else "")
+
+    return written(tree) if tree else r"(?!)"
 
 
 def dictionary_hits(text: Column, names: list[str]) -> Column:

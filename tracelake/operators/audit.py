@@ -9,6 +9,9 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from ..functions.scan import let
+from ..functions.shell import canonical, chain, path_words
+
 #: Reasons, in the wording of the audit log.
 R_DENY, R_PIPE, R_PATH, R_SEND = "deny 名单精确匹配", "危险 shell: 网络拉取管道进解释器", "敏感路径写入", "网络外传"
 #: Substrings that are dangerous wherever they stand, in order.
@@ -44,32 +47,15 @@ def _word(command: Column, word: str, then: str = "") -> Column:
     return command.rlike(f"{_BEFORE}{word}{_AFTER}{then}")
 
 
-def canonical(args: Column) -> Column:
-    """One line without escapes, doubled blanks, command folders and common aliases."""
-    steps = (
-        (r"\\[nt]", " "),
-        (r"(?U)\s+", " "),
-        (r"^ | $", ""),
-        (r"(^|[\s;|&()])/bin/([\w.-]+)", "$1$2"),
-        (r"^ll(?=\s|$)", "ls -l"),
-        (r"^la(?=\s|$)", "ls -a"),
-        (r"^please(?=\s|$)", "sudo"),
-        (r"(^|[\s;|&])find ([^;|&]*?) ?--?delete(?=$|[\s;|&])", "$1rm -rf $2"),
-    )
-    return reduce(lambda c, s: F.regexp_replace(c, F.lit(s[0]), F.lit(s[1])), steps, args)
-
-
-def chain(command: Column) -> Column:
-    """Commands between ``;``, ``&&``, ``||`` and ``|``; quoted separators do not cut."""
-    piece = r"(?:'[^']*'?|\"(?:\\.|[^\"\\])*\"?|[^;|&'\"]|&(?!&))+"
-    found = F.transform(F.regexp_extract_all(command, F.lit(piece), F.lit(0)), lambda p: F.trim(p))
-    return F.filter(found, lambda p: p != "")
+def _after(command: Column, word: str) -> Column:
+    """What follows the first such word; empty if there is none.  Later ones have less behind them."""
+    return F.regexp_extract(command, f"(?s){_BEFORE}{word}{_AFTER}(.*)", 1)
 
 
 def target_host(args: Column) -> Column:
     """Host of the first URL, or of the first bare target of a network command; empty if none."""
     url = F.regexp_extract(args, r"https?://([^/\s\"']+)", 1)
-    bare = F.regexp_extract(args, r"(?:^|[^0-9A-Za-z])(?:curl|wget|nc|ncat|telnet)\s+(?:-\S+\s+)*[\"']?((?:[\w-]+\.)+[\w-]+(?::\d+)?|localhost)", 1)
+    bare = F.regexp_extract(args, r"(?:^|[^0-9A-Za-z])(?:curl|wget|nc|ncat|telnet)\s+(?:-\S++\s++)*+[\"']?([\w-]++(?:\.[\w-]++)++(?::\d+)?|localhost)", 1)
     return F.when(url != "", url).otherwise(bare)
 
 
@@ -84,54 +70,66 @@ def _piped(command: Column) -> Column:
 
 
 def _touches(command: Column, policy: Policy) -> Column:
+    """Whether a path of the command begins with a sensitive one, once ``..`` is taken out."""
     paths = [p.lower() for p in (*SENSITIVE, *policy.paths) if p]
-    at = [command.contains(f" {p}") | command.contains(f">{p}") | command.startswith(p) | command.contains(f"\"{p}") | command.contains(f"'{p}") for p in paths]
-    return reduce(lambda a, b: a | b, at)
+    low = F.lower(command)
+    named = F.exists(path_words(command), lambda w: reduce(lambda a, b: a | b, [w.startswith(p) for p in paths]))
+    marked = [low.contains(mark + p) for p in paths for mark in (">", "> ", '"', "'")]
+    return named | reduce(lambda a, b: a | b, marked)
 
 
 def _command_reason(segment: Column, policy: Policy, internal: Column) -> Column:
-    low = F.lower(segment)
+    return let(F.lower(segment), lambda low: _reason_of(segment, low, policy, internal))
+
+
+def _reason_of(segment: Column, low: Column, policy: Policy, internal: Column) -> Column:
     shell = lambda text: F.lit(f"危险 shell: {text}")
     rules: list[tuple[Column, Column]] = [(low.contains(x), F.lit(f"命中自定义策略子串: {x}")) for x in policy.block if x]
     rules += [(low.contains(x), shell(why)) for x, why in SUBSTRINGS]
     rules += [(_word(low, w), shell(why)) for w, why in WORDS]
     dirs = "(?:" + "|".join(SYSTEM_DIRS) + ")"
+    flags = F.regexp_extract_all(low, F.lit(rf"{_BEFORE}rm{_AFTER}((?:\s++-\S++)*+)"), F.lit(1))
     rules += [
-        (_word(low, "rm", r"(?=(?:\s+-\S+)*?\s+-\S*r)(?=(?:\s+-\S+)*?\s+-\S*f)"), shell("rm -rf 递归强制删除")),
-        (_word(low, "base64", r".*\s(?:-d|--decode)(?=\s|$)"), shell("base64 解码")),
-        (_word(low, "openssl", r".*\s(?:-d|-decode|-decrypt|decode|decrypt)(?=\s|$)"), shell("openssl 解码")),
-        (_word(low, "chmod", rf"(?:\s+-\S+)*\s+\d{{3,4}}(?:\s+-\S+)*\s+{dirs}"), shell("chmod 系统目录")),
-        (_word(low, "chown", rf"(?:\s+-\S+)*\s+[^\s-]\S*(?:\s+-\S+)*\s+{dirs}"), shell("chown 系统目录")),
+        (F.exists(flags, lambda x: x.rlike(r"\s-\S*r") & x.rlike(r"\s-\S*f")), shell("rm -rf 递归强制删除")),
+        (_after(low, "base64").rlike(r"\s(?:-d|--decode)(?=\s|$)"), shell("base64 解码")),
+        (_after(low, "openssl").rlike(r"\s(?:-d|-decode|-decrypt|decode|decrypt)(?=\s|$)"), shell("openssl 解码")),
+        (_word(low, "chmod", rf"(?:\s++-\S++)*+\s++\d{{3,4}}(?:\s++-\S++)*+\s++{dirs}"), shell("chmod 系统目录")),
+        (_word(low, "chown", rf"(?:\s++-\S++)*+\s++[^\s-]\S*+(?:\s++-\S++)*+\s++{dirs}"), shell("chown 系统目录")),
         ((low.contains("curl") | low.contains("wget")) & _piped(low), F.lit(R_PIPE)),
-        ((low.contains(">") | reduce(lambda a, b: a | b, [_word(low, w) for w in WRITE_WORDS])) & _touches(low, policy), F.lit(R_PATH)),
+        ((low.contains(">") | reduce(lambda a, b: a | b, [_word(low, w) for w in WRITE_WORDS])) & _touches(segment, policy), F.lit(R_PATH)),
     ]
-    fetch = "|".join(("https?://", "ftp://", "-o ", "--output", ">", r"(?:^|\s)[\"']?(?:[\w-]+\.)+[\w-]+", "localhost"))
+    fetch = "|".join(("https?://", "ftp://", "-o ", "--output", ">", r"(?:^|\s)[\"']?[\w-]++(?:\.[\w-]++)++", "localhost"))
     send = (
         low.rlike(r"(?:scp|rsync|sftp|ftp) |/dev/tcp/") | reduce(lambda a, b: a | b, [_word(low, w) for w in ("telnet", "ssh", "nc", "ncat")])
-        | (low.contains("curl") & low.rlike(r"--data| -d ")) | (low.contains("wget") & low.contains("--post-data")) | _word(low, "(?:curl|wget)", rf".*(?:{fetch})")
+        | (low.contains("curl") & low.rlike(r"--data| -d ")) | (low.contains("wget") & low.contains("--post-data")) | _after(low, "(?:curl|wget)").rlike(fetch)
     )
     rules.append((send & ~internal, F.lit(R_SEND)))
     return F.coalesce(*[F.when(hit, why) for hit, why in rules])
 
 
 def danger_reason(tool: Column, args: Column, policy: Policy = Policy()) -> Column:
-    """Why a call is dangerous, or null."""
-    text = canonical(F.coalesce(args, F.lit("")))
-    name, low = F.lower(F.coalesce(tool, F.lit(""))), F.lower(text)
-    internal = is_internal(target_host(F.coalesce(args, F.lit(""))), policy.internal)
-    joined = F.when(name.isin(*SHELL_TOOLS), text).otherwise(F.concat_ws(" ", tool, text))
-    reasons = F.filter(F.transform(chain(joined), lambda s: _command_reason(canonical(s), policy, internal)), lambda r: r.isNotNull())
-    extra = [
-        F.when(F.lower(F.concat_ws(" ", tool, text)).contains(p.lower()) & (~internal if network else F.lit(True)), F.lit(why))
-        for p, why, network in policy.dangerous if p
-    ]
-    return F.coalesce(
-        F.when(tool.isin(*policy.deny), F.lit(R_DENY)) if policy.deny else F.lit(None).cast("string"),
-        F.when((low.contains("curl") | low.contains("wget")) & _piped(low), F.lit(R_PIPE)),
-        *extra,
-        F.when(name.isin(*WRITE_TOOLS) & _touches(F.concat(F.lit(" "), low), policy), F.lit(R_PATH)),
-        F.get(reasons, 0),
-    )
+    """Why a call is dangerous, or null.  Linear in the length of the arguments."""
+    given = F.coalesce(args, F.lit(""))
+    named = F.coalesce(tool, F.lit(""))
+
+    def judged(text: Column, internal: Column) -> Column:
+        name, low = F.lower(named), F.lower(text)
+        joined = F.when(name.isin(*SHELL_TOOLS), text).otherwise(F.concat_ws(" ", tool, text))
+        reasons = F.filter(F.transform(chain(joined), lambda s: let(canonical(s), lambda c: _command_reason(c, policy, internal))), lambda r: r.isNotNull())
+        extra = [
+            F.when(F.lower(F.concat_ws(" ", tool, text)).contains(p.lower()) & (~internal if network else F.lit(True)), F.lit(why))
+            for p, why, network in policy.dangerous if p
+        ]
+        return F.coalesce(
+            F.when(tool.isin(*policy.deny), F.lit(R_DENY)) if policy.deny else F.lit(None).cast("string"),
+            F.when((low.contains("curl") | low.contains("wget")) & _piped(low), F.lit(R_PIPE)),
+            *extra,
+            F.when(name.isin(*WRITE_TOOLS) & _touches(text, policy), F.lit(R_PATH)),
+            F.get(reasons, 0),
+        )
+
+    inside = let(target_host(given), lambda host: is_internal(host, policy.internal))
+    return let(F.struct(canonical(given).alias("text"), inside.alias("internal")), lambda x: judged(x["text"], x["internal"]))
 
 
 def verdict(mode: str, reason: Column, approvers: tuple[str, ...] = ()) -> Column:

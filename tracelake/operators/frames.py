@@ -33,27 +33,32 @@ def restore_frames(frames: DataFrame, placeholders: DataFrame) -> DataFrame:
     placeholders stay.  The texts of a stream's frames, one after the other, are those of the
     restored whole text.
     """
-    maps = placeholders.select(F.col("stream").alias("_s"), F.to_json("placeholders").alias("known"))
-    rows = frames.select("stream", "seq", "delta").join(maps, F.col("stream") == F.col("_s"), "left").drop("_s")
+    # The map goes once, as a row before the first frame of its stream.
+    absent = F.lit(None).cast("string").alias
+    streams = frames.select("stream").distinct()
+    maps = placeholders.select("stream", F.lit(0).alias("_k"), F.lit(None).cast(frames.schema["seq"].dataType).alias("seq"), absent("delta"), F.to_json("placeholders").alias("known"))
+    rows = frames.select("stream", F.lit(1).alias("_k"), "seq", "delta", absent("known")).unionByName(maps.join(streams, "stream", "left_semi"))
 
     def start() -> dict:
         return {"held": "", "known": None}
 
     def step(s: dict, row: dict) -> tuple:
-        if s["known"] is None:
+        if row["_k"] == 0:
             s["known"] = json.loads(row["known"] or "{}")
+            return None
         text = s["held"] + (row["delta"] or "")
         whole_end = max((m.end() for m in _WHOLE.finditer(text)), default=0)
         begun = _BEGUN.search(text, max(whole_end, len(text) - CARRY))
         at = begun.start() if begun else len(text)
         s["held"] = text[at:]
-        return row["stream"], row["seq"], _WHOLE.sub(lambda m: s["known"].get(m[0], m[0]), text[:at])
+        known = s["known"] or {}
+        return row["stream"], row["seq"], _WHOLE.sub(lambda m: known.get(m[0], m[0]), text[:at])
 
     def last(stream: Any, s: dict) -> tuple:
         return stream, None, s["held"]
 
     kind = frames.schema["stream"].dataType.simpleString().replace("bigint", "long")
-    return fold_sorted(rows, "stream", ("seq",), f"stream {kind}, seq long, text string", start, step, last)
+    return fold_sorted(rows, "stream", ("_k", "seq"), f"stream {kind}, seq long, text string", start, step, last)
 
 
 def held_calls(frames: DataFrame, mode: str = "block", policy: Policy = Policy(), approvers: tuple[str, ...] = ()) -> DataFrame:
