@@ -8,12 +8,13 @@ from pyspark.sql import functions as F
 #: Weights of the seventeen digits and the check characters of an identity number.
 ID_WEIGHTS = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
 ID_CHECKS = "10X98765432"
-#: Beginnings of IPv4 addresses that are reserved.
+#: Beginnings of IPv4 addresses that are reserved; "172.2" also covers 172.2 and 172.200 to 172.255.
 RESERVED_V4 = (
-    "10. 192.168. 192.88.99. 127. 169.254. 192.0.0. 192.0.2. 198.51.100. 203.0.113. 198.18. 198.19. 0."
-).split()
+    "10.", "172.16.", "172.17.", "172.18.", "172.19.", "172.2", "172.30.", "172.31.", "192.168.", "192.88.99.", "127.", "169.254.", "192.0.0.", "192.0.2.", "198.51.100.",
+    "203.0.113.", "198.18.", "198.19.", "0.",
+)
 #: Beginnings of IPv6 addresses that are reserved.
-RESERVED_V6 = ":: fe80: fe9 fea feb fc fd ff 2001:db8: 64:ff9b:".split()
+RESERVED_V6 = ("::", "fe80:", "fe9", "fea", "feb", "fc", "fd", "ff", "2001:db8:", "64:ff9b:")
 IP_TAIL = ".,;)]}"
 
 
@@ -51,7 +52,7 @@ def ipv4_reserved(value: Column) -> Column:
     prefixed = F.lit(False)
     for p in RESERVED_V4:
         prefixed = prefixed | clean.startswith(p)
-    shared = ((first == 172) & second.between(16, 31)) | ((first == 100) & second.between(64, 127)) | (first >= 224)
+    shared = ((first == 100) & second.between(64, 127)) | (first >= 224)
     return F.coalesce(ipv4_ok(clean) & (prefixed | shared), F.lit(False))
 
 

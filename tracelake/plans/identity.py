@@ -26,10 +26,7 @@ def _sessions(s, d):
 
 QUERIES = {
     "session_priority": _sessions,
-    "session_digest": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", identity.session_digest(KEY, "session-v1", F.col("role"), F.col("text")).alias("session_id")),
     "first_user_and_system": lambda s, d: identity.first_texts(table(s, d, "conversations")),
-    "caller_resolution": lambda s, d: identity.resolve_callers(frame(s, "caller_path string, caller_hash string", CALLS), frame(s, _CALLERS, CALLERS), NOW),
-    "authorization_expiring": lambda s, d: identity.expiring_soon(frame(s, _CALLERS, CALLERS), NOW),
     "latest_event_per_user": lambda s, d: identity.latest_state(table(s, d, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id"),
 }
 _RAW = "coalesce(nullif(trim(header), ''), nullif(trim(conversation), ''), nullif(trim(prompt_cache_key), ''), nullif(trim(usr), ''))"
@@ -40,7 +37,5 @@ ORACLE_SQL = {
       FROM {values_sql('id, header, conversation, prompt_cache_key, usr', SESSIONS)}""",
     "first_user_and_system": """SELECT conv_id, min_by(text, turn) FILTER (WHERE role = 'system') AS system_text, min_by(text, turn) FILTER (WHERE role = 'user') AS first_user_text,
       count(*) AS turns FROM conversations GROUP BY conv_id""",
-    "authorization_expiring": f"""SELECT caller_path, CAST(a + t AS BIGINT) AS expires_at FROM {values_sql('caller_path, h, revoked, enabled, o, oe, a, t', CALLERS)}
-      WHERE enabled AND NOT revoked AND t > 0 AND a + t > {NOW} AND a + t <= {NOW + 86_400}""",
     "latest_event_per_user": "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
 }
