@@ -34,31 +34,6 @@ def merge_usage(events: DataFrame, key: str, usage_column: str = "usage") -> Dat
     )
 
 
-_CHAT = "array<struct<index:int,id:string,function:struct<name:string,arguments:string>,custom:struct<name:string,input:string>>>"
-_BLOCKS = "array<struct<type:string,id:string,call_id:string,name:string,input:string,arguments:string>>"
-
-
-def tool_calls(body: Column) -> Column:
-    """(index, id, name, args, id_synth) of every tool call in a complete response, in order."""
-    chat = F.concat(*[
-        F.coalesce(F.from_json(F.get_json_object(body, p), _CHAT), F.from_json(F.lit("[]"), _CHAT)) for p in ("$.choices[0].message.tool_calls", "$.choices[0].delta.tool_calls")
-    ])
-    blocks = F.concat(*[F.coalesce(F.from_json(F.get_json_object(body, p), _BLOCKS), F.from_json(F.lit("[]"), _BLOCKS)) for p in ("$.content", "$.output")])
-    wanted = F.filter(blocks, lambda b: b["type"].isin("tool_use", "function_call", "custom_tool_call"))
-
-    def call(index: Column, given: Column, name: Column, args: Column) -> Column:
-        blank = F.coalesce(F.trim(given) == "", F.lit(True))
-        number = index.cast("long")
-        synthetic = F.concat(F.lit("call_stable_"), number.cast("string"))
-        return F.struct(
-            number.alias("index"), F.when(blank, synthetic).otherwise(given).alias("id"), name.alias("name"), F.coalesce(args, F.lit("")).alias("args"), blank.alias("id_synth")
-        )
-
-    one = F.transform(chat, lambda c, i: call(F.coalesce(c["index"], i), c["id"], F.coalesce(c["function"]["name"], c["custom"]["name"]), F.coalesce(c["function"]["arguments"], c["custom"]["input"])))
-    two = F.transform(wanted, lambda b, i: call(i, F.coalesce(b["call_id"], b["id"]), b["name"], F.coalesce(b["arguments"], b["input"])))
-    return F.concat(one, two)
-
-
 def conversation_id(body: Column) -> Column:
     """First identifier that the payload offers."""
     paths = ("$.id", "$.response.id", "$.data.id", "$.data.response.id", "$.message.id", "$.error.id")
@@ -70,7 +45,7 @@ def archived_id(body: Column) -> Column:
 
 
 def finish_reason(body: Column) -> Column:
-    return F.coalesce(*[F.get_json_object(body, p) for p in ("$.choices[0].finish_reason", "$.delta.stop_reason", "$.stop_reason", "$.response.status", "$.status")])
+    return F.coalesce(*[F.get_json_object(body, p) for p in ("$.choices[0].finish_reason", "$.choices[1].finish_reason", "$.delta.stop_reason", "$.stop_reason", "$.response.status", "$.status")])
 
 
 def stream_model(body: Column) -> Column:

@@ -6,12 +6,8 @@ from pyspark.sql import functions as F
 
 from ..operators import frames, pii
 from ..sources.driver_tables import REQUESTS_SQL, requests, table
-from .redaction import SALT
-from .values import frame
+from .redaction import RESTORED_SQL, SALT
 
-CALLS = [
-    (1, 0, 1, "bash", "rm -"), (1, 0, 3, None, "build"), (1, 0, 2, None, "rf "), (1, 0, 2, None, "rf "), (1, 1, 4, "bash", "ls"), (2, 0, 1, None, '{"a"'), (2, 0, 2, "read", ":1}"),
-]
 
 
 def _redacted(s, d):
@@ -24,31 +20,45 @@ def _stitched(s, d):
     cut = rows.select("stream", F.posexplode(F.regexp_extract_all("redacted", F.lit(r"(?s).{1,17}"), F.lit(0))).alias("seq", "delta"))
     whole = frames.restore_frames(cut, rows).groupBy("stream").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("seq", F.lit((1 << 62))).alias("seq"), "text"))).alias("f"))
     text = whole.select(F.col("stream").alias("s"), F.array_join(F.transform("f", lambda x: x["text"]), "").alias("joined"))
-    compared = rows.join(text, F.col("stream") == F.col("s"), "left")
-    return compared.groupBy(F.coalesce("joined", F.lit("")).eqNullSafe(F.coalesce("text", F.lit(""))).alias("same")).agg(F.count("*").alias("documents"))
+    return rows.join(text, F.col("stream") == F.col("s"), "left").select(
+        F.col("stream").alias("doc_id"), F.size("placeholders").cast("bigint").alias("placeholders"), F.sha2(F.coalesce("joined", F.lit("")), 256).alias("restored")
+    )
 
 
 def _json_restored(s, d):
     rows = _redacted(s, d).withColumn("body", F.to_json(F.struct(F.array("redacted").alias("content"), F.to_json(F.struct(F.col("redacted").alias("t"))).alias("inner"))))
     body = frames.restore_json(F.col("body"), F.col("placeholders"))
-    back = rows.select("text", body.alias("body"))
-    same = F.get_json_object("body", "$.content[0]").eqNullSafe(F.col("text")) & F.get_json_object(F.get_json_object("body", "$.inner"), "$.t").eqNullSafe(F.col("text"))
-    return back.groupBy(same.alias("same")).agg(F.count("*").alias("documents"))
+    back = rows.select("stream", "text", "placeholders", body.alias("body"))
+    inner = F.get_json_object(F.get_json_object("body", "$.inner"), "$.t")
+    return back.select(
+        F.col("stream").alias("doc_id"), F.size("placeholders").cast("bigint").alias("placeholders"),
+        F.sha2(F.coalesce(F.get_json_object("body", "$.content[0]"), F.lit("")), 256).alias("restored"), F.sha2(F.coalesce(inner, F.lit("")), 256).alias("inner"),
+    )
+
+
+def _held(s, d):
+    """Calls of three fragments for each nation; every second one removes files."""
+    n = F.col("n_nationkey")
+    parts = table(s, d, "nation").select(F.col("n_regionkey").cast("long").alias("stream"), n.cast("long").alias("index"), F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("seq"))
+    i = F.col("index")
+    args = F.when(F.col("seq") == 0, "rm ").when(F.col("seq") == 1, F.when(i % 2 == 0, "-rf ").otherwise("-i ")).otherwise(F.concat(F.lit("f"), i))
+    return frames.held_calls(parts.select("stream", "index", "seq", F.when(F.col("seq") == 0, "bash").alias("name"), args.alias("args")))
 
 
 QUERIES = {
     "restore_frames_round_trip": _stitched,
     "restore_json_round_trip": _json_restored,
-    "held_calls": lambda s, d: frames.held_calls(frame(s, "stream long, index long, seq long, name string, args string", CALLS)),
+    "held_calls": _held,
     "idle_sessions": lambda s, d: frames.idle_sessions(requests(s, d).filter("session_id is not null"), "session_id", "ts_secs", 86_400),
     "most_concurrent": lambda s, d: frames.most_concurrent(requests(s, d).withColumn("end_secs", F.col("ts_secs") + F.col("latency_ms") + 1), "model", "ts_secs", "end_secs"),
     "canonical_json": lambda s, d: table(s, d, "events").select("event_id", frames.canonical_json(F.concat(F.lit('{"z": 1, "p": '), F.col("props"), F.lit("}"))).alias("body")),
 }
 _LOG = f"WITH {REQUESTS_SQL.strip()}"
-_ALL_SAME = "SELECT true AS same, count(*) AS documents FROM documents"
 ORACLE_SQL = {
-    "restore_frames_round_trip": _ALL_SAME,
-    "restore_json_round_trip": _ALL_SAME,
+    "restore_frames_round_trip": RESTORED_SQL,
+    "restore_json_round_trip": f"SELECT *, restored AS inner FROM ({RESTORED_SQL})",
+    "held_calls": """SELECT CAST(n_regionkey AS BIGINT) AS stream, CAST(n_nationkey AS BIGINT) AS index, 'bash' AS name, 'rm ' || CASE WHEN n_nationkey % 2 = 0 THEN '-rf ' ELSE '-i ' END || 'f' || n_nationkey AS args,
+        CASE WHEN n_nationkey % 2 = 0 THEN '危险 shell: rm -rf 递归强制删除' END AS reason, CASE WHEN n_nationkey % 2 = 0 THEN 'block' ELSE 'allow' END AS verdict, CASE WHEN n_nationkey % 2 = 1 THEN CAST(2 AS BIGINT) END AS released_at FROM nation""",
     "idle_sessions": f"""{_LOG}, n AS (SELECT session_id, ts_secs, sum(opens) OVER (PARTITION BY session_id ORDER BY ts_secs RANGE UNBOUNDED PRECEDING) AS session
         FROM (SELECT session_id, ts_secs, CASE WHEN ts_secs - lag(ts_secs) OVER (PARTITION BY session_id ORDER BY ts_secs) <= 86400 THEN 0 ELSE 1 END AS opens FROM requests WHERE session_id IS NOT NULL))
       SELECT session_id, CAST(session AS BIGINT) AS session, min(ts_secs) AS first_ts, max(ts_secs) AS last_ts, count(*) AS requests FROM n GROUP BY 1, 2""",

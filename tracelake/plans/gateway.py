@@ -2,14 +2,13 @@
 
 from __future__ import annotations
 
-import hashlib
-
 from pyspark.sql import functions as F
 
 from ..functions import bodies, text, validators
 from ..functions.timewin import window_key
 from ..operators import access, admin, identity, traffic
 from ..sources.driver_tables import NOW, REQUESTS_SQL, requests, table
+from .values import hmac_sql
 
 KEY = b"fixed key of the gateway queries"
 WORDS = ("allow", " Allowed", "pass", "approved", "block", "blocked", "deny", "rejected", "need_approval", "pending", "approval", "other", "")
@@ -27,13 +26,6 @@ def _pick_sql(words: tuple[str, ...], column: str) -> str:
     return "list_extract([" + ", ".join("'" + w.replace("'", "''") + "'" for w in words) + f"], CAST({column} % {len(words)} + 1 AS BIGINT))"
 
 
-def hmac_sql(key: bytes, message: str) -> str:
-    """HMAC-SHA256 of a text, in SQL."""
-    block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
-    inner, outer = (bytes(b ^ pad for b in block).hex() for pad in (0x36, 0x5C))
-    return f"sha256(unhex('{outer}') || unhex(sha256(unhex('{inner}') || encode({message}))))"
-
-
 def _events(s, d):
     e = table(s, d, "events")
     return e.select(F.col("event_id").alias("id"), F.expr("timestampdiff(SECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', ts)").alias("ts_secs"), F.col("event_type").alias("kind"), "user_id", "props")

@@ -5,23 +5,18 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import identity
-from ..sources.driver_tables import NOW, table
-from .values import frame, values_sql
+from ..sources.driver_tables import table
 
-KEY = b"fixed key of the driver queries"
-SESSIONS = [(1, "h", "c", None, "u"), (2, " ", "c", None, "u"), (3, None, None, "k", "u"), (4, None, "", None, "u"), (5, None, None, None, None)]
-CALLERS = [
-    ("/a", "h1", False, True, "h0", NOW + 10, NOW - 3_600, 7_200), ("/b", "h2", True, False, None, None, None, None), ("/c", "h3", False, True, "h9", NOW - 1, NOW - 10, 0),
-    ("/d", "h3", True, True, None, None, NOW - 100, 200_000), ("/e", "h5", False, True, None, None, NOW - 100, 86_000),
-]
-CALLS = [("/a", "h1"), ("/a", "h0"), ("/a", "zz"), ("/b", "h2"), ("/c", "h9"), ("/x", "h3"), ("/x", "h2"), ("/x", "nope")]
-_CALLERS = "caller_path string, expected_hash string, revoked boolean, enabled boolean, old_hash string, old_hash_expires_at long, authorized_at long, authorized_ttl_secs long"
 
 
 def _sessions(s, d):
-    rows = frame(s, "id long, header string, conversation string, prompt_cache_key string, user string", SESSIONS)
-    value, source, scope = identity.session_source({c: F.col(c) for c in ("header", "conversation", "prompt_cache_key", "user")})
-    return rows.select("id", value.alias("raw"), source.alias("source"), scope.alias("scope"))
+    i = F.col("event_id")
+    given = {
+        "header": F.when(i % 4 == 0, F.concat(F.lit("h"), i)).when(i % 4 == 1, " "), "conversation": F.when(i % 3 == 0, F.concat(F.lit("c"), i)).when(i % 3 == 1, ""),
+        "prompt_cache_key": F.when(i % 5 == 0, F.concat(F.lit("k"), i)), "user": F.when(i % 7 != 0, F.concat(F.lit("u"), i)),
+    }
+    value, source, scope = identity.session_source(given)
+    return table(s, d, "events").select("event_id", value.alias("raw"), source.alias("source"), scope.alias("scope"))
 
 
 QUERIES = {
@@ -29,12 +24,10 @@ QUERIES = {
     "first_user_and_system": lambda s, d: identity.first_texts(table(s, d, "conversations")),
     "latest_event_per_user": lambda s, d: identity.latest_state(table(s, d, "events").select("event_id", "user_id", "event_type"), "user_id", "event_id"),
 }
-_RAW = "coalesce(nullif(trim(header), ''), nullif(trim(conversation), ''), nullif(trim(prompt_cache_key), ''), nullif(trim(usr), ''))"
 ORACLE_SQL = {
-    "session_priority": f"""SELECT id, {_RAW} AS raw,
-        CASE WHEN trim(header) <> '' THEN 'header' WHEN trim(conversation) <> '' THEN 'conversation' WHEN trim(prompt_cache_key) <> '' THEN 'prompt_cache_key' WHEN trim(usr) <> '' THEN 'user' END AS source,
-        CASE WHEN trim(header) <> '' OR trim(conversation) <> '' OR trim(prompt_cache_key) <> '' THEN 'session' WHEN trim(usr) <> '' THEN 'user' ELSE 'none' END AS scope
-      FROM {values_sql('id, header, conversation, prompt_cache_key, usr', SESSIONS)}""",
+    "session_priority": """SELECT event_id, CASE source WHEN 'header' THEN 'h' || event_id WHEN 'conversation' THEN 'c' || event_id WHEN 'prompt_cache_key' THEN 'k' || event_id WHEN 'user' THEN 'u' || event_id END AS raw, source,
+        CASE WHEN source = 'user' THEN 'user' WHEN source IS NULL THEN 'none' ELSE 'session' END AS scope
+      FROM (SELECT event_id, CASE WHEN event_id % 4 = 0 THEN 'header' WHEN event_id % 3 = 0 THEN 'conversation' WHEN event_id % 5 = 0 THEN 'prompt_cache_key' WHEN event_id % 7 <> 0 THEN 'user' END AS source FROM events)""",
     "first_user_and_system": """SELECT conv_id, min_by(text, turn) FILTER (WHERE role = 'system') AS system_text, min_by(text, turn) FILTER (WHERE role = 'user') AS first_user_text,
       count(*) AS turns FROM conversations GROUP BY conv_id""",
     "latest_event_per_user": "SELECT event_id, user_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) = 1",
