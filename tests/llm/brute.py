@@ -182,3 +182,70 @@ def op10(rows: Rows) -> list[tuple]:
                     labels.add(label)
         out.append((doc_id, len(words), len(places), min(places, default=None), max(places, default=None), ",".join(sorted(labels))))
     return sorted(out)
+
+
+def license_detections(text: str, rules) -> list[tuple[int, int, int, str]]:
+    """(start, end, priority, label) by every rule on the whole text; what lies in another of no lower priority goes."""
+    raw = (text or "").translate(LOWER).encode()
+    found = [(m.start(), m.end(), p, label) for p, label, _, pattern in rules for m in pattern.finditer(raw)]
+    found = sorted(set(found), key=lambda d: (d[0], -d[1], -d[2], d[3]))
+    kept = []
+    for i, d in enumerate(found):
+        inside = [e for j, e in enumerate(found) if e[0] <= d[0] and e[1] >= d[1] and e[2] >= d[2] and (e[:3] != d[:3] or j < i)]
+        if not inside:
+            kept.append(d)
+    return kept
+
+
+def spots(text: str, common: set[str], digest) -> set[tuple[str, ...]]:
+    """(anchor, next two content words): anchors are common words, words with digest 0 and the first word."""
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", (text or "").translate(LOWER))
+    out = set()
+    for i, w in enumerate(words):
+        if i == 0 or w in common or digest(w) % 4 == 0:
+            after = [x for x in words[i + 1 :] if x not in common][:2]
+            out.add((w, *after, *[""] * (2 - len(after))))
+    return out
+
+
+def em(votes, rounds: int = 50):
+    """Posterior of each row of votes (-1, 0, 1) by EM over the rows, with the operator's start and bounds."""
+    import numpy as np
+
+    v = np.array(votes, float)
+    k = v.shape[1]
+    good, bad, prior = np.full(k, 0.95), np.full(k, 0.4), 0.85
+
+    def posterior():
+        z = np.log(prior / (1 - prior)) + (v > 0) @ np.log(good / (1 - bad)) + (v < 0) @ np.log((1 - good) / bad)
+        return 1 / (1 + np.exp(-z))
+
+    for _ in range(rounds):
+        p = posterior()
+        cast = v != 0
+        good_new = (9.5 + p @ (v > 0)) / (10 + p @ cast)
+        bad_new = (4 + (1 - p) @ (v < 0)) / (10 + (1 - p) @ cast)
+        prior = min(0.98, max(0.02, p.mean()))
+        good = np.clip(good_new, 0.55, 0.999)
+        bad = np.minimum(0.999, np.maximum(1.5 * (1 - good), bad_new))
+    return posterior()
+
+
+def without_repeats(rows: Rows, length: int = 200) -> list[tuple]:
+    """Texts without characters all of whose bytes lie in a string that starts twice."""
+    data = [(t or "").encode() for _, t in rows]
+    count = Counter(d[i : i + length] for d in data for i in range(len(d) - length + 1))
+    out = []
+    for (doc_id, text), d in zip(rows, data):
+        gone = bytearray(len(d))
+        for i in range(len(d) - length + 1):
+            if count[d[i : i + length]] > 1:
+                gone[i : i + length] = b"\x01" * length
+        at, kept = 0, []
+        for c in text or "":
+            n = len(c.encode())
+            if not all(gone[at : at + n]):
+                kept.append(c)
+            at += n
+        out.append((doc_id, "".join(kept)))
+    return out

@@ -404,3 +404,90 @@ def test_word_tokenizer_agrees_with_the_library_on_odd_texts_and_a_full_memo():
         part = texts[low : low + 100]
         for text, ids in zip(part, words.texts_ids(pa.array(part, pa.string()))):
             assert ids.tolist() == plain.encode(text or "", add_special_tokens=False).ids
+
+
+def test_op10_suppression_against_every_rule_on_every_text(spark, sf_dir, rows):
+    texts = [t for _, t in rows[:60]] + [
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use it. SPDX-License-Identifier: Apache-2.0", "the MIT license; under the MIT license. MIT licensed", None, "",
+        "Copyright (c) 2019 A. All rights reserved. Neither the name of the Acme Corp. nor the names of its contributors may be used to endorse", "GNU General Public License, either version 2 of the License, GPL v3 or later",
+        "https://creativecommons.org/licenses/by-nc-sa/4.0/ and creative commons attribution-noncommercial sharealike 4.0",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    base = {r[0]: set(filter(None, r[5].split(","))) for r in brute.op10(list(enumerate(texts)))}
+    for r in licenses.license_scan(frame).collect():
+        found = brute.license_detections(texts[r.doc_id], licenses.rules())
+        assert r.labels == ",".join(sorted(base[r.doc_id] | {d[3] for d in found})), texts[r.doc_id]
+        assert r.score == (1.0 if base[r.doc_id] else max([d[2] / 100 for d in found], default=0.0))
+    assert all(needed for _, _, needed, _ in licenses.rules()) and len(licenses.SIGNATURES) > 90
+
+
+def test_op4_likeness_against_brute_force(spark, sf_dir, rows):
+    from tracelake.llm.bradley_terry import FUNCTION_WORDS
+    from tracelake.llm.text import BYTE_VALUE, run_hashes
+
+    def digest(word):
+        raw = np.frombuffer(word.encode(), np.uint8)
+        return int(run_hashes(BYTE_VALUE[raw], np.array([0]), np.array([len(raw)]))[0])
+
+    common = set(FUNCTION_WORDS)
+    order = sorted(rows, key=lambda r: -r[0])
+    got = {r.doc_id: r for r in q.op4_spotsigs(spark, sf_dir).collect()}
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    for i, (doc_id, text) in enumerate(order[:80]):
+        text, after = text or "", order[i + 1][1] or ""
+        n = len(text) // 3
+        own, edited, nxt = (brute.spots(t, common, digest) for t in (text, text[: len(text) - n] + after[:n], after))
+        assert abs(got[doc_id].near_edited - like(own, edited)) < 1e-3 and abs(got[doc_id].near_next - like(own, nxt)) < 1e-3
+        assert len(base64.b64decode(got[doc_id].fingerprint)) == 4 * len(own)
+
+
+def test_op2_posterior_against_em_over_rows(spark, sf_dir):
+    frame = quality_rules.quality_rules(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = frame.collect()
+    names = [c for c in frame.columns if c.startswith("vote_")]
+    some = [r for r in found if r.n_words > 0]
+    for r, p in zip(some, brute.em([[r[n] for n in names] for r in some])):
+        assert abs(r.quality_probability - p) < 1e-6 and r.kept == (not r.base_failed and p >= 0.5)
+
+
+def test_op7_viterbi_against_all_label_sequences():
+    from itertools import product
+
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        n, k = int(rng.integers(1, 5)), 4
+        e, pairs = rng.normal(size=(n, k)), rng.normal(size=(k, k))
+        best = max(product(range(k), repeat=n), key=lambda y: sum(e[i, y[i]] for i in range(n)) + sum(pairs[a, b] for a, b in zip(y, y[1:])))
+        assert tuple(pii_crf.viterbi(e, np.array([0]), np.array([n]), pairs)) == best
+
+
+def test_op9_ranks_held_out_rows_and_never_sees_their_labels(spark):
+    folder = "/root/testdata/sf0.01"
+    if not os.path.isdir(folder):
+        pytest.skip("no larger table here")
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    scores = bradley_terry.quality_scores(docs, labels)
+    held = scores.join(labels, "doc_id").filter("held_out").select("doc_id", "score", "quality", "predicted").collect()
+    good, bad = ([r.score for r in held if r.quality == y] for y in (1, 0))
+    wins = sum((g > b) + 0.5 * (g == b) for g in good for b in bad) / (len(good) * len(bad))
+    assert len(held) > 60 and wins > 0.95 and sum(r.predicted == r.quality for r in held) / len(held) > 0.9
+    flipped = labels.withColumn("quality", F.when(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, 1 - F.col("quality")).otherwise(F.col("quality")))
+    again = bradley_terry.quality_scores(docs, flipped)
+    assert table(again, "doc_id", "score") == table(scores, "doc_id", "score")
+
+
+def test_pipeline_against_brute_force(spark, sf_dir, rows):
+    """All five stages in turn, each on what the brute-force version of its predecessor kept."""
+    from tokenizers import Tokenizer
+
+    pipeline = pytest.importorskip("corpus_pipeline")
+    docs, labels = (spark.read.parquet(f"{sf_dir}/{n}.parquet") for n in ("documents", "labels"))
+    kept = [(r.doc_id, r.text) for r in bradley_terry.quality_scores(docs, labels).filter("accepted").join(docs, "doc_id").collect()]
+    firsts = {i for i, _, c in brute.op1(kept) if i == c}
+    texts = brute.without_repeats([(i, t) for i, t in kept if i in firsts])
+    column = pa.array([t for _, t in texts], pa.large_string())
+    masked = [(i, pii_crf.mask(t, spans)) for (i, _), (t, _, spans) in zip(texts, pii_crf.all_spans(column, pii_crf.default_field()))]
+    want, least = brute.op6(masked, Tokenizer.from_file(WORDS))
+    found = pipeline.run(spark, sf_dir)
+    assert table(found, "doc_id", "piece", "start", "length", "ids_crc32") == want
+    assert found.select("sequence_id").distinct().count() <= brute.best_fit_decreasing([r[3] for r in want], 4096)

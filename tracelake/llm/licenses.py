@@ -1,7 +1,8 @@
 """License scan by ordered signature rules.
 
-A few hundred regexes are made from a table of license names and a table of notice templates.  A
-rule is tried only if all its keywords occur in the text; rules have priorities, and a detection
+The rules are hand-written signatures of license texts, headers and notices, and regexes made from a
+table of license names and a table of notice templates.  A rule is tried only if all its keywords, the
+words that it spells out, occur in the text; rules have priorities, and a detection
 that lies inside another of the same or a higher priority is suppressed.  Three base
 phrases are located word by word on every text, and their labels always stay.
 
@@ -88,36 +89,137 @@ TEMPLATES = (
     (60, "{} license"),
     (60, "license {}"),
 )
-# Single rules (label, priority, words).
-SINGLE_RULES = (
+# Signatures (label, priority, words): a word may be a small regex; at least one word of each is spelt out.
+SIGNATURES = (
     ("mit", 85, "permission is hereby granted free of charge to any person obtaining a copy"),
+    ("mit", 84, "the above copyright notice and this permission notice shall be included in all copies"),
+    ("mit", 82, "the software is provided as is without warranty of any kind express or implied"),
+    ("mit", 72, "mit licen[cs]ed?"),
+    ("mit", 72, "(?:mit|expat) x11 licen[cs]e"),
+    ("mit", 70, "opensource org licenses mit"),
+    ("mit-0", 86, "mit no attribution"),
     ("bsd", 85, "redistribution and use in source and binary forms"),
+    ("bsd", 80, "redistributions of source code must retain the above copyright notice"),
+    ("bsd", 80, "redistributions in binary form must reproduce the above copyright notice"),
+    ("bsd-3", 86, "neither the names? of .{0,80}? nor the names of its contributors may be used to endorse"),
+    ("bsd-4", 86, "all advertising materials mentioning features or use of this software must display"),
+    ("bsd", 70, "opensource org licenses bsd license"),
+    ("bsd-3", 72, "bsd (?:new|modified|revised) licen[cs]e"),
+    ("bsd-2", 72, "(?:freebsd|simplified) license"),
     ("isc", 85, "permission to use copy modify and or distribute this software for any purpose"),
+    ("isc", 72, "(?:isc|openbsd) license"),
+    ("apache-2", 88, "licensed under the apache license version 2 0 the license"),
+    ("apache-2", 84, "you may obtain a copy of the license at http www apache org licenses license 2 0"),
+    ("apache-2", 80, "www apache org licenses license 2 0"),
+    ("apache-2", 80, "unless required by applicable law or agreed to in writing software distributed under the license"),
+    ("apache-2", 72, "(?:asl|apache) (?:licen[cs]e )?v?2(?: 0)? licensed"),
+    ("apache-1", 80, "this product includes software developed by the apache software foundation"),
+    ("apache", 62, "apache software licen[cs]e"),
     ("gpl", 85, "this program is free software you can redistribute it and or modify"),
+    ("gpl", 84, "published by the free software foundation either version"),
+    ("gpl-2", 87, "general public license .{0,60}? either version 2 of the license"),
+    ("gpl-3", 87, "general public license .{0,60}? either version 3 of the license"),
+    ("gpl-2", 84, "general public license version 2 only"),
+    ("gpl", 80, "you should have received a copy of the gnu general public license"),
+    ("gpl", 76, "www gnu org licenses gpl"),
+    ("gpl-2", 78, "gpl (?:v|version )?2(?: 0)? (?:only|or later)"),
+    ("gpl-3", 78, "gpl (?:v|version )?3(?: 0)? (?:only|or later)"),
+    ("gpl-classpath", 88, "linking this library statically or dynamically with other modules"),
+    ("lgpl", 85, "this library is free software you can redistribute it and or modify"),
+    ("lgpl", 80, "you should have received a copy of the gnu lesser general public license"),
+    ("lgpl", 76, "www gnu org licenses lgpl"),
+    ("agpl-3", 85, "gnu affero general public license as published by"),
+    ("agpl-3", 76, "www gnu org licenses agpl"),
+    ("fdl", 84, "copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("fdl", 72, "gnu (?:fdl|free documentation licen[cs]e)"),
+    ("mpl-2", 88, "this source code form is subject to the terms of the mozilla public license"),
+    ("mpl-2", 80, "mozilla org mpl 2 0"),
+    ("mpl-1", 84, "the contents of this file are subject to the mozilla public license"),
+    ("epl-2", 84, "this program and the accompanying materials are made available under the terms of the eclipse public license v? ?2 0"),
+    ("epl-1", 83, "this program and the accompanying materials are made available under the terms of the eclipse public license v? ?1 0"),
+    ("epl", 70, "eclipse org legal epl"),
+    ("cddl", 84, "subject to the terms of the common development and distribution license"),
+    ("zlib", 85, "this software is provided as is without any express or implied warranty in no event will the authors"),
+    ("zlib", 80, "the origin of this software must not be misrepresented"),
+    ("boost", 85, "permission is hereby granted free of charge to any person or organization obtaining a copy"),
+    ("boost", 76, "www boost org license 1 0"),
     ("unlicense", 85, "this is free and unencumbered software released into the public domain"),
-    ("public-domain", 75, "dedicated to the public domain"),
+    ("unlicense", 78, "unlicense org"),
+    ("wtfpl", 84, "you just do what the fuck you want to"),
+    ("artistic-2", 80, "everyone is permitted to copy and distribute verbatim copies of this license document .{0,40}? artistic"),
+    ("perl", 78, "under the same terms as perl itself"),
+    ("python", 80, "psf license agreement for python"),
+    ("python", 72, "python software foundation licen[cs]e"),
+    ("ruby", 72, "ruby(?: s)? license"),
+    ("php", 78, "this source file is subject to version [0-9] [0-9]+ of the php license"),
+    ("postgresql", 78, "postgresql licen[cs]e"),
+    ("openssl", 78, "this product includes software developed by the openssl project"),
+    ("curl", 74, "curl licen[cs]e"),
+    ("json", 86, "the software shall be used for good not evil"),
+    ("beerware", 80, "beer ware license"),
+    ("ms-pl", 76, "microsoft public licen[cs]e"),
+    ("ms-rl", 76, "microsoft reciprocal licen[cs]e"),
+    ("eupl", 80, "licensed under the eupl version"),
+    ("ofl", 84, "this font software is licensed under the sil open font license"),
+    ("ofl", 76, "scripts sil org ofl"),
+    ("odbl", 78, "opendatacommons org licenses odbl"),
+    ("odc-by", 78, "open data commons attribution"),
+    ("cc0", 84, "to the extent possible under law .{0,80}? waived all copyright"),
+    ("cc0", 78, "creativecommons org publicdomain zero"),
+    ("cc-by", 78, "creativecommons org licenses by [0-9]"),
+    ("cc-by-sa", 79, "creativecommons org licenses by sa"),
+    ("cc-by-nd", 79, "creativecommons org licenses by nd"),
+    ("cc-by-nc", 79, "creativecommons org licenses by nc [0-9]"),
+    ("cc-by-nc-sa", 80, "creativecommons org licenses by nc sa"),
+    ("cc-by-nc-nd", 80, "creativecommons org licenses by nc nd"),
+    ("cc-by", 76, "this work is licensed under a creative commons attribution"),
+    ("cc-by-nc", 77, "creative commons .{0,40}? non ?commercial"),
+    ("sspl", 82, "server side public licen[cs]e"),
+    ("busl", 82, "business source licen[cs]e"),
+    ("elastic", 80, "elastic license(?: v?2(?: 0)?)?"),
+    ("commons-clause", 84, "commons clause license condition"),
+    ("rail", 78, "open ?rail(?: m)? licen[cs]e"),
+    ("llama", 76, "llama [0-9](?: [0-9])? community license"),
+    ("public-domain", 75, "(?:dedicated|released|placed|given) (?:in)?to the public domain"),
     ("public-domain", 75, "in the public domain"),
     ("proprietary", 75, "all rights reserved"),
-    ("proprietary", 75, "proprietary and confidential"),
-    ("proprietary", 75, "no part of this publication may be reproduced"),
+    ("proprietary", 76, "proprietary and confidential"),
+    ("proprietary", 76, "unauthori[sz]ed copying of this file via any medium is strictly prohibited"),
+    ("proprietary", 75, "no part of this (?:publication|book|work|document) may be reproduced"),
+    ("proprietary", 74, "(?:licensed|restricted) material(?:s)? property of"),
+    ("proprietary", 74, "for internal use only"),
+    ("evaluation", 74, "for evaluation purposes only"),
+    ("non-commercial", 73, "(?:for|personal) non ?commercial use only"),
+    ("copyright", 40, "copyright (?:c )?(?:19|20)[0-9]{2}"),
 )
 
 
+def _parts(words: str) -> list[str]:
+    """The words of a rule; blanks within brackets do not part words."""
+    return [w for w in re.split(r" (?![^()\[\]{}]*[)\]}])", words) if w]
+
+
+def _spelt(words: str) -> frozenset[bytes]:
+    """The words that a text must hold for the rule to match."""
+    return frozenset(w.encode() for w in _parts(words) if w.isalnum())
+
+
 def _phrase(words: str) -> bytes:
-    return EDGE_LEFT + GAP.join(re.escape(w).encode() for w in words.split()) + EDGE_RIGHT
+    """The rule's regex over bytes: words stand apart; a blank inside a word is a gap as well."""
+    return EDGE_LEFT + GAP.join(w.encode().replace(b" ?", b"(?:" + GAP + b")?").replace(b" ", GAP) for w in _parts(words)) + EDGE_RIGHT
 
 
 @cache
 def rules() -> tuple[tuple[int, str, frozenset[bytes], re.Pattern], ...]:
     """(priority, label, keywords, regex), highest priority first."""
-    made = [(priority, label, words) for label, priority, words in SINGLE_RULES]
+    made = [(priority, label, words) for label, priority, words in SIGNATURES]
     for label, names in LICENSES.items():
         for priority, template in TEMPLATES:
             for name in dict.fromkeys(names):
                 if template != "{} license" or name.split()[-1] != "license":
                     made.append((priority, label, template.format(name)))
     ordered = sorted(dict.fromkeys(made), key=lambda r: (-r[0], -len(r[2]), r))
-    return tuple((p, label, frozenset(w.encode().split()), re.compile(_phrase(w))) for p, label, w in ordered)
+    return tuple((p, label, _spelt(w), re.compile(_phrase(w))) for p, label, w in ordered)
 
 
 @cache
