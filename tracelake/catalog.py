@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from .plans import audit, folds, frames, gateway, identity, metrics, redaction, streams
+from .plans import audit, closing, folds, frames, gateway, identity, metrics, redaction, streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
-for _plan in (metrics, redaction, identity, audit, streams, folds, frames, gateway):
+for _plan in (metrics, redaction, identity, audit, streams, folds, frames, gateway, closing):
     QUERIES.update(_plan.QUERIES)
     ORACLE_SQL.update(_plan.ORACLE_SQL)
