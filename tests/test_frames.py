@@ -24,7 +24,9 @@ def test_restore_frames_at_every_cut(spark):
 
 
 def test_held_calls(spark):
-    from tracelake.plans.frames import CALLS
+    CALLS = [
+        (1, 0, 1, "bash", "rm -"), (1, 0, 3, None, "build"), (1, 0, 2, None, "rf "), (1, 0, 2, None, "rf "), (1, 1, 4, "bash", "ls"), (2, 0, 1, None, '{"a"'), (2, 0, 2, "read", ":1}"),
+    ]
 
     found = {(r.stream, r["index"]): r for r in frames.held_calls(spark.createDataFrame(CALLS, "stream long, index long, seq long, name string, args string")).collect()}
     assert found[1, 0].args == "rm -rf build" and found[1, 0].verdict == "block" and found[1, 0].released_at is None

@@ -102,10 +102,11 @@ def _walk(value: Any, leaf: Callable[[str], str], depth: int) -> Any:
         return [_walk(v, leaf, depth) for v in value]
     if not isinstance(value, str):
         return value
-    return _rewritten(value, leaf, depth - 1) if depth > 0 else leaf(value)
+    return rewritten(value, leaf, depth - 1) if depth > 0 else leaf(value)
 
 
-def _rewritten(text: str, leaf: Callable[[str], str], depth: int = JSON_DEPTH) -> str:
+def rewritten(text: str, leaf: Callable[[str], str], depth: int = JSON_DEPTH) -> str:
+    """A text with ``leaf`` applied to each string and key of the JSON that it is, or to itself."""
     if text.lstrip("﻿ \t\r\n")[:1] not in ("{", "["):
         return leaf(text)
     try:
@@ -126,7 +127,7 @@ def restore_json(body: Column, placeholders: Column) -> Column:
     def restored(bodies: pd.Series, maps: pd.Series) -> pd.Series:
         def one(text: str | None, known: str | None) -> str | None:
             table = json.loads(known or "{}")
-            return None if text is None else _rewritten(text, lambda s: _WHOLE.sub(lambda m: table.get(m[0], m[0]), s))
+            return None if text is None else rewritten(text, lambda s: _WHOLE.sub(lambda m: table.get(m[0], m[0]), s))
 
         return pd.Series([one(t, k) for t, k in zip(bodies, maps)], dtype=object)
 
