@@ -59,11 +59,6 @@ def strip_partial_tokens(text: Column) -> Column:
     return F.regexp_replace(once, F.lit("(?U)" + PARTIAL_PERSONAL), F.lit(""))
 
 
-def escape_like(prefix: str) -> str:
-    """A literal prefix as a LIKE pattern."""
-    return "".join("\\" + c if c in "\\%_" else c for c in prefix) + "%"
-
-
 def authority(url: Column) -> Column:
     """host:port of a URL, without user and password."""
     return F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)", 1)

@@ -7,15 +7,11 @@ from pyspark.sql import functions as F
 from ..functions.lookup import dictionary_hits, execution_key, execution_state
 from ..operators import folds
 from ..sources.driver_tables import REQUESTS_SQL, requests, table
-from .values import frame, values_sql
 
 WEEK = 604_800
 OPS = {"signup": "register", "view": "approve", "click": "hash_change", "purchase": "approve_always", "error": "revoke"}
 NAMES = ["the", "there", "data", "model", "license", "ing", "tion", "and", "example.org"]
 KNOWN = ("chat", "anthropic")
-DOWNSTREAMS = [("b", ["/x", "/y"]), ("a", ["/y"]), ("c", [])]
-PATHS = [("/x",), ("/y",), ("/z",), (None,)]
-RUNS = [(1, "approved", 0, False), (2, "approved", 3, False), (3, "approved", None, True), (4, "denied", None, None), (5, None, 0, False), (6, "approved", None, None)]
 
 
 def _operations(s, d):
@@ -30,6 +26,20 @@ def _decisions(s, d):
     return folds.first_decisions(e.filter("op = 'approve_always'"), e.filter("op in ('hash_change', 'revoke')").withColumn("approved", F.col("op") == "hash_change"), 86_400)
 
 
+def _bound(s, d):
+    n = F.col("n_nationkey")
+    downstreams = table(s, d, "nation").select(F.col("n_name").alias("name"), F.array(F.concat(F.lit("/srv/"), n), F.concat(F.lit("/srv/"), (n + 5) % 25)).alias("callers"))
+    calls = table(s, d, "events").select("event_id", F.concat(F.lit("/srv/"), F.col("event_id") % 30).alias("caller_path"))
+    return folds.bind_downstream(calls, downstreams).groupBy("caller_path", "downstream").agg(F.count("*").alias("calls"))
+
+
+def _states(s, d):
+    i = F.col("event_id")
+    decision = F.when(i % 4 == 0, "denied").when(i % 4 != 1, "approved")
+    exit_code, timed_out = F.when(i % 3 == 0, 0).when(i % 3 == 1, 3), F.when(i % 7 == 0, F.lit(True)).when(i % 7 == 1, F.lit(False))
+    return table(s, d, "events").select("event_id", execution_state(decision, exit_code, timed_out).alias("state"))
+
+
 QUERIES = {
     "rate_limit_sliding": lambda s, d: folds.sliding_admit(requests(s, d), "prompt_tokens", "ts_secs", "id", 10, WEEK),
     "registry_state": lambda s, d: folds.registry_state(_operations(s, d)),
@@ -38,10 +48,10 @@ QUERIES = {
     "sequence_cursor": lambda s, d: folds.running_cursor(requests(s, d), "session_id", ("ts_secs", "id"), "completion_tokens"),
     "first_notifications": lambda s, d: folds.first_notifications(requests(s, d), "model", "protocol"),
     "counts_with_other": lambda s, d: folds.counts_with_other(requests(s, d), "protocol", KNOWN),
-    "downstream_binding": lambda s, d: folds.bind_downstream(frame(s, "caller_path string", PATHS), frame(s, "name string, callers array<string>", DOWNSTREAMS)),
+    "downstream_binding": _bound,
     "dictionary_hits": lambda s, d: table(s, d, "documents").select(F.explode(dictionary_hits(F.col("text"), NAMES)).alias("name")).groupBy("name").agg(F.count("*").alias("hits")),
     "execution_key": lambda s, d: table(s, d, "events").select("event_id", execution_key(F.col("event_type"), F.col("user_id"), F.col("props")).alias("execution_key")),
-    "execution_state": lambda s, d: frame(s, "id long, decision string, exit_code long, timed_out boolean", RUNS).select("id", execution_state(F.col("decision"), F.col("exit_code"), F.col("timed_out")).alias("state")),
+    "execution_state": _states,
 }
 _LOG = f"WITH {REQUESTS_SQL.strip()}"
 _OPS_SQL = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in OPS.items()) + " END"
@@ -76,10 +86,9 @@ ORACLE_SQL = {
     "sequence_cursor": f"{_LOG} SELECT id, session_id, max(completion_tokens) OVER (PARTITION BY session_id ORDER BY ts_secs, id ROWS UNBOUNDED PRECEDING) AS cursor FROM requests",
     "first_notifications": f"{_LOG} SELECT model, protocol, ts_secs, id FROM requests QUALIFY row_number() OVER (PARTITION BY model, protocol ORDER BY ts_secs, id) = 1",
     "counts_with_other": f"{_LOG} SELECT CASE WHEN protocol IN ('chat', 'anthropic') THEN protocol ELSE 'other' END AS name, count(*) AS n FROM requests GROUP BY 1",
-    "downstream_binding": """SELECT p AS caller_path, min(name) AS downstream FROM (VALUES ('/x'), ('/y'), ('/z'), (NULL)) AS c(p)
-      LEFT JOIN (VALUES ('b', '/x'), ('b', '/y'), ('a', '/y')) AS d(name, q) ON p = q GROUP BY p""",
+    "downstream_binding": """WITH c AS (SELECT '/srv/' || event_id % 30 AS p FROM events), d AS (SELECT n_name AS name, '/srv/' || n_nationkey AS q FROM nation UNION ALL SELECT n_name, '/srv/' || (n_nationkey + 5) % 25 FROM nation),
+      b AS (SELECT q, min(name) AS downstream FROM d GROUP BY 1) SELECT p AS caller_path, downstream, count(*) AS calls FROM c LEFT JOIN b ON p = q GROUP BY 1, 2""",
     "dictionary_hits": """SELECT name, count(*) AS hits FROM (SELECT unnest(regexp_extract_all(text, 'there|the|data|model|license|ing|tion|and|example\\.org')) AS name FROM documents) GROUP BY name""",
     "execution_key": "SELECT event_id, sha256(encode(event_type) || '\\x00'::BLOB || encode(CAST(user_id AS VARCHAR)) || '\\x00'::BLOB || encode(props) || '\\x00'::BLOB) AS execution_key FROM events",
-    "execution_state": f"""SELECT CAST(id AS BIGINT) AS id, CASE WHEN decision IS NULL OR decision <> 'approved' THEN 'not_run' WHEN timed_out THEN 'timeout' WHEN exit_code = 0 THEN 'executed' ELSE 'failed' END AS state
-      FROM {values_sql('id, decision, exit_code, timed_out', RUNS)}""",
+    "execution_state": """SELECT event_id, CASE WHEN event_id % 4 < 2 THEN 'not_run' WHEN event_id % 7 = 0 THEN 'timeout' WHEN event_id % 3 = 0 THEN 'executed' ELSE 'failed' END AS state FROM events""",
 }

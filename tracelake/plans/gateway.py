@@ -211,6 +211,7 @@ QUERIES = {
     "credential_tokens": lambda s, d: table(s, d, "nation").select("n_nationkey", bodies.credential_token(F.col("n_nationkey"), F.substring("n_name", 1, F.col("n_nationkey") % 8)).alias("token")),
     "request_outcomes": lambda s, d: _events(s, d).select("id", bodies.outcome(_pick(KINDS, "id"), F.when(F.col("id") % 4 == 0, 404).otherwise(200)).alias("o")).select("id", "o.status", "o.error_kind"),
     "request_protocols": lambda s, d: _events(s, d).select("id", traffic.protocol_of(_pick(PATHS, "id")).alias("protocol"), traffic.body_class(F.col("id") % 2 == 0, F.col("id") % 3, F.col("id") % 5 != 0, F.when(F.col("id") % 7 == 0, 500).otherwise(200)).alias("body")),
+    "stream_models": lambda s, d: _events(s, d).select("id", traffic.stream_model(F.concat(F.when(F.col("id") % 3 == 0, '{"model":"m').when(F.col("id") % 3 == 1, '{"message":{"model":"n').otherwise('{"x":{"model":"o'), F.col("id"), F.when(F.col("id") % 3 == 0, '"}').otherwise('"}}'))).alias("model"), traffic.archived_id(F.col("props")).alias("archived")),
     "page_authority": lambda s, d: table(s, d, "pages").select("page_id", text.authority(F.col("url")).alias("authority")),
     "blanks_collapsed": lambda s, d: table(s, d, "benchmark").select("item_id", text.collapse_blanks(F.concat(F.lit(" \t"), F.col("text"), F.lit("\n\n x "))).alias("text")),
     "entry_access": lambda s, d: _events(s, d).select("id", identity.entry_allowed(F.create_map(F.lit("mail"), F.array(F.lit("user"), F.lit("password")), F.lit("git"), F.expr("cast(array() as array<string>)")), _pick(("mail", "git", "none", ""), "id"), _pick(("user", "title", ""), "user_id")).alias("allowed")),
@@ -276,6 +277,7 @@ ORACLE_SQL = {
       CASE WHEN k NOT IN ('ok','passthrough') THEN k WHEN st >= 400 THEN 'upstream_status' END AS error_kind FROM (SELECT event_id AS id, {_pick_sql(KINDS, 'event_id')} AS k, CASE WHEN event_id % 4 = 0 THEN 404 ELSE 200 END AS st FROM events)""",
     "request_protocols": f"""SELECT event_id AS id, {_pick_sql(('chat', 'anthropic', 'anthropic', 'passthrough', 'responses', 'responses', 'passthrough', 'passthrough'), 'event_id')} AS protocol,
       CASE WHEN event_id % 2 = 1 THEN 'non_dialog_exempt' WHEN event_id % 7 = 0 THEN 'passthrough_error_status' WHEN event_id % 3 = 0 OR event_id % 5 = 0 THEN 'non_stream_to_502' ELSE 'passthrough_ok' END AS body FROM events""",
+    "stream_models": "SELECT event_id AS id, CASE event_id % 3 WHEN 0 THEN 'm' || event_id WHEN 1 THEN 'n' || event_id END AS model, 'unknown_' || substr(sha256(props), 1, 8) AS archived FROM events",
     "page_authority": "SELECT page_id, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#]+)', 1) AS authority FROM pages",
     "blanks_collapsed": r"SELECT item_id, trim(regexp_replace(' ' || chr(9) || text || chr(10) || chr(10) || ' x ', '\s+', ' ', 'g')) AS text FROM benchmark",
     "entry_access": "SELECT event_id AS id, CASE event_id % 4 WHEN 0 THEN user_id % 3 <> 1 WHEN 1 THEN true ELSE false END AS allowed FROM events",

@@ -1,15 +1,9 @@
-"""Small literal tables that a query and its SQL share."""
+"""Pieces of SQL that several plans share."""
 
 from __future__ import annotations
 
 import hashlib
 
-from pyspark.sql import DataFrame, SparkSession
-
-
-def frame(spark: SparkSession, schema: str, rows: list[tuple]) -> DataFrame:
-    return spark.createDataFrame(rows, schema)
-
 
 def literal(v: object) -> str:
     if v is None:
@@ -19,10 +13,6 @@ def literal(v: object) -> str:
     return "'" + v.replace("'", "''") + "'" if isinstance(v, str) else str(v)
 
 
-def values_sql(names: str, rows: list[tuple]) -> str:
-    return "(VALUES " + ", ".join("(" + ", ".join(map(literal, r)) + ")" for r in rows) + f") AS v({names})"
-
-
 def hmac_sql(key: bytes, message: str) -> str:
     """HMAC-SHA256 of a text, in SQL."""
     block = (hashlib.sha256(key).digest() if len(key) > 64 else key).ljust(64, b"\0")
