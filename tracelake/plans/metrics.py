@@ -152,3 +152,10 @@ ORACLE_SQL = {
         SELECT s.k, (SELECT min(h.t) FROM h WHERE h.k = s.k AND h.t >= s.t + 3600) FROM steps s WHERE s.t IS NOT NULL)
       SELECT k AS prompt_tokens, (SELECT count(*) FROM h WHERE h.k = steps.k) AS hits, count(t) AS admitted FROM steps GROUP BY k""",
 }
+KEPT = {"m": 12, "h": 24, "d": 7}
+QUERIES["retention_models"] = lambda s, d: (
+    m.newest_windows(m.model_rollup(requests(s, d)), KEPT).groupBy("granularity").agg(F.count("*").alias("kept"), F.sum("requests").alias("requests"))
+)
+ORACLE_SQL["retention_models"] = f"""SELECT granularity, count(*) AS kept, CAST(sum(requests) AS BIGINT) AS requests FROM (SELECT granularity, requests,
+    CASE granularity WHEN 'm' THEN dense_rank() OVER (PARTITION BY granularity, protocol ORDER BY window_ord DESC) ELSE dense_rank() OVER (PARTITION BY granularity ORDER BY window_ord DESC) END AS n FROM ({ORACLE_SQL["model_rollup"]}))
+  WHERE n <= CASE granularity {" ".join(f"WHEN '{g}' THEN {n}" for g, n in KEPT.items())} END GROUP BY 1"""
