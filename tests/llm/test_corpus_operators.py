@@ -491,3 +491,15 @@ def test_pipeline_against_brute_force(spark, sf_dir, rows):
     found = pipeline.run(spark, sf_dir)
     assert table(found, "doc_id", "piece", "start", "length", "ids_crc32") == want
     assert found.select("sequence_id").distinct().count() <= brute.best_fit_decreasing([r[3] for r in want], 4096)
+
+
+@pytest.mark.parametrize("stretch", [0, 2, 16])
+def test_packing_slots_in_stretches_of_ranks(spark, monkeypatch, stretch):
+    """Many pieces of one length take their slots one each, whatever the stretch of ranks that is joined."""
+    monkeypatch.setattr(packing, "STRETCH", stretch)
+    rows = [(i, "one two three" if i % 3 else "four") for i in range(700)]
+    found = packing.pack(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), WORDS, capacity=11).collect()
+    assert sorted(r.doc_id for r in found) == list(range(700))
+    taken = [(r.sequence_id, r.offset + k) for r in found for k in range(r.length)]
+    assert len(taken) == len(set(taken)) and max(at for _, at in taken) < 11
+    assert len({s for s, _ in taken}) <= brute.best_fit_decreasing([r.length for r in found], 11)

@@ -4,7 +4,7 @@ Documents become pieces of at most ``capacity`` tokens.  Which lengths share a s
 on how many pieces there are of each length, at most ``capacity`` counts: best-fit decreasing runs
 on those counts, moving whole groups of equal sequences at a time.  The plan says, for runs of rank
 within a length, which sequences and offset they take; pieces find their slots by joining on length
-and rank.  Ranks come from per-task counts and their running sums, so no length is gathered in one
+and rank, in stretches of 65,536 ranks, so that a common length is many keys.  Ranks come from per-task counts and their running sums, so no length is gathered in one
 task.
 
 Defined results: a null or empty text is a document of the end token alone; a text longer than the
@@ -146,6 +146,8 @@ def tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+#: Ranks within a length are joined in stretches of two to this power.
+STRETCH = 16
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, task int, local_rank long"
 
 
@@ -238,8 +240,12 @@ def pack(documents: DataFrame, path: str, capacity: int = 4096, end_id: int = 1)
             ["p_length", "first_rank", "n", "first_sequence", "slot_offset"],
         )
     )
+    last = F.col("first_rank") + F.col("n") - 1
+    plan = plan.withColumn("p_stretch", F.explode(F.sequence(F.shiftright("first_rank", STRETCH), F.shiftright(last, STRETCH))))
     ranked = pieces.join(before, ["length", "task"]).withColumn("rank", F.col("before") + F.col("local_rank"))
-    inside = (F.col("length") == F.col("p_length")) & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") < F.col("first_rank") + F.col("n"))
+    ranked = ranked.withColumn("stretch", F.shiftright("rank", STRETCH))
+    same = (F.col("length") == F.col("p_length")) & (F.col("stretch") == F.col("p_stretch"))
+    inside = same & (F.col("rank") >= F.col("first_rank")) & (F.col("rank") <= last)
     placed = ranked.join(F.broadcast(plan) if len(rows) <= 500_000 else plan, inside)
     return placed.select(
         "doc_id", "piece", "start", "length", "ids_crc32",
