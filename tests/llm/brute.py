@@ -249,3 +249,31 @@ def without_repeats(rows: Rows, length: int = 200) -> list[tuple]:
             at += n
         out.append((doc_id, "".join(kept)))
     return out
+
+
+def op11(rows: list[tuple[str | None, str | None]], least: int = 100, top: int = 2000) -> list[tuple]:
+    """Rows are (lang, text); gives lang, rank, phrase, a, l, r, n, score."""
+    counts: dict[str, Counter] = defaultdict(Counter)
+    for lang, text in rows:
+        for piece in re.split(r"[.,;:!?\x0A-\x0D]", (text or "").translate(LOWER)):
+            words = re.findall(r"[^\x20\x09]+", piece)
+            for size in range(1, 6):
+                counts["und" if lang is None else lang].update(tuple(words[i : i + size]) for i in range(len(words) - size + 1))
+    out = []
+    for lang, f in counts.items():
+        n = sum(v for k, v in f.items() if len(k) == 1)
+        candidates = {k: v for k, v in f.items() if len(k) > 1 and v >= least}
+        gone = set()
+        for k, v in candidates.items():
+            for i in range(len(k)):
+                for j in range(i + 2, len(k) + 1):
+                    if j - i < len(k) and 100 * v >= 100 * f[k[i:j]]:
+                        gone.add(k[i:j])
+        found = []
+        for k, a in candidates.items():
+            if k not in gone:
+                score, _, left, right = min((1000 * a * n // (f[k[:c]] * f[k[c:]]), c, f[k[:c]], f[k[c:]]) for c in range(1, len(k)))
+                found.append((-score, -a, " ".join(k).encode(), left, right))
+        for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:top], 1):
+            out.append((lang, rank, phrase.decode(), -a, left, right, n, -score))
+    return sorted(out)

@@ -83,6 +83,12 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(documents(spark, sf_dir))
 
 
+def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .collocations import phrase_collocations
+
+    return phrase_collocations(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
@@ -94,6 +100,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_superkmer_dedup": op8_superkmer_dedup,
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
+    "op11_collocations": op11_collocations,
     "op4_spotsigs_pairs": op4_spotsigs_pairs,
 }
 ORACLE_SQL: dict[str, str] = {}
