@@ -8,6 +8,7 @@ import struct
 import zlib
 from bisect import bisect_left
 from collections import Counter, defaultdict
+from fractions import Fraction
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
@@ -277,3 +278,41 @@ def op11(rows: list[tuple[str | None, str | None]], least: int = 100, top: int =
         for rank, (score, a, phrase, left, right) in enumerate(sorted(found)[:top], 1):
             out.append((lang, rank, phrase.decode(), -a, left, right, n, -score))
     return sorted(out)
+
+
+def runs_of(words: list) -> list[tuple[int, int, int]]:
+    """All maximal stretches of max(24, 3 q) words and more with smallest period q, by start, then period."""
+    n, out = len(words), []
+    for q in range(1, n // 3 + 1):
+        i = 0
+        while i + q < n:
+            j = i
+            while j + q < n and words[j] == words[j + q]:
+                j += 1
+            if j + q - i >= max(24, 3 * q):
+                out.append((i, j + q - i, q))
+            i = j + 1
+    smallest = {}
+    for s, n, q in sorted(out, key=lambda r: r[2]):  # a stretch with a period below q too lies in a longer or equal one
+        if not any(a <= s and s + n <= a + m for a, m, _ in smallest):
+            smallest[s, n, q] = True
+    return sorted(smallest, key=lambda r: (r[0], r[2]))
+
+
+def op12(rows: Rows, loops: bool = True) -> list[tuple]:
+    out = []
+    for doc_id, text in rows:
+        words = WORD.findall(text or "")
+        n, h = len(words), zlib.crc32(str(doc_id).encode())
+        if loops and doc_id is not None and h % 10 == 0 and n:
+            g = h // 10
+            a = g % n
+            p = 1 + (n - a) // (3 + g % 8)
+            words = words[:a] + [words[a + (i - a) % p] for i in range(a, n)]
+        runs = runs_of(words)
+        gone = {i for s, m, q in runs for i in range(s + q, s + m)}
+        best = max(runs, key=lambda r: (Fraction(r[1], r[2]), -r[0], -r[2]), default=(None,) * 3)
+        milli = 1000 * best[1] // best[2] if runs else None
+        listed = "".join(f"{s},{m},{q}\n" for s, m, q in runs)
+        out.append((doc_id, len(runs), *best, milli, sha(listed), sha(" ".join(w for i, w in enumerate(words) if i not in gone))))
+    return sorted(out, key=lambda r: tuple((v is None, v) for v in r))

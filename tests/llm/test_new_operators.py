@@ -9,7 +9,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
-from tracelake.llm import collocations  # noqa: E402
+from tracelake.llm import collocations, periodic_runs  # noqa: E402
 from tracelake.llm import queries as q  # noqa: E402
 
 OP11 = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -48,3 +48,40 @@ def test_op11_odd(spark):
     frame = spark.createDataFrame(rows, "lang string, text string")
     for most in (200_000, 30):
         assert table(collocations.phrase_collocations(frame, 4, 2000, most), *OP11) == brute.op11(rows, 4)
+
+
+OP12 = ["doc_id", *periodic_runs.DIGESTS]
+
+
+def test_op12(spark, sf_dir, documents):
+    rows = [tuple(r) for r in documents.filter("n_chars < 20000").select("doc_id", "text").collect()]
+    got = [r for r in table(q.op12_periodic_runs(spark, sf_dir), *OP12) if r[0] in {i for i, _ in rows}]
+    assert got == brute.op12(rows)
+
+
+def test_op12_runs_of_all_kinds():
+    """Random words over few letters, loops of all periods, runs within and beside others, long runs."""
+    rng = np.random.default_rng(7)
+    for _ in range(300):
+        parts = []
+        for _ in range(rng.integers(1, 6)):
+            base = rng.integers(0, rng.integers(2, 6), rng.integers(1, 40))
+            parts += [np.resize(base, rng.integers(1, 7 * len(base))), rng.integers(0, 3, rng.integers(0, 30))]
+        w = np.concatenate(parts).astype(np.int64)
+        found = {r for a, z in periodic_runs.stretches(w, np.array([0, len(w)])) for r in periodic_runs.runs_within(w, a, z)}
+        assert sorted(found, key=lambda r: (r[0], r[2])) == brute.runs_of(w.tolist())
+    long = np.resize(rng.integers(0, 9, 3), 300_000)
+    assert periodic_runs.runs_within(long, 0, len(long)) == [(0, 300_000, 3)]
+    wide = np.resize(rng.integers(0, 1 << 30, 70_000), 260_000)
+    assert periodic_runs.runs_within(wide, 0, len(wide)) == [(0, 260_000, 70_000)]
+
+
+def test_op12_odd(spark):
+    rows = [(1, "a b " * 30), (2, None), (3, ""), (4, " \n"), (None, "x y z " * 9), (None, None), (5, "É " * 24), (6, "É " * 23), (7, "u " * 10 + "a b c d e f g h i " * 3 + "a"), (7, "t t"), (10, "w " * 50)]
+    frame = spark.createDataFrame([(i, t, 1, "a", 2) for i, t in rows], "doc_id long, text string, start int, runs string, n_runs int")
+    for loops in (True, False):
+        assert table(periodic_runs.run_digests(frame, loops), *OP12) == brute.op12(rows, loops)
+    got = {r.doc_id: r for r in periodic_runs.collapse_runs(frame).filter("doc_id is not null").collect()}
+    assert got[1].collapsed == "a b" and got[1].runs[0].asDict() == {"start": 0, "length": 60, "period": 2}
+    assert got[2].collapsed == "" and got[2].runs == [] and got[6].collapsed.count("É") == 23
+    assert periodic_runs.run_digests(frame.limit(0)).count() == 0

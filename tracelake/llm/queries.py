@@ -89,6 +89,12 @@ def op11_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return phrase_collocations(documents(spark, sf_dir))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodic_runs import run_digests
+
+    return run_digests(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
@@ -101,6 +107,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_quality_classifier": op9_quality_classifier,
     "op10_license_scan": op10_license_scan,
     "op11_collocations": op11_collocations,
+    "op12_periodic_runs": op12_periodic_runs,
     "op4_spotsigs_pairs": op4_spotsigs_pairs,
 }
 ORACLE_SQL: dict[str, str] = {}
