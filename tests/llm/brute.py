@@ -10,6 +10,8 @@ from bisect import bisect_left
 from collections import Counter, defaultdict
 from fractions import Fraction
 
+import xxhash
+
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = {c: c + 32 for c in range(65, 91)}
 Rows = list[tuple[int | None, str | None]]
@@ -316,3 +318,31 @@ def op12(rows: Rows, loops: bool = True) -> list[tuple]:
         listed = "".join(f"{s},{m},{q}\n" for s, m, q in runs)
         out.append((doc_id, len(runs), *best, milli, sha(listed), sha(" ".join(w for i, w in enumerate(words) if i not in gone))))
     return sorted(out, key=lambda r: tuple((v is None, v) for v in r))
+
+
+def simhash(text: str | None, n: int = 3) -> str:
+    words = WORD.findall((text or "").translate(LOWER))
+    shingles = [" ".join(words[i : i + n]) for i in range(max(1, len(words) - n + 1))] if words else []
+    hashes = [xxhash.xxh64_intdigest(s.encode(), 42) for s in shingles]
+    return format(sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes)), "016x")
+
+
+def op13(rows: Rows) -> list[tuple]:
+    prints = [simhash(t) for _, t in rows]
+    parent = {p: p for p in prints}
+
+    def root(p: str) -> str:
+        while parent[p] != p:
+            p = parent[p]
+        return p
+
+    distinct = [(int(p, 16), p) for p in parent]
+    for i, (a, p) in enumerate(distinct):
+        for b, o in distinct[:i]:
+            if (a ^ b).bit_count() <= 2:
+                parent[root(p)] = root(o)
+    least: dict[str, int] = {}
+    for (i, _), p in zip(rows, prints):
+        if i is not None:
+            least[root(p)] = min(i, least.get(root(p), i))
+    return sorted(((i, p, least.get(root(p))) for (i, _), p in zip(rows, prints)), key=lambda r: tuple((v is None, v) for v in r))

@@ -4,12 +4,13 @@ import os
 import sys
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
 
-from tracelake.llm import collocations, periodic_runs  # noqa: E402
+from tracelake.llm import collocations, periodic_runs, simhash  # noqa: E402
 from tracelake.llm import queries as q  # noqa: E402
 
 OP11 = ["lang", "rank", "phrase", "a", "l", "r", "n", "score"]
@@ -85,3 +86,52 @@ def test_op12_odd(spark):
     assert got[1].collapsed == "a b" and got[1].runs[0].asDict() == {"start": 0, "length": 60, "period": 2}
     assert got[2].collapsed == "" and got[2].runs == [] and got[6].collapsed.count("É") == 23
     assert periodic_runs.run_digests(frame.limit(0)).count() == 0
+
+
+OP13 = ["doc_id", "fingerprint", "component_id"]
+
+
+def test_op13(spark, sf_dir, documents):
+    rows = [tuple(r) for r in documents.select("doc_id", "text").collect()]
+    assert table(q.op13_simhash(spark, sf_dir), *OP13) == brute.op13(rows)
+
+
+def test_op13_balls(spark):
+    """All pairs at distance one and two, chains, dense balls and signed values."""
+    rng = np.random.default_rng(5)
+    seeds = rng.integers(0, 1 << 63, 40, dtype=np.uint64) * np.uint64(2)
+    values = {0, (1 << 64) - 1, 1 << 63}
+    for s in seeds.tolist():
+        for _ in range(rng.integers(1, 12)):
+            for b in rng.choice(64, rng.integers(1, 4), replace=False).tolist():
+                s ^= 1 << b
+            values.add(s)
+    values |= {1 << b for b in range(64)} | {3 << b for b in range(20)}
+    signed = [v - (1 << 64) if v >> 63 else v for v in values]
+    found = {}
+    parent = {v: v for v in signed}
+
+    def root(v):
+        while parent[v] != v:
+            v = parent[v]
+        return v
+
+    for r in simhash.links(spark.createDataFrame([(v,) for v in signed], "f long")).collect():
+        assert ((r.u ^ r.v) & ((1 << 64) - 1)).bit_count() <= 2
+        parent[root(r.u)] = root(r.v)
+    for a in signed:
+        for b in signed:
+            if ((a ^ b) & ((1 << 64) - 1)).bit_count() <= 2:
+                assert root(a) == root(b)
+            found.setdefault(root(a), set()).add(a)
+
+
+def test_op13_odd(spark):
+    base = " ".join(f"word{i}" for i in range(300))
+    rows = [(1, base), (2, base.replace("word7 ", "other ")), (3, None), (4, ""), (5, " \n\t "), (6, "one two"), (7, "ONE two"), (8, "É x"), (9, "é x"), (10, base), (10, base), (None, base), (None, None), (12, "x y z " * 4000)]
+    frame = spark.createDataFrame([(i, t, 1, "a", 2, "b") for i, t in rows], "doc_id long, text string, f int, c string, m int, component_id string")
+    assert table(simhash.simhash_components(frame), *OP13) == brute.op13(rows)
+    assert simhash.simhash_components(frame.filter("doc_id is null")).filter("component_id is null").count() == 2
+    assert simhash.simhash_components(frame.limit(0)).count() == 0
+    long = " ".join(f"w{i % 977}" for i in range(150_000))
+    assert format(int(simhash.fingerprints(pa.array([long, "a"]))[0]), "016x") == brute.simhash(long)

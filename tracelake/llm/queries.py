@@ -95,6 +95,12 @@ def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return run_digests(documents(spark, sf_dir))
 
 
+def op13_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_components
+
+    return simhash_components(documents(spark, sf_dir))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
     "op2_quality_rules": op2_quality_rules,
@@ -108,6 +114,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_license_scan": op10_license_scan,
     "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
+    "op13_simhash": op13_simhash,
     "op4_spotsigs_pairs": op4_spotsigs_pairs,
 }
 ORACLE_SQL: dict[str, str] = {}
