@@ -3,6 +3,7 @@
 import os
 import sys
 
+import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
@@ -27,7 +28,12 @@ def documents(spark, sf_dir):
 
 def test_op11(spark, sf_dir, documents):
     rows = [tuple(r) for r in documents.select("lang", "text").collect()]
-    assert table(q.op11_collocations(spark, sf_dir), *OP11) == brute.op11(rows)
+    got = table(q.op11_collocations(spark, sf_dir), *OP11)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW documents AS SELECT * FROM '{sf_dir}/documents.parquet'")
+    found = con.execute(q.ORACLE_SQL["op11_collocations"])
+    columns = [c[0] for c in found.description]
+    assert columns == OP11 and got == brute.op11(rows) == sorted(found.fetchall())
 
 
 @pytest.mark.parametrize(("least", "top", "most"), [(5, 40, 200_000), (3, 2000, 6), (8, 300, 1)])

@@ -117,4 +117,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op13_simhash": op13_simhash,
     "op4_spotsigs_pairs": op4_spotsigs_pairs,
 }
-ORACLE_SQL: dict[str, str] = {}
+#: Whole counts by size and language; every cut of a candidate joins the counts of its parts.
+COLLOCATIONS_SQL = r"""
+WITH pieces AS (
+  SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+  FROM documents),
+split AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS ws FROM pieces),
+sizes AS (SELECT unnest([1, 2, 3, 4, 5]) AS k),
+grams AS (SELECT lang, unnest(list_transform(range(1, len(ws) - k + 2), lambda i: ws[i : i + k - 1])) AS ph FROM split, sizes),
+f AS (SELECT lang, ph, CAST(count(*) AS HUGEINT) AS c FROM grams GROUP BY lang, ph),
+totals AS (SELECT lang, sum(c) AS n FROM f WHERE len(ph) = 1 GROUP BY lang),
+candidates AS (SELECT lang, ph, c FROM f WHERE len(ph) > 1 AND c >= 100),
+inner_parts AS (
+  SELECT lang, ph[i.k : i.k + m.k - 1] AS ph, max(c) AS longer FROM candidates, sizes AS i, sizes AS m
+  WHERE m.k > 1 AND m.k < len(ph) AND i.k + m.k - 1 <= len(ph) GROUP BY ALL),
+kept AS (
+  SELECT c.lang, c.ph, c.c AS a FROM candidates AS c LEFT JOIN inner_parts AS p ON p.lang = c.lang AND p.ph = c.ph
+  WHERE p.longer IS NULL OR 100 * p.longer < 100 * c.c),
+cuts AS (
+  SELECT kept.lang, kept.ph, a, k, x.c AS l, y.c AS r, n, 1000 * a * n // (x.c * y.c) AS score
+  FROM kept JOIN sizes ON k < len(kept.ph) JOIN totals ON totals.lang = kept.lang
+  JOIN f AS x ON x.lang = kept.lang AND x.ph = kept.ph[:k] JOIN f AS y ON y.lang = kept.lang AND y.ph = kept.ph[k + 1 :]),
+lowest AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, ph ORDER BY score, k) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ph, ' ')) AS rank, array_to_string(ph, ' ') AS phrase,
+  CAST(a AS BIGINT) AS a, CAST(l AS BIGINT) AS l, CAST(r AS BIGINT) AS r, CAST(n AS BIGINT) AS n, CAST(score AS BIGINT) AS score
+FROM lowest QUALIFY row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(ph, ' ')) <= 2000
+"""
+ORACLE_SQL: dict[str, str] = {"op11_collocations": COLLOCATIONS_SQL}
