@@ -351,6 +351,35 @@ def test_odd_and_empty_tables(odd, name):
     assert empty.columns == found.columns and empty.count() == 0
 
 
+TAKEN = "_node _loser _again _words _runs _d _x _doc _h row node id doc h own_doc own_h marks loser c of kept m p runs named k1 value".split()
+
+
+def test_stages_two_and_three_keep_columns_of_any_name(spark):
+    """Extra columns named like those used on the way come back with their values."""
+    base = " ".join(f"word{i}" for i in range(60))
+    rows = [(1, base), (2, base.replace("word7 ", "other ")), (3, "own text of some words"), (4, None), (5, "")]
+    schema = "doc_id long, text string, " + ", ".join(f"`{c}` string" for c in [*TAKEN, "Text2"])
+    frame = spark.createDataFrame([(i, t, *[f"{c}{i}" for c in [*TAKEN, "Text2"]]) for i, t in rows], schema)
+    want = sorted(tuple(r) for r in frame.filter("doc_id <> 2").collect())
+    found = ngram_join.drop_near_duplicates(frame)
+    assert found.columns == frame.columns and sorted(tuple(r) for r in found.collect()) == want
+    kept = pfp_dedup.remove_repeats(frame)
+    texts = dict(brute.without_repeats(rows))
+    assert kept.columns == frame.columns and {r.doc_id: (r.text or "") for r in kept.collect()} == {i: t or "" for i, t in texts.items()}
+    assert sorted(tuple(r)[2:] for r in kept.collect()) == sorted(tuple(r)[2:] for r in frame.collect())
+
+
+def test_stage_two_under_repeated_ids(spark):
+    """Texts that are not linked stay under one id; of linked ones one stays; the least id goes first."""
+    base = " ".join(f"word{i}" for i in range(60))
+    near = base.replace("word7 ", "other ")
+    rows = [(1, "É x y z"), (1, "é x y z"), (1, "É x y z"), (7, base), (7, near), (5, near), (None, base), (None, "a b c d e f"), (None, "a b c d e f"), (8, ""), (8, None), (8, " "), (None, "")]
+    found = ngram_join.drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"))
+    key = lambda r: (r[0] is None, r[0] or 0, r[1] or "")
+    want = [(1, "É x y z"), (1, "é x y z"), (5, near), (None, "a b c d e f"), (8, ""), (8, None), (8, " "), (None, "")]
+    assert sorted([tuple(r) for r in found.collect()], key=key) == sorted(want, key=key)
+
+
 def test_pipeline(spark, sf_dir):
     pipeline = pytest.importorskip("corpus_pipeline")
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")

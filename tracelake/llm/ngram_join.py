@@ -41,7 +41,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import gram_hashes
-from .session import cut
+from .session import cut, stored
 from .text import LOWER, U64, batches_of, mix, run_hashes, slices, word_bounds, word_hashes
 
 TOP = (1 << 63) - 1
@@ -375,11 +375,8 @@ def _apart(large: DataFrame, stars: DataFrame, chunk: int, chunk_grams: int) ->
     return ones.unionByName(others).distinct()
 
 
-def _node_components(
-    documents: DataFrame, n: int, threshold: tuple[int, int], common_share: float, chunk: int, chunk_grams: int = 1 << 19
-) -> DataFrame:
-    """node, named (has an id), n (set size), k1, k2 (hashes of the set), c (component) and any_named of every row."""
-    docs = _base(documents)
+def _linked(docs: DataFrame, n: int, threshold: tuple[int, int], common_share: float, chunk: int, chunk_grams: int = 1 << 19) -> DataFrame:
+    """node, named, n (set size) and c (least node of the component) of every row of ``docs`` (node, named, text)."""
     sets = cut(_prefix_rows(docs, n, threshold, common_grams(docs, n, common_share)))
     classes = sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("node").alias("rep"))
     owners = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep")
@@ -402,14 +399,19 @@ def _node_components(
             stars = stars.unionByName(_stars(apart, docs, n, threshold))
     found = components(stars)
     owned = owners.join(found.withColumnRenamed("node", "r"), F.col("rep") == F.col("r"), "left").select("c1", "c2", F.coalesce("component", "rep").alias("c"))
-    alone = sets.filter("n = 0").select("node", "named", "n", "k1", "k2", F.col("node").alias("c"))
-    result = sets.filter("n > 0").join(owned, same).select("node", "named", "n", "k1", "k2", "c").unionByName(alone)
+    alone = sets.filter("n = 0").select("node", "named", "n", F.col("node").alias("c"))
+    return sets.filter("n > 0").join(owned, same).select("node", "named", "n", "c").unionByName(alone)
+
+
+def _node_components(documents: DataFrame, n: int, threshold: tuple[int, int], common_share: float, chunk: int) -> DataFrame:
+    """node, named (has an id), n (set size), c (component) and any_named of every row."""
+    result = _linked(_base(documents), n, threshold, common_share, chunk)
     if documents.filter(documents["doc_id"].cast("long").isNull()).isEmpty():
         return result.withColumn("any_named", F.lit(True))
     result = cut(result)
     named = F.min(F.when(F.col("named"), F.col("node")))
     least = result.groupBy(F.col("c").alias("old")).agg(F.coalesce(named, F.min("node")).alias("least"), F.max("named").alias("any_named"))
-    return result.join(least, F.col("c") == F.col("old")).select("node", "named", "n", "k1", "k2", F.col("least").alias("c"), "any_named")
+    return result.join(least, F.col("c") == F.col("old")).select("node", "named", "n", F.col("least").alias("c"), "any_named")
 
 
 def near_duplicate_components(
@@ -422,22 +424,41 @@ def near_duplicate_components(
     )
 
 
+def _own_nodes(rows: DataFrame) -> tuple[DataFrame, bool]:
+    """``rows`` (row, id, text) with a node, which rows of one id and text share and no others, and whether it is the id.
+
+    It is the id where each row has one of its own; else a hash, under a seed for which no two
+    different rows have the same.
+    """
+    if rows.groupBy("id").agg(F.count("*").alias("m")).filter("m > 1 or id is null").isEmpty():
+        return rows.withColumn("node", F.col("id")), True
+    seed = 0
+    while True:
+        keyed = rows.withColumn("node", F.xxhash64(F.lit(seed), "id", F.col("id").isNull(), "text"))
+        told = F.struct("id", F.length("text").alias("size"), F.xxhash64("text", F.lit(seed)).alias("own"))
+        if keyed.groupBy("node").agg(F.min(told).alias("a"), F.max(told).alias("b")).filter(~F.col("a").eqNullSafe(F.col("b"))).isEmpty():
+            return stored(keyed.dropDuplicates(["node"])), False
+        seed += 1
+
+
 def drop_near_duplicates(
     documents: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), common_share: float = 0.001, chunk: int = 1024
 ) -> DataFrame:
     """The documents, all columns, with one row of each component: that of its least id.
 
-    Rows without words are in no group and all stay.  Of rows repeated with id and set of n-grams,
-    one stays.
+    A row is told by its id and text together, so texts that are not linked stay whatever ids they
+    share, and of linked ones under one id one stays (the first by a hash).  Rows without an id come
+    last.  Rows without words are in no group and all stay.  Columns may have any name.
     """
-    names = documents.columns
-    result = cut(_node_components(documents, n, threshold, common_share, chunk).select("node", "n", "c"))
-    losers = result.filter("node <> c").select(F.col("node").alias("_loser")).distinct()
-    repeated = result.filter("n > 0 and node = c").groupBy("node").agg(F.count("*").alias("m")).filter("m > 1").select(F.col("node").alias("_again"))
-    rest = documents.withColumn("_node", _node(documents)).join(losers, F.col("_node") == F.col("_loser"), "left_anti")
-    marked = rest.join(repeated, F.col("_node") == F.col("_again"), "left")
-    single = marked.filter(F.col("_again").isNull()).select(*names)
-    words = F.trim(F.lower(F.regexp_replace(F.coalesce("text", F.lit("")), r"[\x20\x09-\x0D]+", " ")))
-    several = marked.filter(F.col("_again").isNotNull()).withColumn("_words", words)
-    once = several.dropDuplicates(["_node", "_words"]).select(*names)
-    return single.unionByName(once)
+    text = F.coalesce(documents["text"], F.lit(""))
+    rows = documents.select(F.struct("*").alias("row"), documents["doc_id"].cast("long").alias("id"), text.alias("text"))
+    worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
+    keyed, by_id = _own_nodes(rows.filter(worded))
+    found = _linked(keyed.select("node", F.lit(True).alias("named"), "text"), n, threshold, common_share, chunk).select(F.col("node").alias("of"), "c")
+    ids = found.select("of", F.col("of").alias("id"), "c") if by_id else found.join(keyed.select("node", "id"), F.col("of") == F.col("node"))
+    placed = cut(ids.select(F.col("of").alias("node"), "id", "c"))
+    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))["node"]
+    kept = placed.groupBy("c").agg(first.alias("kept"), F.count("*").alias("m")).filter("m > 1").select("c", "kept")
+    losers = placed.join(kept, "c").filter("node <> kept").select(F.col("node").alias("loser")).distinct()
+    once = keyed.join(losers, F.col("node") == F.col("loser"), "left_anti").select("row.*")
+    return once.union(rows.filter(~worded).select("row.*"))

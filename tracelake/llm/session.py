@@ -46,6 +46,17 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+def untaken(columns: list[str], *wanted: str) -> list[str]:
+    """The wanted names, each with underscores in front until none of ``columns`` has it, in any case."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in wanted:
+        while name.lower() in taken:
+            name = "_" + name
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def with_columns_only(df: DataFrame, *names: str) -> DataFrame:
     """Select exactly ``names`` (extra columns of the input, whatever their names, are left out)."""
     return df.select(*[df[name] for name in names])
