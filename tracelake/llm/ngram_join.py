@@ -441,6 +441,20 @@ def _own_nodes(rows: DataFrame) -> tuple[DataFrame, bool]:
         seed += 1
 
 
+def _without(keyed: DataFrame, losers: DataFrame) -> DataFrame:
+    """Rows whose node is no ``loser``; only rows that share a bit with one, of 2**23, are shuffled.
+
+    The bits are a table of 131,072 rows of 16 bytes at most.
+    """
+    bit = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << 23))
+    marks = losers.select(bit("loser").alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+    placed = keyed.withColumn("p", bit("node"))
+    marked = placed.join(F.broadcast(marks), F.shiftright("p", 6) == F.col("word"), "left").withColumn("hit", F.expr("coalesce(shiftright(bits, cast(p & 63 as int)) & 1L, 0L) = 1L"))
+    names = keyed.columns
+    unsure = marked.filter("hit").join(losers, F.col("node") == F.col("loser"), "left_anti")
+    return marked.filter("not hit").select(*names).union(unsure.select(*names))
+
+
 def drop_near_duplicates(
     documents: DataFrame, n: int = 5, threshold: tuple[int, int] = (4, 5), common_share: float = 0.001, chunk: int = 1024
 ) -> DataFrame:
@@ -455,10 +469,12 @@ def drop_near_duplicates(
     worded = F.col("text").rlike(r"[^\x20\x09-\x0D]")
     keyed, by_id = _own_nodes(rows.filter(worded))
     found = _linked(keyed.select("node", F.lit(True).alias("named"), "text"), n, threshold, common_share, chunk).select(F.col("node").alias("of"), "c")
-    ids = found.select("of", F.col("of").alias("id"), "c") if by_id else found.join(keyed.select("node", "id"), F.col("of") == F.col("node"))
-    placed = cut(ids.select(F.col("of").alias("node"), "id", "c"))
-    first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))["node"]
-    kept = placed.groupBy("c").agg(first.alias("kept"), F.count("*").alias("m")).filter("m > 1").select("c", "kept")
-    losers = placed.join(kept, "c").filter("node <> kept").select(F.col("node").alias("loser")).distinct()
-    once = keyed.join(losers, F.col("node") == F.col("loser"), "left_anti").select("row.*")
+    if by_id:
+        gone = found.filter("of <> c").select(F.col("of").alias("loser"))
+    else:
+        placed = cut(found.join(keyed.select("node", "id"), F.col("of") == F.col("node")).select("node", "id", "c"))
+        first = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "node"))["node"]
+        kept = placed.groupBy("c").agg(first.alias("kept"), F.count("*").alias("m")).filter("m > 1").select("c", "kept")
+        gone = placed.join(kept, "c").filter("node <> kept").select(F.col("node").alias("loser"))
+    once = _without(keyed, cut(gone.distinct())).select("row.*")
     return once.union(rows.filter(~worded).select("row.*"))
