@@ -18,25 +18,6 @@ def streamed(body: Column) -> Column:
     return F.coalesce(F.from_json(body, "stream boolean")["stream"], F.lit(False)) & body.rlike(r'"stream"\s*:\s*true')
 
 
-def with_usage_option(body: Column) -> Column:
-    """The body of a streamed chat with ``stream_options.include_usage`` wherever it says nothing about it.
-
-    The fields keep their order and new ones come last; a ``null`` is left, anything malformed replaced.
-    """
-    options = F.get_json_object(body, "$.stream_options")
-    absent = ~body.rlike(r'"stream_options"\s*:')
-    put = lambda text: F.concat(F.regexp_replace(F.rtrim(body), r"\s*\}$", ""), F.when(F.rtrim(body).rlike(r"\{\s*\}$"), "").otherwise(","), F.lit(text), F.lit("}"))
-    swap = lambda text: F.regexp_replace(body, F.lit(r'("stream_options"\s*:\s*)(?:\{[^{}]*\}|\[[^\[\]]*\]|"[^"]*"|[^,}\s]+)'), F.lit(text))
-    plain = options.startswith("{")
-    return (
-        F.when(absent, put('"stream_options":{"include_usage":true}'))
-        .when(options.isNull() | (plain & options.contains('"include_usage"')), body)
-        .when(plain & (options == "{}"), swap('$1{"include_usage":true}'))
-        .when(plain, F.regexp_replace(body, F.lit(r'("stream_options"\s*:\s*\{)'), F.lit('$1"include_usage":true,')))
-        .otherwise(swap('$1{"include_usage":true}'))
-    )
-
-
 def is_json(text: Column) -> Column:
     """Whether a text is one JSON value and nothing else; an object with a doubled key does not count."""
     whole = F.try_parse_json(F.concat(F.lit('{"value":'), text, F.lit(',"closed here":true}')))

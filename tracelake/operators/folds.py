@@ -23,9 +23,9 @@ ROWS = 10_000
 
 
 def fold_sorted(
-    rows: DataFrame, key: str, order: tuple[str, ...], schema: str, start: Callable[[], Any], step: Callable[[Any, dict], tuple | None], last: Callable[[Any, Any], tuple] | None = None
+    rows: DataFrame, key: str, order: tuple[str, ...], schema: str, start: Callable[[], Any], step: Callable[[Any, dict], tuple | list | None], last: Callable[[Any, Any], tuple | list] | None = None
 ) -> DataFrame:
-    """One pass over each key's rows: ``step`` may return a row for each, ``last`` one for each key.
+    """One pass over each key's rows: ``step`` may return a row, or a list of rows, for each, and ``last`` for each key.
 
     Rows without a key are one key; rows with equal order values may come in any order.
     """
@@ -41,19 +41,21 @@ def fold_sorted(
             made.clear()
             return out
 
+        def take(out: tuple | list | None) -> None:
+            if out is not None:
+                made.extend(out if isinstance(out, list) else [out])
+
         for b in batches:
             for low in range(0, b.num_rows, ROWS):
                 for row in b.slice(low, ROWS).to_pylist():
                     if not begun or row[key] != current:
                         if begun and last:
-                            made.append(last(current, state))
+                            take(last(current, state))
                         current, state, begun = row[key], start(), True
-                    out = step(state, row)
-                    if out is not None:
-                        made.append(out)
+                    take(step(state, row))
                 yield batch()
         if begun and last:
-            made.append(last(current, state))
+            take(last(current, state))
         yield batch()
 
     return rows.repartition(key).sortWithinPartitions(key, *order).mapInArrow(run, schema)

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Callable
 from typing import Any
 
 import pandas as pd
@@ -12,15 +11,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions.jsonspan import rewritten
 from .audit import Policy, danger_reason, verdict
 from .folds import fold_sorted
 from .pii import TOKEN
 
-#: Most characters of a placeholder's beginning that are held back, seconds without a
-#: request that end a conversation, and depth of JSON texts inside JSON strings.
+#: Most characters of a placeholder's beginning that are held back, and seconds without
+#: a request that end a conversation.
 CARRY = 64
 IDLE = 1_800
-JSON_DEPTH = 5
 _BEGUN = re.compile(r"_(?:_(?:P(?:I(?:I(?:_(?:\d+(?:_(?:[0-9a-f]{0,8}_?)?)?)?)?)?)?)?)?$")
 _WHOLE = re.compile(TOKEN)
 
@@ -93,29 +92,6 @@ def most_concurrent(intervals: DataFrame, key: str, start: str, end: str) -> Dat
     return changes.select(key, running.alias("n")).groupBy(key).agg(F.max("n").alias("most"))
 
 
-def _walk(value: Any, leaf: Callable[[str], str], depth: int) -> Any:
-    if isinstance(value, dict):
-        named = [(leaf(k), k, _walk(v, leaf, depth)) for k, v in value.items()]
-        taken = [new for new, _, _ in named]
-        return {(new if taken.count(new) == 1 else old): v for new, old, v in named}
-    if isinstance(value, list):
-        return [_walk(v, leaf, depth) for v in value]
-    if not isinstance(value, str):
-        return value
-    return rewritten(value, leaf, depth - 1) if depth > 0 else leaf(value)
-
-
-def rewritten(text: str, leaf: Callable[[str], str], depth: int = JSON_DEPTH) -> str:
-    """A text with ``leaf`` applied to each string and key of the JSON that it is, or to itself."""
-    if text.lstrip("﻿ \t\r\n")[:1] not in ("{", "["):
-        return leaf(text)
-    try:
-        value = json.loads(text.lstrip("﻿"))
-        return json.dumps(_walk(value, leaf, depth), ensure_ascii=False, separators=(",", ":"))
-    except (ValueError, RecursionError):
-        return leaf(text)
-
-
 def restore_json(body: Column, placeholders: Column) -> Column:
     """A body whose strings and keys have known placeholders restored, as JSON that still parses.
 

@@ -61,16 +61,6 @@ def restored_spans(text: Column, known: Column, token: str) -> Column:
     return let(pieces, both)
 
 
-def with_note(body: Column, note: str) -> Column:
-    """A chat body with a system note before its messages, once."""
-    message = F.to_json(F.struct(F.lit("system").alias("role"), F.lit(note).alias("content")))
-    at = F.regexp_instr(body, F.lit(r'"messages"\s*:\s*\['))
-    opened = F.regexp_extract(body, r'"messages"\s*:\s*\[', 0)
-    tail = body.substr(at + F.length(opened), F.length(body))
-    put = F.concat(body.substr(F.lit(1), at + F.length(opened) - 1), message, F.when(F.ltrim(tail).startswith("]"), "").otherwise(","), tail)
-    return F.when((at == 0) | body.contains(note), body).otherwise(put)
-
-
 def entry_properties(title: Column, username: Column, password: Column, url: Column, custom: Column) -> Column:
     """An entry's properties as one map: its own after the fixed ones; the password only as a token."""
     fixed = F.map_filter(F.create_map(F.lit("title"), title, F.lit("username"), username, F.lit("password"), password, F.lit("url"), url), lambda k, v: v != "")

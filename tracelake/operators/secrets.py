@@ -12,7 +12,8 @@ from pyspark.sql.types import StructType
 
 from ..functions.lookup import names_pattern
 from ..functions.text import truncate_marked
-from .frames import JSON_DEPTH, rewritten
+from ..functions.jsonspan import DEPTH as JSON_DEPTH
+from ..functions.jsonspan import rewritten
 from .pii import redact
 
 _MARK, _LEAF = "", "\x00"

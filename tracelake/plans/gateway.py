@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import bodies, text, validators
+from ..functions import bodies, jsonspan, text, validators
 from ..functions.timewin import window_key
 from ..operators import access, admin, identity, traffic
 from ..sources.driver_tables import NOW, REQUESTS_SQL, requests, table
@@ -205,7 +205,7 @@ QUERIES = {
     "conversation_keys": _conversation_keys,
     "session_digest": lambda s, d: table(s, d, "conversations").select("conv_id", "turn", identity.session_digest(KEY, "session-v1", F.col("role"), F.col("text")).alias("session_id")),
     "stream_intent": lambda s, d: _bodies(s, d).select("id", bodies.streamed(F.col("body")).alias("stream")),
-    "stream_options": lambda s, d: _bodies(s, d).select("id", bodies.with_usage_option(F.col("body")).alias("body")),
+    "stream_options": lambda s, d: _bodies(s, d).select("id", jsonspan.with_put_usage_option(F.col("body")).alias("body")),
     "json_guard": lambda s, d: table(s, d, "events").select("event_id", bodies.guarded(F.col("props"), F.when(F.col("event_id") % 2 == 0, F.concat("props", F.lit("}"))).otherwise('{"k": 0}')).alias("kept")),
     "token_forms": lambda s, d: _tokens(s, d).select("event_id", bodies.has_placeholder(F.col("t")).alias("has"), F.array_join(bodies.token_forms(F.col("t")), " ").alias("forms"), bodies.registrable(F.col("t")).alias("registrable"), bodies.occurrences(F.col("t"), F.lit("__")).alias("marks")),
     "credential_tokens": lambda s, d: table(s, d, "nation").select("n_nationkey", bodies.credential_token(F.col("n_nationkey"), F.substring("n_name", 1, F.col("n_nationkey") % 8)).alias("token")),

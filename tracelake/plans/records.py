@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import bodies
+from ..functions import bodies, jsonspan
 from ..operators import access, pii, records
 from ..sources.driver_tables import NOW, REQUESTS_SQL, requests, table
 
@@ -78,7 +78,7 @@ QUERIES = {
     "prompt_summaries": lambda s, d: _events(s, d).select("id", records.prompt_summary(F.concat(F.lit("m"), F.col("id") % 3), F.create_map(F.lit("top_p"), F.lit("1"), F.lit("seed"), F.col("user_id").cast("string")), F.array(F.col("kind"), F.concat(F.lit("mail a"), "id", F.lit("@ex.org")))).alias("summary")),
     "json_shapes": lambda s, d: table(s, d, "events").select("event_id", bodies.same_shape(F.to_json(F.struct(F.col("props").alias("p"))), F.to_json(F.struct(F.when(F.col("event_id") % 2 == 0, F.col("props")).otherwise("{broken").alias("p"))), ("$.p",)).alias("same")),
     "restored_spans": _spans,
-    "noted_bodies": lambda s, d: _events(s, d).select("id", records.with_note(F.when(F.col("id") % 3 == 0, '{"messages":[]}').when(F.col("id") % 3 == 1, '{"m":1,"messages": [{"role":"user"}]}').otherwise('{"input":[]}'), NOTE).alias("body")),
+    "noted_bodies": lambda s, d: _events(s, d).select("id", jsonspan.with_note(F.when(F.col("id") % 3 == 0, '{"messages":[]}').when(F.col("id") % 3 == 1, '{"m":1,"messages": [{"role":"user"}]}').otherwise('{"input":[]}'), NOTE, F.lit("chat")).alias("body")),
     "entry_properties": lambda s, d: table(s, d, "customer").select("c_custkey", F.array_join(F.array_sort(F.transform(F.map_entries(records.entry_properties(F.col("c_name"), F.lit(""), F.format_string("__CRED_%06d__", "c_custkey"), F.lit("u"), F.create_map(F.lit("pin"), F.lit("1"), F.lit("url"), F.lit("x")))), lambda e: F.concat(e["key"], F.lit("="), e["value"]))), ",").alias("properties")),
     "event_classes": lambda s, d: _events(s, d).select("id", records.event_class(_pick(EVENTS, F.col("id"))).alias("class")),
     "held_until": lambda s, d: records.held_until(_events(s, d).select(F.col("user_id").alias("stream"), F.col("id").alias("seq"), (F.col("id") % 100).alias("size")), 40, 2_500),
