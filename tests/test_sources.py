@@ -61,3 +61,22 @@ def test_registry(spark, tmp_path):
     old = rules.load_registry(spark, write(tmp_path, "old.json", '{"/c": {"expected_hash": "h"}}'), schema)
     assert [tuple(r) for r in old.select("caller_path", F.col("expected_hash")).collect()] == [("/c", "h")]
     assert rules.registry_text(callers.limit(0)).startswith("{")
+
+
+def test_registry_of_any_size(spark, tmp_path):
+    schema = "caller_path string, expected_hash string, revoked boolean"
+    n = 100_000
+    callers = spark.range(n).select(F.concat(F.lit("/srv/"), "id").alias("caller_path"), F.sha2(F.col("id").cast("string"), 256).alias("expected_hash"), (F.col("id") % 2 == 0).alias("revoked"))
+    with pytest.raises(ValueError):
+        rules.registry_text(callers)
+    path = str(tmp_path / "registry")
+    rules.write_registry(callers, path)
+    back = rules.read_registry(spark, path, schema)
+    assert back.count() == n and back.exceptAll(callers).isEmpty()
+    lines = spark.read.text(f"{path}/entries")
+    for k, changed in enumerate((lines.filter("value not like '%/srv/77777\"%'"), lines.union(lines.limit(1)), lines.select(F.replace("value", F.lit("/srv/5\""), F.lit("/srv/x\""))))):
+        other = str(tmp_path / f"forged{k}")
+        changed.write.text(f"{other}/entries")
+        spark.read.text(f"{path}/digest").write.text(f"{other}/digest")
+        with pytest.raises(ValueError):
+            rules.read_registry(spark, other, schema)

@@ -134,11 +134,38 @@ def _digest(entries: list[dict]) -> str:
 
 
 def registry_text(callers: DataFrame) -> str:
-    """Callers (a bounded table) as a registry file: entries by path and their SHA-256."""
-    entries = [json.loads(r[0]) for r in callers.orderBy("caller_path").select(F.to_json(F.struct("*"))).limit(LIMIT // 16).collect()]
+    """Callers (a bounded table) as a registry file: entries by path and their SHA-256.  A larger table is an error, see ``write_registry``."""
+    rows = callers.orderBy("caller_path").select(F.to_json(F.struct("*"))).limit(LIMIT // 16 + 1).collect()
+    if len(rows) > LIMIT // 16:
+        raise ValueError(f"more than {LIMIT // 16} callers: use write_registry")
+    entries = [json.loads(r[0]) for r in rows]
     return json.dumps({"entries": entries, "sha256": _digest(entries)}, indent=2, ensure_ascii=False)
 
 
+def _lines_digest(lines: DataFrame) -> tuple[int, str]:
+    """Number of lines, and the sum of their SHA-256 in four words modulo 2**64, whatever their order."""
+    word = lambda k: F.conv(F.substring(F.sha2("value", 256), 16 * k + 1, 16), 16, 10).cast("decimal(20,0)")
+    row = lines.agg(F.count("*"), *[F.sum(word(k)) for k in range(4)]).first()
+    return row[0], "".join(f"{int(v or 0) % (1 << 64):016x}" for v in row[1:])
+
+
+def write_registry(callers: DataFrame, path: str) -> None:
+    """Any number of callers as JSON lines in a folder, with their number and a digest beside them."""
+    callers.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{path}/entries")
+    spark = callers.sparkSession
+    number, digest = _lines_digest(spark.read.text(f"{path}/entries"))
+    spark.range(1).select(F.lit(json.dumps({"entries": number, "digest": digest})).alias("value")).coalesce(1).write.text(f"{path}/digest")
+
+
+def read_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """Callers of a folder that ``write_registry`` made; an entry more, less or changed is an error."""
+    lines = spark.read.text(f"{path}/entries")
+    said = json.loads(small_text(spark, f"{path}/digest"))
+    if (said["entries"], said["digest"]) != _lines_digest(lines):
+        raise ValueError(f"{path}: the digest does not fit the entries")
+    return lines.select(F.from_json("value", schema).alias("e")).select("e.*")
+
+
 def load_registry(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Callers of a registry file.  A list, or an object by path, is the old format and has no digest."""
     value = _parsed(small_text(spark, path))
