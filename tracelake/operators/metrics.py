@@ -48,9 +48,14 @@ def merge_rollups(old: DataFrame, new: DataFrame, add: bool) -> DataFrame:
     keys = ["granularity", "window_ord", "protocol"]
     if not add:
         return new.unionByName(old.join(new.select(*keys), keys, "left_anti"))
+    return merged_rollups(old.unionByName(new))
+
+
+def merged_rollups(partials: DataFrame) -> DataFrame:
+    """Any number of rows of a key summed up as one."""
     numbers = ["requests", *COUNTERS, *TRUNCATION.values()]
     return (
-        old.unionByName(new).groupBy(*keys)
+        partials.groupBy("granularity", "window_ord", "protocol")
         .agg(*_sums(*numbers), merged_counts(F.col("buckets"), F.col("bucket_bounds_version")).alias("buckets"))
         .withColumn("bucket_bounds_version", F.lit(BOUNDS_VERSION))
     )

@@ -85,7 +85,7 @@ QUERIES = {
     "series_hourly": _series("h"),
     "series_daily": _series("d"),
     "rollup_windows": lambda s, d: _rollups(s, d).drop("buckets", "bucket_bounds_version"),
-    "rollup_overwrite": lambda s, d: m.merge_rollups(_rollups(s, d), m.rollup(samples(s, d).filter("id % 2 = 0")), add=False).select("granularity", "window_ord", "protocol", "requests"),
+    "rollup_overwrite": lambda s, d: m.merge_rollups(_rollups(s, d), m.rollup(samples(s, d).withColumn("protocol", F.lit("chat"))), add=False).select("granularity", "window_ord", "protocol", "requests"),
     "rollup_additive": lambda s, d: m.merge_rollups(m.rollup(samples(s, d).filter("id % 2 = 0")), m.rollup(samples(s, d).filter("id % 2 = 1")), add=True).drop("buckets", "bucket_bounds_version"),
     "retention_global": lambda s, d: m.newest_windows(_rollups(s, d)).select("granularity", "window_ord", "protocol", "requests"),
     "retention_per_protocol": lambda s, d: m.newest_per_protocol(_rollups(s, d)).select("granularity", "window_ord", "protocol", "requests"),
@@ -116,8 +116,8 @@ ORACLE_SQL = {
     "series_daily": _series_sql("d"),
     "rollup_windows": f"{WITH} SELECT granularity, window_ord, protocol, {_GROUP} FROM ({_fan_sql('samples')}) GROUP BY granularity, window_ord, protocol",
     "rollup_additive": f"{WITH} SELECT granularity, window_ord, protocol, {_GROUP} FROM ({_fan_sql('samples')}) GROUP BY granularity, window_ord, protocol",
-    "rollup_overwrite": f"""{WITH}, k AS (SELECT granularity, window_ord, protocol, count(*) AS n, count(*) FILTER (WHERE id % 2 = 0) AS even
-      FROM ({_fan_sql('samples')}) GROUP BY ALL) SELECT granularity, window_ord, protocol, CASE WHEN even > 0 THEN even ELSE n END AS requests FROM k""",
+    "rollup_overwrite": f"""{WITH}, k AS (SELECT granularity, window_ord, protocol, count(*) AS n FROM ({_fan_sql('samples')}) GROUP BY ALL)
+      SELECT granularity, window_ord, 'chat' AS protocol, CAST(sum(n) AS BIGINT) AS requests FROM k GROUP BY 1, 2 UNION ALL SELECT granularity, window_ord, protocol, n FROM k WHERE protocol <> 'chat'""",
     "retention_global": _retention_sql(("m",)),
     "retention_per_protocol": _retention_sql(("d", "h", "m")),
     "global_snapshot_last_10000": f"""{WITH}, last AS (SELECT * FROM samples ORDER BY ts_secs DESC, id DESC LIMIT {m.RING}), p AS ({_p95_sql("", "last")})
