@@ -532,3 +532,26 @@ def test_packing_slots_in_stretches_of_ranks(spark, monkeypatch, stretch):
     taken = [(r.sequence_id, r.offset + k) for r in found for k in range(r.length)]
     assert len(taken) == len(set(taken)) and max(at for _, at in taken) < 11
     assert len({s for s, _ in taken}) <= brute.best_fit_decreasing([r.length for r in found], 11)
+
+
+@pytest.mark.parametrize("mark", ["", " * ", "# ", "// ", "-- "])
+def test_op10_wrapped_notices(spark, mark):
+    """Canonical headers over several lines, with comment marks, give the labels that they give on one line."""
+    notices = {
+        "gpl-2": "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License\nas published by the Free Software Foundation; either\nversion 2 of the License, or (at your option) any later version.",
+        "gpl-3": "it under the terms of the GNU General Public License as published by\nthe Free Software Foundation, either version 3 of\nthe License, or any later version.",
+        "lgpl-2": "modify it under the terms of the GNU Lesser General Public\nLicense as published by the Free Software Foundation; either\nversion 2.1 of the License",
+        "cc0": "To the extent possible under law, Jane\nDoe has waived all copyright and related rights",
+        "bsd-3": "Neither the name of Acme\nCorp nor the names of its\ncontributors may be used to endorse",
+        "apache-2": "Licensed under the Apache License, Version 2.0\n(the \"License\"); you may not use this file except in\ncompliance with the License.",
+        "mpl-2": "This Source Code Form is subject to the terms of the Mozilla\nPublic License, v. 2.0.",
+        "x11": "Except as contained in this notice, the name of\nthe X Consortium shall not\nbe used in advertising",
+    }
+    rows = [(k, t if k % 2 else t.replace("\n", "\n" + mark)) for k, t in enumerate(x for t in notices.values() for x in (t, t))]
+    found = {r.doc_id: set(r.labels.split(",")) for r in licenses.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, label in enumerate(notices):
+        assert label in found[2 * k] and found[2 * k] == found[2 * k + 1], (label, found[2 * k])
+
+
+def test_op10_has_hundreds_of_signatures():
+    assert len(licenses.SIGNATURES) >= 200 and len(set(licenses.SIGNATURES)) == len(licenses.SIGNATURES)

@@ -28,6 +28,7 @@ NOT_WORD = np.ones(256, bool)
 NOT_WORD[0x30:0x3A] = NOT_WORD[0x61:0x7B] = False
 NOT_WORD[0x80:] = False
 GAP = rb"[\x00-\x2f\x3a-\x60\x7b-\x7f]+"
+WORD = rb"[0-9a-z\x80-\xff]+"
 EDGE_LEFT, EDGE_RIGHT = rb"(?<![0-9a-z\x80-\xff])", rb"(?![0-9a-z\x80-\xff])"
 
 # Base phrases and their labels.
@@ -101,13 +102,66 @@ SIGNATURES = (
     ("bsd", 85, "redistribution and use in source and binary forms"),
     ("bsd", 80, "redistributions of source code must retain the above copyright notice"),
     ("bsd", 80, "redistributions in binary form must reproduce the above copyright notice"),
-    ("bsd-3", 86, "neither the names? of .{0,80}? nor the names of its contributors may be used to endorse"),
+    ("bsd-3", 86, "neither the names? of ~12 nor the names of its contributors may be used to endorse"),
+    ("bsd-3", 84, "names? of ~14 may not be used to endorse or promote products derived from this software without specific prior written permission"),
+    ("bsd-3", 80, "opensource org licenses bsd 3 clause"),
+    ("bsd-2", 80, "opensource org licenses bsd 2 clause"),
+    ("bsd-2", 76, "2 clause bsd licen[cs]e"),
+    ("bsd-3", 76, "3 clause bsd licen[cs]e"),
+    ("bsd-4", 76, "4 clause bsd licen[cs]e"),
+    ("bsd-0", 80, "zero clause bsd"),
+    ("bsd-0", 84, "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software"),
+    ("bsd", 78, "use of this source code is governed by a bsd style licen[cs]e"),
+    ("bsd", 74, "this software is provided by ~14 as is and any express or implied warranties"),
+    ("bsd-protection", 84, "bsd protection license"),
+    ("bsd-patent", 82, "bsd(?: 2 clause)? plus patent licen[cs]e"),
+    ("clear-bsd", 84, "no express or implied licenses to any party s patent rights are granted by this license"),
     ("bsd-4", 86, "all advertising materials mentioning features or use of this software must display"),
     ("bsd", 70, "opensource org licenses bsd license"),
     ("bsd-3", 72, "bsd (?:new|modified|revised) licen[cs]e"),
     ("bsd-2", 72, "(?:freebsd|simplified) license"),
     ("isc", 85, "permission to use copy modify and or distribute this software for any purpose"),
     ("isc", 72, "(?:isc|openbsd) license"),
+    ("isc", 80, "opensource org licenses isc"),
+    ("hpnd", 84, "permission to use copy modify and distribute this software and its documentation for any purpose and without fee is hereby granted"),
+    ("ntp", 82, "permission to use copy modify and distribute this software and its documentation for any purpose with or without fee is hereby granted"),
+    ("x11", 84, "except as contained in this notice the names? of ~10 shall not be used in advertising"),
+    ("ncsa", 82, "university of illinois ncsa open source licen[cs]e"),
+    ("ncsa", 80, "opensource org licenses ncsa"),
+    ("icu", 80, "icu license icu 1 8 1 and later"),
+    ("unicode", 82, "unicode inc license agreement data files and software"),
+    ("w3c", 82, "w3c software notice and license"),
+    ("w3c", 80, "www w3 org consortium legal copyright software"),
+    ("libpng", 82, "this code is released under the libpng license"),
+    ("libtiff", 82, "permission to use copy modify distribute and sell this software and its documentation for any purpose is hereby granted without fee"),
+    ("ijg", 82, "this software is based in part on the work of the independent jpeg group"),
+    ("freetype", 82, "freetype project license"),
+    ("freetype", 80, "portions of this software are copyright ~6 the freetype project"),
+    ("info-zip", 82, "info zip license"),
+    ("bzip2", 80, "bzip2 and libbzip2 licen[cs]e"),
+    ("vim", 80, "vim licen[cs]e"),
+    ("tcl", 80, "tcl tk licen[cs]e"),
+    ("tcl", 82, "this software is copyrighted by the regents of the university of california sun microsystems"),
+    ("afl-3", 82, "academic free licen[cs]e (?:version |v ?)?3 0"),
+    ("osl-3", 82, "open software licen[cs]e (?:version |v ?)?3 0"),
+    ("ecl-2", 82, "educational community licen[cs]e(?: version)? 2 0"),
+    ("upl", 82, "universal permissive licen[cs]e"),
+    ("mulan-psl-2", 84, "mulan psl v2"),
+    ("blueoak", 82, "blue oak model licen[cs]e"),
+    ("cecill", 82, "cecill free software licen[cs]e"),
+    ("cecill", 80, "cecill [abc] licen[cs]e"),
+    ("qpl", 82, "q public licen[cs]e version 1 0"),
+    ("apsl", 82, "apple public source licen[cs]e"),
+    ("nposl", 80, "non profit open software licen[cs]e"),
+    ("ncl-nasa", 80, "nasa open source agreement"),
+    ("lppl", 84, "conditions of the latex project public license"),
+    ("lppl", 80, "latex project org lppl"),
+    ("intel-osl", 80, "intel open source licen[cs]e"),
+    ("sleepycat", 82, "sleepycat (?:public )?licen[cs]e"),
+    ("watcom", 80, "sybase open watcom public licen[cs]e"),
+    ("rpl", 80, "reciprocal public licen[cs]e"),
+    ("zpl", 80, "zope public licen[cs]e"),
+    ("vsl", 80, "vovida software licen[cs]e"),
     ("apache-2", 88, "licensed under the apache license version 2 0 the license"),
     ("apache-2", 84, "you may obtain a copy of the license at http www apache org licenses license 2 0"),
     ("apache-2", 80, "www apache org licenses license 2 0"),
@@ -115,11 +169,38 @@ SIGNATURES = (
     ("apache-2", 72, "(?:asl|apache) (?:licen[cs]e )?v?2(?: 0)? licensed"),
     ("apache-1", 80, "this product includes software developed by the apache software foundation"),
     ("apache", 62, "apache software licen[cs]e"),
+    ("apache-2", 84, "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-2", 84, "the asf licenses this file to you under the apache license version 2 0"),
+    ("apache-2", 88, "apache license version 2 0 january 2004"),
+    ("apache-2", 82, "you may not use this file except in compliance with the license"),
+    ("apache-2", 79, "without warranties or conditions of any kind either express or implied see the license for the specific language"),
+    ("apache-2", 80, "opensource org licenses apache 2 0"),
+    ("apache-2-llvm", 86, "apache license v?2 0 with llvm exceptions"),
+    ("apache-1", 84, "the apache software license version 1 1"),
+    ("apache-1", 80, "the names? apache ~6 must not be used to endorse or promote products derived from this software"),
     ("gpl", 85, "this program is free software you can redistribute it and or modify"),
     ("gpl", 84, "published by the free software foundation either version"),
-    ("gpl-2", 87, "general public license .{0,60}? either version 2 of the license"),
-    ("gpl-3", 87, "general public license .{0,60}? either version 3 of the license"),
+    ("gpl-2", 87, "general public license ~12 either version 2 of the license"),
+    ("gpl-3", 87, "general public license ~12 either version 3 of the license"),
     ("gpl-2", 84, "general public license version 2 only"),
+    ("gpl", 79, "this program is distributed in the hope that it will be useful but without any warranty"),
+    ("gpl", 79, "see the gnu general public license for more details"),
+    ("gpl", 77, "write to the free software foundation inc"),
+    ("gpl-2", 86, "terms of version 2 of the gnu general public license"),
+    ("gpl-3", 86, "terms of version 3 of the gnu general public license"),
+    ("gpl-2", 83, "gnu general public license v2(?: 0)?"),
+    ("gpl-3", 83, "gnu general public license v3(?: 0)?"),
+    ("gpl-1", 87, "general public license ~12 either version 1 of the license"),
+    ("gpl", 84, "gnu general public license preamble ~3 the licenses for most software"),
+    ("gpl-2", 88, "gnu general public license version 2 june 1991"),
+    ("gpl-3", 88, "gnu general public license version 3 29 june 2007"),
+    ("gpl-1", 88, "gnu general public license version 1 february 1989"),
+    ("gpl", 78, "distributed under the (?:terms of the )?gnu general public license"),
+    ("gpl", 74, "(?:under|by) the gpl"),
+    ("gpl-linking-exception", 87, "as a special exception the copyright holders of this library give you permission to link"),
+    ("gpl-bison-exception", 87, "as a special exception you may create a larger work that contains part or all of the bison parser skeleton"),
+    ("gpl-gcc-exception", 87, "gcc runtime library exception"),
+    ("gpl-font-exception", 87, "this font does not by itself cause the resulting document to be covered by the gnu general public license"),
     ("gpl", 80, "you should have received a copy of the gnu general public license"),
     ("gpl", 76, "www gnu org licenses gpl"),
     ("gpl-2", 78, "gpl (?:v|version )?2(?: 0)? (?:only|or later)"),
@@ -128,17 +209,43 @@ SIGNATURES = (
     ("lgpl", 85, "this library is free software you can redistribute it and or modify"),
     ("lgpl", 80, "you should have received a copy of the gnu lesser general public license"),
     ("lgpl", 76, "www gnu org licenses lgpl"),
+    ("lgpl-2", 87, "(?:lesser|library) general public license ~12 either version 2(?: 1)? of the license"),
+    ("lgpl-3", 87, "lesser general public license ~12 either version 3 of the license"),
+    ("lgpl", 80, "see the gnu (?:lesser|library) general public license for more details"),
+    ("lgpl", 79, "this library is distributed in the hope that it will be useful but without any warranty"),
+    ("lgpl-2", 88, "gnu lesser general public license version 2 1 february 1999"),
+    ("lgpl-3", 88, "gnu lesser general public license version 3 29 june 2007"),
+    ("lgpl-2", 83, "gnu (?:lesser|library) general public license v2(?: 1)?"),
+    ("lgpl-3", 83, "gnu lesser general public license v3(?: 0)?"),
     ("agpl-3", 85, "gnu affero general public license as published by"),
     ("agpl-3", 76, "www gnu org licenses agpl"),
+    ("agpl-3", 88, "gnu affero general public license version 3 19 november 2007"),
+    ("agpl-3", 80, "see the gnu affero general public license for more details"),
+    ("agpl-3", 83, "gnu affero general public license v3(?: 0)?"),
+    ("agpl-3", 76, "affero general public licen[cs]e"),
+    ("fdl", 86, "with no invariant sections no front cover texts and no back cover texts"),
+    ("fdl", 76, "www gnu org (?:licenses|copyleft) fdl"),
     ("fdl", 84, "copy distribute and or modify this document under the terms of the gnu free documentation license"),
     ("fdl", 72, "gnu (?:fdl|free documentation licen[cs]e)"),
     ("mpl-2", 88, "this source code form is subject to the terms of the mozilla public license"),
     ("mpl-2", 80, "mozilla org mpl 2 0"),
+    ("mpl-2", 80, "if a copy of the mpl was not distributed with this file you can obtain one at"),
+    ("mpl-2", 86, "this source code form is incompatible with secondary licenses as defined by the mozilla public license"),
+    ("mpl-1", 80, "mozilla org mpl 1 1"),
+    ("mpl-1", 80, "the original code is ~12 the initial developer of the original code"),
+    ("mpl-1", 78, "alternatively the contents of this file may be used under the terms of either"),
     ("mpl-1", 84, "the contents of this file are subject to the mozilla public license"),
     ("epl-2", 84, "this program and the accompanying materials are made available under the terms of the eclipse public license v? ?2 0"),
     ("epl-1", 83, "this program and the accompanying materials are made available under the terms of the eclipse public license v? ?1 0"),
     ("epl", 70, "eclipse org legal epl"),
+    ("epl-2", 80, "www eclipse org legal epl (?:2|v2)0?"),
+    ("epl-1", 80, "www eclipse org legal epl v10"),
+    ("edl", 80, "eclipse distribution license"),
+    ("cpl", 80, "common public license (?:version |v ?)?1 0"),
+    ("ipl", 80, "ibm public license (?:version |v ?)?1 0"),
     ("cddl", 84, "subject to the terms of the common development and distribution license"),
+    ("cddl", 80, "opensource org licenses cddl"),
+    ("cddl", 80, "glassfish (?:dev java net|java net) public cddl"),
     ("zlib", 85, "this software is provided as is without any express or implied warranty in no event will the authors"),
     ("zlib", 80, "the origin of this software must not be misrepresented"),
     ("boost", 85, "permission is hereby granted free of charge to any person or organization obtaining a copy"),
@@ -146,7 +253,7 @@ SIGNATURES = (
     ("unlicense", 85, "this is free and unencumbered software released into the public domain"),
     ("unlicense", 78, "unlicense org"),
     ("wtfpl", 84, "you just do what the fuck you want to"),
-    ("artistic-2", 80, "everyone is permitted to copy and distribute verbatim copies of this license document .{0,40}? artistic"),
+    ("artistic-2", 80, "everyone is permitted to copy and distribute verbatim copies of this license document ~8 artistic"),
     ("perl", 78, "under the same terms as perl itself"),
     ("python", 80, "psf license agreement for python"),
     ("python", 72, "python software foundation licen[cs]e"),
@@ -162,10 +269,28 @@ SIGNATURES = (
     ("eupl", 80, "licensed under the eupl version"),
     ("ofl", 84, "this font software is licensed under the sil open font license"),
     ("ofl", 76, "scripts sil org ofl"),
+    ("ofl", 84, "sil open font license version 1 [01]"),
+    ("ofl", 80, "with reserved font name"),
+    ("ufl", 82, "ubuntu font licen[cs]e"),
+    ("bitstream-vera", 82, "bitstream vera fonts copyright"),
     ("odbl", 78, "opendatacommons org licenses odbl"),
     ("odc-by", 78, "open data commons attribution"),
-    ("cc0", 84, "to the extent possible under law .{0,80}? waived all copyright"),
+    ("cc0", 84, "to the extent possible under law ~12 waived all copyright"),
     ("cc0", 78, "creativecommons org publicdomain zero"),
+    ("cc0", 84, "cc0 1 0 universal"),
+    ("cc0", 80, "no rights reserved ~3 cc0"),
+    ("cc-by", 80, "creative commons attribution [0-9] [0-9] (?:international|unported|generic)"),
+    ("cc-by-sa", 81, "creative commons attribution sharealike [0-9] [0-9]"),
+    ("cc-by-sa", 81, "creative commons attribution share alike"),
+    ("cc-by-nd", 81, "creative commons attribution no ?derivat(?:ives|ive works)"),
+    ("cc-by-nc-sa", 82, "creative commons attribution non ?commercial share ?alike"),
+    ("cc-by-nc-nd", 82, "creative commons attribution non ?commercial no ?deriv(?:ative)?s?"),
+    ("cc-pdm", 80, "creativecommons org publicdomain mark"),
+    ("odbl", 82, "open data commons open database licen[cs]e"),
+    ("pddl", 82, "public domain dedication and licen[cs]e"),
+    ("cdla", 82, "community data license agreement"),
+    ("ogl", 80, "open government licen[cs]e"),
+    ("etalab", 80, "licence ouverte(?: open licence)?"),
     ("cc-by", 78, "creativecommons org licenses by [0-9]"),
     ("cc-by-sa", 79, "creativecommons org licenses by sa"),
     ("cc-by-nd", 79, "creativecommons org licenses by nd"),
@@ -173,7 +298,7 @@ SIGNATURES = (
     ("cc-by-nc-sa", 80, "creativecommons org licenses by nc sa"),
     ("cc-by-nc-nd", 80, "creativecommons org licenses by nc nd"),
     ("cc-by", 76, "this work is licensed under a creative commons attribution"),
-    ("cc-by-nc", 77, "creative commons .{0,40}? non ?commercial"),
+    ("cc-by-nc", 77, "creative commons ~6 non ?commercial"),
     ("sspl", 82, "server side public licen[cs]e"),
     ("busl", 82, "business source licen[cs]e"),
     ("elastic", 80, "elastic license(?: v?2(?: 0)?)?"),
@@ -205,8 +330,17 @@ def _spelt(words: str) -> frozenset[bytes]:
 
 
 def _phrase(words: str) -> bytes:
-    """The rule's regex over bytes: words stand apart; a blank inside a word is a gap as well."""
-    return EDGE_LEFT + GAP.join(w.encode().replace(b" ?", b"(?:" + GAP + b")?").replace(b" ", GAP) for w in _parts(words)) + EDGE_RIGHT
+    """The rule's regex over bytes: words stand apart; a blank inside a word is a gap as well, and ``~n`` up to n words.
+
+    A gap is any run of other characters, so phrases go on over line ends and comment marks.
+    """
+    out = EDGE_LEFT
+    for k, w in enumerate(_parts(words)):
+        if w[0] == "~":
+            out += b"(?:" + GAP + WORD + b"){0," + w[1:].encode() + b"}?"
+        else:
+            out += (GAP if k else b"") + w.encode().replace(b" ?", b"(?:" + GAP + b")?").replace(b" ", GAP)
+    return out + EDGE_RIGHT
 
 
 @cache
