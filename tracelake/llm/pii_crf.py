@@ -82,7 +82,8 @@ _BIT[0x30:0x3A] = 4
 for _i, _chars in ((3, b"@"), (4, b"."), (5, b"+"), (6, b"()[]"), (7, b"-_"), (8, b"\"'=:"), (9, b",;!?#*$%&|<>/\\~^`{}")):
     _BIT[list(_chars)] = 1 << _i
 _BIT[0x80:] = 1 << 10
-N_BITS = 11
+LUHN_BIT = 1 << 11  # the word's digits, 12 to 19 of them, pass Luhn's check
+N_BITS = 12
 DIGITS = np.array([1, 3, 4, 5, 7, 9, 11, 12, 20])  # bucket edges of digit counts
 LENGTHS = np.array([2, 4, 7, 11, 16, 20, 33])
 N_DIGITS, N_LENGTHS = len(DIGITS) + 1, len(LENGTHS) + 1
@@ -99,7 +100,11 @@ def shapes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.n
     classes = np.bitwise_or.reduceat(bits, starts).astype(np.int64)
     digits = np.zeros(len(data) + 1, np.int64)
     np.cumsum((data >= 0x30) & (data < 0x3A), out=digits[1:])
-    return classes, np.searchsorted(DIGITS, digits[ends] - digits[starts], side="right"), np.searchsorted(LENGTHS, ends - starts, side="right")
+    count = digits[ends] - digits[starts]
+    for i in np.flatnonzero((count >= 12) & (count <= 19)):
+        if luhn("".join(chr(c) for c in data[starts[i] : ends[i]].tolist() if 0x30 <= c < 0x3A)):
+            classes[i] |= LUHN_BIT
+    return classes, np.searchsorted(DIGITS, count, side="right"), np.searchsorted(LENGTHS, ends - starts, side="right")
 
 
 N_SHAPE = N_BITS + N_DIGITS + N_LENGTHS + N_DIGITS * 4
@@ -187,12 +192,19 @@ def labelled_table(rows: int = 1500, seed: int = 11) -> list[list[tuple[str, int
     def ip() -> list[tuple[str, int]]:
         return [(".".join(str(rng.randint(1, 255)) for _ in range(4)) + rng.choice(["", "", ":80", "/24", ".", ","]), 2)]
 
+    def long_number(valid: bool) -> str:
+        """Digits that pass Luhn's check, or fail it."""
+        w = digits(rng.choice([12, 13, 14, 15, 15, 16, 16, 16, 16, 19]))
+        return w[:-1] + rng.choice([c for c in "0123456789" if luhn(w[:-1] + c) == valid])
+
     def card() -> list[tuple[str, int]]:
-        if rng.random() < 0.6:
-            return [(digits(rng.choice([15, 16, 16, 16, 19])) + rng.choice(["", ".", ","]), 3)]
-        if rng.random() < 0.5:
-            return [("-".join(digits(4) for _ in range(4)), 3)]
-        return [(digits(4), 3) for _ in range(4)]
+        w, sign = long_number(True), rng.choice(["", "", "", "-", ".", "_", "/"])
+        return [(sign.join(w[k : k + 4] for k in range(0, len(w), 4)) + rng.choice(["", ".", ","]), 3)]
+
+    def serial() -> list[tuple[str, int]]:
+        """Long numbers that are no cards: they fail the check, or stand in groups."""
+        w, sign = long_number(False), rng.choice(["", "", "", "-", ".", "_", " "])
+        return [(x, 0) for x in (sign.join(w[k : k + 4] for k in range(0, len(w), 4)) + rng.choice(["", ".", ","])).split(" ")]
 
     def phone() -> list[tuple[str, int]]:
         form = rng.randint(0, 4)
@@ -218,7 +230,7 @@ def labelled_table(rows: int = 1500, seed: int = 11) -> list[list[tuple[str, int
         row: list[tuple[str, int]] = []
         for _ in range(rng.randint(1, 4)):
             row += plain() if rng.random() < 0.75 else number()
-        kind = [email, ip, card, phone, secret, number, number, plain][i % 8]
+        kind = [email, ip, card, phone, secret, number, serial, serial, plain][i % 9]
         row += kind()
         for _ in range(rng.randint(1, 4)):
             row += plain() if rng.random() < 0.75 else number()
@@ -312,7 +324,8 @@ def field_spans(column: pa.Array, field: Field) -> list[list[tuple[int, int, int
         hit = np.flatnonzero(labels)
         if not len(hit):
             continue
-        new = np.append(True, (np.diff(hit) != 1) | (labels[hit[1:]] != labels[hit[:-1]]) | opens[hit[1:]])
+        # Only a phone number goes on over several words.
+        new = np.append(True, (np.diff(hit) != 1) | (labels[hit[1:]] != labels[hit[:-1]]) | opens[hit[1:]] | (labels[hit[1:]] != 1 + KINDS.index("phone")))
         edge = np.flatnonzero(new)
         for a, z in zip(hit[edge], hit[np.append(edge[1:], len(hit)) - 1]):
             lo, hi = int(starts[at[a]]), int(ends[at[z]])
