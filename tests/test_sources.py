@@ -29,6 +29,11 @@ def test_names_and_rules(spark, tmp_path):
         rules.load_rules(spark, write(tmp_path, "big.json", " " * (rules.LIMIT + 1)))
 
 
+def test_checked_patterns_of_the_engine_that_runs_them(spark):
+    given = [("a", "x++y"), ("b", r"(?a:q)"), ("c", r"\Aok\Z")]
+    assert [n for n, _ in rules.checked_patterns(given)] == ["a", "b", "c"] and [n for n, _ in rules.checked_patterns(given, spark=spark)] == ["a", "c"]
+
+
 def test_checked_patterns():
     given = [("a", "x+"), ("a", "y"), ("email", "z"), ("b", r"\bq"), ("c", "(?P<n>q)"), ("d", "("), ("e", "(?:q)")]
     assert rules.checked_patterns(given) == [("a", "x+"), ("e", "(?:q)")]

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .scan import let
+
 #: Ordered (pattern, replacement) pairs of summary redaction.
 SUMMARY_RULES = (
     (r"__CRED_[0-9]{4,}_*|__PII_[0-9]+_[0-9a-f]+_*", "[REDACTED:placeholder]"),
@@ -20,6 +23,11 @@ SUMMARY_RULES = (
         "$1[REDACTED:secret]",
     ),
 )
+#: What a text must hold for a rule to match, rule by rule.
+SUMMARY_NEEDS: tuple[Callable[[Column], Column], ...] = (
+    lambda t: t.contains("__CRED_") | t.contains("__PII_"), lambda t: t.contains("sk-"), lambda t: t.contains("@"), lambda t: t.rlike(r"[0-9]\.[0-9]{1,3}\.[0-9]"),
+    lambda t: t.rlike("[0-9]{17}"), lambda t: t.rlike("[0-9]{13}"), lambda t: t.contains(":") | t.contains("="),
+)
 #: What is left of a placeholder that a stream has cut off.
 PARTIAL_CREDENTIAL = r"__CRED(?!_\d{4,}__)(?:_\d*)?_?(?=\z|\s|[^\w])"
 PARTIAL_PERSONAL = (
@@ -40,9 +48,17 @@ def normalize_model(name: Column) -> Column:
 
 
 def redact_summary(text: Column) -> Column:
-    """Control characters go (tab and line feed stay), then the rules apply in their order."""
+    """Control characters go (tab and line feed stay), then the rules apply in their order.
+
+    Each rule has a cheap test of what its matches hold, as most texts need none.
+    """
     cleaned = F.regexp_replace(text, r"[\x00-\x08\x0b-\x1f\x7f-\x9f]", "")
-    return reduce(lambda c, rule: F.regexp_replace(c, F.lit(rule[0]), F.lit(rule[1])), SUMMARY_RULES, cleaned)
+
+    def applied(c: Column, rule: tuple[tuple[str, str], Callable[[Column], Column]]) -> Column:
+        (pattern, new), needed = rule
+        return let(c, lambda x: F.when(needed(x), F.regexp_replace(x, F.lit(pattern), F.lit(new))).otherwise(x))
+
+    return reduce(applied, zip(SUMMARY_RULES, SUMMARY_NEEDS), cleaned)
 
 
 def summarize(text: Column, n: int = 1000) -> Column:

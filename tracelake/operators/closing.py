@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.scan import let
+from . import traffic
+from .audit import Policy, danger_reason
+from .toolcalls import blocked_call, tool_calls
+
 #: The name of a model that is not known, and consecutive errors that disable a rule.
 UNKNOWN_MODEL = "unknown_model"
 STRIKES = 3
@@ -33,6 +38,21 @@ def blocked_body(protocol: Column, reason: Column, conversation: Column, model:
     return F.when(protocol == "chat", F.to_json(chat)).when(protocol == "anthropic", F.to_json(messages)).when(protocol == "responses", F.to_json(response))
 
 
+def audited_body(body: Column, protocol: Column, created: Column, mode: str = "block", policy: Policy = Policy(), approvers: tuple[str, ...] = ()) -> Column:
+    """(body, reason, index) of a whole answer: its first dangerous call takes its place by a body that says so.
+
+    With approvers, or with the mode off, a body stays; the reason of a call that waits is given all the same.
+    """
+    found = F.when(F.lit(mode != "off"), blocked_call(tool_calls(body), lambda name, args: danger_reason(name, args, policy)))
+    stops = mode == "block" or (mode == "approve" and not approvers)
+
+    def made(first: Column) -> Column:
+        new = blocked_body(protocol, first["reason"], traffic.conversation_id(body), traffic.stream_model(body), created)
+        return F.struct(F.when(first["reason"].isNotNull() & F.lit(stops), F.coalesce(new, body)).otherwise(body).alias("body"), first["reason"].alias("reason"), first["index"].alias("index"))
+
+    return let(found, made)
+
+
 def control_action(terminal_sent: Column, failed_sent: Column, is_error: Column, is_failed: Column) -> Column:
     """What becomes of a control event of a response stream."""
     return F.when(terminal_sent, "ignore").when(is_error, "synthesize_failed").when(is_failed & failed_sent, "duplicate_failed").otherwise("pass")

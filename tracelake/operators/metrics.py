@@ -23,21 +23,21 @@ def _sums(*names: str) -> list[Column]:
     return [F.sum(n).alias(n) for n in names]
 
 
-def _fan_out(rows: DataFrame) -> DataFrame:
+def _fan_out(rows: DataFrame, granularities: tuple[str, ...] = tuple(SPANS)) -> DataFrame:
     """Every row once for each granularity, with its window."""
-    windows = F.array(*[F.struct(F.lit(g).alias("granularity"), window_ord(F.col("ts_secs"), g).alias("window_ord")) for g in SPANS])
+    windows = F.array(*[F.struct(F.lit(g).alias("granularity"), window_ord(F.col("ts_secs"), g).alias("window_ord")) for g in granularities])
     return rows.withColumn("_w", F.explode(windows)).select("*", "_w.granularity", "_w.window_ord").drop("_w")
 
 
-def rollup(samples: DataFrame) -> DataFrame:
+def rollup(samples: DataFrame, granularities: tuple[str, ...] = tuple(SPANS)) -> DataFrame:
     """Counters and histogram by granularity, window and protocol.
 
-    One shuffle serves the three granularities; partial aggregation leaves at most one row per
+    One shuffle serves all granularities asked for; partial aggregation leaves at most one row per
     key and task.
     """
     modes = [F.count_if(F.col("truncated_mode") == mode).alias(name) for mode, name in TRUNCATION.items()]
     return (
-        _fan_out(samples).groupBy("granularity", "window_ord", "protocol")
+        _fan_out(samples, granularities).groupBy("granularity", "window_ord", "protocol")
         .agg(F.count("*").alias("requests"), *_sums(*COUNTERS), *modes, bucket_counts(F.col("latency_ms")).alias("buckets"))
         .withColumn("bucket_bounds_version", F.lit(BOUNDS_VERSION))
     )

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import bodies, jsonspan, text, validators
-from ..functions.timewin import window_key
+from ..functions.timewin import is_since_shape, window_key
 from ..operators import access, admin, identity, traffic
 from ..sources.driver_tables import NOW, REQUESTS_SQL, requests, table
 from .values import hmac_sql
@@ -175,7 +175,7 @@ QUERIES = {
     "event_page_unknown_verdict": lambda s, d: admin.event_page(_events(s, d).drop("props"), verdict="no such kind", limit=999),
     "event_backlog": lambda s, d: admin.backlog(_events(s, d).drop("props"), F.col("kind") != "view"),
     "event_since": lambda s, d: _events(s, d).select("id", admin.since_passes(F.when(F.col("id") % 3 == 0, "x").otherwise(F.to_json(F.struct("ts_secs"))), NOW - 15 * 86_400).alias("passes")),
-    "since_shapes": lambda s, d: _events(s, d).select("id", F.concat(F.substring(F.lit("dhmx"), (F.col("id") % 4 + 1).cast("int"), F.lit(1)), F.col("user_id"), F.when(F.col("id") % 5 == 0, "x").otherwise("")).rlike(r"^[dhm]\d+$").alias("good")),
+    "since_shapes": lambda s, d: _events(s, d).select("id", is_since_shape(F.concat(F.substring(F.lit("dhmx"), (F.col("id") % 4 + 1).cast("int"), F.lit(1)), F.col("user_id"), F.when(F.col("id") % 5 == 0, "x").otherwise(""))).alias("good")),
     "command_page": lambda s, d: admin.command_page(_commands(s, d), {"command": "cmd-1", "approval_status": "approved"}, NOW - 25 * 86_400, 30, 10),
     "command_totals": lambda s, d: admin.command_totals(_commands(s, d), {"caller_path": "/srv/c7"}),
     "command_grants": lambda s, d: access.grants(_commands(s, d).filter("approval_status = 'approved'")),

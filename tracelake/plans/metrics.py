@@ -40,7 +40,7 @@ def _rollups(spark, d):
 
 
 def _series(g):
-    return lambda spark, d: m.series(_rollups(spark, d), g).drop("buckets", "bucket_bounds_version")
+    return lambda spark, d: m.series(m.rollup(samples(spark, d), (g,)), g).drop("buckets", "bucket_bounds_version")
 
 
 def _series_sql(g: str) -> str:

@@ -8,6 +8,8 @@ import re
 from dataclasses import replace
 from typing import Any
 
+from py4j.protocol import Py4JError
+from pyspark.errors import IllegalArgumentException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -72,14 +74,28 @@ def load_rules(spark: SparkSession, path: str, kind: str = "patterns") -> list[t
     return pairs
 
 
-def checked_patterns(pairs: list[tuple[str, str]], taken: tuple[str, ...] = BUILT_IN) -> list[tuple[str, str]]:
-    """The pairs whose names are new and whose patterns compile, without ``\\b`` or groups that capture."""
+def _runs(spark: SparkSession, pattern: str) -> bool:
+    """Whether the engine that will run a pattern takes it."""
+    try:
+        spark._jvm.java.util.regex.Pattern.compile(pattern)
+    except (Py4JError, IllegalArgumentException):
+        return False
+    return True
+
+
+def checked_patterns(pairs: list[tuple[str, str]], taken: tuple[str, ...] = BUILT_IN, spark: SparkSession | None = None) -> list[tuple[str, str]]:
+    """The pairs whose names are new and whose patterns compile, without ``\\b`` or groups that capture.
+
+    With a session they must also compile where they will run, so that none fails a job later.
+    """
     seen, kept = set(taken), []
     for name, pattern in pairs:
         try:
             compiled = re.compile(pattern)
         except re.error:
             continue
+        if spark is not None and not _runs(spark, pattern):
+            continue
         if name not in seen and r"\b" not in pattern and not compiled.groups:
             seen.add(name)
             kept.append((name, pattern))
