@@ -149,7 +149,7 @@ def test_op4_pairs_against_brute_force(spark, chunk):
 
 
 def test_op4_pairs_query(spark, sf_dir, rows):
-    found = q.op4_spotsigs_pairs(spark, sf_dir).collect()
+    found = q.spotsigs_pairs(spark, sf_dir).collect()
     classes, want = spot_classes(rows)
     assert sorted(r.doc_id for r in found if r.other is None) == sorted(i for i, _ in rows)
     assert len({r["class"] for r in found if r.other is None}) == len(classes)

@@ -39,7 +39,7 @@ def op4_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbour_likeness(documents(spark, sf_dir))
 
 
-def op4_spotsigs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+def spotsigs_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .spotsigs import classes_and_pairs
 
     return classes_and_pairs(documents(spark, sf_dir))
@@ -115,7 +115,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op11_collocations": op11_collocations,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_simhash": op13_simhash,
-    "op4_spotsigs_pairs": op4_spotsigs_pairs,
+    "spotsigs_pairs": spotsigs_pairs,
 }
 #: Whole counts by size and language; every cut of a candidate joins the counts of its parts.
 COLLOCATIONS_SQL = r"""
