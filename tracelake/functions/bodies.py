@@ -6,12 +6,16 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .hmac import hmac_sha256
+from .scan import let, scan
 
 #: Headers that concern one hop only.
 HOP_HEADERS = ("connection", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
 #: What separates joined credentials and the parts of a key.
 CREDENTIAL_MARK, PART_MARK = "\x1e", "\x1f"
 
+#: Stands for a found part while a text is split; a text's own become replacement characters.
+SPAN_MARK = "\ue002"
+
 
 def streamed(body: Column) -> Column:
     """Whether the body asks for a stream: ``true`` and nothing like it."""
@@ -62,6 +66,18 @@ def occurrences(text: Column, part: Column) -> Column:
     return F.when(part == "", 0).otherwise(((F.length(text) - F.length(F.replace(text, part, F.lit("")))) / F.length(part)).cast("bigint"))
 
 
+def occurrence_spans(text: Column, part: Column) -> Column:
+    """(start, end) of each place where a part stands in a text, left to right, without overlaps."""
+    clean = F.translate(text, SPAN_MARK, "\ufffd")
+    pieces = F.split(F.when(part == "", clean).otherwise(F.replace(clean, F.translate(part, SPAN_MARK, "\ufffd"), F.lit(SPAN_MARK))), SPAN_MARK, -1)
+
+    def step(pos: Column, piece: Column) -> tuple[Column, Column]:
+        start = pos + F.length(piece)
+        return start + F.length(part), F.array(F.struct(start.alias("start"), (start + F.length(part)).alias("end")))
+
+    return let(pieces, lambda ps: scan(F.slice(ps, F.lit(1), F.size(ps) - 1), F.lit(0), step, "struct<start:int,end:int>"))
+
+
 def end_to_end(headers: Column, internal: str = "x-internal-") -> Column:
     """Headers (in small letters) without those of one hop, those that ``connection`` names, and the service's own."""
     named = F.transform(F.split(F.coalesce(F.try_element_at(headers, F.lit("connection")), F.lit("")), ","), lambda x: F.lower(F.trim(x)))

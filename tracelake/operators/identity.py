@@ -67,6 +67,19 @@ def resolve_callers(calls: DataFrame, callers: DataFrame, now: int) -> DataFrame
     return joined.select("caller_path", "caller_hash", outcome.alias("outcome"), F.coalesce("p", "h_path").alias("entry_path"))
 
 
+def found_entries(keys: DataFrame, callers: DataFrame) -> DataFrame:
+    """The entry (path) that each ``key`` means: a path, else the hash of an entry, else the name of an active one, else any name.
+
+    Of several entries the least path counts.  The registry is joined three times by key.
+    """
+    by_path = callers.select(F.col("caller_path").alias("p"))
+    by_hash = callers.groupBy(F.col("expected_hash").alias("h")).agg(F.min("caller_path").alias("h_path"))
+    named = callers.filter("coalesce(name, '') <> ''").groupBy(F.col("name").alias("n"))
+    by_name = named.agg(F.coalesce(F.min(F.when(~F.col("revoked"), F.col("caller_path"))), F.min("caller_path")).alias("n_path"))
+    joined = keys.join(by_path, F.col("key") == F.col("p"), "left").join(by_hash, F.col("key") == F.col("h"), "left").join(by_name, F.col("key") == F.col("n"), "left")
+    return joined.select(*[keys[c] for c in keys.columns], F.coalesce("p", "h_path", "n_path").alias("entry_path"))
+
+
 def entry_allowed(entries: Column, entry: Column, field: Column) -> Column:
     """Access by a map of entries to fields: no map or entry denies, no field or an empty list allows."""
     fields = F.try_element_at(entries, entry)

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from ..functions.hmac import value_hash
+from ..functions.hmac import hmac_sha256, value_hash
 from ..functions.lookup import names_pattern
 from ..functions.masks import mask_for_samples
 from ..functions.scan import let, none, scan
@@ -211,6 +211,18 @@ def redact(documents: DataFrame, salt: bytes, scope: str = "doc_id", text: str =
     return ready.mapInArrow(run, schema)
 
 
+def prescan(text: Column, rules: list[tuple[str, str]], salt: bytes, scope: Column | None = None) -> Column:
+    """Values that the users' patterns find in a raw body, each once, with the placeholder that it gets.
+
+    Numbered by first occurrence, rule by rule; values that look like placeholders get none.
+    """
+    shaped = lambda v: v.contains(TOKEN_MARKS[0]) | v.contains(TOKEN_MARKS[1])
+    values = F.filter(F.array_distinct(F.transform(custom_hits(F.coalesce(text, F.lit("")), rules), lambda h: h["value"])), lambda v: (v != "") & ~shaped(v))
+    message = lambda v: v if scope is None else F.concat(scope.cast("string"), F.lit("\x1f"), v)
+    token = lambda v, i: F.concat(F.lit("__PII_"), (i + 1).cast("string"), F.lit("_"), F.substring(hmac_sha256(salt, message(v)), 1, 8), F.lit("__"))
+    return let(values, lambda vs: F.map_from_arrays(vs, F.transform(vs, token)))
+
+
 def restore(text: Column, placeholders: Column) -> Column:
     """Known placeholders become their values again; unknown ones stay.
 

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions import shell, timewin
-from ..operators import closing, metrics, pii, toolcalls
+from ..functions import bodies, shell, timewin
+from ..operators import closing, identity, metrics, pii, toolcalls
 from ..sources.driver_tables import REQUESTS_SQL, requests, samples, table
 from .pump import _TURNS, turns
+from .redaction import SALT
+from .values import hmac_sql
 
 _REASON = "危险 shell: rm -rf 递归强制删除"
 SINCE = 473_360
@@ -62,7 +64,35 @@ def _commands(s, d):
     return e.select("event_id", shell.plain_path(path).alias("path"), shell.unescape(line).alias("line"), shell.expand(F.concat(F.lit("A="), "k", F.lit("; echo $A/${A} $B"))).alias("expanded"))
 
 
+def _prescan(s, d):
+    """Long words as a user's pattern finds them in documents, and the first of their placeholders."""
+    docs = table(s, d, "documents").select("doc_id", pii.prescan(F.col("text"), [("long", "[a-z]{11,}")], SALT, F.col("doc_id")).alias("m"))
+    keys = F.map_keys("m")
+    return docs.select("doc_id", F.size(keys).cast("bigint").alias("values"), F.sha2(F.array_join(keys, " "), 256).alias("found"), F.get(F.map_values("m"), 0).alias("first"))
+
+
+def _places(s, d):
+    part = F.lower(F.col("role").substr(F.lit(1), F.lit(2)))
+    rows = table(s, d, "conversations").select("conv_id", "turn", bodies.occurrence_spans(F.coalesce("text", F.lit("")), part).alias("p"))
+    return rows.select("conv_id", "turn", F.size("p").cast("bigint").alias("places"), F.array_join(F.transform("p", lambda x: F.concat(x["start"], F.lit(":"), x["end"])), ",").alias("spans"))
+
+
+def _callers(s, d):
+    c = table(s, d, "customer")
+    n = F.col("c_custkey")
+    return c.select(F.concat(F.lit("/srv/"), n).alias("caller_path"), F.concat(F.lit("h"), n % 40).alias("expected_hash"), F.concat(F.lit("n"), n % 60).alias("name"), (n % 3 == 0).alias("revoked"))
+
+
+def _found(s, d):
+    n = F.col("event_id")
+    key = F.when(n % 4 == 0, F.concat(F.lit("/srv/"), n % 500)).when(n % 4 == 1, F.concat(F.lit("h"), n % 60)).when(n % 4 == 2, F.concat(F.lit("n"), n % 90)).otherwise("none")
+    return identity.found_entries(table(s, d, "events").select("event_id", key.alias("key")), _callers(s, d))
+
+
 QUERIES = {
+    "prescanned_values": _prescan,
+    "part_spans": _places,
+    "found_entries": _found,
     "audited_bodies": _answers,
     "search_calls": _searches,
     "odd_identifiers": _identifiers,
@@ -72,7 +102,19 @@ QUERIES = {
 }
 _LOG = f"WITH {REQUESTS_SQL.strip()}"
 _BLOCKED = f"'[blocked: {_REASON}]'"
+_FIRST = hmac_sql(SALT, "doc_id || chr(31) || v[1]")
 ORACLE_SQL = {
+    "prescanned_values": f"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[a-z]{{11,}}') AS ws FROM documents),
+      v AS (SELECT doc_id, list_filter(ws, lambda x, i: list_position(ws, x) = i) AS v FROM w)
+      SELECT doc_id, len(v) AS "values", sha256(array_to_string(v, ' ')) AS found, CASE WHEN len(v) > 0 THEN '__PII_1_' || substr({_FIRST}, 1, 8) || '__' END AS first FROM v""",
+    "part_spans": """WITH t AS (SELECT conv_id, turn, string_split(coalesce(text, ''), lower(substr(role, 1, 2))) AS ps FROM conversations),
+      e AS (SELECT conv_id, turn, ps, unnest(range(1, len(ps))) AS k FROM t),
+      s AS (SELECT conv_id, turn, k, list_sum(list_transform(ps[:k], lambda x: length(x))) + 2 * (k - 1) AS place FROM e)
+      SELECT t.conv_id, t.turn, count(k) AS places, coalesce(string_agg(CAST(place AS BIGINT) || ':' || CAST(place + 2 AS BIGINT), ',' ORDER BY k), '') AS spans FROM t LEFT JOIN s USING (conv_id, turn) GROUP BY ALL""",
+    "found_entries": """WITH c AS (SELECT '/srv/' || c_custkey AS p, 'h' || c_custkey % 40 AS h, 'n' || c_custkey % 60 AS n, c_custkey % 3 = 0 AS revoked FROM customer),
+      k AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN '/srv/' || event_id % 500 WHEN 1 THEN 'h' || event_id % 60 WHEN 2 THEN 'n' || event_id % 90 ELSE 'none' END AS key FROM events),
+      a AS (SELECT p AS x, p AS y FROM c), b AS (SELECT h AS x, min(p) AS y FROM c GROUP BY h), n AS (SELECT n AS x, coalesce(min(p) FILTER (WHERE NOT revoked), min(p)) AS y FROM c GROUP BY n)
+      SELECT event_id, key, coalesce(a.y, b.y, n.y) AS entry_path FROM k LEFT JOIN a ON a.x = key LEFT JOIN b ON b.x = key LEFT JOIN n ON n.x = key""",
     "audited_bodies": f"""{_TURNS}, c AS (SELECT *, n % 5 = 0 OR n % 3 = 0 AS bad, CASE WHEN n % 5 = 0 THEN 0 WHEN n % 3 = 0 THEN 1 END AS k FROM turns)
       SELECT stream, protocol, CASE WHEN bad THEN '{_REASON}' END AS reason, CAST(CASE protocol WHEN 'anthropic' THEN k + 1 ELSE k END AS BIGINT) AS index, NOT bad AS kept,
         sha256(CASE WHEN bad THEN {_BLOCKED} ELSE text END) AS said, CASE WHEN bad AND protocol = 'chat' THEN 'blocked-' || stream ELSE stream END AS id FROM c""",

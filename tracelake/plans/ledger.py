@@ -69,8 +69,9 @@ def _vault(most):
 
 def _buckets(s, d):
     e = table(s, d, "events")
-    raw = (F.col("event_id").cast("decimal(20,0)") * F.lit(18_446_744_073_709_551).cast("decimal(20,0)") + F.col("user_id")).cast("decimal(20,0)")
-    raw = F.when(F.col("event_id") % 3 == 0, F.col("event_id").cast("decimal(20,0)") * 40_003).otherwise(F.pmod(raw, F.lit(str(1 << 64)).cast("decimal(20,0)")))
+    wide = (F.col("event_id").cast("decimal(18,0)") * F.lit("18446744073709551").cast("decimal(17,0)") + F.col("user_id").cast("decimal(18,0)")).cast("decimal(38,0)")
+    small = F.col("event_id").cast("decimal(20,0)") * 40_003
+    raw = F.when(F.col("event_id") % 3 == 0, small).otherwise(F.pmod(wide, F.lit(str(1 << 64)).cast("decimal(38,0)"))).cast("decimal(20,0)")
     return e.select("event_id", ledger.tool_bucket(raw).alias("bucket"), ledger.chat_bucket(F.col("user_id").cast("decimal(20,0)") * 900, raw).alias("chat"))
 
 
