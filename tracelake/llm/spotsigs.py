@@ -9,7 +9,8 @@ words of a text, padded, always do.
 ``neighbour_likeness`` compares each document with an edited copy of itself and with the next
 document by descending ``doc_id``.  The order is global without a global task: ids are cut into
 ranges at quantiles that are themselves ids, so the one row a range needs from its neighbour is
-known beforehand and travels with the range.
+known beforehand and travels with the range.  All rows of one id, and all rows without one, lie in one
+range and so in one task.
 
 ``matching_pairs`` is the join.  Rows with equal sets are one class, keyed by a hash of the set;
 ``class_members`` names the class of every row.  Sets are partitioned by length, and only those whose
