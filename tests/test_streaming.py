@@ -126,3 +126,29 @@ def test_rollup_restarts_without_counting_twice(spark, sf_dir, tmp_path):
     stored.compact(spark, path, 1)
     stored.compact(spark, path, 2)
     assert got() == want
+
+
+def test_scopes_of_a_stream_are_the_sessions_of_the_batch(spark, sf_dir, tmp_path):
+    from tracelake.operators.frames import idle_sessions
+    from tracelake.sources.driver_tables import requests
+    from tracelake.streaming.scopes import conversation_scopes
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rows = requests(spark, sf_dir).filter("session_id is not null").select(F.col("session_id").alias("key"), F.col("ts_secs").alias("ts"), "id")
+    edge = rows.approxQuantile("ts", [0.5], 0.01)[0]
+    source = str(tmp_path / "in")
+    for part in (rows.filter(F.col("ts") < edge), rows.filter(F.col("ts") >= edge)):
+        part.coalesce(1).write.mode("append").parquet(source)
+        time.sleep(1.1)
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(source)
+    before = spark.conf.get("spark.sql.streaming.noDataMicroBatches.enabled")
+    spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", "false")  # kept state alone would run it for ever
+    try:
+        query = conversation_scopes(stream, 86_400).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+        assert query.awaitTermination(180)
+    finally:
+        spark.conf.set("spark.sql.streaming.noDataMicroBatches.enabled", before)
+    got = spark.read.parquet(str(tmp_path / "out")).groupBy("key", "scope").agg(F.min("ts").alias("first_ts"), F.max("ts").alias("last_ts"), F.count("*").alias("requests"))
+    want = idle_sessions(rows, "key", "ts", 86_400)
+    plain = lambda f: sorted(tuple(r) for r in f.select("key", "first_ts", "last_ts", "requests").collect())
+    assert plain(got) == plain(want) and len(plain(want)) > 3

@@ -249,5 +249,16 @@ def samples(hits: DataFrame, key: bytes | None = None, by: tuple[str, ...] = ("s
     return masked.groupBy(*by, "kind", "hash").agg(F.count("*").alias("hits"), F.max("mask").alias("mask"))
 
 
+def sample_maps(found: DataFrame) -> DataFrame:
+    """One JSON object a kind: each mask with its count and hash; of values with one mask the greatest (hits, hash) stands.
+
+    ``found`` is (kind, hash, hits, mask).  Masks say little, so there are few of a kind, but their number
+    is not bounded by that; a kind's object is one row.
+    """
+    one = found.groupBy("kind", "mask").agg(F.max(F.struct("hits", "hash")).alias("v"))
+    entry = F.struct("mask", F.struct(F.col("v.hits").alias("count"), F.col("v.hash").alias("hash")).alias("v"))
+    return one.groupBy("kind").agg(F.to_json(F.map_from_entries(F.array_sort(F.collect_list(entry)))).alias("samples"))
+
+
 def count_by_kind(hits: DataFrame) -> DataFrame:
     return hits.select(F.explode("pii_hits").alias("h")).groupBy(F.col("h.kind").alias("kind")).agg(F.count("*").alias("hits"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.histogram import BOUNDS
+from ..functions.histogram import BOUNDS, BOUNDS_VERSION
 from ..functions.timewin import KEEP, SPANS
 from ..operators import metrics as m
 from ..sources.driver_tables import NOW, REQUESTS_SQL, requests, samples
@@ -80,6 +80,13 @@ PAGE = m.RequestFilter(start_ts=NOW - 14 * 86_400, protocol="chat", status="erro
 PAGE_SQL = f"ts_secs >= {NOW - 14 * 86_400} AND protocol = 'chat' AND (status IS NULL OR status >= 400) AND is_chat"
 _RATIO = "CASE WHEN {1} <> 0 THEN CAST({0} AS DOUBLE) / {1} END"
 
+def _versions(s, d):
+    """Windows of this version of the bounds merged with those of an older one, whose buckets do not count."""
+    rows = _rollups(s, d)
+    merged = m.merged_rollups(rows.unionByName(rows.withColumn("bucket_bounds_version", F.lit(BOUNDS_VERSION - 1))))
+    return merged.select("granularity", "window_ord", "protocol", "requests", F.aggregate("buckets", F.lit(0).cast("long"), lambda a, x: a + x).alias("counted"), F.get("buckets", 0).alias("fastest"))
+
+
 QUERIES = {
     "series_five_min": _series("m"),
     "series_hourly": _series("h"),
@@ -87,6 +94,7 @@ QUERIES = {
     "rollup_windows": lambda s, d: _rollups(s, d).drop("buckets", "bucket_bounds_version"),
     "rollup_overwrite": lambda s, d: m.merge_rollups(_rollups(s, d), m.rollup(samples(s, d).withColumn("protocol", F.lit("chat"))), add=False).select("granularity", "window_ord", "protocol", "requests"),
     "rollup_additive": lambda s, d: m.merge_rollups(m.rollup(samples(s, d).filter("id % 2 = 0")), m.rollup(samples(s, d).filter("id % 2 = 1")), add=True).drop("buckets", "bucket_bounds_version"),
+    "rollup_versions": _versions,
     "retention_global": lambda s, d: m.newest_windows(_rollups(s, d)).select("granularity", "window_ord", "protocol", "requests"),
     "retention_per_protocol": lambda s, d: m.newest_per_protocol(_rollups(s, d)).select("granularity", "window_ord", "protocol", "requests"),
     "global_snapshot_last_10000": lambda s, d: m.global_snapshot(samples(s, d)),
@@ -118,6 +126,8 @@ ORACLE_SQL = {
     "rollup_additive": f"{WITH} SELECT granularity, window_ord, protocol, {_GROUP} FROM ({_fan_sql('samples')}) GROUP BY granularity, window_ord, protocol",
     "rollup_overwrite": f"""{WITH}, k AS (SELECT granularity, window_ord, protocol, count(*) AS n FROM ({_fan_sql('samples')}) GROUP BY ALL)
       SELECT granularity, window_ord, 'chat' AS protocol, CAST(sum(n) AS BIGINT) AS requests FROM k GROUP BY 1, 2 UNION ALL SELECT granularity, window_ord, protocol, n FROM k WHERE protocol <> 'chat'""",
+    "rollup_versions": f"""{WITH} SELECT granularity, window_ord, protocol, 2 * count(*) AS requests, count(*) AS counted, count(*) FILTER (WHERE latency_ms <= {BOUNDS[0]}) AS fastest
+      FROM ({_fan_sql('samples')}) GROUP BY granularity, window_ord, protocol""",
     "retention_global": _retention_sql(("m",)),
     "retention_per_protocol": _retention_sql(("d", "h", "m")),
     "global_snapshot_last_10000": f"""{WITH}, last AS (SELECT * FROM samples ORDER BY ts_secs DESC, id DESC LIMIT {m.RING}), p AS ({_p95_sql("", "last")})

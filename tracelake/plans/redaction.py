@@ -81,6 +81,7 @@ QUERIES = {
     "pii_count_by_kind": lambda s, d: pii.count_by_kind(_hits(s, d)),
     "pii_pages_by_kind": lambda s, d: pii.count_by_kind(pii.with_hits(table(s, d, "pages"), "html")),
     "pii_arbitrated": lambda s, d: _hits(s, d).select("doc_id", F.size(pii.arbitrate(F.col("pii_hits"))).alias("hits")).filter("hits > 0"),
+    "pii_sample_maps": lambda s, d: pii.sample_maps(pii.samples(_hits(s, d), by=())),
     "pii_samples_top20": lambda s, d: pii.samples(_hits(s, d)).orderBy(F.desc("hits"), "kind", "hash", "source").limit(20),
     "redact_documents": lambda s, d: pii.redact(_documents(s, d), SALT).select("doc_id", "redacted"),
     "restore_round_trip": _restored,
@@ -128,6 +129,9 @@ ORACLE_SQL = {
     "pii_count_by_kind": f"WITH {_FOUND} SELECT kind, count(*) AS hits FROM found GROUP BY 1",
     "pii_pages_by_kind": f"WITH {found_sql('pages', 'page_id', 'html')} SELECT kind, count(*) AS hits FROM found GROUP BY 1",
     "pii_arbitrated": f"WITH {_FOUND} SELECT doc_id, CAST(count(*) AS INTEGER) AS hits FROM found GROUP BY 1",
+    "pii_sample_maps": f"""WITH {_FOUND}, v AS (SELECT kind, substr(sha256(value), 1, 16) AS hash, count(*) AS hits, max({MASK_SAMPLE_SQL}) AS mask FROM found GROUP BY kind, value),
+      m AS (SELECT kind, mask, max((hits, hash)) AS best FROM v GROUP BY kind, mask)
+      SELECT kind, '{{' || string_agg(to_json(mask)::VARCHAR || ':{{"count":' || best[1] || ',"hash":"' || best[2] || '"}}', ',' ORDER BY mask) || '}}' AS samples FROM m GROUP BY kind""",
     "pii_samples_top20": f"""WITH {_FOUND} SELECT source, kind, substr(sha256(value), 1, 16) AS hash, count(*) AS hits, max({MASK_SAMPLE_SQL}) AS mask FROM found f JOIN documents d ON f.doc_id = d.doc_id
       GROUP BY 1, 2, 3 ORDER BY hits DESC, kind, hash, source LIMIT 20""",
     "redaction_tally": f"""WITH {_FOUND}, {_TALLY} SELECT source, CAST(sum(coalesce(minted, 0)) AS BIGINT) AS minted, CAST(sum(coalesce(hits - minted, 0)) AS BIGINT) AS seen FROM documents d LEFT JOIN tally t ON d.doc_id = t.doc_id GROUP BY 1""",
