@@ -369,8 +369,10 @@ def test_stages_two_and_three_keep_columns_of_any_name(spark):
     assert sorted(tuple(r)[2:] for r in kept.collect()) == sorted(tuple(r)[2:] for r in frame.collect())
 
 
-def test_stage_two_under_repeated_ids(spark):
+@pytest.mark.parametrize("most", [1 << 20, 0])
+def test_stage_two_under_repeated_ids(spark, monkeypatch, most):
     """Texts that are not linked stay under one id; of linked ones one stays; the least id goes first."""
+    monkeypatch.setattr(ngram_join, "BROADCAST", most)
     base = " ".join(f"word{i}" for i in range(60))
     near = base.replace("word7 ", "other ")
     rows = [(1, "É x y z"), (1, "é x y z"), (1, "É x y z"), (7, base), (7, near), (5, near), (None, base), (None, "a b c d e f"), (None, "a b c d e f"), (8, ""), (8, None), (8, " "), (None, "")]

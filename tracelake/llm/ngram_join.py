@@ -47,6 +47,8 @@ from .text import LOWER, U64, batches_of, mix, run_hashes, slices, word_bounds,
 TOP = (1 << 63) - 1
 #: Members that all chunks of a large block have in common, about.
 PIVOTS = 32
+#: Most dropped rows whose numbers go to all tasks.
+BROADCAST = 1 << 20
 
 
 def shingle_sets(column: pa.Array, n: int = 5) -> list[np.ndarray]:
@@ -442,10 +444,13 @@ def _own_nodes(rows: DataFrame) -> tuple[DataFrame, bool]:
 
 
 def _without(keyed: DataFrame, losers: DataFrame) -> DataFrame:
-    """Rows whose node is no ``loser``; only rows that share a bit with one, of 2**23, are shuffled.
+    """Rows whose node is no ``loser``.  Up to ``BROADCAST`` losers go to all tasks (8 MB); beyond that only
+    rows that share a bit with one, of 2**23, are shuffled.
 
     The bits are a table of 131,072 rows of 16 bytes at most.
     """
+    if losers.count() <= BROADCAST:
+        return keyed.join(F.broadcast(losers), F.col("node") == F.col("loser"), "left_anti")
     bit = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << 23))
     marks = losers.select(bit("loser").alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
     placed = keyed.withColumn("p", bit("node"))
