@@ -168,6 +168,20 @@ def test_op5_and_op8_large_buckets_are_dealt_anew(spark, rows, most):
     assert table(superkmer.window_digests(frame, most=most), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.op8(few)
 
 
+@pytest.mark.parametrize("name", ["op8"])
+def test_op5_and_op8_keep_the_least_id(spark, name):
+    """The least long is an id like any other, beside rows without one and with the same texts."""
+    base = " ".join(f"word{i}" for i in range(60))
+    few = [(-(1 << 63), base), (None, base), (-(1 << 63), "alone"), (None, "alone"), (-(1 << 63), None), ((1 << 63) - 1, base + " end"), (None, None)]
+    made = pfp_dedup.repeat_digests if name == "op5" else superkmer.window_digests
+    frame = made(spark.createDataFrame(few, "doc_id long, text string"))
+    brute_force = brute.op5 if name == "op5" else brute.op8
+    for none in (True, False):
+        part = [r for r in zip(few, brute_force([(i, t) for i, (_, t) in enumerate(few)])) if (r[0][0] is None) == none]
+        got = frame.filter(F.col("doc_id").isNull() == none).select(*frame.columns)
+        assert table(got, *frame.columns) == sorted((given[0], *digests[1:]) for given, digests in part)
+
+
 def test_lengthened_anchors_cover_each_window_once():
     rng = np.random.default_rng(5)
     method = pfp_dedup.method(20, 6, 4)
