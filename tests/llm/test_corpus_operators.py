@@ -168,7 +168,7 @@ def test_op5_and_op8_large_buckets_are_dealt_anew(spark, rows, most):
     assert table(superkmer.window_digests(frame, most=most), "doc_id", "n_words", "n_removed", "kept_sha256") == brute.op8(few)
 
 
-@pytest.mark.parametrize("name", ["op8"])
+@pytest.mark.parametrize("name", ["op5", "op8"])
 def test_op5_and_op8_keep_the_least_id(spark, name):
     """The least long is an id like any other, beside rows without one and with the same texts."""
     base = " ".join(f"word{i}" for i in range(60))
