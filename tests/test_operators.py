@@ -75,6 +75,12 @@ def test_raw_hits_have_the_offsets_of_the_union_pattern(spark, sf_dir):
     assert [[tuple(h) for h in r.h] for r in got] == [brute_hits(t.replace("", "�")) for t in texts]
 
 
+def test_an_address_before_a_full_stop(spark):
+    texts = ["mail ann@mail7.example.</title>", "ann@example.org. Bob", "ann@example.org.", "ann@example.org.2", "ann@example.org-", "ann@example.org_", "ann@example.org.."]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", pii.raw_hits(F.col("t")).alias("h")).orderBy("i").collect()
+    assert [[h.value for h in r.h] for r in got] == [["ann@mail7.example"], ["ann@example.org"], ["ann@example.org"], [], [], [], []]
+
+
 def test_redact_restores(spark):
     rows = [(1, "a@b.io and a@b.io, 8.8.8.8"), (2, None), (3, ""), (4, "nothing")]
     got = {r.doc_id: r for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string"), b"s").withColumn("back", pii.restore(F.col("redacted"), F.col("placeholders"))).collect()}
