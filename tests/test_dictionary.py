@@ -2,6 +2,7 @@
 
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -54,6 +55,22 @@ def test_same_hits_as_the_pattern_of_a_short_list(spark):
         assert got == own
 
 
+def test_names_that_share_their_beginning_meet_few_places(spark):
+    """Two places a text hold a name; short grams of digits would meet hundreds of names at each."""
+    names = spark.range(20_000).select(F.format_string("Customer#%09d", "id").alias("name"), F.lit("v").alias("value"), F.lit(None).cast("string").alias("kind"))
+    name = F.format_string("Customer#%09d", F.col("id") * 7)
+    texts = spark.range(2_000).select("id", F.concat(F.lit("of "), name, F.lit("7, not Customer#0 ("), name, F.lit(")")).alias("text"))
+    assert 4_000 <= d._candidates(texts, names).count() <= 6_000
+
+
+def test_batches_are_cut_by_what_they_hold():
+    texts = pa.RecordBatch.from_pydict({"t": ["x" * n for n in (10, 0, 5, 90, 3, 200, 1)] + [None]})
+    cut = [c.column("t").to_pylist() for c in d._few(iter([texts]), "t", 100)]
+    assert [[len(t or "") for t in c] for c in cut] == [[10, 0, 5], [90, 3], [200], [1, 0]]
+    lists = pa.RecordBatch.from_pydict({"c": pa.array([[1] * n for n in (3, 4, 9, 1)] + [None])})
+    assert [c.num_rows for c in d._few(iter([lists]), "c", 7)] == [2, 1, 2]
+
+
 def test_a_million_names_by_join(spark):
     """The plan has one size whatever the table's, and the hits are right."""
     names = spark.range(1_000_000).select(F.concat(F.lit("user-"), F.hex(F.col("id") * 7_919 + 1), F.lit("@x")).alias("name"), F.col("id").cast("string").alias("value"), F.lit(None).cast("string").alias("kind"))

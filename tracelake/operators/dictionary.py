@@ -1,29 +1,35 @@
 """Names and secrets kept in a table: found in texts, and replaced, whatever the size of the table.
 
 A small table (by a check of its bytes) becomes an automaton in each task.  A larger one is joined: of
-each name's grams of four code points the one that is rarest in the texts stands for it; places in the
-texts where such a gram begins meet the names by it, and the candidates go to their texts, where they are
-compared.  Both ways give the same hits, and the plan does not grow with the table.
+each name's widest grams (the whole name up to eight code points) the one that is rarest in the texts
+stands for it; places in the texts where such a gram begins meet the names by it, and the candidates go to
+their texts, where they are compared.  Both ways give the same hits, and the plan does not grow with the table.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import checkpointed
+
 #: Most bytes of names that a task takes as a whole.
 MOST_BYTES = 4 << 20
-#: Code points of a gram; a shorter name is its own gram.
-GRAM = 4
+#: Code points of grams; a name's is the widest that it holds, three quarters of it at least up to 64.
+WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 28, 32, 40, 48, 56, 64)
+#: Bytes of texts that a task holds as Python strings at a time, and a sixteenth as many candidates.
+SLICE = 1 << 18
 #: Bits of the bitmap of grams (1 MB).
 BITS = 1 << 23
 HITS = "array<struct<start:int,end:int,name:string,value:string>>"
-_KIND = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("name", pa.string()), ("value", pa.string())]))
+_HIT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("name", pa.string()), ("value", pa.string())])
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -53,15 +59,45 @@ def chosen(hits: list[tuple[int, int, str, str]]) -> list[tuple[int, int, str, s
     return out
 
 
-def _keys(text: str, width: int) -> np.ndarray:
-    """A 64-bit key of the gram at each place."""
-    points = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    n = max(0, len(points) - width + 1)
-    key = np.full(n, width, np.uint64)
-    for k in range(width):
-        key = (key ^ (points[k : k + n] + _ODD[k])) * _ODD[(k + 1) % 4]
-        key ^= key >> np.uint64(29)
-    return key
+def _keys(points: np.ndarray, most: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(width, 64-bit keys of the grams of that width at each place), for widths up to ``most``.
+
+    A gram's key is made of the keys of its two ends, which together cover it.
+    """
+    key, width = (points.astype(np.uint64) + _ODD[0]) * _ODD[1], 1
+    key ^= key >> np.uint64(29)
+    for w in WIDTHS:
+        if w > most or w > len(points):
+            return
+        if w > width:
+            n, skip = len(points) - w + 1, w - width
+            key = ((key[:n] ^ np.uint64(w)) * _ODD[2]) ^ (key[skip : skip + n] * _ODD[3])
+            key = (key ^ (key >> np.uint64(31))) * _ODD[0]
+            key ^= key >> np.uint64(29)
+            width = w
+        yield w, key
+
+
+def _width(length: int) -> int:
+    """The widest gram of a name."""
+    return WIDTHS[bisect_right(WIDTHS, length) - 1]
+
+
+def _points(texts: list[str]) -> np.ndarray:
+    return np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+
+
+def _few(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """Batches cut to about ``limit`` bytes of a string column, or elements of a list; a larger value is a batch of its own."""
+    for b in batches:
+        values = b.column(column)
+        count = pc.list_value_length if pa.types.is_list(values.type) or pa.types.is_large_list(values.type) else pc.binary_length
+        ends = np.cumsum(pc.fill_null(count(values), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        low, done = 0, 0
+        while low < b.num_rows:
+            high = min(max(low + 1, int(np.searchsorted(ends, done + limit, side="right"))), b.num_rows)
+            yield b.slice(low, high - low)
+            low, done = high, int(ends[high - 1])
 
 
 def _bits(keys: DataFrame) -> np.ndarray:
@@ -74,50 +110,60 @@ def _bits(keys: DataFrame) -> np.ndarray:
     return out
 
 
-def _places(rows: DataFrame, bitmap: np.ndarray, counts: bool) -> DataFrame:
-    """(gram, n) counted by batch, or (id, at, gram), of the grams of texts that are in the bitmap."""
+def _places(rows: DataFrame, bitmap: np.ndarray, widths: set[int], counts: bool) -> DataFrame:
+    """(gram, n) counted by slice, or (id, at, gram), of the grams of texts that are in the bitmap."""
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)  # 1 MB
+    most = max(widths, default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            ids, ats, grams = [], [], [np.zeros(0, np.uint64)]
-            for i, text in enumerate(b.column("text").to_pylist()):
-                for width in range(1, GRAM + 1) if text else ():
-                    key = _keys(text, width)
-                    p = (key % np.uint64(BITS)).astype(np.int64)
-                    at = np.flatnonzero((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1)
-                    ids.append(np.full(len(at), i))
+        for b in _few(batches, "text"):
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            size = np.array([len(t) for t in texts], np.int64)
+            first = np.cumsum(size) - size
+            left = np.repeat(first + size, size) - np.arange(size.sum())  # code points to the end of the text
+            ats, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for width, key in _keys(_points(texts), most):
+                if width in widths:
+                    p = (key & np.uint64(BITS - 1)).astype(np.int64)
+                    at = np.flatnonzero(((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool) & (left[: len(key)] >= width))
                     ats.append(at)
                     grams.append(key[at])
-            gram = np.concatenate(grams)
+            at, gram = np.concatenate(ats), np.concatenate(grams)
             if counts:
                 gram, n = np.unique(gram, return_counts=True)
                 yield pa.RecordBatch.from_pydict({"gram": pa.array(gram.view(np.int64)), "n": pa.array(n.astype(np.int64))})
             else:
-                of = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-                yield pa.RecordBatch.from_pydict({"id": b.column("id").take(pa.array(of)), "at": pa.array(np.concatenate(ats).astype(np.int32) if ats else np.zeros(0, np.int32)), "gram": pa.array(gram.view(np.int64))})
+                of = np.repeat(np.arange(len(texts)), size)[at]
+                yield pa.RecordBatch.from_pydict({"id": b.column("id").take(pa.array(of)), "at": pa.array((at - first[of]).astype(np.int32)), "gram": pa.array(gram.view(np.int64))})
 
     kind = rows.schema["id"].dataType.simpleString().replace("bigint", "long")
     return rows.mapInArrow(run, "gram long, n long" if counts else f"id {kind}, at int, gram long")
 
 
 def _name_grams(names: DataFrame) -> DataFrame:
-    """(name, value, kind, gram, off) for every gram of each name."""
+    """(name, value, kind, width, gram, off) for every gram of each name of its widest width."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            of, off, gram = [], [], [np.zeros(0, np.uint64)]
-            for i, name in enumerate(b.column("name").to_pylist()):
-                key = _keys(name, min(GRAM, len(name)))
-                of.append(np.full(len(key), i))
-                off.append(np.arange(len(key), dtype=np.int32))
-                gram.append(key)
-            take = pa.array(np.concatenate(of) if of else np.zeros(0, np.int64))
+        for b in _few(batches, "name"):
+            listed = b.column("name").to_pylist()
+            size = np.array([len(n) for n in listed], np.int64)
+            first = np.cumsum(size) - size
+            owner = np.repeat(np.arange(len(listed)), size)
+            left = first[owner] + size[owner] - np.arange(len(owner))
+            own = np.array([_width(n) for n in size.tolist()])[owner]
+            of, off, wide, gram = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
+            for width, key in _keys(_points(listed), int(own.max(initial=0))):
+                at = np.flatnonzero((own[: len(key)] == width) & (left[: len(key)] >= width))
+                of.append(owner[at])
+                off.append(at - first[owner[at]])
+                wide.append(np.full(len(at), width))
+                gram.append(key[at])
+            take = pa.array(np.concatenate(of))
             yield pa.RecordBatch.from_pydict(
-                {c: b.column(c).take(take) for c in ("name", "value", "kind")} | {"gram": pa.array(np.concatenate(gram).view(np.int64)), "off": pa.array(np.concatenate(off) if off else np.zeros(0, np.int32))}
+                {c: b.column(c).take(take) for c in ("name", "value", "kind")} | {"width": pa.array(np.concatenate(wide).astype(np.int32)), "gram": pa.array(np.concatenate(gram).view(np.int64)), "off": pa.array(np.concatenate(off).astype(np.int32))}
             )
 
-    return names.mapInArrow(run, "name string, value string, kind string, gram long, off int")
+    return names.mapInArrow(run, "name string, value string, kind string, width int, gram long, off int")
 
 
 def _by_automaton(rows: DataFrame, names: DataFrame, strict: bool) -> DataFrame:
@@ -129,7 +175,7 @@ def _by_automaton(rows: DataFrame, names: DataFrame, strict: bool) -> DataFrame:
         for name, value, kind in shared.value:
             automaton.add_word(name, (name, value, kind))
         automaton.make_automaton()
-        for b in batches:
+        for b in _few(batches, "text"):
             out = []
             for text in b.column("text").to_pylist():
                 found = automaton.iter(text) if text and len(automaton) else ()
@@ -141,29 +187,37 @@ def _by_automaton(rows: DataFrame, names: DataFrame, strict: bool) -> DataFrame:
 
 
 def _batch(b: pa.RecordBatch, hits: list[list[tuple]]) -> pa.RecordBatch:
-    made = [[dict(zip(("start", "end", "name", "value"), h)) for h in own] for own in hits]
-    return pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.array(made, _KIND)], ["id", "text", "hits"])
+    columns = list(zip(*(h for own in hits for h in own))) or [()] * 4
+    fields = pa.StructArray.from_arrays([pa.array(c, f.type) for c, f in zip(columns, _HIT)], fields=list(_HIT))
+    ends = pa.array(np.cumsum([0, *map(len, hits)]).astype(np.int32))
+    return pa.RecordBatch.from_arrays([b.column("id"), b.column("text"), pa.ListArray.from_arrays(ends, fields)], ["id", "text", "hits"])
 
 
 def _schema(rows: DataFrame) -> str:
     return f"id {rows.schema['id'].dataType.simpleString().replace('bigint', 'long')}, text string, hits {HITS}"
 
 
-def _by_join(rows: DataFrame, names: DataFrame, strict: bool) -> DataFrame:
+def _candidates(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, c): where a name may begin in a text, told by the gram that stands for it."""
     grams = _name_grams(names)
-    seen = _places(rows, _bits(grams), True).groupBy("gram").agg(F.sum("n").alias("n"))
+    widths = {r[0] for r in grams.select("width").distinct().collect()}  # a few tens at most
+    seen = _places(rows, _bits(grams), widths, True).groupBy("gram").agg(F.sum("n").alias("n"))
     # A name with a gram that no text has is in none.
     rarest = grams.join(seen, "gram", "left").groupBy("name", "value", "kind").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "off")).alias("r"))
-    keys = rarest.filter("r.n > 0").select("name", "value", "kind", "r.gram", "r.off")
-    found = _places(rows, _bits(keys), False).join(keys, "gram").select("id", F.struct((F.col("at") - F.col("off")).alias("start"), "name", "value", "kind").alias("c"))
-    wanted = found.groupBy(F.col("id").alias("of")).agg(F.collect_list("c").alias("cs"))
+    keys = checkpointed(rarest.filter("r.n > 0").select("name", "value", "kind", "r.gram", "r.off"))
+    found = _places(rows, _bits(keys), widths, False).join(keys, "gram")
+    return found.select("id", F.struct((F.col("at") - F.col("off")).alias("start"), "name", "value", "kind").alias("c")).filter("c.start >= 0")
+
+
+def _by_join(rows: DataFrame, names: DataFrame, strict: bool) -> DataFrame:
+    wanted = _candidates(rows, names).groupBy(F.col("id").alias("of")).agg(F.collect_list("c").alias("cs"))
     placed = rows.join(wanted, F.col("id") == F.col("of"), "left").select("id", "text", "cs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (c for large in _few(batches, "text") for c in _few(iter([large]), "cs", SLICE // 16)):
             out = []
             for text, cs in zip(b.column("text").to_pylist(), b.column("cs").to_pylist()):
-                hits = [(c["start"], c["start"] + len(c["name"]), c["name"], c["value"], c["kind"]) for c in cs or () if c["start"] >= 0 and text.startswith(c["name"], c["start"])]
+                hits = [(c["start"], c["start"] + len(c["name"]), c["name"], c["value"], c["kind"]) for c in cs or () if text.startswith(c["name"], c["start"])]
                 out.append(chosen([h[:4] for h in hits if free(text, h[0], h[1], h[4], strict)]))
             yield _batch(b, out)
 
@@ -187,7 +241,7 @@ def table_replaced(documents: DataFrame, key: str, text: str, vault: DataFrame,
     found = table_hits(documents, key, text, vault.select("name", "value", F.lit(None).cast("string").alias("kind")), most_bytes=most_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in _few(batches, "text"):
             out: list[str | None] = []
             for given, hits in zip(b.column("text").to_pylist(), b.column("hits").to_pylist()):
                 parts, done = [], 0
