@@ -1,12 +1,15 @@
 """Collocations, periodic runs and SimHash groups against brute-force versions."""
 
 import os
+import random
 import sys
+import time
 
 import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 import brute  # noqa: E402
@@ -141,3 +144,30 @@ def test_op13_odd(spark):
     assert simhash.simhash_components(frame.limit(0)).count() == 0
     long = " ".join(f"w{i % 977}" for i in range(150_000))
     assert format(int(simhash.fingerprints(pa.array([long, "a"]))[0]), "016x") == brute.simhash(long)
+
+
+def test_what_is_cut_leaves_no_shuffle_files(spark):
+    from tracelake.llm import session
+
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    shuffled = lambda: {f for f in blocks.getAllFiles().mkString("\n").split("\n") if "shuffle_" in f}
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    rows, setting = spark.range(10_000).withColumn("k", F.col("id") % 97), spark.conf.get(name)
+    for keep in (session.cut, session.stored):
+        before = shuffled()
+        out = keep(rows.repartition(7, "k").groupBy("k").agg(F.count("*").alias("n")))
+        until = time.time() + 5
+        while shuffled() - before and time.time() < until:  # they go a moment later
+            time.sleep(0.1)
+        assert not shuffled() - before and spark.conf.get(name) == setting
+        assert {r.k: r.n for r in out.collect()} == {k: len(range(k, 10_000, 97)) for k in range(97)}
+
+
+def test_followers_do_not_depend_on_the_rounds(spark):
+    from tracelake.llm import ngram_join
+
+    rng = random.Random(5)
+    listed = [(k, 40, sorted(rng.sample(range(-300, 300), 9))) for k in range(200)]
+    reps = spark.createDataFrame(listed, "node long, n long, prefix array<long>")
+    once, often = ({tuple(r) for r in ngram_join._followers(reps, (4, 5), most).collect()} for most in (1 << 22, 300))
+    assert once == often and len(once) > 200

@@ -32,6 +32,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable, Iterator
+from functools import reduce
 from itertools import groupby
 
 import numpy as np
@@ -41,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .repeats import gram_hashes
-from .session import cut, stored
+from .session import cut, removed, stored, stored_at
 from .text import LOWER, U64, batches_of, mix, run_hashes, slices, word_bounds, word_hashes
 
 TOP = (1 << 63) - 1
@@ -49,6 +50,8 @@ TOP = (1 << 63) - 1
 PIVOTS = 32
 #: Most dropped rows whose numbers go to all tasks.
 BROADCAST = 1 << 20
+#: Prefix n-grams of a round, about, and most rounds; what is shuffled of a round goes before the next.
+POSTINGS, ROUNDS = 1 << 22, 8
 
 
 def shingle_sets(column: pa.Array, n: int = 5) -> list[np.ndarray]:
@@ -124,16 +127,28 @@ def _prefix_rows(docs: DataFrame, n: int, threshold: tuple[int, int], common: np
     return docs.mapInArrow(run, "node long, named boolean, n long, k1 long, k2 long, prefix array<long>")
 
 
-def _followers(reps: DataFrame, threshold: tuple[int, int]) -> DataFrame:
+def _followers(reps: DataFrame, threshold: tuple[int, int], postings: int = POSTINGS) -> DataFrame:
     """(leader, node, n) rows: sets that may be linked share a leader.
 
+    All that is told by an n-gram is told within its round, so rounds only bound the disk.
+    """
+    total = reps.agg(F.sum(F.size("prefix"))).first()[0] or 0
+    rounds = min(ROUNDS, total // postings + 1)
+    found = [cut(_followers_in(reps, threshold, rounds, k)) for k in range(rounds)]
+    return reduce(DataFrame.unionByName, found).distinct()
+
+
+def _followers_in(reps: DataFrame, threshold: tuple[int, int], rounds: int, turn: int) -> DataFrame:
+    """The followers told by the n-grams of one round.
+
     At the first n-gram that two linked sets have in common, either set must have enough n-grams
     left to reach the overlap that the two sizes need; the least size in a group of postings bounds
     what a posting needs at all.
     """
     num, den = threshold
     # One number for size and place keeps the shuffled rows narrow.
-    postings = reps.select("node", "n", F.posexplode("prefix").alias("place", "gram")).select(
+    own = F.pmod("gram", F.lit(rounds)) == turn
+    postings = reps.select("node", "n", F.posexplode("prefix").alias("place", "gram")).filter(own).select(
         "gram", "node", (F.shiftleft("n", 31) + F.col("place")).alias("at")
     )
     often = postings.groupBy("gram").agg(F.count("*").cast("int").alias("m")).filter("m > 1").select(F.col("gram").alias("g"))
@@ -379,11 +394,13 @@ def _apart(large: DataFrame, stars: DataFrame, chunk: int, chunk_grams: int) ->
 
 def _linked(docs: DataFrame, n: int, threshold: tuple[int, int], common_share: float, chunk: int, chunk_grams: int = 1 << 19) -> DataFrame:
     """node, named, n (set size) and c (least node of the component) of every row of ``docs`` (node, named, text)."""
-    sets = cut(_prefix_rows(docs, n, threshold, common_grams(docs, n, common_share)))
+    wide, folder = stored_at(_prefix_rows(docs, n, threshold, common_grams(docs, n, common_share)))
+    sets = cut(wide.drop("prefix"))
     classes = sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("node").alias("rep"))
     owners = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep")
     same: Column = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
-    reps = sets.join(owners, same & (F.col("node") == F.col("rep")), "left_semi").select("node", "n", "prefix")
+    reps = cut(wide.filter("n > 0").join(owners, same & (F.col("node") == F.col("rep")), "left_semi").select("node", "n", "prefix"))
+    removed(docs.sparkSession, folder)
     followers = cut(_followers(reps, threshold))
     leaders = followers.select(F.col("leader").alias("l")).distinct()
     leading = reps.join(leaders, F.col("node") == F.col("l"), "left_semi").select(F.col("node").alias("leader"), "node", "n").distinct()
