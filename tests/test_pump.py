@@ -165,3 +165,12 @@ def test_streaming_form_equals_batch_form(spark, tmp_path):
     finally:
         query.stop()
     assert sorted(str(r) for r in got) == want
+
+
+def test_frames_of_a_turn_are_built_once(spark, sf_dir):
+    """All frames of a turn were built again for each of them, to number the last one."""
+    from tracelake.plans import pump as plans
+
+    made = plans.frames(spark, sf_dir)
+    above = made._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[0]
+    assert "[DONE]" not in above

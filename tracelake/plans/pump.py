@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import jsonspan
+from ..functions.scan import let
 from ..operators import pump
 from ..sources.driver_tables import table
+from ..sources.shared import checkpointed
 
 NOTE = 'keep __PII_ "tokens"'
 _SCALE = 1_700_000_000_000
@@ -28,11 +30,15 @@ def frames(s, d):
     """Frames (see ``operators.pump``) of all turns."""
     rows = turns(s, d)
     token = F.concat(F.lit("__PII_"), "turn", F.lit("_"), F.substring(F.md5("text"), 1, 8), F.lit("__"))
-    rows = rows.withColumn("token", token).withColumn("hidden", F.when(F.col("word") != "", F.replace("text", "word", "token")).otherwise(F.col("text")))
     size = (F.col("n") % 23 + 7).cast("int")
-    pieces = F.when(F.col("hidden") == "", F.expr("cast(array() as array<string>)")).otherwise(
-        F.transform(F.sequence(F.lit(0), F.floor((F.length("hidden") - 1) / size).cast("int")), lambda k: F.substring(F.col("hidden"), k * size + 1, size))
+    pieces = lambda text: F.when(text == "", F.expr("cast(array() as array<string>)")).otherwise(
+        F.transform(F.sequence(F.lit(0), F.floor((F.length(text) - 1) / size).cast("int")), lambda k: F.substring(text, k * size + 1, size))
     )
+    hidden = F.when(F.col("word") != "", F.replace("text", "word", "token")).otherwise(F.col("text"))
+    # Dealt out, as a turn has some tens of frames; what is made before is not made again for each of them.
+    parts = max(int(s.conf.get("spark.sql.shuffle.partitions")), 2 * s.sparkContext.defaultParallelism)
+    rows = rows.withColumn("token", token).withColumn("pieces", let(hidden, pieces)).drop("text").repartition(parts, "stream")
+    pieces = F.col("pieces")
     command = F.concat(F.when(F.col("danger"), "rm -rf ").otherwise("ls "), F.lower(F.regexp_replace("word", "[^A-Za-z]", "")), F.lit("x"))
     args = F.concat(F.lit('{"command":"'), command, F.lit('"}'))
     parts = [F.substring(args, 1, 17), F.substring(args, 18, 1 << 20)]
@@ -90,16 +96,16 @@ def frames(s, d):
     built = F.when(F.col("protocol") == "chat", chat).when(F.col("protocol") == "anthropic", messages).otherwise(responses)
     closed = F.concat(built, F.array(one(event=F.when(F.col("cut"), "broken"), data=text(None).cast("string"))))
     known = F.when(F.col("word") != "", F.to_json(F.create_map("token", "word")))
-    each = rows.select("stream", "protocol", known.alias("known"), F.size(closed).alias("m"), F.posexplode(closed).alias("seq", "f"))
+    each = rows.select("stream", "protocol", known.alias("known"), F.posexplode(closed).alias("seq", "f"))
     return each.select(
         "stream", F.col("seq").cast("long").alias("seq"), (F.lit(_SCALE) + F.col("seq") * 10).alias("at"), "protocol", "f.event", "f.data",
-        F.when(F.col("seq") == 0, F.col("known")).alias("known"), (F.col("seq") == F.col("m") - 1).alias("ended"),
+        F.when(F.col("seq") == 0, F.col("known")).alias("known"), F.col("f.data").isNull().alias("ended"),
     )
 
 
 def _sent(s, d):
     """The log row of each stream with the text that it sent and the number of its ends."""
-    rows = pump.pump(frames(s, d))
+    rows = checkpointed(pump.pump(frames(s, d)))  # read twice
     sent = pump.written_out(rows)
     at = lambda path: F.get_json_object("data", path)
     said = F.coalesce(F.when(~at("$.choices[0].delta.content").startswith("[blocked: "), at("$.choices[0].delta.content")), at("$.delta.text"), F.when(at("$.type") == "response.output_text.delta", at("$.delta")))
