@@ -80,3 +80,17 @@ def test_a_million_names_by_join(spark):
     few = d.table_hits(texts, "id", "t", names.limit(10), most_bytes=0)
     size = lambda f: len(f._jdf.queryExecution().analyzed().toString())
     assert abs(size(found) - size(few)) < 2_000
+
+
+def test_a_chunk_meets_a_name_once_and_few_places_go_to_their_texts(spark, monkeypatch):
+    """What is shuffled for dense texts is a chunk's names, not their places."""
+    met, by_chunk = [], d._by_chunk
+    monkeypatch.setattr(d, "_by_chunk", lambda chunked, own, strict: met.append(own.count()) or by_chunk(chunked, own, strict))
+    table = spark.createDataFrame([("alpha", "1", "org"), ("beta", "2", None), ("gamma", "3", "org")], "name string, value string, kind string")
+    dense = spark.createDataFrame([(k, f"alpha betas {k} alphas " * 50) for k in range(100)], "id long, text string")
+    found = d.table_hits(dense, "id", "text", table, most_bytes=0).collect()
+    assert len(found) == 100 and all([h.name for h in r.hits] == ["alpha", "beta"] * 50 for r in found)
+    assert len(met) == 1 and met[0] <= 2 * 2 * spark.sparkContext.defaultParallelism
+    sparse = spark.createDataFrame([(k, "x " * 3_000 + f"gamma {k}") for k in range(20)], "id long, text string")
+    assert {r.id: [tuple(h) for h in r.hits] for r in d.table_hits(sparse, "id", "text", table, most_bytes=0).collect()} == {k: [(6_000, 6_005, "gamma", "3")] for k in range(20)}
+    assert len(met) == 1

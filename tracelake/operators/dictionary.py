@@ -2,8 +2,10 @@
 
 A small table (by a check of its bytes) becomes an automaton in each task.  A larger one is joined: of
 each name's widest grams (the whole name up to eight code points) the one that is rarest in the texts
-stands for it; places in the texts where such a gram begins meet the names by it, and the candidates go to
-their texts, where they are compared.  Both ways give the same hits, and the plan does not grow with the table.
+stands for it.  Texts are dealt into chunks of a few megabytes, and a chunk meets the names whose gram it
+holds, each once however often it stands there; they become the automaton of that chunk alone.  Where
+places are few, each goes to its text instead.  All ways give the same hits, and the plan does not grow
+with the table.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from ..sources.shared import checkpointed
 
 #: Most bytes of names that a task takes as a whole.
 MOST_BYTES = 4 << 20
+#: Bytes of texts of a chunk, and bytes of texts for each place where a name may begin from which on places are few.
+CHUNK, FEW = 2 << 20, 1 << 10
 #: Code points of grams; a name's is the widest that it holds, three quarters of it at least up to 64.
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 28, 32, 40, 48, 56, 64)
 #: Bytes of texts that a task holds as Python strings at a time, and a sixteenth as many candidates.
@@ -30,6 +34,7 @@ SLICE = 1 << 18
 BITS = 1 << 23
 HITS = "array<struct<start:int,end:int,name:string,value:string>>"
 _HIT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("name", pa.string()), ("value", pa.string())])
+_PLAIN, _PERSON = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("name", "person")
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -43,7 +48,7 @@ def free(text: str, start: int, end: int, kind: str | None, strict: bool) -> boo
     plain = lambda c: c.isascii() and c.isalnum()
     if kind is None:
         return True
-    person = kind in ("name", "person")
+    person = kind in _PERSON
     if plain(before) or plain(after) and (not person or strict):
         return False
     return not person or not (_wide(after) or (strict and _wide(before)))
@@ -111,7 +116,7 @@ def _bits(keys: DataFrame) -> np.ndarray:
 
 
 def _places(rows: DataFrame, bitmap: np.ndarray, widths: set[int], counts: bool) -> DataFrame:
-    """(gram, n) counted by slice, or (id, at, gram), of the grams of texts that are in the bitmap."""
+    """(chunk, gram, n) counted by slice, or (id, at, gram), of the grams of texts that are in the bitmap."""
     shared = rows.sparkSession.sparkContext.broadcast(bitmap)  # 1 MB
     most = max(widths, default=0)
 
@@ -129,15 +134,17 @@ def _places(rows: DataFrame, bitmap: np.ndarray, widths: set[int], counts: bool)
                     ats.append(at)
                     grams.append(key[at])
             at, gram = np.concatenate(ats), np.concatenate(grams)
+            of = np.repeat(np.arange(len(texts)), size)[at]
             if counts:
-                gram, n = np.unique(gram, return_counts=True)
-                yield pa.RecordBatch.from_pydict({"gram": pa.array(gram.view(np.int64)), "n": pa.array(n.astype(np.int64))})
+                chunk = b.column("chunk").to_numpy()[of]
+                for c in np.unique(chunk):
+                    own, n = np.unique(gram[chunk == c], return_counts=True)
+                    yield pa.RecordBatch.from_pydict({"chunk": pa.array(np.full(len(own), c)), "gram": pa.array(own.view(np.int64)), "n": pa.array(n.astype(np.int64))})
             else:
-                of = np.repeat(np.arange(len(texts)), size)[at]
                 yield pa.RecordBatch.from_pydict({"id": b.column("id").take(pa.array(of)), "at": pa.array((at - first[of]).astype(np.int32)), "gram": pa.array(gram.view(np.int64))})
 
     kind = rows.schema["id"].dataType.simpleString().replace("bigint", "long")
-    return rows.mapInArrow(run, "gram long, n long" if counts else f"id {kind}, at int, gram long")
+    return rows.mapInArrow(run, "chunk long, gram long, n long" if counts else f"id {kind}, at int, gram long")
 
 
 def _name_grams(names: DataFrame) -> DataFrame:
@@ -166,22 +173,49 @@ def _name_grams(names: DataFrame) -> DataFrame:
     return names.mapInArrow(run, "name string, value string, kind string, width int, gram long, off int")
 
 
+def _automaton(names: list[tuple[str, str | None, str | None]]) -> ahocorasick.Automaton:
+    automaton = ahocorasick.Automaton()
+    for name, value, kind in names:
+        automaton.add_word(name, (name, value, kind))
+    automaton.make_automaton()
+    return automaton
+
+
+def _scanned(b: pa.RecordBatch, automaton: ahocorasick.Automaton, strict: bool) -> pa.RecordBatch:
+    """The batch with the hits of its texts: ``chosen`` of those that are ``free``, without a call for each."""
+    out = []
+    for text in b.column("text").to_pylist():
+        hits, size = [], len(text or "")
+        for last, (name, value, kind) in automaton.iter(text) if text and len(automaton) else ():
+            end = last + 1
+            start = end - len(name)
+            if kind is not None:
+                if start and text[start - 1] in _PLAIN:
+                    continue
+                if kind in _PERSON:
+                    if not free(text, start, end, kind, strict):
+                        continue
+                elif end < size and text[end] in _PLAIN:
+                    continue
+            hits.append((start, -end, name, value))
+        hits.sort()  # no two have the same start and end
+        own, done = [], 0
+        for start, end, name, value in hits:
+            if start >= done:
+                done = -end
+                own.append((start, done, name, value))
+        out.append(own)
+    return _batch(b, out)
+
+
 def _by_automaton(rows: DataFrame, names: DataFrame, strict: bool) -> DataFrame:
     table = names.toArrow().to_pylist()  # bounded by the caller's check
     shared = rows.sparkSession.sparkContext.broadcast([(r["name"], r["value"], r["kind"]) for r in table])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        automaton = ahocorasick.Automaton()
-        for name, value, kind in shared.value:
-            automaton.add_word(name, (name, value, kind))
-        automaton.make_automaton()
+        automaton = _automaton(shared.value)
         for b in _few(batches, "text"):
-            out = []
-            for text in b.column("text").to_pylist():
-                found = automaton.iter(text) if text and len(automaton) else ()
-                hits = [(end + 1 - len(name), end + 1, name, value, kind) for end, (name, value, kind) in found]
-                out.append(chosen([h[:4] for h in hits if free(text, h[0], h[1], h[4], strict)]))
-            yield _batch(b, out)
+            yield _scanned(b, automaton, strict)
 
     return rows.mapInArrow(run, _schema(rows))
 
@@ -197,20 +231,69 @@ def _schema(rows: DataFrame) -> str:
     return f"id {rows.schema['id'].dataType.simpleString().replace('bigint', 'long')}, text string, hits {HITS}"
 
 
-def _candidates(rows: DataFrame, names: DataFrame) -> DataFrame:
-    """(id, c): where a name may begin in a text, told by the gram that stands for it."""
+def _chunked(rows: DataFrame) -> tuple[DataFrame, int]:
+    """The rows (id, text) with a ``chunk``, dealt by it, and the bytes of all texts."""
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    chunks = max(-(-size // CHUNK), 2 * rows.sparkSession.sparkContext.defaultParallelism)
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).repartition("chunk"), size
+
+
+def _keyed(chunked: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame, set[int]]:
+    """(name, value, kind, gram, off, n): the gram that stands for each name and its places; (chunk, gram, n); and the widths of grams."""
     grams = _name_grams(names)
     widths = {r[0] for r in grams.select("width").distinct().collect()}  # a few tens at most
-    seen = _places(rows, _bits(grams), widths, True).groupBy("gram").agg(F.sum("n").alias("n"))
+    held = checkpointed(_places(chunked, _bits(grams), widths, True).groupBy("chunk", "gram").agg(F.sum("n").alias("n")))
+    seen = held.groupBy("gram").agg(F.sum("n").alias("n"))
     # A name with a gram that no text has is in none.
     rarest = grams.join(seen, "gram", "left").groupBy("name", "value", "kind").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "off")).alias("r"))
-    keys = checkpointed(rarest.filter("r.n > 0").select("name", "value", "kind", "r.gram", "r.off"))
+    return checkpointed(rarest.filter("r.n > 0").select("name", "value", "kind", "r.gram", "r.off", "r.n")), held, widths
+
+
+def _meeting(rows: DataFrame, keys: DataFrame, widths: set[int]) -> DataFrame:
     found = _places(rows, _bits(keys), widths, False).join(keys, "gram")
     return found.select("id", F.struct((F.col("at") - F.col("off")).alias("start"), "name", "value", "kind").alias("c")).filter("c.start >= 0")
 
 
+def _candidates(rows: DataFrame, names: DataFrame) -> DataFrame:
+    """(id, c): where a name may begin in a text, told by the gram that stands for it."""
+    keys, _, widths = _keyed(_chunked(rows)[0], names)
+    return _meeting(rows, keys, widths)
+
+
+def _by_chunk(chunked: DataFrame, own: DataFrame, strict: bool) -> DataFrame:
+    """Hits of the texts of each chunk by the names (chunk, name, value, kind) that it meets, which come before its texts."""
+    absent = lambda name: F.lit(None).cast(chunked.schema[name].dataType).alias(name)
+    none = F.lit(None).cast("string").alias
+    both = own.select("chunk", F.lit(0).alias("_k"), absent("id"), absent("text"), "name", "value", "kind").unionByName(
+        chunked.select("chunk", F.lit(1).alias("_k"), "id", "text", none("name"), none("value"), none("kind"))
+    )
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, names, automaton = None, [], None
+        for b in _few(batches, "text"):
+            chunk = b.column("chunk").to_numpy()
+            cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), b.num_rows]
+            for low, high in zip(cuts, cuts[1:]):
+                if chunk[low] != current:
+                    current, names, automaton = chunk[low], [], None
+                part = b.slice(low, high - low)
+                texts = int(np.count_nonzero(part.column("_k").to_numpy()))
+                listed = part.slice(0, part.num_rows - texts)
+                names += zip(*(listed.column(c).to_pylist() for c in ("name", "value", "kind")))
+                if texts:
+                    if automaton is None:
+                        automaton, names = _automaton(names), []
+                    yield _scanned(part.slice(part.num_rows - texts), automaton, strict)
+
+    return both.repartition("chunk").sortWithinPartitions("chunk", "_k").mapInArrow(run, _schema(chunked))
+
+
 def _by_join(rows: DataFrame, names: DataFrame, strict: bool) -> DataFrame:
-    wanted = _candidates(rows, names).groupBy(F.col("id").alias("of")).agg(F.collect_list("c").alias("cs"))
+    chunked, size = _chunked(rows)
+    keys, held, widths = _keyed(chunked, checkpointed(names))
+    if (keys.agg(F.sum("n")).first()[0] or 0) * FEW > size:
+        return _by_chunk(chunked, held.select("chunk", "gram").join(keys, "gram"), strict)
+    wanted = _meeting(rows, keys, widths).groupBy(F.col("id").alias("of")).agg(F.collect_list("c").alias("cs"))
     placed = rows.join(wanted, F.col("id") == F.col("of"), "left").select("id", "text", "cs")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
