@@ -94,3 +94,11 @@ def test_a_chunk_meets_a_name_once_and_few_places_go_to_their_texts(spark, monke
     sparse = spark.createDataFrame([(k, "x " * 3_000 + f"gamma {k}") for k in range(20)], "id long, text string")
     assert {r.id: [tuple(h) for h in r.hits] for r in d.table_hits(sparse, "id", "text", table, most_bytes=0).collect()} == {k: [(6_000, 6_005, "gamma", "3")] for k in range(20)}
     assert len(met) == 1
+
+
+def test_names_that_a_task_takes_whole_are_bounded(spark, monkeypatch):
+    """Two million bytes of names go to chunks of texts, not to every task."""
+    monkeypatch.setattr(d, "_by_automaton", None)
+    names = spark.range(200_000).select(F.format_string("n%09d", "id").alias("name"), F.lit("v").alias("value"), F.lit("org").alias("kind"))
+    texts = spark.range(50).select("id", F.format_string("of n%09d.", F.col("id") * 3).alias("text"))
+    assert all(len(r.hits) == 1 for r in d.table_hits(texts, "id", "text", names).collect())

@@ -22,8 +22,8 @@ from pyspark.sql import functions as F
 
 from ..sources.shared import checkpointed
 
-#: Most bytes of names that a task takes as a whole.
-MOST_BYTES = 4 << 20
+#: Most bytes of names that a task takes as a whole; as an automaton they take some forty times that.
+MOST_BYTES = 1 << 20
 #: Bytes of texts of a chunk, and bytes of texts for each place where a name may begin from which on places are few.
 CHUNK, FEW = 2 << 20, 1 << 10
 #: Code points of grams; a name's is the widest that it holds, three quarters of it at least up to 64.
