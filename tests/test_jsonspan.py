@@ -3,6 +3,7 @@
 import json
 import random
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -130,3 +131,16 @@ def test_summary_and_columns(spark):
     frame = spark.createDataFrame([(body, "chat"), (None, "chat"), ("{}", None)], "b string, p string")
     rows = frame.select(js.with_note(F.col("b"), "N", F.col("p")).alias("n"), js.keeps_structure(F.col("b"), F.col("b")).alias("k"), js.request_summary(F.col("b")).alias("s")).collect()
     assert '"content":"N"' in rows[0].n and rows[0].k and rows[1].n is None and rows[1].k is None and rows[2].n == "{}" and rows[2].s is None
+
+
+def test_edits_take_one_python_worker_and_a_slice_at_a_time(spark, monkeypatch):
+    from tracelake.plans import pump
+
+    monkeypatch.setattr(pump, "turns", lambda s, d: spark.createDataFrame([(f"s{k}", p, k % 2 and "system" or "user", "ä" * k) for k, p in enumerate(("chat", "anthropic", "responses") * 3)], "stream string, protocol string, role string, text string"))
+    plan = pump._bodies(spark, "")
+    assert plan._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
+    for r in plan.collect():
+        again = js.edited_twice(r.body, r.protocol, pump.NOTE)
+        assert r.once and r.same and again == {"body": r.body, "again": r.body, "same": True}
+    texts = pa.array(["x" * 10, None, "y" * (2 * js.SLICE), "z"])
+    assert [len(a) for a, _ in js._slices((texts, texts))] == [2, 1, 1]

@@ -129,10 +129,8 @@ def _bodies(s, d):
         .when(F.col("protocol") == "anthropic", F.concat(F.lit('{"meta":' + odd + ',"stream":true,"top_p":1e0,"system":'), own, F.lit(',"max_tokens":1.0}')))
         .otherwise(F.concat(F.lit('{"meta":' + odd + ',"input":[{"role":"user","content":'), own, F.lit('}],"instructions":"",  "seed":7}')))
     )
-    edited = jsonspan.with_note(jsonspan.with_usage_option(body, F.col("protocol")), NOTE, F.col("protocol"))
-    again = jsonspan.with_note(jsonspan.with_usage_option(edited, F.col("protocol")), NOTE, F.col("protocol"))
-    made = rows.select("stream", "protocol", body.alias("given"), edited.alias("body"), again.alias("again"))
-    return made.select("stream", "protocol", "body", (F.col("body") == F.col("again")).alias("once"), jsonspan.keeps_structure(F.col("body"), F.col("again")).alias("same"))
+    made = rows.select("stream", "protocol", jsonspan.with_edits_twice(body, F.col("protocol"), F.lit(NOTE)).alias("e"))
+    return made.select("stream", "protocol", "e.body", (F.col("e.body") == F.col("e.again")).alias("once"), F.col("e.same").alias("same"))
 
 
 def _summaries(s, d):
