@@ -3,6 +3,7 @@
 import json
 
 from pyspark.sql import functions as F
+from pyspark.util import PythonEvalType
 
 from tracelake.operators import frames
 
@@ -50,3 +51,12 @@ def test_concurrency_and_sessions(spark):
     assert {r.k: r.most for r in frames.most_concurrent(rows, "k", "s", "e").collect()} == {"a": 2, "b": 0}
     times = spark.createDataFrame([("a", 0), ("a", 10), ("a", 21), ("a", 21)], "k string, t long")
     assert [tuple(r) for r in frames.idle_sessions(times, "k", "t", 10).orderBy("session").collect()] == [("a", 1, 0, 10, 2), ("a", 2, 21, 21, 2)]
+
+
+def test_restore_json_runs_on_slices_of_arrow_arrays(spark):
+    """Bodies are not turned into Python strings by whole batches, as a pandas function does."""
+    known = F.create_map(F.lit("__PII_1_0123abcd__"), F.lit('a"b'))
+    body = F.when(F.col("id") % 3 > 0, '{"t":["__PII_1_0123abcd__"]}').when(F.col("id") % 2 == 0, "x __PII_1_0123abcd__")
+    restored = spark.range(60).select("id", frames.restore_json(body, known).alias("b"))
+    assert {r.id: r.b for r in restored.collect()} == {k: '{"t":["a\\"b"]}' if k % 3 else None if k % 2 else 'x a"b' for k in range(60)}
+    assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}\n" in restored._jdf.queryExecution().optimizedPlan().toString()
