@@ -1,11 +1,14 @@
 """Placeholders across frames, held calls and JSON bodies on small tables."""
 
+import codecs
 import json
+import random
 
 from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
-from tracelake.operators import frames
+from tracelake.operators import frames, text_streams
+from tracelake.plans import streams
 
 TOKEN = "__PII_1_0123abcd__"
 
@@ -60,3 +63,27 @@ def test_restore_json_runs_on_slices_of_arrow_arrays(spark):
     restored = spark.range(60).select("id", frames.restore_json(body, known).alias("b"))
     assert {r.id: r.b for r in restored.collect()} == {k: '{"t":["a\\"b"]}' if k % 3 else None if k % 2 else 'x a"b' for k in range(60)}
     assert f", {PythonEvalType.SQL_SCALAR_ARROW_ITER_UDF}\n" in restored._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_stitched_chunks_equal_an_incremental_decoder(spark):
+    """Cuts at every place, bytes that are no UTF-8, streams that end within a character, and nulls."""
+    rng = random.Random(5)
+    streams = {0: "aé東\U0001f600".encode(), 1: b"ab\xc3", 2: b"\xa9b", 3: b"\xe0\x80x\xf0\x9f\x98", 4: b"", 5: b"\xff\xc3\xa9"}
+    streams |= {k: b"".join(rng.choice([b"a", "é".encode(), "東".encode(), "\U0001f600".encode(), b"\xff" if k % 3 == 0 else b"b"]) for _ in range(40)) for k in range(6, 60)}
+    rows, want = [], {}
+    for k, data in streams.items():
+        at, seq, own = 0, 0, codecs.getincrementaldecoder("utf-8")("replace")
+        while at < len(data):
+            size = rng.randint(0, 5)
+            rows.append((k, seq, bytearray(data[at : at + size]) if size or seq % 2 else None))
+            want[k, seq] = own.decode(data[at : at + size])
+            at, seq = at + size, seq + 1
+        want[k, None] = own.decode(b"", True)
+    found = text_streams.stitched(spark.createDataFrame(rows, "k long, seq int, c binary"), "k", "seq", "c")
+    assert {(r.k, r.seq): r.text for r in found.collect()} == {at: t for at, t in want.items() if t}
+    assert found.filter("false").count() == 0
+
+
+def test_chunks_of_a_text_do_not_carry_the_text(spark, sf_dir):
+    plan = streams._stitched(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "posexplode(transform(" in next(line for line in plan.splitlines() if "Generate " in line)

@@ -27,8 +27,8 @@ def _ttft(s, d):
 def _stitched(s, d):
     """Texts as UTF-8, cut every seven bytes, put together again."""
     docs = table(s, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
-    at = F.explode(F.sequence(F.lit(0), F.floor(F.length("b") / 7)))
-    cut = docs.select("doc_id", "b", at.alias("seq")).select("doc_id", "seq", F.expr("substring(b, cast(seq * 7 + 1 as int), 7)").alias("chunk"))
+    # An array of chunks, so that rows do not carry the whole text each.
+    cut = docs.select("doc_id", F.posexplode(F.expr("transform(sequence(0, cast(floor(length(b) / 7) as int)), k -> substring(b, k * 7 + 1, 7))")).alias("seq", "chunk"))
     return text_streams.stitched(cut, "doc_id", "seq", "chunk").groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), ""), 256).alias("digest"))
 
 
