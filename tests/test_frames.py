@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pyspark.util import PythonEvalType
 
 from tracelake.operators import frames, text_streams
+from tracelake.plans import frames as streams_of_frames
 from tracelake.plans import streams
 
 TOKEN = "__PII_1_0123abcd__"
@@ -87,3 +88,37 @@ def test_stitched_chunks_equal_an_incremental_decoder(spark):
 def test_chunks_of_a_text_do_not_carry_the_text(spark, sf_dir):
     plan = streams._stitched(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "posexplode(transform(" in next(line for line in plan.splitlines() if "Generate " in line)
+
+
+def test_restore_frames_over_many_streams_and_batches(spark):
+    """Frames of all sizes, marks everywhere, streams without a map or without frames, and a key that is null."""
+    rng = random.Random(6)
+    frame_rows, maps, want = [], [], {}
+    for k in [*range(80), None]:
+        text = "".join(rng.choice(["_", "__PII_", TOKEN, "a", "bc ", "__PII_2_89abcdef__"]) for _ in range(rng.randint(0, 40)))
+        at = seq = 0
+        while at < len(text):
+            size = rng.randint(1, 9)
+            frame_rows.append((k, seq, text[at : at + size]))
+            at, seq = at + size, seq + 1
+        known = {TOKEN: "é1"} if k is not None and k % 4 else None
+        if k is not None:
+            maps.append((k, known))
+        if text:
+            want[k] = text.replace(TOKEN, "é1") if known else text
+    maps.append((1_000, {TOKEN: "x"}))
+    cut = spark.createDataFrame(frame_rows, "stream long, seq int, delta string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        found = frames.restore_frames(cut, spark.createDataFrame(maps, "stream long, placeholders map<string,string>")).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    got = {}
+    for r in sorted(found, key=lambda r: (r.seq is None, r.seq)):
+        got[r.stream] = got.get(r.stream, "") + r.text
+    assert got == want and len(found) == len(frame_rows) + len(want)
+
+
+def test_the_round_trip_redacts_once(spark, sf_dir):
+    plan = streams_of_frames._stitched(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("MapInArrow") == 1 and "parquet" not in plan.lower()
