@@ -127,3 +127,12 @@ def test_wide_numbers_on_edges(spark):
         assert r.b == (x if x < 0xFF000000 else 0xFF000000 + mix(x) % 256)
         turned = (x << 17 | x >> 47) & M
         assert r.c == ((x << 16) + y if x < 0xFF00 and y < 1 << 16 else 0xFF000000 + mix(mix(turned ^ y * 0x9E3779B97F4A7C15 & M)) % 256)
+
+
+def test_a_group_reads_narrow_rows_of_few_events(spark, monkeypatch):
+    seen, fold = {}, ledger.fold_sorted
+    monkeypatch.setattr(ledger, "fold_sorted", lambda rows, key, *more: seen.setdefault(key, rows) and fold(rows, key, *more))
+    events = [(k, op, f"/p{k % 3}", "n", "h", None, 1, k) for k, op in enumerate(["register", "mode", "window", "hash_change", "disable", "enable", "revoke", "register", "else"])]
+    made = ledger.registry_by_two_keys(spark.createDataFrame(events, "seq long, op string, path string, name string, hash string, mode string, ttl long, ts long"))
+    assert seen["group"].columns == ["group", "seq", "path", "op", "name"] and seen["group"].count() == 4
+    assert made.count() == 3

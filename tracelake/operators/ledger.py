@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import heapq
+from collections import deque
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -141,38 +142,38 @@ def registry_by_two_keys(events: DataFrame) -> DataFrame:
     ``register`` makes an entry, not enabled and without an authorization, unless its path is active or
     an active entry has its name.  ``revoke`` ends one, ``enable`` and ``disable`` set it (enabling revives
     a revoked one), ``mode`` and ``window`` set theirs, ``hash_change`` keeps the former hash for a while;
-    all are refused for a path that was never registered.  One fold for each group of paths that share
-    names; its state is one entry a path of the group.
+    all are refused for a path that was never registered.  A fold for each group of paths that share
+    names tells which registrations are made, from narrow rows of the events that begin or end one; its
+    state is one entry a path of the group.  All else is folded path by path.
     """
     groups = connected_names(events)
-    rows = events.join(groups.withColumnRenamed("path", "p"), F.col("path") == F.col("p")).select("group", "seq", "op", "path", F.trim(F.coalesce("name", F.lit(""))).alias("name"), "hash", "mode", "ttl", "ts")
+    name = F.trim(F.coalesce("name", F.lit("")))
+    told = _made(events.filter(F.col("op").isin("register", "revoke", "enable")).join(groups.withColumnRenamed("path", "p"), F.col("path") == F.col("p")), name)
+    absent = lambda c: F.lit(None).cast(events.schema[c].dataType).alias(c)
+    rows = events.filter("path is not null").select("path", "seq", F.lit(1).alias("_k"), "op", name.alias("name"), "hash", "mode", "ttl", "ts", F.lit(None).cast("int").alias("met")).unionByName(
+        told.select("path", "seq", F.lit(0).alias("_k"), absent("op"), absent("name"), absent("hash"), absent("mode"), absent("ttl"), absent("ts"), "met")
+    )
 
     def start() -> dict:
-        return {"entries": {}, "names": {}, "counts": {}}
+        return {"entry": None, "counts": [0, 0, 0], "met": deque()}
 
     def step(s: dict, e: dict) -> None:
-        path, op = e["path"], e["op"]
-        counts = s["counts"].setdefault(path, [0, 0, 0])
-        entry = s["entries"].get(path)
-        if op == "register":
-            if entry and not entry["revoked"]:
-                counts[0] += 1
-            elif e["name"] and s["names"].get(e["name"]):
-                counts[1] += 1
+        entry, op = s["entry"], e["op"]
+        if e["_k"] == 0:
+            s["met"].append(e["met"])
+        elif op == "register":
+            met = s["met"].popleft()
+            if met != MADE:
+                s["counts"][met] += 1
             else:
-                s["entries"][path] = {"name": e["name"], "hash": e["hash"], "old": None, "until": None, "enabled": False, "revoked": False, "mode": e["mode"], "at": None, "ttl": e["ttl"]}
-                s["names"].setdefault(e["name"], set()).add(path)  # active ones
-            return
-        if entry is None:
-            counts[2] += 1
+                s["entry"] = {"name": e["name"], "hash": e["hash"], "old": None, "until": None, "enabled": False, "revoked": False, "mode": e["mode"], "at": None, "ttl": e["ttl"]}
+        elif entry is None:
+            s["counts"][2] += 1
         elif op == "revoke":
             entry.update(revoked=True, enabled=False)
-            s["names"][entry["name"]].discard(path)
         elif op in ("enable", "disable"):
             entry["enabled"] = op == "enable"
-            if op == "enable" and entry["revoked"]:
-                entry["revoked"] = False
-                s["names"][entry["name"]].add(path)
+            entry["revoked"] = entry["revoked"] and op != "enable"
         elif op == "mode":
             entry["mode"] = e["mode"]
         elif op == "window":
@@ -181,11 +182,42 @@ def registry_by_two_keys(events: DataFrame) -> DataFrame:
             if e["hash"] != entry["hash"]:
                 entry.update(old=entry["hash"], until=e["ts"] + GRACE, hash=e["hash"])
 
-    def last(group: str, s: dict) -> list:
+    def last(path: str, s: dict) -> tuple:
         none = dict.fromkeys(("name", "hash", "old", "until", "enabled", "revoked", "mode", "at", "ttl"))
-        return [(p, *(s["entries"].get(p, none)[k] for k in none), *c) for p, c in s["counts"].items()]
+        return path, *((s["entry"] or none)[k] for k in none), *s["counts"]
+
+    return fold_sorted(rows, "path", ("seq", "_k"), REGISTRY, start, step, last)
+
+
+#: What a registration meets: an active entry of its path, one of its name, or neither.
+PATH_TAKEN, NAME_TAKEN, MADE = 0, 1, 2
+
 
-    return fold_sorted(rows, "group", ("seq",), REGISTRY, start, step, last)
+def _made(events: DataFrame, name: Column) -> DataFrame:
+    """(path, seq, met) of each registration, by a fold over the events (group, seq, op, path) of its group."""
+    op = F.when(F.col("op") == "register", 0).when(F.col("op") == "revoke", 1).otherwise(2).cast("tinyint")
+    rows = events.select("group", "seq", "path", op.alias("op"), F.when(op == 0, name).alias("name"))
+
+    def start() -> dict:
+        return {"entries": {}, "active": {}}  # path to [name, active]; name to how many are
+
+    def step(s: dict, e: dict) -> tuple | None:
+        path, op, active = e["path"], e["op"], s["active"]
+        entry = s["entries"].get(path)
+        if op == 0:
+            if entry and entry[1]:
+                return path, e["seq"], PATH_TAKEN
+            if e["name"] and active.get(e["name"]):
+                return path, e["seq"], NAME_TAKEN
+            s["entries"][path] = [e["name"], True]
+            active[e["name"]] = active.get(e["name"], 0) + 1
+            return path, e["seq"], MADE
+        if entry and entry[1] != (op == 2):
+            entry[1] = op == 2
+            active[entry[0]] += 1 if entry[1] else -1
+        return None
+
+    return fold_sorted(rows, "group", ("seq",), "path string, seq long, met int", start, step)
 
 
 def tool_bucket(index: Column) -> Column:
