@@ -80,6 +80,27 @@ def test_op1_any_id_and_a_large_group_of_near_copies(spark):
         assert table(ngram_join.near_duplicate_components(frame, chunk=chunk), "doc_id", "n_shingles", "component_id") == brute.op1(rows)
 
 
+@pytest.mark.parametrize("most", [1 << 20, 40])
+def test_op1_passages_that_many_share_make_no_blocks(spark, monkeypatch, most):
+    words = [f"w{k}" for k in range(4000)]
+    pick = np.random.default_rng(7)
+    passages = [" ".join(pick.choice(words, 40)) for _ in range(6)]
+    rows = []
+    for k in range(108):
+        own = pick.choice(words, 150).tolist()
+        rows.append((3 * k, f"{' '.join(own)} {passages[k % 6]}"))
+        if k % 9 == 0:  # a near copy, one too far away, and a copy of the passage alone
+            rows += [(3 * k + 1, f"{' '.join(own[:-4])} {passages[k % 6]}"), (3 * k + 2, f"{' '.join(own[:70])} {passages[k % 6]}")]
+    rows += [(1000 + k, passages[k % 6]) for k in range(12)]
+    monkeypatch.setattr(ngram_join, "CROWDED", most, raising=False)
+    members, stars = [], ngram_join._stars
+    monkeypatch.setattr(ngram_join, "_stars", lambda placed, *rest: members.append(placed.count()) or stars(placed, *rest))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert table(ngram_join.near_duplicate_components(frame, common_share=1.0), "doc_id", "n_shingles", "component_id") == brute.op1(rows)
+    if most > 1000:
+        assert members[0] < 60
+
+
 def test_op1_odd(odd):
     got = {r.doc_id: r for r in ngram_join.near_duplicate_components(odd).filter("doc_id is not null").collect()}
     assert got[3].n_shingles == got[4].n_shingles == got[5].n_shingles == 0 and got[4].component_id == 4

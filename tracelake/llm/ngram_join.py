@@ -7,7 +7,9 @@ every pair.  Only small, dense blocks of that product are computed:
 2. Two sets alike enough share an n-gram in their prefixes, the first ``n - ceil(t n) + 1`` n-grams
    in any order common to all.  The order is by hash, with n-grams found in more than a fixed share
    of the documents last, so that passages common to unrelated documents join nothing.  That list is
-   bounded by the share, not by the corpus.
+   bounded by the share, not by the corpus.  Those that then stand in many prefixes come last too (the
+   most frequent, a bounded list), so that blocks do not grow with the corpus; the prefixes that held one
+   are made anew.
 3. N-grams in one prefix alone go.  The rest are dealt by size band (linked sets lie in the same or
    in neighbouring bands) and count only where what follows in the set can still reach the bound.
    The least document of an n-gram and band is its leader;
@@ -52,6 +54,8 @@ PIVOTS = 32
 BROADCAST = 1 << 20
 #: Prefix n-grams of a round, about, and most rounds; what is shuffled of a round goes before the next.
 POSTINGS, ROUNDS = 1 << 22, 8
+#: N-grams in more prefixes than this are crowded, and most of them that go to all tasks (8 MB).
+CROWD, CROWDED = 16, 1 << 20
 
 
 def shingle_sets(column: pa.Array, n: int = 5) -> list[np.ndarray]:
@@ -103,6 +107,40 @@ def common_grams(docs: DataFrame, n: int, share: float) -> np.ndarray:
     return np.sort(rows["gram"].to_numpy().astype(np.int64).view(np.uint64))
 
 
+def _among(values: np.ndarray, table: np.ndarray) -> np.ndarray:
+    """Whether each value is in the sorted table, which is not empty."""
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def crowded_grams(reps: DataFrame) -> np.ndarray:
+    """N-grams that stand in more than ``CROWD`` prefixes, sorted; the most frequent if they are more than ``CROWDED``."""
+    counts = cut(reps.select(F.explode("prefix").alias("gram")).groupBy("gram").agg(F.count("*").alias("m")).filter(F.col("m") > CROWD))
+    least, total = CROWD + 1, 0
+    for m, k in counts.groupBy("m").agg(F.count("*")).orderBy(F.desc("m")).collect():
+        total += k
+        if total > CROWDED:
+            least = m + 1
+            break
+    rows = counts.filter(F.col("m") >= least).select("gram").toArrow()
+    return np.sort(rows["gram"].to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _crowded(reps: DataFrame, crowded: np.ndarray) -> DataFrame:
+    """Nodes of the prefixes that hold a crowded n-gram."""
+    shared = reps.sparkSession.sparkContext.broadcast(crowded)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            prefixes = b.column("prefix")
+            found = _among(prefixes.flatten().to_numpy(zero_copy_only=False).view(np.uint64), shared.value)
+            upto = np.concatenate([[0], np.cumsum(found)])
+            ends = np.cumsum(prefixes.value_lengths().to_numpy(zero_copy_only=False))
+            held = upto[ends] > upto[np.concatenate([[0], ends[:-1]])] if b.num_rows else np.zeros(0, bool)
+            yield pa.RecordBatch.from_arrays([b.column("node").filter(pa.array(held))], ["m"])
+
+    return reps.select("node", "prefix").mapInArrow(run, "m long")
+
+
 def _prefix_rows(docs: DataFrame, n: int, threshold: tuple[int, int], common: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(common)  # bounded, see common_grams
     num, den = threshold
@@ -116,7 +154,7 @@ def _prefix_rows(docs: DataFrame, n: int, threshold: tuple[int, int], common: np
                 k2.append(int(mix(s + U64(0x3C6EF372FE94F82B)).sum(dtype=np.uint64).view(np.int64)))
                 keep = len(s) - (num * len(s) + den - 1) // den + 1 if len(s) else 0
                 if len(shared.value):
-                    last = np.isin(s, shared.value, assume_unique=True)
+                    last = _among(s, shared.value)
                     s = np.concatenate([s[~last], s[last]])
                 prefixes.append(s[:keep].view(np.int64))
             yield pa.RecordBatch.from_arrays(
@@ -342,6 +380,19 @@ def _in_blocks(placed: DataFrame, docs: DataFrame, value: Callable[[pa.Array], l
     return blocks.repartition("leader", "i", "j").sortWithinPartitions("leader", "i", "j")
 
 
+def _marks(rows: DataFrame, name: str) -> DataFrame:
+    """2**23 bits, those of the nodes in ``name`` set: a table of 131,072 rows of 16 bytes at most."""
+    bits = rows.select(F.pmod(F.xxhash64(name), F.lit(1 << 23)).alias("p"))
+    return bits.groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
+
+
+def _marked(rows: DataFrame, marks: DataFrame) -> DataFrame:
+    """``rows`` with ``hit``: whether the bit of ``node`` is set."""
+    placed = rows.withColumn("p", F.pmod(F.xxhash64("node"), F.lit(1 << 23)))
+    hit = F.expr("coalesce(shiftright(bits, cast(p & 63 as int)) & 1L, 0L) = 1L")
+    return placed.join(F.broadcast(marks), F.shiftright("p", 6) == F.col("word"), "left").withColumn("hit", hit)
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) for nodes of ``edges`` (u, v): the least node reachable, in few rounds."""
     edges = cut(edges.filter("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
@@ -394,13 +445,22 @@ def _apart(large: DataFrame, stars: DataFrame, chunk: int, chunk_grams: int) ->
 
 def _linked(docs: DataFrame, n: int, threshold: tuple[int, int], common_share: float, chunk: int, chunk_grams: int = 1 << 19) -> DataFrame:
     """node, named, n (set size) and c (least node of the component) of every row of ``docs`` (node, named, text)."""
-    wide, folder = stored_at(_prefix_rows(docs, n, threshold, common_grams(docs, n, common_share)))
+    common = common_grams(docs, n, common_share)
+    wide, folder = stored_at(_prefix_rows(docs, n, threshold, common))
     sets = cut(wide.drop("prefix"))
     classes = sets.filter("n > 0").groupBy("k1", "k2").agg(F.min("node").alias("rep"))
     owners = classes.select(F.col("k1").alias("c1"), F.col("k2").alias("c2"), "rep")
     same: Column = (F.col("k1") == F.col("c1")) & (F.col("k2") == F.col("c2"))
-    reps = cut(wide.filter("n > 0").join(owners, same & (F.col("node") == F.col("rep")), "left_semi").select("node", "n", "prefix"))
+    owning = lambda rows: rows.filter("n > 0").join(owners, same & (F.col("node") == F.col("rep")), "left_semi").select("node", "n", "prefix")
+    reps, held = stored_at(owning(wide))
     removed(docs.sparkSession, folder)
+    crowded = crowded_grams(reps)
+    if len(crowded):
+        marks = cut(_marks(_crowded(reps, crowded), "m"))
+        again = _prefix_rows(_marked(docs, marks).filter("hit").select("node", "named", "text"), n, threshold, np.union1d(common, crowded))
+        lighter = stored(_marked(reps, marks).filter("not hit").select("node", "n", "prefix").unionByName(owning(again)))
+        removed(docs.sparkSession, held)
+        reps = lighter
     followers = cut(_followers(reps, threshold))
     leaders = followers.select(F.col("leader").alias("l")).distinct()
     leading = reps.join(leaders, F.col("node") == F.col("l"), "left_semi").select(F.col("node").alias("leader"), "node", "n").distinct()
@@ -463,15 +523,10 @@ def _own_nodes(rows: DataFrame) -> tuple[DataFrame, bool]:
 def _without(keyed: DataFrame, losers: DataFrame) -> DataFrame:
     """Rows whose node is no ``loser``.  Up to ``BROADCAST`` losers go to all tasks (8 MB); beyond that only
     rows that share a bit with one, of 2**23, are shuffled.
-
-    The bits are a table of 131,072 rows of 16 bytes at most.
     """
     if losers.count() <= BROADCAST:
         return keyed.join(F.broadcast(losers), F.col("node") == F.col("loser"), "left_anti")
-    bit = lambda name: F.pmod(F.xxhash64(name), F.lit(1 << 23))
-    marks = losers.select(bit("loser").alias("p")).groupBy(F.shiftright("p", 6).alias("word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(p & 63 as int))")).alias("bits"))
-    placed = keyed.withColumn("p", bit("node"))
-    marked = placed.join(F.broadcast(marks), F.shiftright("p", 6) == F.col("word"), "left").withColumn("hit", F.expr("coalesce(shiftright(bits, cast(p & 63 as int)) & 1L, 0L) = 1L"))
+    marked = _marked(keyed, _marks(losers, "loser"))
     names = keyed.columns
     unsure = marked.filter("hit").join(losers, F.col("node") == F.col("loser"), "left_anti")
     return marked.filter("not hit").select(*names).union(unsure.select(*names))
