@@ -1,5 +1,6 @@
 """Golden cases and brute-force versions of single operators."""
 
+import json
 import math
 import random
 import re
@@ -11,7 +12,7 @@ from tracelake.functions.histogram import BOUNDS, p95, p95_saturated
 from tracelake.functions.hmac import hmac_sha256
 from tracelake.functions.text import strip_partial_tokens
 from tracelake.functions.timewin import civil_day, parse_range, window_key
-from tracelake.operators import audit, metrics, pii, traffic
+from tracelake.operators import audit, metrics, pii, secrets, traffic
 from tracelake.plans.audit import CALLS, POLICY
 from tracelake.streaming.rollup import exact_rollup, latest_batches, write_batches
 from tracelake.streaming.sse import take_blocks
@@ -238,3 +239,19 @@ def test_tool_calls_of_all_shapes(spark):
     frame = spark.createDataFrame([(i, json.dumps(b)) for i, (b, _) in enumerate(cases)] + [(98, "no json"), (99, None)], "i int, b string")
     got = {r.i: r.c and [tuple(c) for c in r.c] for r in frame.select("i", tool_calls(F.col("b")).alias("c")).collect()}
     assert got == {**{i: want for i, (_, want) in enumerate(cases)}, 98: [], 99: None}
+
+
+def test_redacted_json_searches_equal_strings_once_and_each_by_itself(spark, monkeypatch):
+    card = "4111111111111111"
+    inner = json.dumps({"t": f"pay {card}", "u": "see /a?id=1234567890123"})
+    body = {"a": "see /a?id=1234567890123", "b": f"pay {card}", "c": ["ann@example.org"] * 40, "d": inner, "e": "", "f": "plain\x00 end"}
+    searched, search = [], pii.with_hits
+    monkeypatch.setattr(secrets, "with_hits", lambda rows, text, **own: searched.append(rows.agg(F.max(F.length(text))).first()[0]) or search(rows, text, **own), raising=False)
+    frame = spark.createDataFrame([(1, json.dumps(body)), (2, None), (3, '{"a": "b"}')], "doc_id long, body string")
+    got = {r.doc_id: r for r in secrets.redact_json(frame, b"salt", "doc_id").collect()}
+    made = json.loads(got[1].redacted)
+    tokens = {value: token for token, value in got[1].placeholders.items()}
+    assert set(tokens) == {card, "ann@example.org"} and made["b"] == f"pay {tokens[card]}" and made["c"] == [tokens["ann@example.org"]] * 40
+    assert json.loads(made["d"]) == {"t": f"pay {tokens[card]}", "u": "see /a?id=1234567890123"} and made["f"] == "plain\ufffd end"
+    assert (got[1].n_new, got[1].n_seen) == (2, 40) and got[2].redacted is None and got[3].redacted == '{"a": "b"}'
+    assert searched and searched[0] < 600
