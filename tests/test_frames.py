@@ -1,6 +1,7 @@
 """Placeholders across frames, held calls and JSON bodies on small tables."""
 
 import codecs
+import hashlib
 import json
 import random
 
@@ -90,6 +91,12 @@ def test_chunks_of_a_text_do_not_carry_the_text(spark, sf_dir):
     assert "posexplode(transform(" in next(line for line in plan.splitlines() if "Generate " in line)
 
 
+def test_stitched_texts_keep_empty_ones(spark, monkeypatch):
+    texts = {1: None, 2: "", 3: "a", 4: "1234567", 5: "abcdef\U0001f600", 6: "\u6771" * 50}
+    monkeypatch.setattr(streams, "table", lambda s, d, name: spark.createDataFrame(list(texts.items()), "doc_id long, text string"))
+    assert sorted(map(tuple, streams._stitched(spark, "").collect())) == [(k, hashlib.sha256((t or "").encode()).hexdigest()) for k, t in texts.items()]
+
+
 def test_restore_frames_over_many_streams_and_batches(spark):
     """Frames of all sizes, marks everywhere, streams without a map or without frames, and a key that is null."""
     rng = random.Random(6)

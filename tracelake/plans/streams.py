@@ -29,7 +29,9 @@ def _stitched(s, d):
     docs = table(s, d, "documents").select("doc_id", F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("b"))
     # An array of chunks, so that rows do not carry the whole text each.
     cut = docs.select("doc_id", F.posexplode(F.expr("transform(sequence(0, cast(floor(length(b) / 7) as int)), k -> substring(b, k * 7 + 1, 7))")).alias("seq", "chunk"))
-    return text_streams.stitched(cut, "doc_id", "seq", "chunk").groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), ""), 256).alias("digest"))
+    whole = text_streams.stitched(cut, "doc_id", "seq", "chunk").groupBy("doc_id").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("seq", "text"))), lambda x: x["text"]), ""), 256).alias("digest"))
+    # No chunk of an empty text is left.
+    return whole.unionByName(docs.filter(F.length("b") == 0).select("doc_id", F.sha2("b", 256).alias("digest")))
 
 
 QUERIES = {"sse_events": _sse, "ttft": _ttft, "utf8_stitched": _stitched}
