@@ -82,6 +82,12 @@ def test_an_address_before_a_full_stop(spark):
     assert [[h.value for h in r.h] for r in got] == [["ann@mail7.example"], ["ann@example.org"], ["ann@example.org"], [], [], [], []]
 
 
+def test_an_address_that_is_cut_after_a_letter(spark):
+    texts = ["mail ann@mail7.example.c</h1>", "ann@mail7.example.c", "ann@example.org.A Bob", "ann@example.org.c1", "ann@example.org.c-", "ann@mail7.example.co", "ann@mail7.e"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", pii.raw_hits(F.col("t")).alias("h")).orderBy("i").collect()
+    assert [[h.value for h in r.h] for r in got] == [["ann@mail7.example"], ["ann@mail7.example"], ["ann@example.org"], [], [], ["ann@mail7.example.co"], []]
+
+
 def test_redact_restores(spark):
     rows = [(1, "a@b.io and a@b.io, 8.8.8.8"), (2, None), (3, ""), (4, "nothing")]
     got = {r.doc_id: r for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string"), b"s").withColumn("back", pii.restore(F.col("redacted"), F.col("placeholders"))).collect()}
