@@ -261,3 +261,12 @@ def test_redacted_json_searches_equal_strings_once_and_each_by_itself(spark, mon
     assert json.loads(made["d"]) == {"t": f"pay {tokens[card]}", "u": "see /a?id=1234567890123"} and made["f"] == "plain\ufffd end"
     assert (got[1].n_new, got[1].n_seen) == (2, 40) and got[2].redacted is None and got[3].redacted == '{"a": "b"}'
     assert searched and searched[0] < 600
+
+
+def test_redacted_json_of_a_large_body_is_searched_by_its_strings(spark):
+    card = "4111111111111111"
+    body = json.dumps({"pad": "x " * (1 << 19), "n": int(card), "s": "to\nann@example.org", "c": card})
+    frame = spark.createDataFrame([(1, body)], "doc_id long, body string")
+    got = secrets.redact_json(frame, b"salt", "doc_id").drop("body").first()
+    tokens = {value: token for token, value in got.placeholders.items()}
+    assert json.loads(got.redacted) == json.loads(body) | {"s": "to\n" + tokens["ann@example.org"], "c": tokens[card]}
