@@ -51,6 +51,14 @@ def test_restore_json_escapes_and_keeps_colliding_keys(spark):
     assert found[2] == 'plain a"b' and found[3] is None and found[4] == '{a"b'
 
 
+def test_restore_json_enters_bodies_of_any_size(spark):
+    names = {f"__PII_{k}_0123abcd__": k for k in range(20_000)}
+    body = json.dumps({"pad": "x" * (1 << 20), "t": TOKEN, "n": names, "s": json.dumps([TOKEN, "y" * (1 << 20)])})
+    found = spark.createDataFrame([(body,)], "b string").select(frames.restore_json(F.col("b"), F.from_json(F.lit(json.dumps({t: f'a"{k}' for t, k in names.items()})), "map<string,string>")).alias("b")).first().b
+    value = json.loads(found)
+    assert value["t"] == 'a"1' and value["n"] == {f'a"{k}': k for k in range(20_000)} and json.loads(value["s"])[0] == 'a"1'
+
+
 def test_concurrency_and_sessions(spark):
     rows = spark.createDataFrame([("a", 0, 10), ("a", 10, 20), ("a", 5, 12), ("b", 1, 1)], "k string, s long, e long")
     assert {r.k: r.most for r in frames.most_concurrent(rows, "k", "s", "e").collect()} == {"a": 2, "b": 0}
