@@ -102,3 +102,17 @@ def test_names_that_a_task_takes_whole_are_bounded(spark, monkeypatch):
     names = spark.range(200_000).select(F.format_string("n%09d", "id").alias("name"), F.lit("v").alias("value"), F.lit("org").alias("kind"))
     texts = spark.range(50).select("id", F.format_string("of n%09d.", F.col("id") * 3).alias("text"))
     assert all(len(r.hits) == 1 for r in d.table_hits(texts, "id", "text", names).collect())
+
+
+def test_places_of_texts_that_no_name_shares_are_left_out(spark):
+    """However many names there are: 200,000 grams would fill a fortieth of a megabyte's bits, and each be met by as many places."""
+    names = spark.range(200_000).select(F.format_string("n%09d", "id").alias("name"), F.lit("v").alias("value"), F.lit("org").alias("kind"))
+    texts = spark.range(200).select("id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(16)), lambda k: F.sha2(F.concat("id", F.lit("-"), k), 256)), "").alias("text"))
+    assert d._keyed(d._chunked(texts)[0], names)[1].count() < 50
+
+
+def test_texts_are_dealt_once(spark):
+    table = spark.createDataFrame([("alpha", "1", "org")], "name string, value string, kind string")
+    dense = spark.createDataFrame([(k, "alpha " * 50) for k in range(20)], "id long, text string")
+    plan = d.table_hits(dense, "id", "text", table, most_bytes=0)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("RepartitionByExpression") == 1

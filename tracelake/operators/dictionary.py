@@ -30,8 +30,8 @@ CHUNK, FEW = 2 << 20, 1 << 10
 WIDTHS = (1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 14, 16, 20, 24, 28, 32, 40, 48, 56, 64)
 #: Bytes of texts that a task holds as Python strings at a time, and a sixteenth as many candidates.
 SLICE = 1 << 18
-#: Bits of the bitmap of grams (1 MB).
-BITS = 1 << 23
+#: Bits of the bitmap of grams: for each gram, fewest (1 MB) and most (64 MB), and how many of them stand for a gram.
+BITS_A_GRAM, BITS, MOST_BITS, PROBES = 32, 1 << 23, 1 << 29, 6
 HITS = "array<struct<start:int,end:int,name:string,value:string>>"
 _HIT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("name", pa.string()), ("value", pa.string())])
 _PLAIN, _PERSON = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("name", "person")
@@ -105,19 +105,32 @@ def _few(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE) ->
             low, done = high, int(ends[high - 1])
 
 
-def _bits(keys: DataFrame) -> np.ndarray:
-    """A bitmap of the column ``gram``: 256 rows of 4 KB at most."""
-    at = keys.select((F.pmod("gram", F.lit(BITS)) + 1).alias("p"))
+def _bits(keys: DataFrame, count: int) -> np.ndarray:
+    """A bitmap of the column ``gram``, whose size follows the ``count`` of grams: rows of 4 KB, 64 MB at most.
+
+    Every gram sets ``PROBES`` bits, so that few places of texts pass which no name shares.
+    """
+    bits = min(max(BITS, 1 << (BITS_A_GRAM * count - 1).bit_length()), MOST_BITS)
+    within = lambda c: c.bitwiseAND(F.lit(bits - 1).cast("long"))
+    low, step = within(F.col("gram")), F.shiftrightunsigned("gram", 32).bitwiseOR(F.lit(1).cast("long"))
+    at = keys.select(F.explode(F.array(*[within(low + step * i) + 1 for i in range(PROBES)])).alias("p"))
     found = at.groupBy(F.expr("bitmap_bucket_number(p)").alias("b")).agg(F.expr("bitmap_construct_agg(bitmap_bit_position(p))").alias("v")).collect()
-    out = np.zeros(BITS // 8, np.uint8)
+    out = np.zeros(bits // 8, np.uint8)
     for bucket, filled in found:
         out[(bucket - 1) * 4096 : bucket * 4096] = np.frombuffer(filled, np.uint8)
     return out
 
 
+def _set(bitmap: np.ndarray, key: np.ndarray, probe: int) -> np.ndarray:
+    """Whether a bit that stands for each gram is set; see ``_bits``."""
+    most = np.uint64(8 * len(bitmap) - 1)
+    p = (((key & most) + (key >> np.uint64(32) | np.uint64(1)) * np.uint64(probe)) & most if probe else key & most).astype(np.int64)
+    return ((bitmap[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool)
+
+
 def _places(rows: DataFrame, bitmap: np.ndarray, widths: set[int], counts: bool) -> DataFrame:
     """(chunk, gram, n) counted by slice, or (id, at, gram), of the grams of texts that are in the bitmap."""
-    shared = rows.sparkSession.sparkContext.broadcast(bitmap)  # 1 MB
+    shared = rows.sparkSession.sparkContext.broadcast(bitmap)  # 64 MB at most
     most = max(widths, default=0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,8 +142,9 @@ def _places(rows: DataFrame, bitmap: np.ndarray, widths: set[int], counts: bool)
             ats, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for width, key in _keys(_points(texts), most):
                 if width in widths:
-                    p = (key & np.uint64(BITS - 1)).astype(np.int64)
-                    at = np.flatnonzero(((shared.value[p >> 3] >> (p & 7).astype(np.uint8)) & 1).astype(bool) & (left[: len(key)] >= width))
+                    at = np.flatnonzero(_set(shared.value, key, 0) & (left[: len(key)] >= width))
+                    for probe in range(1, PROBES):
+                        at = at[_set(shared.value, key[at], probe)]
                     ats.append(at)
                     grams.append(key[at])
             at, gram = np.concatenate(ats), np.concatenate(grams)
@@ -232,25 +246,25 @@ def _schema(rows: DataFrame) -> str:
 
 
 def _chunked(rows: DataFrame) -> tuple[DataFrame, int]:
-    """The rows (id, text) with a ``chunk``, dealt by it, and the bytes of all texts."""
+    """The rows (id, text) with a ``chunk``, and the bytes of all texts."""
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(-(-size // CHUNK), 2 * rows.sparkSession.sparkContext.defaultParallelism)
-    return rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))).repartition("chunk"), size
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("id"), F.lit(chunks))), size
 
 
 def _keyed(chunked: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame, set[int]]:
     """(name, value, kind, gram, off, n): the gram that stands for each name and its places; (chunk, gram, n); and the widths of grams."""
     grams = _name_grams(names)
-    widths = {r[0] for r in grams.select("width").distinct().collect()}  # a few tens at most
-    held = checkpointed(_places(chunked, _bits(grams), widths, True).groupBy("chunk", "gram").agg(F.sum("n").alias("n")))
+    widths = dict(map(tuple, grams.groupBy("width").count().collect()))  # a few tens at most
+    held = checkpointed(_places(chunked.repartition("chunk"), _bits(grams, sum(widths.values())), set(widths), True).groupBy("chunk", "gram").agg(F.sum("n").alias("n")))
     seen = held.groupBy("gram").agg(F.sum("n").alias("n"))
     # A name with a gram that no text has is in none.
     rarest = grams.join(seen, "gram", "left").groupBy("name", "value", "kind").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram", "off")).alias("r"))
-    return checkpointed(rarest.filter("r.n > 0").select("name", "value", "kind", "r.gram", "r.off", "r.n")), held, widths
+    return checkpointed(rarest.filter("r.n > 0").select("name", "value", "kind", "r.gram", "r.off", "r.n")), held, set(widths)
 
 
 def _meeting(rows: DataFrame, keys: DataFrame, widths: set[int]) -> DataFrame:
-    found = _places(rows, _bits(keys), widths, False).join(keys, "gram")
+    found = _places(rows, _bits(keys, keys.count()), widths, False).join(keys, "gram")
     return found.select("id", F.struct((F.col("at") - F.col("off")).alias("start"), "name", "value", "kind").alias("c")).filter("c.start >= 0")
 
 

@@ -8,11 +8,23 @@ from pyspark.sql import DataFrame
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """``df`` written to the cluster's checkpoint folder and read back; a temporary one where none is set and Spark runs locally."""
+    """``df`` written to the cluster's checkpoint folder and read back; a temporary one where none is set and Spark runs locally.
+
+    The shuffle files of that step go at once, not when the driver collects its garbage.
+    """
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
         folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
         if not folder and not (context.master == "local" or context.master.startswith("local[")):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint(eager=True)
+    conf, name = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(name, None)
+    conf.set(name, "true")
+    try:
+        return df.select("*").checkpoint(eager=True)
+    finally:
+        if before is None:
+            conf.unset(name)
+        else:
+            conf.set(name, before)
