@@ -6,8 +6,11 @@ import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
+from tracelake.functions import jsonspan
 from tracelake.operators import pump as p
+from tracelake.operators import toolcalls, traffic
 from tracelake.streaming.pump import pump_stream
 
 TOKENS = {"__PII_1_0a1b2c3d__": 'Ann "x"\n', "__PII_22_deadbeef__": "Bob", "__CRED_000123__": "s3cret"}
@@ -174,3 +177,31 @@ def test_frames_of_a_turn_are_built_once(spark, sf_dir):
     made = plans.frames(spark, sf_dir)
     above = made._jdf.queryExecution().optimizedPlan().toString().split("Generate posexplode")[0]
     assert "[DONE]" not in above
+
+
+def test_frames_without_placeholders_are_not_parsed(monkeypatch):
+    """Nor are those whose texts end in what begins none; the others are parsed once, and once as they leave."""
+    parsed, parse = [], jsonspan.index
+    for where in (jsonspan, p):
+        monkeypatch.setattr(where, "index", lambda text: parsed.append(text) or parse(text))
+    row = dict.fromkeys("known at id model finish prompt completion total number type calls reject release terminal clean_end output buffered ended due_now event".split()) | {"protocol": "chat", "approvals": 0}
+    loop = p.Pump(known={"__PII_1_0123abcd__": "Ann"})
+    frames = ['{"choices":[{"delta":{"content":"%s"}}]}' % t for t in ("plain", "snake_case", "see __PII_1_01", "23abcd__ and", "__PII_1_0123abcd__")]
+    for data, most in zip(frames, (0, 0, 1, 3, 2)):
+        loop.step(row | {"data": data})
+        assert len(parsed) <= most
+        parsed.clear()
+    assert "".join(json.loads(t[4])["choices"][0]["delta"]["content"] for t in loop.taken()) == "plainsnake_casesee Ann andAnn"
+
+
+def test_names_that_are_escaped_or_in_single_quotes_are_found(spark):
+    bodies = [
+        '{"id":"x","model":"m","usage":{"prompt_tokens":1}}', '{"\\u0069d":"x","m\\u006fdel":"m","us\\u0061ge":{"prompt\\u005ftokens":1}}', "{'id':'x','model':'m','usage':{'prompt_tokens':1}}",
+        '{"response":{"id":"x","model":"m","usage":{"input_tokens":1}}}', '{"id":"","message":{"id":"x","model":"m","usage":{"input_tokens":1}}}',
+    ]
+    b = F.col("b")
+    made = spark.createDataFrame([(t,) for t in bodies], "b string").select(traffic.conversation_id(b).alias("i"), traffic.stream_model(b).alias("m"), traffic.usage(b)["prompt"].alias("p"))
+    assert [tuple(r) for r in made.collect()] == [("x", "m", 1)] * len(bodies)
+    calls = ['{"content_block":{"type":"tool_use","name":"f","input":{}}}', '{"content_block":{"type":"\\u0074ool_use","\\u006eame":"f","inp\\u0075t":{}}}', '{"type":"content_block_delta","delta":{"text":"x"}}', None]
+    found = spark.createDataFrame([(t,) for t in calls], "b string").select(toolcalls.tool_calls(b).alias("c")).collect()
+    assert [r.c if r.c is None else [c.name for c in r.c] for r in found] == [["f"], ["f"], [], None]

@@ -46,8 +46,10 @@ def fold_sorted(
                 made.extend(out if isinstance(out, list) else [out])
 
         for b in batches:
+            names = b.schema.names
             for low in range(0, b.num_rows, ROWS):
-                for row in b.slice(low, ROWS).to_pylist():
+                for values in zip(*(c.to_pylist() for c in b.slice(low, ROWS).columns)):
+                    row = dict(zip(names, values))
                     if not begun or row[key] != current:
                         if begun and last:
                             take(last(current, state))

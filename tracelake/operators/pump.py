@@ -24,7 +24,7 @@ from typing import Any
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.jsonspan import edited, index, isomorphic, rewritten, string_paths
+from ..functions.jsonspan import Index, edited, index, isomorphic, rewritten, string_paths
 from . import traffic
 from .audit import Policy, danger_reason
 from .folds import fold_sorted
@@ -49,6 +49,9 @@ ENDS = ("message_stop", "response.completed", "response.failed", "response.incom
 WHOLE = re.compile(r"__(?:PII_\d+_[0-9a-fA-F]{8}|CRED_\d{4,})__")
 BEGUN = re.compile(r"_(?:_(?:P(?:I(?:I(?:_(?:\d+(?:_(?:[0-9a-fA-F]*_?)?)?)?)?)?)?|C(?:R(?:E(?:D(?:_(?:\d+_?)?)?)?)?)?)?)?\Z")
 
+#: The same before the end of a JSON string; a frame without it, or a whole one, keeps all its texts.
+CUT = re.compile(BEGUN.pattern.removesuffix(r"\Z") + '"')
+
 CALLS = "array<struct<index:bigint,name:string,args:string>>"
 HELD = "due array<struct<index:bigint,name:string,args:string>>, release long, buffered boolean, overflow boolean, unfinished long"
 FACTS = "type string, index long, number long, id string, model string, finish string, terminal boolean, clean_end boolean, due_now boolean, output boolean, prompt long, completion long, total long"
@@ -60,7 +63,7 @@ OUT = f"stream string, place long, protocol string, kind string, event string, d
 def facts(frames: DataFrame) -> DataFrame:
     """Frames with what each says; nulls and false where it says nothing."""
     body = F.when(F.ltrim("data").startswith("{") & ~F.coalesce("ended", F.lit(False)), F.col("data"))
-    at = lambda path: F.get_json_object(body, path)
+    at = lambda path: traffic.member(body, path)
     kind, chat, responses = at("$.type"), F.col("protocol") == "chat", F.col("protocol") == "responses"
     finish = traffic.finish_reason(body)
     chat_finish = F.coalesce(at("$.choices[0].finish_reason"), at("$.choices[1].finish_reason"))
@@ -199,18 +202,19 @@ class Pump:
             f["any"] = True
             f["frames"] += 1
 
-    def _restored(self, data: str, whole: bool) -> str:
-        """Data with known placeholders restored; as it was if that would break its structure."""
+    def _restored(self, data: str, whole: bool, found: Index | None = None) -> str:
+        """Data (and its index, where there is one) with known placeholders restored; as it was if that would break its structure."""
         if not WHOLE.search(data):
             return data
         swap = lambda s: WHOLE.sub(lambda m: self.known.get(m[0], m[0]), s)
-        made = rewritten(data, swap) if whole else swap(data)
-        return made if isomorphic(data, made) else data
+        found = found or (index(data) if whole else None)
+        made = rewritten(data, swap, whole=found) if whole else swap(data)
+        return made if made == data or isomorphic(data, made, whole=found) else data
 
-    def _stitched(self, data: str, absorb: bool) -> str:
+    def _stitched(self, data: str, absorb: bool, found: Index) -> str:
         """Data with carried beginnings put before the next value of their path, and new ones taken off."""
         edits = []
-        for start, end, path in string_paths(data):
+        for start, end, path in string_paths(data, found):
             had = self.carry.pop(path, "")
             text = had + data[start:end]
             at = len(text)
@@ -302,8 +306,12 @@ class Pump:
             self._release()
         if row["terminal"]:
             f["state"] = "upstream"
-        whole = index(data) is not None
-        made = self._restored(self._stitched(data, not row["clean_end"]) if whole else data, whole)
+        made = data
+        if self.carry or CUT.search(data) or WHOLE.search(data):
+            found = index(data)
+            if found is not None:
+                made = self._stitched(data, not row["clean_end"], found)
+            made = self._restored(made, found is not None, found if made == data else None)
         if row["output"] and f["token"] is None:
             f["token"] = row["at"]
         if row["buffered"]:
@@ -438,7 +446,7 @@ def pump(frames: DataFrame, mode: str = "block", policy: Policy = Policy(), appr
         p.step(row)
         return [(p.stream, *t) for t in p.taken()]
 
-    rows = judged(held_rows(frames, bounds), mode, policy, approvers)
+    rows = judged(held_rows(frames, bounds), mode, policy, approvers).drop("due", "unfinished")
     return fold_sorted(rows, "stream", ("seq",), OUT, Pump, step)
 
 

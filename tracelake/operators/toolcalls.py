@@ -7,11 +7,13 @@ response, anything else is read as messages with content blocks.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..functions.scan import let, none
+from .traffic import may_differ
 
 #: Marks in the type of a stream event, or of an item, and the tool that they stand for, in order.
 EVENT_TOOLS = (
@@ -21,6 +23,9 @@ EVENT_TOOLS = (
 ITEM_TOOLS = (("code_interpreter", "code_interpreter"), ("shell", "shell"), ("mcp", "mcp"), ("computer", "computer"), ("custom_tool", "custom_tool"))
 RETRIEVAL_TOOLS = (("file_search", "file_search"), ("web_search", "web_search"))
 
+#: Words of which a body that holds a call has one, as a name or in its type.
+WORDS = ("tool", "function", "custom", "name", "partial_json", "input", "output_item", '"output"', *(mark for mark, _ in EVENT_TOOLS + RETRIEVAL_TOOLS))
+
 CALL = "struct<index:bigint,id:string,name:string,args:string,id_synth:boolean>"
 _OWN = "id string, call_id string, tool_call_id string, name string, tool_name string, function struct<name:string>, arguments string, input string, args string"
 _SAID = "struct<tool_calls:array<struct<index:bigint,id:string,function:struct<name:string,arguments:string>,custom:struct<name:string,input:string>>>,function_call:string,custom_tool_call:string>"
@@ -151,7 +156,8 @@ def tool_calls(body: Column) -> Column:
         calls = F.when(b["choices"].isNotNull(), _chat(b)).when(response, _responses(b, body)).otherwise(_messages(b))
         return F.coalesce(calls, none(CALL))
 
-    return F.when(body.isNotNull(), let(F.from_json(body, _BODY), found))
+    possible = reduce(lambda a, b: a | b, [may_differ(body), *(body.contains(w) for w in WORDS)])
+    return F.when(possible, let(F.from_json(body, _BODY), found)).when(body.isNotNull(), none(CALL))
 
 
 def blocked_call(calls: Column, reason: Callable[[Column, Column], Column]) -> Column:

@@ -2,12 +2,25 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def may_differ(body: Column) -> Column:
+    """Whether a JSON text may write its names and words in another way than plainly between double quotes."""
+    return body.contains("\\u") | body.contains("'")
+
+
+def member(body: Column, path: str) -> Column:
+    """What stands at a path; a text without the path's last name is not parsed for it."""
+    name = re.findall(r"\.(\w+)", path)[-1]
+    return F.when(body.contains(f'"{name}"') | may_differ(body), F.get_json_object(body, path))
+
+
 def _number(body: Column, *paths: str) -> Column:
-    return F.coalesce(*[F.get_json_object(body, p).try_cast("bigint") for p in paths])
+    return F.coalesce(*[member(body, p).try_cast("bigint") for p in paths])
 
 
 def usage(body: Column) -> Column:
@@ -37,7 +50,7 @@ def merge_usage(events: DataFrame, key: str, usage_column: str = "usage") -> Dat
 def conversation_id(body: Column) -> Column:
     """First identifier that the payload offers."""
     paths = ("$.id", "$.response.id", "$.data.id", "$.data.response.id", "$.message.id", "$.error.id")
-    return F.coalesce(*[F.when(F.get_json_object(body, p) != "", F.get_json_object(body, p)) for p in paths])
+    return F.coalesce(*[F.nullif(member(body, p), F.lit("")) for p in paths])
 
 
 def archived_id(body: Column) -> Column:
@@ -45,11 +58,11 @@ def archived_id(body: Column) -> Column:
 
 
 def finish_reason(body: Column) -> Column:
-    return F.coalesce(*[F.get_json_object(body, p) for p in ("$.choices[0].finish_reason", "$.choices[1].finish_reason", "$.delta.stop_reason", "$.stop_reason", "$.response.status", "$.status")])
+    return F.coalesce(*[member(body, p) for p in ("$.choices[0].finish_reason", "$.choices[1].finish_reason", "$.delta.stop_reason", "$.stop_reason", "$.response.status", "$.status")])
 
 
 def stream_model(body: Column) -> Column:
-    return F.coalesce(*[F.get_json_object(body, p) for p in ("$.model", "$.message.model", "$.response.model")])
+    return F.coalesce(*[member(body, p) for p in ("$.model", "$.message.model", "$.response.model")])
 
 
 def protocol_of(path: Column) -> Column:
@@ -70,8 +83,8 @@ def body_class(is_chat: Column, length: Column, is_json: Column, status: Column)
 
 def carries_output(body: Column) -> Column:
     """Whether a stream event holds text for the reader, and not only bookkeeping."""
-    text = [F.length(F.get_json_object(body, p)) > 0 for p in ("$.choices[0].delta.content", "$.choices[0].delta.reasoning_content", "$.delta.text", "$.delta.thinking")]
-    out = F.get_json_object(body, "$.type").isin("response.output_text.delta", "response.reasoning_text.delta", "response.refusal.delta")
+    text = [F.length(member(body, p)) > 0 for p in ("$.choices[0].delta.content", "$.choices[0].delta.reasoning_content", "$.delta.text", "$.delta.thinking")]
+    out = member(body, "$.type").isin("response.output_text.delta", "response.reasoning_text.delta", "response.refusal.delta")
     for t in text:
         out = F.coalesce(out, F.lit(False)) | F.coalesce(t, F.lit(False))
     return F.coalesce(out, F.lit(False))
