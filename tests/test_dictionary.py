@@ -116,3 +116,12 @@ def test_texts_are_dealt_once(spark):
     dense = spark.createDataFrame([(k, "alpha " * 50) for k in range(20)], "id long, text string")
     plan = d.table_hits(dense, "id", "text", table, most_bytes=0)._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("RepartitionByExpression") == 1
+
+
+def test_whole_names_are_met_only_where_they_stand_free(spark):
+    listed = [("alpha", "1", "org"), ("beta", "2", None), ("gamma", "3", "person"), ("alphabetagamma12", "4", "org")]
+    table = spark.createDataFrame(listed, "name string, value string, kind string")
+    texts = ["alphas xalpha alpha1", "betas", "gammas", "alpha", "(alpha)", "éalpha東", "alphabetagamma12", "alphabetagamma123", "alpha" * 9]
+    frame = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    assert d._keyed(d._chunked(frame.filter("id in (0, 8)"))[0], table.filter("name = 'alpha'"))[1].count() == 0
+    assert {r.id: [tuple(h) for h in r.hits] for r in d.table_hits(frame, "id", "text", table, most_bytes=0).collect()} == {k: brute(t, listed, False) for k, t in enumerate(texts)}

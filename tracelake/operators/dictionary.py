@@ -35,6 +35,8 @@ BITS_A_GRAM, BITS, MOST_BITS, PROBES = 32, 1 << 23, 1 << 29, 6
 HITS = "array<struct<start:int,end:int,name:string,value:string>>"
 _HIT = pa.struct([("start", pa.int32()), ("end", pa.int32()), ("name", pa.string()), ("value", pa.string())])
 _PLAIN, _PERSON = frozenset("0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"), ("name", "person")
+#: Makes other grams of whole names that must stand free on both sides; texts hold them only where they do.
+_FREE = np.uint64(0xA24BAED4963EE407)
 _ODD = tuple(np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93))
 
 
@@ -105,6 +107,12 @@ def _few(batches: Iterator[pa.RecordBatch], column: str, limit: int = SLICE) ->
             low, done = high, int(ends[high - 1])
 
 
+def _plain(points: np.ndarray) -> np.ndarray:
+    """Which code points are ASCII letters or digits."""
+    low = points | np.uint32(32)
+    return ((points >= 48) & (points <= 57)) | ((low >= 97) & (low <= 122))
+
+
 def _bits(keys: DataFrame, count: int) -> np.ndarray:
     """A bitmap of the column ``gram``, whose size follows the ``count`` of grams: rows of 4 KB, 64 MB at most.
 
@@ -140,13 +148,20 @@ def _places(rows: DataFrame, bitmap: np.ndarray, widths: set[int], counts: bool)
             first = np.cumsum(size) - size
             left = np.repeat(first + size, size) - np.arange(size.sum())  # code points to the end of the text
             ats, grams = [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
-            for width, key in _keys(_points(texts), most):
+            points = _points(texts)
+            plain = np.append(_plain(points), False)
+            inner = np.append(False, plain[:-1])  # after an ASCII letter or digit of the same text
+            inner[first[size > 0]] = False
+            for width, key in _keys(points, most):
                 if width in widths:
-                    at = np.flatnonzero(_set(shared.value, key, 0) & (left[: len(key)] >= width))
-                    for probe in range(1, PROBES):
-                        at = at[_set(shared.value, key[at], probe)]
-                    ats.append(at)
-                    grams.append(key[at])
+                    within = left[: len(key)] >= width
+                    ends = np.flatnonzero(within & ~inner[: len(key)])
+                    ends = ends[~plain[ends + width] | (left[ends] == width)]
+                    for at, own in ((np.flatnonzero(_set(shared.value, key, 0) & within), key), (ends, key ^ _FREE)):
+                        for probe in range(PROBES):
+                            at = at[_set(shared.value, own[at], probe)]
+                        ats.append(at)
+                        grams.append(own[at])
             at, gram = np.concatenate(ats), np.concatenate(grams)
             of = np.repeat(np.arange(len(texts)), size)[at]
             if counts:
@@ -172,13 +187,14 @@ def _name_grams(names: DataFrame) -> DataFrame:
             owner = np.repeat(np.arange(len(listed)), size)
             left = first[owner] + size[owner] - np.arange(len(owner))
             own = np.array([_width(n) for n in size.tolist()])[owner]
+            alone = np.array([k is not None and k not in _PERSON for k in b.column("kind").to_pylist()], bool)
             of, off, wide, gram = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)]
             for width, key in _keys(_points(listed), int(own.max(initial=0))):
                 at = np.flatnonzero((own[: len(key)] == width) & (left[: len(key)] >= width))
                 of.append(owner[at])
                 off.append(at - first[owner[at]])
                 wide.append(np.full(len(at), width))
-                gram.append(key[at])
+                gram.append(np.where(alone[owner[at]] & (size[owner[at]] == width), key[at] ^ _FREE, key[at]))
             take = pa.array(np.concatenate(of))
             yield pa.RecordBatch.from_pydict(
                 {c: b.column(c).take(take) for c in ("name", "value", "kind")} | {"width": pa.array(np.concatenate(wide).astype(np.int32)), "gram": pa.array(np.concatenate(gram).view(np.int64)), "off": pa.array(np.concatenate(off).astype(np.int32))}
